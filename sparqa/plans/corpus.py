@@ -55,41 +55,61 @@ def process_qa(raw: DataFrame) -> DataFrame:
 
 @dataclass
 class Corpus:
-    """A searchable corpus: chunk rows, their key, and the fitted index.
+    """A searchable corpus: chunk rows, their key, the fitted index, and the
+    table that maps a hit to the text it returns (``answers`` keyed by
+    ``answer_key``).
 
     The chunk table is checkpointed once it is cut: the index build reads it
     in three places (postings, vocabulary, chunk count) and retrieval joins
-    back to it, so none of those reads re-chunks the text."""
+    back to it, so none of those reads re-chunks the text.  The index is
+    checkpointed too: retrieval counts the query side against it before it
+    decides on a broadcast."""
 
     name: str
     chunks: DataFrame
     key_cols: list
     index: TfidfIndex | None
+    answers: DataFrame | None = None
+    answer_key: list | None = None
 
-    def materialize(self) -> "Corpus":
-        if self.index is None:
-            return self
-        return Corpus(self.name, self.chunks, self.key_cols, self.index.materialize())
+    def answer_texts(self, hits: DataFrame) -> DataFrame:
+        """``hits`` plus ``text``: the full answer of a hit (Q1)."""
+        from ..operators.retrieval import attach
 
+        return attach(hits, self.answers, self.answer_key)
 
-def main_document_corpus(spark: SparkSession, sf_dir: str, cfg: QAConfig = DEFAULT) -> Corpus:
-    chunks = materialize(document_chunks(fixtures.main_documents(spark, sf_dir), cfg))
-    idx = fit_index(chunks, DOC_KEY, "chunk_text", cfg.max_features, repartition=True)
-    return Corpus("main_dataset", chunks, DOC_KEY, idx)
 
+def main_document_corpus(spark: SparkSession, sf_dir: str, cfg: QAConfig = DEFAULT,
+                         materialize_index: bool = True) -> Corpus:
+    docs = fixtures.main_documents(spark, sf_dir)
+    chunks = materialize(document_chunks(docs, cfg))
+    idx = fit_index(chunks, DOC_KEY, "chunk_text", cfg.max_features)
+    if materialize_index:
+        idx = idx.materialize()
+    answers = docs.select("doc_id", preprocess_text("text").alias("text"))
+    return Corpus("main_dataset", chunks, DOC_KEY, idx, answers, ["doc_id"])
 
-def upload_corpus(spark: SparkSession, sf_dir: str, cfg: QAConfig = DEFAULT) -> Corpus:
+
+def upload_corpus(spark: SparkSession, sf_dir: str, cfg: QAConfig = DEFAULT,
+                  materialize_index: bool = True) -> Corpus:
     files = spread(fixtures.upload_documents(spark, sf_dir), "doc_id")
     cleaned = files.select("doc_id", "filename", preprocess_text("text").alias("text"))
     chunks = materialize(explode_chunks(cleaned, "text", cfg, with_total=True).select(
         "doc_id", "chunk_idx", "filename", "total_chunks", "chunk_text"
     ))
-    idx = fit_index(chunks, DOC_KEY, "chunk_text", cfg.max_features, repartition=True)
-    return Corpus("uploaded_files", chunks, DOC_KEY, idx)
+    idx = fit_index(chunks, DOC_KEY, "chunk_text", cfg.max_features)
+    if materialize_index:
+        idx = idx.materialize()
+    answers = chunks.select("doc_id", "chunk_idx", F.col("chunk_text").alias("text"))
+    return Corpus("uploaded_files", chunks, DOC_KEY, idx, answers, DOC_KEY)
 
 
-def qa_corpus(spark: SparkSession, sf_dir: str, cfg: QAConfig = DEFAULT) -> Corpus:
+def qa_corpus(spark: SparkSession, sf_dir: str, cfg: QAConfig = DEFAULT,
+              materialize_index: bool = True) -> Corpus:
     qa = spread(process_qa(fixtures.raw_qa(spark, sf_dir)), "question_idx")
     chunks = materialize(explode_qa_chunks(qa, "main_dataset", cfg))
-    idx = fit_index(chunks, QA_KEY, "chunk_text", cfg.max_features, repartition=True)
-    return Corpus("main_dataset", chunks, QA_KEY, idx)
+    idx = fit_index(chunks, QA_KEY, "chunk_text", cfg.max_features)
+    if materialize_index:
+        idx = idx.materialize()
+    answers = chunks.where(F.col("chunk_idx") == 0).select("question_idx", F.col("answer").alias("text"))
+    return Corpus("main_dataset", chunks, QA_KEY, idx, answers, ["question_idx"])

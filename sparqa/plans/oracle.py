@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..config import DEFAULT
+from ..config import DEFAULT, EMPTY_QUESTION_REPLY
 from .oracle_sql import (
     D, chunk_ctes, main_corpus_ctes, pre, norm, retrieval_ctes, with_,
 )
@@ -30,3 +30,47 @@ sql("top_vocabulary", with_(main_corpus_ctes("m")) +
 sql("retrieve_chunks", with_(main_corpus_ctes("m"), retrieval_ctes("m", DEFAULT.top_k, DEFAULT.similarity_threshold)) +
     """ SELECT t.query_id, t.rank, t.score, t.doc_id, t.chunk_idx, c.chunk_text
         FROM m_top t JOIN m_chunks c ON c.doc_id = t.doc_id AND c.chunk_idx = t.chunk_idx""")
+
+from .oracle_sql import (  # noqa: E402
+    cascade_ctes, clean_context, clean_generated, dedup_ctes, format_ctes, gate_cte,
+    relevance_ctes, route_ctes, strip_prompt_prefix, strip_ws, q,
+)
+
+sql("gather_context", with_(cascade_ctes()) +
+    " SELECT query_id, pos, source_order, rank, score FROM ctx")
+
+_P = DEFAULT.prompt_prefix
+sql("assemble_prompt", with_(cascade_ctes()) + f"""
+, cc AS (SELECT query_id, pos, {clean_context('text')} AS c FROM ctx WHERE pos <= {DEFAULT.context_top_k}),
+blocks AS (
+  SELECT query_id, string_agg('Relevant information:' || chr(10) || c, chr(10) || chr(10) ORDER BY pos) AS context
+  FROM cc WHERE c <> '' GROUP BY query_id
+)
+SELECT b.item_id AS query_id,
+       CASE WHEN k.context IS NOT NULL
+            THEN {q(_P)} || chr(10) || chr(10) || k.context || chr(10) || chr(10) ||
+                 'Based on the above information, answer this question:' || chr(10) || b.text || chr(10) || chr(10) || 'Answer:'
+            ELSE {q(_P)} || chr(10) || chr(10) || b.text || chr(10) || chr(10) || 'Answer:' END AS prompt
+FROM benchmark b LEFT JOIN blocks k ON k.query_id = b.item_id""")
+
+sql("gate_generated", with_(gate_cte("g")) + " SELECT query_id, answer, gate_reason FROM g_gate")
+
+sql("check_answer_relevance", with_(cascade_ctes(), gate_cte("g")) + """
+, ans AS (SELECT query_id, answer FROM g_gate WHERE query_id IN (SELECT query_id FROM ctx)),
+""".rstrip() .rstrip(",") + "," + relevance_ctes("ans", "r") +
+    " SELECT query_id, relevance, is_relevant FROM r_rel")
+
+sql("route_answers", with_(route_ctes()) +
+    " SELECT query_id, response, source, similarity_score, dataset_source, is_grounded FROM routed")
+
+sql("answer_questions", with_(route_ctes(), f"""
+fsrc AS (
+  SELECT r.query_id AS id, r.response AS raw, {strip_ws('b.text')} AS question
+  FROM routed r JOIN benchmark b ON b.item_id = r.query_id WHERE {strip_ws('b.text')} <> ''
+)""", format_ctes("fsrc", "f")) + f"""
+SELECT r.query_id, {strip_ws('b.text')} AS question, f.response, r.source, r.dataset_source,
+       r.similarity_score, r.is_grounded
+FROM routed r JOIN benchmark b ON b.item_id = r.query_id JOIN f_fmt f ON f.id = r.query_id
+UNION ALL
+SELECT item_id, '', {q(EMPTY_QUESTION_REPLY)}, 'uncertain', NULL, 0.0, NULL
+FROM benchmark WHERE {strip_ws('text')} = ''""")

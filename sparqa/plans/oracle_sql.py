@@ -161,3 +161,270 @@ def retrieval_ctes(prefix: str, k: int, threshold: float) -> str:
 def with_(*ctes: str) -> str:
     body = ",".join(ctes)
     return "WITH RECURSIVE " + body.strip().lstrip(",")
+
+
+# -- text post-processing (B6-B10) ----------------------------------------------
+
+LB = r"\r\n|[\n\r\x{B}\x{C}\x{1C}\x{1D}\x{1E}\x{85}\x{2028}\x{2029}]"
+
+
+def lstrip_ws(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+', '')"
+
+
+def json_items(x: str) -> str:
+    """Items of a whole-text JSON list (null when not one)."""
+    return (f"CASE WHEN regexp_matches({x}, '(?s)^\\[.*\\]$') AND json_valid({x}) "
+            f"AND json_type(CAST({x} AS JSON)) = 'ARRAY' "
+            f"THEN list_transform(from_json({x}, '[\"VARCHAR\"]'), "
+            f"lambda i: CASE WHEN i IS NULL THEN 'None' WHEN i = 'true' THEN 'True' WHEN i = 'false' THEN 'False' ELSE i END) END")
+
+
+def strip_brackets(x: str) -> str:
+    return f"regexp_replace({x}, '^[\\[\\]]+|[\\[\\]]+$', '', 'g')"
+
+
+def clean_context(x: str) -> str:
+    """B6."""
+    items = json_items(x)
+    falsy = "('', 'None', 'False', '0', '0.0', '[]', '{}')"
+    joined = f"array_to_string(list_transform(list_filter({items}, lambda i: i NOT IN {falsy}), lambda i: {strip_ws('i')}), chr(10))"
+    listy = f"(starts_with({x}, '[') AND ends_with({x}, ']'))"
+    fb = f"CASE WHEN {listy} THEN trim({strip_brackets(x)}) ELSE {x} END"
+    return f"CASE WHEN {items} IS NOT NULL THEN {joined} ELSE regexp_replace({strip_ws(fb)}, '{WS}+', ' ', 'g') END"
+
+
+def clean_generated(x: str) -> str:
+    """B7."""
+    t = strip_ws(f"CAST({x} AS VARCHAR)")
+    t = f"regexp_replace({t}, '(?i)Context{WS}+\\p{{Nd}}+:{WS}*', '', 'g')"
+    t = f"regexp_replace({t}, '(?i)Question:{WS}*', '', 'g')"
+    t = f"regexp_replace({t}, '(?im)^Answer:{WS}*', '', 'g')"
+    items = json_items(t)
+    joined = f"array_to_string(list_transform({items}, lambda i: {strip_ws('i')}), chr(10))"
+    listy = f"(starts_with({t}, '[') AND ends_with({t}, ']'))"
+    t2 = f"CASE WHEN {items} IS NOT NULL THEN {joined} WHEN {listy} THEN trim({strip_brackets(t)}) ELSE {t} END"
+    return strip_ws(f"regexp_replace({t2}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def strip_prompt_prefix(x: str, question: str) -> str:
+    """B8."""
+    p = DEFAULT.prompt_prefix
+    t = lstrip_ws(x)
+    after = f"regexp_replace(substring({t}, {len(p) + 1}), '^[\\n :]+', '')"
+    qq = strip_ws(f"coalesce(CAST({question} AS VARCHAR), '')")
+    lc = lstrip_ws(after)
+    cut = f"regexp_replace(substring({lc}, length({qq}) + 1), '^[\\n :]+', '')"
+    handled = (f"CASE WHEN {qq} = '' THEN {after} WHEN starts_with(lower({lc}), lower({qq})) "
+               f"THEN {cut} ELSE {lc} END")
+    return f"CASE WHEN starts_with({t}, {q(p)}) THEN {handled} ELSE {t} END"
+
+
+def dedup_ctes(src: str, prefix: str) -> str:
+    """``{prefix}_out(id, text)`` from ``src(id, t)``."""
+    sent_split = f"string_split(regexp_replace(body, '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1))"
+    return f"""
+{prefix}_s AS (SELECT id, string_split_regex(coalesce(t, ''), '{LB}') AS l FROM {src}),
+{prefix}_l AS (SELECT id, unnest(l) AS line, unnest(range(len(l))) AS ln FROM {prefix}_s),
+{prefix}_k AS (
+  SELECT id, ln, line, {strip_ws('line')} AS stripped,
+         starts_with({strip_ws('line')}, '```') AS fence
+  FROM {prefix}_l
+),
+{prefix}_p AS (
+  SELECT *, (fence OR coalesce(sum(CAST(fence AS INT)) OVER (PARTITION BY id ORDER BY ln
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 OR stripped = '') AS pass
+  FROM {prefix}_k
+),
+{prefix}_c AS (
+  SELECT id, ln, regexp_extract(line, '^({WS}*)', 1) AS lead,
+         CASE WHEN regexp_matches(stripped, '^[*+\\-] ') THEN substring(stripped, 1, 1) ELSE '' END AS bullet,
+         CASE WHEN regexp_matches(stripped, '^[*+\\-] ') THEN {lstrip_ws('substring(stripped, 3)')} ELSE stripped END AS body
+  FROM {prefix}_p WHERE NOT pass
+),
+{prefix}_ss AS (SELECT id, ln, lead, bullet, {sent_split} AS sl FROM {prefix}_c),
+{prefix}_se AS (SELECT id, ln, lead, bullet, unnest(sl) AS sentence, unnest(range(len(sl))) AS sn FROM {prefix}_ss),
+{prefix}_sn AS (
+  SELECT *, lower(trim(regexp_replace(sentence, '{WS}+', ' ', 'g'))) AS norm FROM {prefix}_se
+),
+{prefix}_first AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY id, norm ORDER BY ln, sn) AS rn FROM {prefix}_sn WHERE norm <> ''
+  ) WHERE rn = 1
+),
+{prefix}_rb AS (
+  SELECT id, ln, CASE WHEN bullet <> '' THEN lead || bullet || ' ' || body ELSE lead || body END AS out
+  FROM (SELECT id, ln, lead, bullet, string_agg({strip_ws('sentence')}, ' ' ORDER BY sn) AS body
+        FROM {prefix}_first GROUP BY id, ln, lead, bullet)
+),
+{prefix}_lines AS (
+  SELECT id, ln, line AS out FROM {prefix}_p WHERE pass
+  UNION ALL SELECT id, ln, out FROM {prefix}_rb
+),
+{prefix}_txt AS (
+  SELECT id, {strip_ws("string_agg(out, chr(10) ORDER BY ln)")} AS c FROM {prefix}_lines GROUP BY id
+),
+{prefix}_out AS (
+  SELECT s.id, CASE WHEN coalesce(x.c, '') <> '' AND NOT ends_with(x.c, '```') AND right(x.c, 1) NOT IN ('.', '!', '?')
+                    THEN x.c || '.' ELSE coalesce(x.c, '') END AS text
+  FROM {src} s LEFT JOIN {prefix}_txt x ON x.id = s.id
+)"""
+
+
+def format_ctes(src: str, prefix: str) -> str:
+    """``{prefix}_fmt(id, response)`` from ``src(id, raw, question)``."""
+    pre_ = strip_ws(strip_prompt_prefix("raw", "question"))
+    items = json_items("p")
+    joined = f"array_to_string(list_filter(list_transform({items}, lambda i: {strip_ws('i')}), lambda i: i <> ''), chr(10))"
+    m = f"regexp_replace(p, '(?i)Context{WS}+\\p{{Nd}}+:{WS}*', '', 'g')"
+    m = f"regexp_replace({m}, '(?im)^Answer:{WS}*', '', 'g')"
+    m = f"regexp_replace({m}, '(?i)Question:{WS}*', '', 'g')"
+    m = strip_ws(f"regexp_replace({m}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+    return f"""
+{prefix}_pre AS (SELECT id, raw IS NULL AS rawnull, {pre_} AS p FROM {src}),
+{prefix}_st AS (SELECT id, rawnull, {items} AS items, {m} AS t FROM {prefix}_pre),
+{prefix}_todo AS (SELECT id, t FROM {prefix}_st WHERE NOT rawnull AND items IS NULL),
+{dedup_ctes(f"{prefix}_todo", f"{prefix}_d")},
+{prefix}_fmt AS (
+  SELECT s.id, CASE WHEN s.rawnull THEN '' WHEN s.items IS NOT NULL THEN
+     array_to_string(list_filter(list_transform(s.items, lambda i: {strip_ws('i')}), lambda i: i <> ''), chr(10))
+     ELSE d.text END AS response
+  FROM {prefix}_st s LEFT JOIN {prefix}_d_out d ON d.id = s.id
+)"""
+
+
+# -- answering (F1-F7) -------------------------------------------------------------
+
+UNC = DEFAULT.uncertain_response
+
+
+def generated_src() -> str:
+    """Stand-in generator output ``(query_id, raw)`` (fixtures.generated_answers)."""
+    return f"""(SELECT b.item_id AS query_id,
+        CASE b.item_id % 4 WHEN 0 THEN b.text WHEN 1 THEN coalesce(n.text, '') WHEN 2 THEN ''
+             ELSE {q(UNC)} END AS raw
+      FROM benchmark b LEFT JOIN benchmark n ON n.item_id = b.item_id + 1)"""
+
+
+def gate_cte(prefix: str = "g") -> str:
+    """``{prefix}_gate(query_id, answer, gate_reason)``."""
+    c = clean_generated("raw")
+    gen = f"CASE WHEN length({strip_ws(c)}) < 10 THEN '' ELSE {c} END"
+    s = strip_ws("coalesce(generated, '')")
+    leak = f"(contains(lower({s}), {q(UNC.lower())}) AND length({s}) < {len(UNC) + 20})"
+    return f"""
+{prefix}_gen AS (SELECT query_id, {gen} AS generated FROM {generated_src()}),
+{prefix}_gate AS (
+  SELECT query_id, {s} AS answer,
+         CASE WHEN length({s}) < 5 THEN 'empty' WHEN {leak} THEN 'leak' END AS gate_reason
+  FROM {prefix}_gen
+)"""
+
+
+def cascade_ctes() -> str:
+    """Both corpora, retrieval at the context threshold with k=3, the hits
+    with their texts (``hits``), and the context list (``ctx``)."""
+    k = max(DEFAULT.top_k, DEFAULT.context_top_k)
+    lo = min(DEFAULT.similarity_threshold, DEFAULT.context_threshold)
+    return ",".join([
+        main_corpus_ctes("m"), upload_corpus_ctes("u"),
+        retrieval_ctes("m", k, lo), retrieval_ctes("u", k, lo),
+        f"""
+hits AS (
+  SELECT t.query_id, t.rank, t.score, c.chunk_text AS text, 0 AS source_order
+  FROM u_top t JOIN u_chunks c ON c.doc_id = t.doc_id AND c.chunk_idx = t.chunk_idx
+  UNION ALL
+  SELECT t.query_id, t.rank, t.score, {pre('d.text')} AS text, 1 AS source_order
+  FROM m_top t JOIN documents d ON d.doc_id = t.doc_id
+),
+ctx AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY source_order, rank) AS BIGINT) AS pos
+  FROM hits WHERE rank <= {DEFAULT.context_top_k} AND score >= {DEFAULT.context_threshold}
+)"""])
+
+
+def relevance_ctes(answers: str, prefix: str = "r") -> str:
+    """``{prefix}_rel(query_id, relevance, is_relevant)`` for
+    ``answers(query_id, answer)`` against ``ctx``."""
+    mf = DEFAULT.relevance_max_features
+    return f"""
+{prefix}_docs AS (
+  SELECT query_id, 0 AS doc, {norm('answer')} AS t FROM {answers}
+  WHERE query_id IN (SELECT query_id FROM ctx)
+  UNION ALL
+  SELECT query_id, CAST(pos AS INT) AS doc, {norm('text')} AS t FROM ctx
+  WHERE query_id IN (SELECT query_id FROM {answers})
+),
+{prefix}_n AS (SELECT query_id, count(*) AS n FROM {prefix}_docs GROUP BY query_id),
+{prefix}_tok AS (SELECT query_id, doc, unnest(regexp_extract_all(t, '{TOKEN_RE}')) AS term FROM {prefix}_docs),
+{prefix}_tf AS (
+  SELECT query_id, doc, term, count(*) AS tf FROM {prefix}_tok
+  WHERE term NOT IN (SELECT term FROM {STOP}) GROUP BY query_id, doc, term
+),
+{prefix}_st AS (SELECT query_id, term, sum(tf) AS total, count(*) AS df FROM {prefix}_tf GROUP BY query_id, term),
+{prefix}_v AS (
+  SELECT v.query_id, v.term, ln((1.0 + n.n) / (1.0 + v.df)) + 1.0 AS idf
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, term ASC) AS r FROM {prefix}_st) v
+  JOIN {prefix}_n n ON n.query_id = v.query_id WHERE v.r <= {mf}
+),
+{prefix}_w0 AS (
+  SELECT t.query_id, t.doc, t.term, t.tf * v.idf AS w
+  FROM {prefix}_tf t JOIN {prefix}_v v ON v.query_id = t.query_id AND v.term = t.term
+),
+{prefix}_w AS (SELECT query_id, doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id, doc)) AS w FROM {prefix}_w0),
+{prefix}_cos AS (
+  SELECT c.query_id, c.doc, sum(c.w * a.w) AS cos
+  FROM {prefix}_w c JOIN {prefix}_w a ON a.query_id = c.query_id AND a.term = c.term AND a.doc = 0
+  WHERE c.doc > 0 GROUP BY c.query_id, c.doc
+),
+{prefix}_rel AS (
+  SELECT a.query_id, round(coalesce(m.m, 0.0), {D}) AS relevance,
+         round(coalesce(m.m, 0.0), {D}) >= {DEFAULT.relevance_threshold} AS is_relevant
+  FROM {answers} a LEFT JOIN (SELECT query_id, max(cos) AS m FROM {prefix}_cos GROUP BY query_id) m
+    ON m.query_id = a.query_id
+)"""
+
+
+def route_ctes() -> str:
+    """F6 over the benchmark questions: ``routed(query_id, response, source,
+    similarity_score, dataset_source, is_grounded)``."""
+    sth = DEFAULT.similarity_threshold
+    strict = DEFAULT.strict_context_score
+    hard = DEFAULT.hard_reject_relevance
+    return ",".join([cascade_ctes(), gate_cte("g"), f"""
+best AS (
+  SELECT * FROM (
+    SELECT query_id, text, score, source_order,
+           row_number() OVER (PARTITION BY query_id ORDER BY source_order) AS o
+    FROM hits WHERE rank = 1 AND score >= {sth}
+  ) WHERE o = 1
+),
+rest AS (SELECT item_id AS query_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM best)),
+ctxbest AS (SELECT query_id, max(score) AS ctx_score FROM ctx WHERE query_id IN (SELECT query_id FROM rest) GROUP BY query_id),
+okans AS (
+  SELECT g.query_id, g.answer FROM g_gate g JOIN ctxbest c ON c.query_id = g.query_id
+  WHERE g.gate_reason IS NULL AND c.ctx_score > {strict} AND g.query_id IN (SELECT query_id FROM rest)
+)""", relevance_ctes("okans", "r"), f"""
+fb AS (
+  SELECT r.query_id, g.answer, g.gate_reason, c.ctx_score, l.relevance, l.is_relevant,
+         (c.ctx_score IS NOT NULL AND c.ctx_score > {strict}) AS strong,
+         (c.ctx_score IS NOT NULL AND c.ctx_score > {strict} AND NOT l.is_relevant AND l.relevance < {hard}) AS rejected
+  FROM rest r LEFT JOIN g_gate g ON g.query_id = r.query_id
+  LEFT JOIN ctxbest c ON c.query_id = r.query_id LEFT JOIN r_rel l ON l.query_id = r.query_id
+),
+routed AS (
+  SELECT query_id, text AS response, CASE WHEN source_order = 0 THEN 'uploaded' ELSE 'dataset' END AS source,
+         CAST(score AS DOUBLE) AS similarity_score,
+         CASE WHEN source_order = 0 THEN 'uploaded_files' ELSE 'main_dataset' END AS dataset_source,
+         TRUE AS is_grounded
+  FROM best
+  UNION ALL
+  SELECT query_id,
+         CASE WHEN gate_reason IS NOT NULL OR rejected THEN {q(UNC)} ELSE answer END,
+         CASE WHEN gate_reason IS NOT NULL OR rejected THEN 'uncertain' ELSE 'llm' END,
+         CAST(CASE WHEN gate_reason IS NOT NULL THEN 0.0 WHEN strong THEN relevance
+                   WHEN ctx_score IS NOT NULL THEN ctx_score ELSE 0.0 END AS DOUBLE),
+         CASE WHEN gate_reason IS NOT NULL THEN 'none' WHEN rejected THEN NULL ELSE 'llm_fallback' END,
+         CASE WHEN gate_reason IS NULL AND strong THEN is_relevant ELSE FALSE END
+  FROM fb
+)"""])

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import index as I
 from ..operators import retrieval as R
+from ..operators import answering as A
 from ..session import spread
 from . import corpus as K
 from . import fixtures as X
@@ -57,14 +58,14 @@ def q_chunk_text(spark, sf):
 
 @register("fit_index")
 def q_fit_index(spark, sf):
-    corp = K.main_document_corpus(spark, sf)
+    corp = K.main_document_corpus(spark, sf, materialize_index=False)
     p = corp.index.postings
     return p.select("doc_id", "chunk_idx", "term", _round(F.col("weight"), 9).alias("weight"))
 
 
 @register("top_vocabulary")
 def q_top_vocabulary(spark, sf):
-    corp = K.main_document_corpus(spark, sf)
+    corp = K.main_document_corpus(spark, sf, materialize_index=False)
     v = corp.index.vocab
     return v.select("term", "df", _round(F.col("idf"), 9).alias("idf"), "n_docs")
 
@@ -75,7 +76,66 @@ def q_top_vocabulary(spark, sf):
 def q_retrieve_chunks(spark, sf):
     """Benchmark questions against the curated document corpus, k=3 at
     the similarity threshold, with the chunk text."""
-    corp = K.main_document_corpus(spark, sf).materialize()
+    corp = K.main_document_corpus(spark, sf)
     hits = R.retrieve(corp.index, X.questions(spark, sf), DEFAULT.top_k, DEFAULT.similarity_threshold)
     out = R.attach(hits, corp.chunks, K.DOC_KEY)
     return out.select("query_id", "rank", "score", "doc_id", "chunk_idx", "chunk_text")
+
+
+# -- F: answering --------------------------------------------------------------
+
+def _cascade_inputs(spark, sf):
+    main = K.main_document_corpus(spark, sf)
+    up = K.upload_corpus(spark, sf)
+    qs = X.questions(spark, sf)
+    raw = X.generated_answers(spark, sf).withColumnRenamed("generated", "raw")
+    return main, up, qs, raw
+
+
+def _context(spark, sf, cfg=DEFAULT):
+    main, up, qs, raw = _cascade_inputs(spark, sf)
+    hits = [A.corpus_hits(up, qs, cfg, 0), A.corpus_hits(main, qs, cfg, 1)]
+    return qs, raw, A.gather_context(hits, cfg)
+
+
+@register("gather_context")
+def q_gather_context(spark, sf):
+    """uploaded top-2 then curated top-2 at the context threshold."""
+    _, _, ctx = _context(spark, sf)
+    return ctx.select("query_id", F.col("pos").cast("long").alias("pos"), "source_order", "rank", "score")
+
+
+@register("assemble_prompt")
+def q_assemble_prompt(spark, sf):
+    qs, _, ctx = _context(spark, sf)
+    return A.assemble_prompts(qs, ctx)
+
+
+@register("gate_generated")
+def q_gate_generated(spark, sf):
+    """B7 post-processing and F4 gates over the stand-in generator output."""
+    raw = X.generated_answers(spark, sf).withColumnRenamed("generated", "raw")
+    return A.gate_generated(A.postprocess_generated(raw))
+
+
+@register("check_answer_relevance")
+def q_check_answer_relevance(spark, sf):
+    """F5 for every question with context: generated answer vs context."""
+    qs, raw, ctx = _context(spark, sf)
+    ans = A.gate_generated(A.postprocess_generated(raw)).select("query_id", "answer")
+    ans = ans.join(ctx.select("query_id").distinct(), "query_id", "left_semi")
+    return A.check_answer_relevance(ans, ctx)
+
+
+@register("route_answers")
+def q_route_answers(spark, sf):
+    """the cascade uploaded -> curated -> generated -> uncertain."""
+    main, up, qs, raw = _cascade_inputs(spark, sf)
+    return A.route_answers(qs, main, up, raw, DEFAULT, use_uploaded=True)
+
+
+@register("answer_questions")
+def q_answer_questions(spark, sf):
+    """/ask for the benchmark questions (cascade + B10 formatting)."""
+    main, up, qs, raw = _cascade_inputs(spark, sf)
+    return A.answer_questions(qs, main, up, raw, DEFAULT, use_uploaded=True)

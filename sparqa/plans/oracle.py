@@ -74,3 +74,23 @@ FROM routed r JOIN benchmark b ON b.item_id = r.query_id JOIN f_fmt f ON f.id =
 UNION ALL
 SELECT item_id, '', {q(EMPTY_QUESTION_REPLY)}, 'uncertain', NULL, 0.0, NULL
 FROM benchmark WHERE {strip_ws('text')} = ''""")
+
+from .oracle_sql import answer_results_ctes, event_results_src, g_queries  # noqa: E402
+
+for _n, _s in g_queries(event_results_src()).items():
+    sql(_n, _s)
+
+_ANSWERED = with_(route_ctes(), f"""
+fsrc AS (
+  SELECT r.query_id AS id, r.response AS raw, {strip_ws('b.text')} AS question
+  FROM routed r JOIN benchmark b ON b.item_id = r.query_id WHERE {strip_ws('b.text')} <> ''
+)""", format_ctes("fsrc", "f"), answer_results_ctes())
+
+sql("evaluate_questions", _ANSWERED + " SELECT * FROM res")
+sql("evaluation_summary", _ANSWERED + """ SELECT count(*) AS total_questions,
+    count_if(source_used <> 'error') AS successful_responses,
+    round(avg(CAST(context_retrieved AS DOUBLE)), 6) AS context_retrieval_rate,
+    round(avg(similarity_score), 6) AS mean_similarity, round(avg(latency_ms), 6) AS mean_latency_ms,
+    round(avg(CAST(is_grounded AS DOUBLE)), 6) AS grounding_rate FROM res""")
+sql("detail_table", _ANSWERED + """ SELECT question_id, question, source_used, similarity_score,
+    context_retrieved, is_grounded, latency_ms FROM res""")

@@ -428,3 +428,91 @@ routed AS (
          CASE WHEN gate_reason IS NULL AND strong THEN is_relevant ELSE FALSE END
   FROM fb
 )"""])
+
+
+# -- evaluation (G) ------------------------------------------------------------------
+
+def event_results_src() -> str:
+    """fixtures.event_results + evaluation.results_from_events."""
+    return f"""(
+  SELECT question_id, topic, source_used,
+         CASE WHEN source_used = 'error' THEN FALSE
+              ELSE (similarity_score > 0 OR source_used IN ('dataset', 'uploaded')) END AS context_retrieved,
+         CASE WHEN source_used <> 'error' THEN expected_source END AS expected_source,
+         CASE WHEN source_used <> 'error' THEN (expected_source IS NULL OR source_used = expected_source) END AS source_match,
+         similarity_score, is_grounded, latency_ms
+  FROM (
+    SELECT event_id AS question_id, 'topic_' || CAST(user_id % 6 AS VARCHAR) AS topic, event_type AS source_used,
+           CASE event_id % 3 WHEN 0 THEN 'dataset' WHEN 1 THEN 'llm' END AS expected_source,
+           CAST(CASE WHEN event_type = 'error' THEN NULL ELSE round(value - floor(value), 6) END AS DOUBLE) AS similarity_score,
+           CASE WHEN event_type = 'error' THEN NULL ELSE user_id % 2 = 0 END AS is_grounded,
+           CAST(CASE WHEN event_type = 'error' THEN NULL ELSE value END AS DOUBLE) AS latency_ms
+    FROM events
+  )
+)"""
+
+
+def stats_sql(col: str) -> str:
+    return (f"round(avg({col}), 6) AS mean, round(quantile_cont({col}, 0.5), 6) AS median, "
+            f"round(min({col}), 6) AS min, round(max({col}), 6) AS max, round(stddev_samp({col}), 6) AS std")
+
+
+def g_queries(src: str) -> dict:
+    return {
+        "totals_error_rate": f"""SELECT count(*) AS total_questions, count_if(source_used <> 'error') AS successful_responses,
+            round((count(*) - count_if(source_used <> 'error')) * 100.0 / count(*), 6) AS error_rate_pct FROM {src}""",
+        "source_distribution": f"""SELECT source_used, n, round(n * 100.0 / sum(n) OVER (), 6) AS pct
+            FROM (SELECT source_used, count(*) AS n FROM {src} GROUP BY source_used)""",
+        "context_rate": f"""SELECT count_if(context_retrieved) AS with_context,
+            round(count_if(context_retrieved) * 100.0 / count(*), 6) AS pct FROM {src}""",
+        "similarity_stats": f"SELECT count(*) AS n, {stats_sql('similarity_score')} FROM {src} WHERE similarity_score > 0",
+        "source_accuracy": f"""SELECT count_if(source_match) AS matches, count_if(expected_source IS NOT NULL) AS expected,
+            CASE WHEN count_if(expected_source IS NOT NULL) > 0
+                 THEN round(count_if(source_match) * 100.0 / count_if(expected_source IS NOT NULL), 6) END AS accuracy_pct
+            FROM {src}""",
+        "grounding_rate": f"""SELECT count_if(is_grounded) AS grounded, round(count_if(is_grounded) * 100.0 / count(*), 6) AS grounded_pct,
+            count(*) - count_if(is_grounded) AS fallback,
+            round((count(*) - count_if(is_grounded)) * 100.0 / count(*), 6) AS fallback_pct FROM {src}""",
+        "latency_stats": f"SELECT count(*) AS n, {stats_sql('latency_ms')} FROM {src} WHERE latency_ms IS NOT NULL",
+        "latency_by_source": f"""SELECT source_used, count(*) AS n, round(avg(latency_ms), 6) AS mean,
+            round(quantile_cont(latency_ms, 0.5), 6) AS median
+            FROM {src} WHERE source_used <> 'error' AND latency_ms IS NOT NULL GROUP BY source_used""",
+        "topic_breakdown": f"""SELECT topic, source_used, count(*) AS n, FALSE AS topic_total FROM {src} GROUP BY topic, source_used
+            UNION ALL SELECT topic, NULL, count(*), TRUE FROM {src} GROUP BY topic""",
+        "events_summary": f"""SELECT count(*) AS total_questions, count_if(source_used <> 'error') AS successful_responses,
+            round(avg(CAST(context_retrieved AS DOUBLE)), 6) AS context_retrieval_rate,
+            round(avg(similarity_score), 6) AS mean_similarity, round(avg(latency_ms), 6) AS mean_latency_ms,
+            round(avg(CAST(is_grounded AS DOUBLE)), 6) AS grounding_rate FROM {src}""",
+        "dataset_hit_accuracy": f"""SELECT count_if(expected_source = 'dataset' AND source_used = 'dataset') AS hits,
+            count_if(expected_source = 'dataset') AS expected,
+            coalesce(CASE WHEN count_if(expected_source = 'dataset') > 0 THEN
+              round(count_if(expected_source = 'dataset' AND source_used = 'dataset') * 100.0 / count_if(expected_source = 'dataset'), 6) END, 0.0) AS accuracy_pct,
+            round_even(min(latency_ms), 1) AS min_ms, round_even(avg(latency_ms), 1) AS avg_ms,
+            round_even(max(latency_ms), 1) AS max_ms FROM {src}""",
+    }
+
+
+def answer_results_ctes() -> str:
+    """G1 over F7: ``res`` with the 15 result columns."""
+    return f"""
+aq AS (
+  SELECT r.query_id, f.response, r.source, r.dataset_source, r.similarity_score, r.is_grounded
+  FROM routed r JOIN f_fmt f ON f.id = r.query_id
+),
+res AS (
+  SELECT b.item_id AS question_id, b.text AS question, 'topic_' || CAST(b.item_id % 6 AS VARCHAR) AS topic,
+         'category_' || CAST(b.item_id % 2 AS VARCHAR) AS category,
+         CASE WHEN a.source IS NOT NULL THEN (a.similarity_score > 0 OR a.source IN ('dataset', 'uploaded')) ELSE FALSE END AS context_retrieved,
+         coalesce(a.source, 'error') AS source_used,
+         CASE WHEN a.source IS NOT NULL THEN CASE b.item_id % 3 WHEN 0 THEN 'dataset' WHEN 1 THEN 'llm' END END AS expected_source,
+         CASE WHEN a.source IS NOT NULL THEN (CASE b.item_id % 3 WHEN 0 THEN 'dataset' WHEN 1 THEN 'llm' END IS NULL
+              OR a.source = CASE b.item_id % 3 WHEN 0 THEN 'dataset' WHEN 1 THEN 'llm' END) END AS source_match,
+         CAST(a.similarity_score AS DOUBLE) AS similarity_score,
+         CASE WHEN a.source IS NOT NULL THEN CASE WHEN a.is_grounded THEN 'grounded' ELSE 'fallback' END END AS answer_type,
+         CASE WHEN a.source IS NOT NULL THEN coalesce(a.is_grounded, FALSE) END AS is_grounded,
+         a.dataset_source, CAST(NULL AS DOUBLE) AS latency_ms,
+         CASE WHEN a.source IS NOT NULL THEN CAST(length(coalesce(a.response, '')) AS BIGINT) END AS response_length,
+         CASE WHEN a.source IS NOT NULL THEN CASE WHEN length(coalesce(a.response, '')) > 100
+              THEN substring(a.response, 1, 100) || '...' ELSE coalesce(a.response, '') END END AS response_preview
+  FROM benchmark b LEFT JOIN aq a ON a.query_id = b.item_id
+)"""

@@ -13,6 +13,7 @@ from ..operators import chunking as C
 from ..operators import index as I
 from ..operators import retrieval as R
 from ..operators import answering as A
+from ..operators import evaluation as G
 from ..session import spread
 from . import corpus as K
 from . import fixtures as X
@@ -139,3 +140,53 @@ def q_answer_questions(spark, sf):
     """/ask for the benchmark questions (cascade + B10 formatting)."""
     main, up, qs, raw = _cascade_inputs(spark, sf)
     return A.answer_questions(qs, main, up, raw, DEFAULT, use_uploaded=True)
+
+
+# -- G: evaluation -------------------------------------------------------------
+
+def _event_results(spark, sf):
+    return G.results_from_events(X.event_results(spark, sf))
+
+
+def _answer_results(spark, sf):
+    main, up, qs, raw = _cascade_inputs(spark, sf)
+    ans = A.answer_questions(qs, main, up, raw, DEFAULT, use_uploaded=True)
+    return G.evaluate_questions(ans, X.expectations(spark, sf))
+
+
+@register("evaluate_questions")
+def q_evaluate_questions(spark, sf):
+    """G1 over the answered benchmark questions and their expectations."""
+    return _answer_results(spark, sf)
+
+
+@register("evaluation_summary")
+def q_evaluation_summary(spark, sf):
+    """G11 over the answered benchmark questions."""
+    return G.evaluation_summary(_answer_results(spark, sf))
+
+
+for _name, _fn in [
+    ("totals_error_rate", G.totals_error_rate),
+    ("source_distribution", G.source_distribution),
+    ("context_rate", G.context_rate),
+    ("similarity_stats", G.similarity_stats),
+    ("source_accuracy", G.source_accuracy),
+    ("grounding_rate", G.grounding_rate),
+    ("latency_stats", G.latency_stats),
+    ("latency_by_source", G.latency_by_source),
+    ("topic_breakdown", G.topic_breakdown),
+    ("events_summary", G.evaluation_summary),
+    ("dataset_hit_accuracy", G.dataset_hit_accuracy),
+]:
+    def _mk(fn):
+        def run(spark, sf):
+            return fn(_event_results(spark, sf))
+        run.__doc__ = f"{fn.__doc__.splitlines()[0]} (over the events result table)"
+        return run
+    register(_name)(_mk(_fn))
+
+
+@register("detail_table")
+def q_detail_table(spark, sf):
+    return G.detail_table(_answer_results(spark, sf))

@@ -94,3 +94,51 @@ sql("evaluation_summary", _ANSWERED + """ SELECT count(*) AS total_questions,
     round(avg(CAST(is_grounded AS DOUBLE)), 6) AS grounding_rate FROM res""")
 sql("detail_table", _ANSWERED + """ SELECT question_id, question, source_used, similarity_score,
     context_retrieved, is_grounded, latency_ms FROM res""")
+
+from .oracle_sql import (  # noqa: E402
+    STOP, TOKEN_RE, chunk_ctes as _chunk_ctes, index_ctes, qa_corpus_ctes, qa_ctes, query_ctes, score_ctes,
+    token_blocks_sql, topk_cte, upload_docs_src, upload_corpus_ctes,
+)
+
+sql("dedup_first_by_question", with_(qa_ctes()) + " SELECT row_idx, question, answer FROM qa_dedup")
+sql("drop_null_qa", with_(qa_ctes()) + " SELECT row_idx, question, answer FROM qa_kept")
+sql("prepare_qa_corpus", with_(qa_ctes()) + " SELECT question_idx, question, answer FROM qa_proc")
+sql("explode_qa_chunks", with_(qa_corpus_ctes("qa")) + """
+ SELECT 'main_dataset' AS dataset, p.question_idx, c.chunk_idx, p.question, p.answer, c.chunk_text
+ FROM qa_chunks c JOIN qa_proc p ON p.question_idx = c.question_idx""")
+sql("explode_upload_chunks", with_(_chunk_ctes(upload_docs_src(), "doc_id", "t", "u"), """
+u_tot AS (SELECT doc_id, count(*) AS total_chunks FROM u_chunks GROUP BY doc_id)""") + """
+ SELECT 'uploaded_file' AS source, 'doc_' || CAST(c.doc_id AS VARCHAR) || '.txt' AS filename, c.chunk_idx,
+        t.total_chunks, c.chunk_text
+ FROM u_chunks c JOIN u_tot t ON t.doc_id = c.doc_id""")
+sql("question_index", with_(qa_ctes(), index_ctes(
+    "(SELECT question_idx, CAST(0 AS BIGINT) AS chunk_idx, question FROM qa_proc)",
+    ["question_idx", "chunk_idx"], "question", "qi")) +
+    " SELECT question_idx, term, round(weight, 9) AS weight FROM qi_post")
+sql("retrieve_qa", with_(qa_corpus_ctes("qa"), retrieval_ctes(
+    "qa", DEFAULT.top_k, DEFAULT.context_threshold,
+    "(SELECT conv_id * 1000 + turn AS qid, text FROM conversations WHERE role = 'user')", "qid", "text",
+    ("question_idx", "chunk_idx"))) + """
+ SELECT t.query_id, t.rank, t.score, t.question_idx, t.chunk_idx, p.answer
+ FROM qa_top t JOIN qa_proc p ON p.question_idx = t.question_idx""")
+
+sql("tokenize", f"""SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM (
+  SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TOKEN_RE}')) AS term FROM documents
+) WHERE term NOT IN (SELECT term FROM {STOP}) GROUP BY doc_id""")
+sql("term_frequency", with_(main_corpus_ctes("m")) + " SELECT doc_id, chunk_idx, term, tf FROM m_tf")
+sql("transform_queries", with_(main_corpus_ctes("m"), query_ctes("benchmark", "item_id", "text", "m_vocab", "m")) +
+    " SELECT query_id, term, round(qweight, 9) AS qweight FROM m_qpost")
+_SC = with_(main_corpus_ctes("m"), query_ctes("benchmark", "item_id", "text", "m_vocab", "m"),
+            score_ctes("m_qpost", "m_post", ["doc_id", "chunk_idx"], "m"))
+sql("cosine_scores", _SC + " SELECT query_id, doc_id, chunk_idx, score FROM m_scores")
+sql("threshold_filter", _SC + f" SELECT query_id, doc_id, chunk_idx, score FROM m_scores WHERE score >= {DEFAULT.context_threshold}")
+sql("top_k_per_query", _SC + "," + topk_cte("m_scores", ["doc_id", "chunk_idx"], DEFAULT.top_k, DEFAULT.context_threshold, "m").lstrip() +
+    " SELECT query_id, rank, score, doc_id, chunk_idx FROM m_top")
+sql("best_chunk", _SC + "," + topk_cte("m_scores", ["doc_id", "chunk_idx"], 1, DEFAULT.context_threshold, "m").lstrip() +
+    " SELECT query_id, score, doc_id, chunk_idx FROM m_top")
+sql("select_source", with_(main_corpus_ctes("m"), upload_corpus_ctes("u"),
+                           retrieval_ctes("m", DEFAULT.top_k, DEFAULT.similarity_threshold),
+                           retrieval_ctes("u", DEFAULT.top_k, DEFAULT.similarity_threshold)) + """
+ SELECT 'main' AS source, query_id, rank, score, doc_id, chunk_idx FROM m_top
+ UNION ALL SELECT 'uploaded', query_id, rank, score, doc_id, chunk_idx FROM u_top""")
+sql("pack_token_blocks", token_blocks_sql(128))

@@ -150,12 +150,13 @@ def upload_corpus_ctes(prefix: str = "u") -> str:
             index_ctes(f"{prefix}_chunks", ["doc_id", "chunk_idx"], "chunk_text", prefix))
 
 
-def retrieval_ctes(prefix: str, k: int, threshold: float) -> str:
-    """``{prefix}_top(query_id, doc_id, chunk_idx, score, rank)`` of the
-    benchmark questions against a corpus built by the CTEs above."""
-    return (query_ctes("benchmark", "item_id", "text", f"{prefix}_vocab", prefix) + "," +
-            score_ctes(f"{prefix}_qpost", f"{prefix}_post", ["doc_id", "chunk_idx"], prefix) + "," +
-            topk_cte(f"{prefix}_scores", ["doc_id", "chunk_idx"], k, threshold, prefix))
+def retrieval_ctes(prefix: str, k: int, threshold: float, queries: str = "benchmark",
+                   qid: str = "item_id", qtext: str = "text", keys=("doc_id", "chunk_idx")) -> str:
+    """``{prefix}_top(query_id, key..., score, rank)`` of the questions
+    against a corpus built by the CTEs above."""
+    return (query_ctes(queries, qid, qtext, f"{prefix}_vocab", prefix) + "," +
+            score_ctes(f"{prefix}_qpost", f"{prefix}_post", list(keys), prefix) + "," +
+            topk_cte(f"{prefix}_scores", list(keys), k, threshold, prefix))
 
 
 def with_(*ctes: str) -> str:
@@ -516,3 +517,45 @@ res AS (
               THEN substring(a.response, 1, 100) || '...' ELSE coalesce(a.response, '') END END AS response_preview
   FROM benchmark b LEFT JOIN aq a ON a.query_id = b.item_id
 )"""
+
+
+# -- Q&A corpus ---------------------------------------------------------------------
+
+def qa_ctes() -> str:
+    """``qa_raw(row_idx, question, answer)``, ``qa_dedup``, ``qa_kept``,
+    ``qa_proc(question_idx, question, answer)``."""
+    return f"""
+qa_turns AS (
+  SELECT conv_id, turn, role, text,
+         lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
+         lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text
+  FROM conversations
+),
+qa_q AS (
+  SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS row_idx, text AS question,
+         CASE WHEN next_role = 'assistant' THEN next_text END AS answer
+  FROM qa_turns WHERE role = 'user'
+),
+qa_raw AS (SELECT * FROM qa_q UNION ALL SELECT row_idx + 500, question, question FROM qa_q),
+qa_dedup AS (
+  SELECT row_idx, question, answer FROM (
+    SELECT *, row_number() OVER (PARTITION BY question ORDER BY row_idx) AS rn FROM qa_raw
+  ) WHERE rn = 1
+),
+qa_kept AS (SELECT * FROM qa_dedup WHERE question IS NOT NULL AND answer IS NOT NULL),
+qa_proc AS (SELECT row_idx AS question_idx, {norm('question')} AS question, {pre('answer')} AS answer FROM qa_kept)"""
+
+
+def qa_corpus_ctes(prefix: str = "qa") -> str:
+    return (qa_ctes() + "," + chunk_ctes("(SELECT question_idx, answer AS t FROM qa_proc)", "question_idx", "t", prefix)
+            + "," + index_ctes(f"{prefix}_chunks", ["question_idx", "chunk_idx"], "chunk_text", prefix))
+
+
+def token_blocks_sql(block: int = 128) -> str:
+    return f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN_RE}') AS toks FROM documents),
+o AS (SELECT doc_id, toks, coalesce(sum(len(toks)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM t),
+e AS (SELECT off, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM o),
+b AS (SELECT CAST((off + pos) // {block} AS BIGINT) AS block_id, string_agg(token, ' ' ORDER BY off + pos) AS text,
+             count(*) AS n FROM e GROUP BY 1)
+SELECT block_id, text FROM b WHERE n = {block}"""

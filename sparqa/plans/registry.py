@@ -190,3 +190,143 @@ for _name, _fn in [
 @register("detail_table")
 def q_detail_table(spark, sf):
     return G.detail_table(_answer_results(spark, sf))
+
+
+# -- B/C/D: Q&A corpus ------------------------------------------------------------
+
+@register("dedup_first_by_question")
+def q_dedup_first_by_question(spark, sf):
+    """B3 on the raw Q&A rows (first row_idx per raw question wins)."""
+    return K.dedup_first_by_question(X.raw_qa(spark, sf)).select("row_idx", "question", "answer")
+
+
+@register("drop_null_qa")
+def q_drop_null_qa(spark, sf):
+    """B3 then B4."""
+    return K.drop_null_qa(K.dedup_first_by_question(X.raw_qa(spark, sf))).select("row_idx", "question", "answer")
+
+
+@register("prepare_qa_corpus")
+def q_prepare_qa_corpus(spark, sf):
+    """C4 cleaning: processed Q&A rows (B3, B4, B2 questions, B1 answers)."""
+    return K.process_qa(X.raw_qa(spark, sf))
+
+
+@register("explode_qa_chunks")
+def q_explode_qa_chunks(spark, sf):
+    """One row per answer chunk of the processed Q&A rows."""
+    qa = spread(K.process_qa(X.raw_qa(spark, sf)), "question_idx")
+    return C.explode_qa_chunks(qa).select("dataset", "question_idx", "chunk_idx", "question", "answer", "chunk_text")
+
+
+@register("explode_upload_chunks")
+def q_explode_upload_chunks(spark, sf):
+    """Chunks of the uploaded-file stand-ins with their metadata."""
+    files = spread(X.upload_documents(spark, sf), "doc_id")
+    return C.explode_upload_chunks(files)
+
+
+@register("question_index")
+def q_question_index(spark, sf):
+    """Fallback index over the processed questions (postings)."""
+    qa = K.process_qa(X.raw_qa(spark, sf))
+    idx = I.question_index(qa)
+    return idx.postings.select("question_idx", "term", _round(F.col("weight"), 9).alias("weight"))
+
+
+@register("retrieve_qa")
+def q_retrieve_qa(spark, sf):
+    """E7 on the Q&A corpus: every user turn of ``conversations`` against
+    the answer chunks, returning the full answer (Q1)."""
+    corp = K.qa_corpus(spark, sf)
+    qs = X.table(spark, sf, "conversations").where(F.col("role") == "user").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
+    hits = R.retrieve(corp.index, qs, DEFAULT.top_k, DEFAULT.context_threshold)
+    out = corp.answer_texts(hits)
+    return out.select("query_id", "rank", "score", "question_idx", "chunk_idx", F.col("text").alias("answer"))
+
+
+# -- D: tokens, counts, query vectors ---------------------------------------------
+
+@register("tokenize")
+def q_tokenize(spark, sf):
+    """D1 + D2: word tokens of every document with stop words removed, as
+    per-document counts of kept and distinct tokens."""
+    d = spread(X.documents(spark, sf).select("doc_id", "text"), "doc_id")
+    toks = d.select("doc_id", F.explode_outer(I.tokens_expr("text")).alias("term")).where(F.col("term").isNotNull())
+    kept = I.remove_stop_words(toks)
+    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"),
+                                      F.countDistinct("term").alias("n_terms"))
+
+
+@register("term_frequency")
+def q_term_frequency(spark, sf):
+    """D3 over the curated document chunks."""
+    chunks = K.document_chunks(X.main_documents(spark, sf))
+    return I.term_frequency(chunks, K.DOC_KEY, "chunk_text")
+
+
+@register("transform_queries")
+def q_transform_queries(spark, sf):
+    """Benchmark question vectors in the curated corpus vocabulary."""
+    corp = K.main_document_corpus(spark, sf)
+    qp = I.transform_queries(corp.index, X.questions(spark, sf))
+    return qp.select("query_id", "term", _round(F.col("qweight"), 9).alias("qweight"))
+
+
+# -- E: scores, thresholds, ranks ---------------------------------------------------
+
+def _scores(spark, sf):
+    corp = K.main_document_corpus(spark, sf)
+    qp = I.transform_queries(corp.index, X.questions(spark, sf))
+    return corp, R.cosine_scores(qp, corp.index.postings, K.DOC_KEY)
+
+
+@register("cosine_scores")
+def q_cosine_scores(spark, sf):
+    """Every (question, chunk) pair sharing a vocabulary term."""
+    return _scores(spark, sf)[1]
+
+
+@register("threshold_filter")
+def q_threshold_filter(spark, sf):
+    """Pairs at or above the context threshold."""
+    return _scores(spark, sf)[1].where(F.col("score") >= DEFAULT.context_threshold)
+
+
+@register("top_k_per_query")
+def q_top_k_per_query(spark, sf):
+    """E2 + E5: the 3 best chunks per question at the context threshold,
+    ranked (ties: later chunk first)."""
+    corp, sc = _scores(spark, sf)
+    top = R.top_k_per_query(sc, K.DOC_KEY, DEFAULT.top_k, DEFAULT.context_threshold)
+    return top.select("query_id", F.col("rank").cast("long").alias("rank"), "score", *K.DOC_KEY)
+
+
+@register("best_chunk")
+def q_best_chunk(spark, sf):
+    """First ranked chunk per question (context threshold)."""
+    corp, sc = _scores(spark, sf)
+    top = R.top_k_per_query(sc, K.DOC_KEY, 1, DEFAULT.context_threshold)
+    return R.best_chunk(top).select("query_id", "score", *K.DOC_KEY)
+
+
+@register("select_source")
+def q_select_source(spark, sf):
+    """The same questions against each source, labelled."""
+    qs = X.questions(spark, sf)
+    out = None
+    for name, corp in (("main", K.main_document_corpus(spark, sf)), ("uploaded", K.upload_corpus(spark, sf))):
+        h = R.retrieve(corp.index, qs, DEFAULT.top_k, DEFAULT.similarity_threshold)
+        h = h.select(F.lit(name).alias("source"), "query_id", "rank", "score", *K.DOC_KEY)
+        out = h if out is None else out.unionByName(h)
+    return out
+
+
+# -- C6 ----------------------------------------------------------------------
+
+@register("pack_token_blocks")
+def q_pack_token_blocks(spark, sf):
+    """The document token stream (doc_id order) in 128-token blocks."""
+    d = X.documents(spark, sf).select("doc_id", "text")
+    return C.pack_token_blocks(d, 128).select("block_id", "text")

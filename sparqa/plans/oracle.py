@@ -142,3 +142,64 @@ sql("select_source", with_(main_corpus_ctes("m"), upload_corpus_ctes("u"),
  SELECT 'main' AS source, query_id, rank, score, doc_id, chunk_idx FROM m_top
  UNION ALL SELECT 'uploaded', query_id, rank, score, doc_id, chunk_idx FROM u_top""")
 sql("pack_token_blocks", token_blocks_sql(128))
+
+from ..config import DATASET_SOURCE_NAMES, SOURCE_LABELS  # noqa: E402
+from .oracle_sql import (  # noqa: E402
+    UPLOADS, WS, json_items, lookup_sql, pre as _pre, prompt_ctes,
+)
+
+sql("parse_list_string", f"""SELECT conv_id, turn,
+  array_to_string(list_filter(list_transform({json_items(strip_ws('text'))}, lambda i: {strip_ws('i')}), lambda i: i <> ''), chr(10)) AS items
+  FROM conversations""")
+sql("clean_context", f"SELECT doc_id, {clean_context('text')} AS text FROM documents")
+sql("clean_generated", f"SELECT conv_id, turn, {clean_generated('text')} AS text FROM conversations")
+sql("strip_prompt_prefix", with_(cascade_ctes(), prompt_ctes()) +
+    f" SELECT query_id, {strip_prompt_prefix('prompt', 'question')} AS text FROM prompts")
+sql("dedup_sentences", with_(dedup_ctes("(SELECT doc_id AS id, text AS t FROM documents)", "d")) +
+    " SELECT id AS doc_id, text FROM d_out")
+sql("format_answer", with_(qa_ctes(), format_ctes("(SELECT row_idx AS id, answer AS raw, question FROM qa_raw)", "f")) +
+    " SELECT id AS row_idx, response FROM f_fmt")
+sql("response_preview", """SELECT doc_id, CAST(length(text) AS BIGINT) AS response_length,
+  CASE WHEN length(coalesce(text, '')) > 100 THEN substring(text, 1, 100) || '...' ELSE coalesce(text, '') END AS response_preview
+  FROM documents""")
+sql("label_answers", with_(route_ctes()) + f""" SELECT query_id, {lookup_sql('source', SOURCE_LABELS)} AS source_label,
+  CASE WHEN dataset_source IS NOT NULL AND dataset_source <> 'none'
+       THEN 'From: ' || {lookup_sql('dataset_source', DATASET_SOURCE_NAMES)} END AS dataset_label,
+  CASE WHEN similarity_score > 0 THEN 'Similarity: ' || printf('%.2f', similarity_score) END AS score_label
+  FROM routed""")
+
+sql("qa_csv_roundtrip", ORACLE["prepare_qa_corpus"])
+sql("chunks_jsonl_roundtrip", ORACLE["explode_qa_chunks"])
+sql("index_roundtrip", ORACLE["fit_index"])
+sql("read_eval_set", """SELECT item_id AS query_id, text AS question, 'topic_' || CAST(item_id % 6 AS VARCHAR) AS topic,
+  CASE item_id % 3 WHEN 0 THEN 'dataset' WHEN 1 THEN 'llm' END AS expected_source,
+  'category_' || CAST(item_id % 2 AS VARCHAR) AS category FROM benchmark""")
+_FILES = f"""(SELECT 'doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS filename, CAST(strlen(text) AS BIGINT) AS size
+  FROM documents WHERE source IN {UPLOADS}
+  UNION ALL SELECT string_split(url, '/')[-1], CAST(strlen(html) AS BIGINT) FROM pages)"""
+_SUF = "lower(regexp_extract(coalesce(filename, ''), '(\\.[^./]*)$', 1))"
+_REASON = f"""CASE WHEN coalesce(filename, '') = '' THEN {q('No file selected')}
+  WHEN {_SUF} NOT IN ('.txt', '.csv', '.md', '.markdown') THEN {q('Unsupported file type. Supported types: .txt, .csv, .md, .markdown')}
+  WHEN size > {DEFAULT.max_upload_bytes} THEN {q('File size exceeds 16MB limit')}
+  WHEN size = 0 THEN {q('Failed to process file')} END"""
+sql("validate_uploads", f"SELECT filename, size, ({_REASON}) IS NULL AS accepted, {_REASON} AS reason FROM {_FILES}")
+sql("write_eval_results", f"""SELECT question_id, CAST(NULL AS VARCHAR) AS question, source_used, similarity_score,
+  context_retrieved, is_grounded, latency_ms FROM {event_results_src()}""")
+sql("write_eval_summary", ORACLE["events_summary"])
+sql("prepare_uploads", ORACLE["explode_upload_chunks"])
+sql("stream_uploads", ORACLE["explode_upload_chunks"])
+sql("stream_answers", ORACLE["answer_questions"])
+sql("replace_upload_index", with_(
+    _chunk_ctes(f"(SELECT 'doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS filename, {_pre('text')} AS t "
+                f"FROM documents WHERE source = 'src5')", "filename", "t", "v"),
+    index_ctes("v_chunks", ["filename", "chunk_idx"], "chunk_text", "v")) +
+    " SELECT filename, chunk_idx, term, round(weight, 9) AS weight FROM v_post")
+sql("corpus_status", with_(qa_corpus_ctes("qa"), _chunk_ctes(
+    f"(SELECT doc_id, {_pre('text')} AS t FROM documents WHERE source IN {UPLOADS})", "doc_id", "t", "u")) + """
+ SELECT CASE WHEN r THEN 'ready' ELSE 'not_ready' END AS status, r AS ready, hd AS has_dataset, FALSE AS has_llm,
+        hu AS has_uploaded_files, ds AS dataset_size, 'Retrieval-only' AS mode, mc AS main_chunks_count,
+        uc AS uploaded_chunks_count
+ FROM (SELECT *, (hd OR hu) AS r FROM (
+   SELECT ds, mc, uc, ds > 0 AS hd, uc > 0 AS hu FROM (
+     SELECT (SELECT count(*) FROM qa_proc) AS ds, (SELECT count(*) FROM qa_chunks) AS mc,
+            (SELECT count(*) FROM u_chunks) AS uc)))""")

@@ -559,3 +559,27 @@ e AS (SELECT off, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM o)
 b AS (SELECT CAST((off + pos) // {block} AS BIGINT) AS block_id, string_agg(token, ' ' ORDER BY off + pos) AS text,
              count(*) AS n FROM e GROUP BY 1)
 SELECT block_id, text FROM b WHERE n = {block}"""
+
+
+def prompt_ctes() -> str:
+    """``prompts(query_id, question, prompt)`` (F2) after :func:`cascade_ctes`."""
+    p = DEFAULT.prompt_prefix
+    return f"""
+cc AS (SELECT query_id, pos, {clean_context('text')} AS c FROM ctx WHERE pos <= {DEFAULT.context_top_k}),
+blocks AS (
+  SELECT query_id, string_agg('Relevant information:' || chr(10) || c, chr(10) || chr(10) ORDER BY pos) AS context
+  FROM cc WHERE c <> '' GROUP BY query_id
+),
+prompts AS (
+  SELECT b.item_id AS query_id, b.text AS question,
+         CASE WHEN k.context IS NOT NULL
+              THEN {q(p)} || chr(10) || chr(10) || k.context || chr(10) || chr(10) ||
+                   'Based on the above information, answer this question:' || chr(10) || b.text || chr(10) || chr(10) || 'Answer:'
+              ELSE {q(p)} || chr(10) || chr(10) || b.text || chr(10) || chr(10) || 'Answer:' END AS prompt
+  FROM benchmark b LEFT JOIN blocks k ON k.query_id = b.item_id
+)"""
+
+
+def lookup_sql(x: str, mapping: dict) -> str:
+    cases = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in mapping.items())
+    return f"coalesce(CASE {x} {cases} END, {x})"

@@ -330,3 +330,267 @@ def q_pack_token_blocks(spark, sf):
     """The document token stream (doc_id order) in 128-token blocks."""
     d = X.documents(spark, sf).select("doc_id", "text")
     return C.pack_token_blocks(d, 128).select("block_id", "text")
+
+
+# -- B: text functions over the supplied texts ------------------------------------
+
+@register("parse_list_string")
+def q_parse_list_string(spark, sf):
+    """B5 over every conversation turn: list items joined (null when the
+    text is not a list literal)."""
+    c = X.table(spark, sf, "conversations")
+    items = T.parse_list_items(T.strip_ws("text"))
+    return c.select("conv_id", "turn", T.join_list_items(items, "format").alias("items"))
+
+
+@register("clean_context")
+def q_clean_context(spark, sf):
+    """B6 over every document."""
+    return X.documents(spark, sf).select("doc_id", T.clean_context("text").alias("text"))
+
+
+@register("clean_generated")
+def q_clean_generated(spark, sf):
+    """B7 over every conversation turn."""
+    c = X.table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", T.clean_generated("text").alias("text"))
+
+
+@register("strip_prompt_prefix")
+def q_strip_prompt_prefix(spark, sf):
+    """B8 over the assembled prompts of the benchmark questions."""
+    qs, _, ctx = _context(spark, sf)
+    pr = A.assemble_prompts(qs, ctx).join(qs, "query_id")
+    return pr.select("query_id", T.strip_prompt_prefix("prompt", "question").alias("text"))
+
+
+@register("dedup_sentences")
+def q_dedup_sentences(spark, sf):
+    """B9 over every document."""
+    from ..operators.cleaning import dedup_sentences
+
+    return dedup_sentences(X.documents(spark, sf), "doc_id", "text", "text")
+
+
+@register("format_answer")
+def q_format_answer(spark, sf):
+    """B10 over the raw Q&A answers with their questions."""
+    from ..operators.cleaning import format_answers
+
+    qa = X.raw_qa(spark, sf)
+    out = format_answers(qa, "row_idx", "answer", "question", "response")
+    return out.select("row_idx", "response")
+
+
+@register("response_preview")
+def q_response_preview(spark, sf):
+    """B11 over every document."""
+    d = X.documents(spark, sf)
+    return d.select("doc_id", F.length("text").cast("long").alias("response_length"),
+                    T.response_preview("text").alias("response_preview"))
+
+
+@register("label_answers")
+def q_label_answers(spark, sf):
+    """Display labels of the routed answers."""
+    from ..config import DATASET_SOURCE_NAMES, SOURCE_LABELS
+
+    main, up, qs, raw = _cascade_inputs(spark, sf)
+    r = A.route_answers(qs, main, up, raw, DEFAULT, use_uploaded=True)
+    ds = F.col("dataset_source")
+    return r.select(
+        "query_id",
+        T.lookup("source", SOURCE_LABELS).alias("source_label"),
+        F.when(ds.isNotNull() & (ds != "none"),
+               F.concat(F.lit("From: "), T.lookup(ds, DATASET_SOURCE_NAMES))).alias("dataset_label"),
+        F.when(F.col("similarity_score") > 0,
+               F.concat(F.lit("Similarity: "), F.format_string("%.2f", "similarity_score"))).alias("score_label"),
+    )
+
+
+# -- A: sources and sinks, C5, D10, H1 ----------------------------------------------
+
+def _write_upload_files(spark, sf):
+    """The uploaded-file stand-ins written as text files, one directory per
+    file name (``filename=doc_<id>.txt``)."""
+    from ..session import work_dir
+
+    d = work_dir(spark, "uploads")
+    X.upload_documents(spark, sf).select("filename", "text").write.partitionBy("filename").text(d)
+    return d
+
+
+@register("qa_csv_roundtrip")
+def q_qa_csv_roundtrip(spark, sf):
+    """A8 (CSV) then A1 then C4 cleaning: the raw Q&A rows through a CSV
+    file give the processed Q&A table."""
+    from ..session import work_dir
+    from ..sources import io
+
+    d = work_dir(spark, "qa_csv")
+    raw = X.raw_qa(spark, sf).select("row_idx", F.col("question").alias("Question"), F.col("answer").alias("Answer"))
+    io.write_processed(raw, d, "csv")
+    back = io.read_qa_csv(spark, d, "UTF-8")
+    return K.process_qa(back.select("row_idx", "question", "answer"))
+
+
+@register("chunks_jsonl_roundtrip")
+def q_chunks_jsonl_roundtrip(spark, sf):
+    """A9 then A3: the Q&A chunk records through JSON lines."""
+    from ..session import work_dir
+    from ..sources import io
+
+    d = work_dir(spark, "chunks_jsonl")
+    qa = spread(K.process_qa(X.raw_qa(spark, sf)), "question_idx")
+    io.write_chunks_jsonl(C.explode_qa_chunks(qa), d)
+    return io.read_chunks_jsonl(spark, d)
+
+
+@register("index_roundtrip")
+def q_index_roundtrip(spark, sf):
+    """A10 then A11: the curated index saved and loaded (postings)."""
+    from ..session import work_dir
+    from ..sources import io
+
+    d = work_dir(spark, "index")
+    corp = K.main_document_corpus(spark, sf, materialize_index=False)
+    io.save_index(corp.index, d)
+    idx = io.load_index(spark, d, K.DOC_KEY)
+    return idx.postings.select("doc_id", "chunk_idx", "term", _round(F.col("weight"), 9).alias("weight"))
+
+
+@register("read_eval_set")
+def q_read_eval_set(spark, sf):
+    """A4: evaluation sets (nested JSON, 50 questions per document, built
+    from the benchmark and its expectations) read back as rows."""
+    from ..session import work_dir
+    from ..sources import io
+
+    d = work_dir(spark, "eval_set")
+    e = X.expectations(spark, sf)
+    qs = F.struct(F.col("query_id").alias("id"), "question", "topic", "expected_source", "category")
+    docs = e.groupBy(F.floor(F.col("query_id") / 50).alias("part")).agg(
+        F.collect_list(qs).alias("evaluation_questions"),
+        F.struct(F.count(F.lit(1)).alias("total_questions"),
+                 F.array_sort(F.collect_set("topic")).alias("topics"),
+                 F.array_sort(F.collect_set("category")).alias("categories"),
+                 F.lit("generated").alias("created_date"),
+                 F.lit("benchmark questions").alias("description")).alias("metadata"))
+    docs.drop("part").write.mode("overwrite").json(d)
+    return io.read_eval_set(spark, d).select(
+        F.col("id").alias("query_id"), "question", "topic", "expected_source", "category")
+
+
+@register("validate_uploads")
+def q_validate_uploads(spark, sf):
+    """A7 over a file table: the uploaded-file stand-ins (name, UTF-8 size)
+    and every page (last URL segment, HTML size)."""
+    from ..sources import io
+
+    up = X.upload_documents(spark, sf).select("filename", F.octet_length("text").cast("long").alias("size"))
+    pages = X.table(spark, sf, "pages").select(
+        F.element_at(F.split("url", "/"), -1).alias("filename"), F.octet_length("html").cast("long").alias("size"))
+    return io.validate_uploads(up.unionByName(pages))
+
+
+@register("write_eval_results")
+def q_write_eval_results(spark, sf):
+    """A12 then A13 read back: the events result table through CSV."""
+    from ..session import work_dir
+    from ..sources import io
+
+    d = work_dir(spark, "eval_results")
+    res = G.detail_table(_event_results(spark, sf).withColumn("question", F.lit(None).cast("string")))
+    io.write_eval_results(res, d)
+    schema = ("question_id long, question string, source_used string, similarity_score double, "
+              "context_retrieved boolean, is_grounded boolean, latency_ms double")
+    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(d)
+
+
+@register("write_eval_summary")
+def q_write_eval_summary(spark, sf):
+    """The events summary through JSON."""
+    from ..session import work_dir
+    from ..sources import io
+
+    d = work_dir(spark, "eval_summary")
+    s = G.evaluation_summary(_event_results(spark, sf))
+    io.write_eval_summary(s, d)
+    return spark.read.schema(s.schema).json(d)
+
+
+@register("prepare_uploads")
+def q_prepare_uploads(spark, sf):
+    """C5 (with A5, A7): upload files written from the stand-ins, validated,
+    read, cleaned and chunked."""
+    from .uploads import prepare_uploads
+
+    d = _write_upload_files(spark, sf)
+    chunks, _rejects = prepare_uploads(spark, d)
+    return chunks
+
+
+@register("replace_upload_index")
+def q_replace_upload_index(spark, sf):
+    """Two upload batches (all stand-ins, then only those of one
+    source); the newer replaces the older, its postings are current."""
+    from ..session import work_dir
+    from .uploads import current_upload_corpus, replace_upload_index
+
+    root = work_dir(spark, "upload_index")
+    files = spread(X.upload_documents(spark, sf), "doc_id")
+    first = C.explode_upload_chunks(files)
+    second = C.explode_upload_chunks(
+        files.join(X.documents(spark, sf).where(F.col("source") == "src5").select("doc_id"), "doc_id", "left_semi"))
+    replace_upload_index(spark, first, root, 0)
+    replace_upload_index(spark, second, root, 1)
+    corp = current_upload_corpus(spark, root)
+    return corp.index.postings.select("filename", "chunk_idx", "term",
+                                      _round(F.col("weight"), 9).alias("weight"))
+
+
+@register("corpus_status")
+def q_corpus_status(spark, sf):
+    """H1 over the Q&A corpus and the uploaded-file stand-ins."""
+    from .uploads import corpus_status
+
+    qa = K.process_qa(X.raw_qa(spark, sf))
+    main_chunks = C.explode_qa_chunks(spread(qa, "question_idx"))
+    up_chunks = C.explode_upload_chunks(spread(X.upload_documents(spark, sf), "doc_id"))
+    return corpus_status(qa, main_chunks, up_chunks, has_index=True)
+
+
+# -- I: streams --------------------------------------------------------------
+
+@register("stream_uploads")
+def q_stream_uploads(spark, sf):
+    """Upload files arriving in a directory, indexed by the stream
+    (availableNow); returns the chunks of the current upload version."""
+    from ..session import work_dir
+    from ..streaming.uploads import start_upload_stream
+
+    src = _write_upload_files(spark, sf)
+    root = work_dir(spark, "stream_index")
+    q = start_upload_stream(spark, src, root, work_dir(spark, "stream_ckpt"))
+    q.awaitTermination()
+    from .uploads import current_upload_corpus
+
+    corp = current_upload_corpus(spark, root)
+    return corp.chunks
+
+
+@register("stream_answers")
+def q_stream_answers(spark, sf):
+    """The benchmark questions arriving as several files, answered per
+    micro-batch against the static corpora; equals ``answer_questions``."""
+    from ..session import work_dir
+    from ..streaming.answers import start_answer_stream
+
+    src = work_dir(spark, "questions")
+    X.questions(spark, sf).repartition(4).write.parquet(src)
+    out = work_dir(spark, "answers")
+    main, up, _qs, raw = _cascade_inputs(spark, sf)
+    q = start_answer_stream(spark, src, out, work_dir(spark, "answers_ckpt"), main, up, raw,
+                            DEFAULT, use_uploaded=True)
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("batch_id")

@@ -69,3 +69,12 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
         return df.repartition(*cols)
     return df
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate files, under the (shared) checkpoint
+    directory of the session."""
+    import uuid
+
+    root = ensure_checkpoint_dir(spark)
+    return f"{root.rstrip('/')}/work/{name}-{uuid.uuid4().hex[:12]}"

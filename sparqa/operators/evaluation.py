@@ -2,7 +2,7 @@
 
 ``evaluate_questions`` builds the per-question result table; the report
 operators are global or per-group aggregates over it (partial aggregation,
-no collect).  Medians are exact (``percentile``), standard deviations are
+no collect).  Medians are exact (see ``exact_median``), standard deviations are
 sample deviations, as in the report the service prints.  Float outputs are
 rounded to 6 digits so that different summation orders agree.
 """
@@ -99,21 +99,66 @@ def context_rate(res: DataFrame) -> DataFrame:
     return res.agg(n.alias("with_context"), _r(n * 100.0 / F.count(F.lit(1))).alias("pct"))
 
 
-def _stats(col: str, prefix: str):
+def exact_median(df: DataFrame, value_col: str, keys: list[str]) -> DataFrame:
+    """Exact median of ``value_col`` per ``keys`` (pandas definition: the
+    mean of the two middle values for an even count), without gathering a
+    group into one task.
+
+    Duplicates are first collapsed to (value, count) by a partially
+    aggregated group-by, so a value repeated a third of all rows is one row.
+    The distinct values are range-partitioned (a large group spreads over
+    many partitions) and checkpointed; running counts inside each range and
+    the per-range totals (one row per range and key) give every value's rank
+    interval, and the one or two values covering the middle ranks are
+    picked."""
+    from ..session import materialize
+
+    v = F.col(value_col)
+    vc = df.where(v.isNotNull()).groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("__c"))
+    ranged = materialize(vc.repartitionByRange(*keys, value_col).withColumn("__p", F.spark_partition_id()))
+    w_local = Window.partitionBy("__p", *keys).orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("__cum", F.sum("__c").over(w_local))
+    tot = ranged.groupBy("__p", *keys).agg(F.sum("__c").alias("__t"))
+    w_off = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.withColumn("__off", F.coalesce(F.sum("__t").over(w_off), F.lit(0)))
+    n = tot.groupBy(*keys).agg(F.sum("__t").alias("__n"))
+    j = local.join(off.drop("__t"), ["__p", *keys]).join(n, list(keys))
+    hi = F.col("__off") + F.col("__cum")
+    lo = hi - F.col("__c")
+    k1 = F.floor((F.col("__n") - 1) / 2)
+    k2 = F.floor(F.col("__n") / 2)
+    in1 = (lo <= k1) & (k1 < hi)
+    in2 = (lo <= k2) & (k2 < hi)
+    pick = j.where(in1 | in2).groupBy(*keys).agg(
+        F.max(F.when(in1, v)).alias("__v1"), F.max(F.when(in2, v)).alias("__v2"))
+    return pick.select(*keys, ((F.col("__v1") + F.col("__v2")) / 2).alias("median"))
+
+
+def _stats_by(df: DataFrame, col: str, keys: list[str], count_name: str = "n") -> DataFrame:
+    """count, mean, exact median, min, max and sample std of ``col`` per
+    ``keys`` (all keys when empty)."""
     c = F.col(col)
-    return [
-        _r(F.avg(c)).alias(f"{prefix}mean"),
-        _r(F.percentile(c, 0.5)).alias(f"{prefix}median"),
-        _r(F.min(c)).alias(f"{prefix}min"),
-        _r(F.max(c)).alias(f"{prefix}max"),
-        _r(F.stddev_samp(c)).alias(f"{prefix}std"),
-    ]
+    if not keys:
+        df = df.withColumn("__g", F.lit(0))
+        ks = ["__g"]
+    else:
+        ks = list(keys)
+    agg = df.groupBy(*ks).agg(
+        F.count(F.lit(1)).alias(count_name),
+        _r(F.avg(c)).alias("mean"),
+        _r(F.min(c)).alias("min"),
+        _r(F.max(c)).alias("max"),
+        _r(F.stddev_samp(c)).alias("std"),
+    )
+    med = exact_median(df, col, ks).select(*ks, _r(F.col("median")).alias("median"))
+    out = agg.join(med, ks, "left")
+    cols = [*keys, count_name, "mean", "median", "min", "max", "std"]
+    return out.select(*cols)
 
 
 def similarity_stats(res: DataFrame) -> DataFrame:
     """Over scores > 0."""
-    valid = res.where(F.col("similarity_score") > 0)
-    return valid.agg(F.count(F.lit(1)).alias("n"), *_stats("similarity_score", ""))
+    return _stats_by(res.where(F.col("similarity_score") > 0), "similarity_score", [])
 
 
 def source_accuracy(res: DataFrame) -> DataFrame:
@@ -135,18 +180,13 @@ def grounding_rate(res: DataFrame) -> DataFrame:
 
 def latency_stats(res: DataFrame) -> DataFrame:
     """Over non-null latencies."""
-    valid = res.where(F.col("latency_ms").isNotNull())
-    return valid.agg(F.count(F.lit(1)).alias("n"), *_stats("latency_ms", ""))
+    return _stats_by(res.where(F.col("latency_ms").isNotNull()), "latency_ms", [])
 
 
 def latency_by_source(res: DataFrame) -> DataFrame:
     """Per non-error source with at least one latency."""
     valid = res.where((F.col("source_used") != "error") & F.col("latency_ms").isNotNull())
-    return valid.groupBy("source_used").agg(
-        F.count(F.lit(1)).alias("n"),
-        _r(F.avg("latency_ms")).alias("mean"),
-        _r(F.percentile("latency_ms", 0.5)).alias("median"),
-    )
+    return _stats_by(valid, "latency_ms", ["source_used"]).select("source_used", "n", "mean", "median")
 
 
 def topic_breakdown(res: DataFrame) -> DataFrame:

@@ -203,3 +203,7 @@ sql("corpus_status", with_(qa_corpus_ctes("qa"), _chunk_ctes(
    SELECT ds, mc, uc, ds > 0 AS hd, uc > 0 AS hu FROM (
      SELECT (SELECT count(*) FROM qa_proc) AS ds, (SELECT count(*) FROM qa_chunks) AS mc,
             (SELECT count(*) FROM u_chunks) AS uc)))""")
+
+sql("generate_answers", with_(cascade_ctes(), prompt_ctes()) +
+    " SELECT query_id, string_split(prompt, chr(10) || chr(10))[2] AS raw FROM prompts")
+sql("load_corpus", ORACLE["prepare_qa_corpus"])

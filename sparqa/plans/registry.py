@@ -594,3 +594,31 @@ def q_stream_answers(spark, sf):
                             DEFAULT, use_uploaded=True)
     q.awaitTermination()
     return spark.read.parquet(out).drop("batch_id")
+
+
+# -- F3, A2 --------------------------------------------------------------------
+
+def extractive_generator(prompts):
+    """Stand-in batch generator for the F3 hook: the second paragraph of the
+    prompt (the first context block, or the question)."""
+    return prompts.str.split("\n\n").str[1]
+
+
+@register("generate_answers")
+def q_generate_answers(spark, sf):
+    """the generation hook run on Arrow batches (``mapInPandas``) over
+    the assembled prompts, with the extractive stand-in generator."""
+    qs, _, ctx = _context(spark, sf)
+    return A.generate_answers(A.assemble_prompts(qs, ctx), extractive_generator)
+
+
+@register("load_corpus")
+def q_load_corpus(spark, sf):
+    """A2: the processed Q&A table written as parquet and loaded back (the
+    legacy path and the empty fallback are tested separately)."""
+    from ..session import work_dir
+    from ..sources import io
+
+    d = work_dir(spark, "processed")
+    io.write_processed(K.process_qa(X.raw_qa(spark, sf)), d)
+    return io.load_corpus(spark, d, None)

@@ -62,20 +62,42 @@ def is_list_literal(c) -> Column:
     return col_(c).rlike(LIST_LITERAL)
 
 
+def closes_at_end(c) -> Column:
+    """True when the bracket opened by the first character closes at the
+    last one (quotes and escapes respected): ``["a"] and ["b"]`` is not one
+    list.  One pass over the characters of the text."""
+    init = F.struct(F.lit(0).alias("d"), F.lit("").alias("q"), F.lit(False).alias("e"),
+                    F.lit(-1).alias("end"), F.lit(0).alias("i"))
+
+    def step(s, ch):
+        in_str = s["q"] != ""
+        nxt_q = (F.when(in_str & ~s["e"] & (ch == s["q"]), F.lit(""))
+                 .when(~in_str & ch.isin('"', "'"), ch).otherwise(s["q"]))
+        nxt_e = in_str & ~s["e"] & (ch == "\\")
+        delta = (F.when(in_str, 0).when(ch.isin("[", "{"), 1).when(ch.isin("]", "}"), -1).otherwise(0))
+        d = s["d"] + delta
+        end = F.when((s["end"] < 0) & ~in_str & (delta == -1) & (d == 0), s["i"]).otherwise(s["end"])
+        return F.struct(d.alias("d"), nxt_q.alias("q"), nxt_e.alias("e"), end.alias("end"), (s["i"] + 1).alias("i"))
+
+    chars = F.regexp_extract_all(col_(c), F.lit("(?s)(.)"), 1)
+    walked = F.aggregate(chars, init, step)
+    return walked["end"] == F.length(col_(c)) - 1
+
+
 def parse_list_items(c) -> Column:
     """B5 parse step: the items of a JSON (or single-quoted) list literal as
     ``array<string>``; null when the text is not a whole list literal or does
     not parse.  Non-string items keep their literal text; ``true``, ``false``
     and ``null`` items print the way the service prints them."""
-    parsed = F.from_json(col_(c), "array<string>")
-    pythonic = F.transform(
+    # the character walk only runs for texts that look like a list literal
+    parsed = F.when(is_list_literal(c), F.when(closes_at_end(c), F.from_json(col_(c), "array<string>")))
+    return F.transform(
         parsed,
         lambda x: F.when(x.isNull(), F.lit("None"))
         .when(x == "true", F.lit("True"))
         .when(x == "false", F.lit("False"))
         .otherwise(x),
     )
-    return F.when(is_list_literal(c), pythonic)
 
 
 def strip_brackets(c) -> Column:

@@ -131,10 +131,15 @@ def check_answer_relevance(answers: DataFrame, context: DataFrame, cfg: QAConfig
     )
     docs = docs.join(context.select("query_id").distinct(), "query_id", "left_semi")
     docs = docs.select("query_id", "doc", normalize_query("t").alias("t")).repartition("query_id")
-    n = docs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    toks = docs.select("query_id", "doc", F.explode_outer(tokens_expr("t")).alias("term")).where(
-        F.col("term").isNotNull())
-    tf = remove_stop_words(toks).groupBy("query_id", "doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    toks = docs.select("query_id", "doc", F.explode_outer(tokens_expr("t")).alias("term"))
+    # per-(question, text) term counts, plus one null-term row per text so
+    # the texts are counted in the same pass; checkpointed once, since
+    # everything below reads it several times
+    toks = toks.unionByName(docs.select("query_id", "doc", F.lit(None).cast("string").alias("term")))
+    counted = materialize(remove_stop_words(toks).groupBy("query_id", "doc", "term")
+                          .agg(F.count(F.lit(1)).alias("tf")))
+    n = counted.where(F.col("term").isNull()).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    tf = counted.where(F.col("term").isNotNull())
     stats = tf.groupBy("query_id", "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     wv = Window.partitionBy("query_id").orderBy(F.desc("total"), F.asc("term"))
     vocab = stats.withColumn("r", F.row_number().over(wv)).where(F.col("r") <= cfg.relevance_max_features)

@@ -77,15 +77,24 @@ class TfidfIndex:
 
 
 def fit_index(chunks: DataFrame, key_cols: list[str], text_col: str = "chunk_text",
-              max_features: int = DEFAULT.max_features, repartition: bool = True) -> TfidfIndex:
-    """D7 ``fit_index``: D1-D6 composed."""
+              max_features: int = DEFAULT.max_features, repartition: bool = True,
+              materialize: bool = False) -> TfidfIndex:
+    """D7 ``fit_index``: D1-D6 composed.  With ``materialize`` the
+    vocabulary is checkpointed before the postings are weighed against it,
+    and then the postings: the corpus statistics are computed once."""
+    from ..session import materialize as checkpoint
+
     base = chunks.select(*key_cols, F.col(text_col).alias("__text"))
     if repartition:
         base = base.repartition(*key_cols)
     tf = term_frequency(base, key_cols, "__text", sentinel=True)
     stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     vocab = top_vocabulary(stats, max_features)
+    if materialize:
+        vocab = checkpoint(vocab)
     postings = weigh_postings(tf.where(F.col("term").isNotNull()), vocab, key_cols)
+    if materialize:
+        postings = checkpoint(postings)
     return TfidfIndex(vocab, postings, list(key_cols))
 
 

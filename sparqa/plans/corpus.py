@@ -71,23 +71,26 @@ class Corpus:
     index: TfidfIndex | None
     answers: DataFrame | None = None
     answer_key: list | None = None
+    clean_answers: bool = False
 
     def answer_texts(self, hits: DataFrame) -> DataFrame:
-        """``hits`` plus ``text``: the full answer of a hit (Q1)."""
+        """``hits`` plus ``text``: the full answer of a hit (Q1).  Raw
+        answers are cleaned (B1) after the join, i.e. only for the hits."""
         from ..operators.retrieval import attach
 
-        return attach(hits, self.answers, self.answer_key)
+        out = attach(hits, self.answers, self.answer_key)
+        if self.clean_answers:
+            out = out.withColumn("text", preprocess_text("text"))
+        return out
 
 
 def main_document_corpus(spark: SparkSession, sf_dir: str, cfg: QAConfig = DEFAULT,
                          materialize_index: bool = True) -> Corpus:
     docs = fixtures.main_documents(spark, sf_dir)
     chunks = materialize(document_chunks(docs, cfg))
-    idx = fit_index(chunks, DOC_KEY, "chunk_text", cfg.max_features)
-    if materialize_index:
-        idx = idx.materialize()
-    answers = docs.select("doc_id", preprocess_text("text").alias("text"))
-    return Corpus("main_dataset", chunks, DOC_KEY, idx, answers, ["doc_id"])
+    idx = fit_index(chunks, DOC_KEY, "chunk_text", cfg.max_features, materialize=materialize_index)
+    answers = docs.select("doc_id", "text")
+    return Corpus("main_dataset", chunks, DOC_KEY, idx, answers, ["doc_id"], clean_answers=True)
 
 
 def upload_corpus(spark: SparkSession, sf_dir: str, cfg: QAConfig = DEFAULT,
@@ -97,9 +100,7 @@ def upload_corpus(spark: SparkSession, sf_dir: str, cfg: QAConfig = DEFAULT,
     chunks = materialize(explode_chunks(cleaned, "text", cfg, with_total=True).select(
         "doc_id", "chunk_idx", "filename", "total_chunks", "chunk_text"
     ))
-    idx = fit_index(chunks, DOC_KEY, "chunk_text", cfg.max_features)
-    if materialize_index:
-        idx = idx.materialize()
+    idx = fit_index(chunks, DOC_KEY, "chunk_text", cfg.max_features, materialize=materialize_index)
     answers = chunks.select("doc_id", "chunk_idx", F.col("chunk_text").alias("text"))
     return Corpus("uploaded_files", chunks, DOC_KEY, idx, answers, DOC_KEY)
 
@@ -108,8 +109,21 @@ def qa_corpus(spark: SparkSession, sf_dir: str, cfg: QAConfig = DEFAULT,
               materialize_index: bool = True) -> Corpus:
     qa = spread(process_qa(fixtures.raw_qa(spark, sf_dir)), "question_idx")
     chunks = materialize(explode_qa_chunks(qa, "main_dataset", cfg))
-    idx = fit_index(chunks, QA_KEY, "chunk_text", cfg.max_features)
-    if materialize_index:
-        idx = idx.materialize()
+    idx = fit_index(chunks, QA_KEY, "chunk_text", cfg.max_features, materialize=materialize_index)
     answers = chunks.where(F.col("chunk_idx") == 0).select("question_idx", F.col("answer").alias("text"))
     return Corpus("main_dataset", chunks, QA_KEY, idx, answers, ["question_idx"])
+
+
+# Built corpora per (application, data directory, kind, config): the
+# checkpointed chunk tables and indexes are reused by every later query of
+# the same application, the way the answering service keeps its index in
+# memory between requests.  Index builds are measured by ``fit_index``.
+_CACHE: dict = {}
+_BUILDERS = {"main": main_document_corpus, "uploaded": upload_corpus, "qa": qa_corpus}
+
+
+def cached_corpus(spark: SparkSession, sf_dir: str, kind: str, cfg: QAConfig = DEFAULT) -> Corpus:
+    key = (spark.sparkContext.applicationId, sf_dir, kind, cfg)
+    if key not in _CACHE:
+        _CACHE[key] = _BUILDERS[kind](spark, sf_dir, cfg)
+    return _CACHE[key]

@@ -77,7 +77,7 @@ def q_top_vocabulary(spark, sf):
 def q_retrieve_chunks(spark, sf):
     """Benchmark questions against the curated document corpus, k=3 at
     the similarity threshold, with the chunk text."""
-    corp = K.main_document_corpus(spark, sf)
+    corp = K.cached_corpus(spark, sf, "main")
     hits = R.retrieve(corp.index, X.questions(spark, sf), DEFAULT.top_k, DEFAULT.similarity_threshold)
     out = R.attach(hits, corp.chunks, K.DOC_KEY)
     return out.select("query_id", "rank", "score", "doc_id", "chunk_idx", "chunk_text")
@@ -86,8 +86,8 @@ def q_retrieve_chunks(spark, sf):
 # -- F: answering --------------------------------------------------------------
 
 def _cascade_inputs(spark, sf):
-    main = K.main_document_corpus(spark, sf)
-    up = K.upload_corpus(spark, sf)
+    main = K.cached_corpus(spark, sf, "main")
+    up = K.cached_corpus(spark, sf, "uploaded")
     qs = X.questions(spark, sf)
     raw = X.generated_answers(spark, sf).withColumnRenamed("generated", "raw")
     return main, up, qs, raw
@@ -238,7 +238,7 @@ def q_question_index(spark, sf):
 def q_retrieve_qa(spark, sf):
     """E7 on the Q&A corpus: every user turn of ``conversations`` against
     the answer chunks, returning the full answer (Q1)."""
-    corp = K.qa_corpus(spark, sf)
+    corp = K.cached_corpus(spark, sf, "qa")
     qs = X.table(spark, sf, "conversations").where(F.col("role") == "user").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
     hits = R.retrieve(corp.index, qs, DEFAULT.top_k, DEFAULT.context_threshold)
@@ -269,7 +269,7 @@ def q_term_frequency(spark, sf):
 @register("transform_queries")
 def q_transform_queries(spark, sf):
     """Benchmark question vectors in the curated corpus vocabulary."""
-    corp = K.main_document_corpus(spark, sf)
+    corp = K.cached_corpus(spark, sf, "main")
     qp = I.transform_queries(corp.index, X.questions(spark, sf))
     return qp.select("query_id", "term", _round(F.col("qweight"), 9).alias("qweight"))
 
@@ -277,7 +277,7 @@ def q_transform_queries(spark, sf):
 # -- E: scores, thresholds, ranks ---------------------------------------------------
 
 def _scores(spark, sf):
-    corp = K.main_document_corpus(spark, sf)
+    corp = K.cached_corpus(spark, sf, "main")
     qp = I.transform_queries(corp.index, X.questions(spark, sf))
     return corp, R.cosine_scores(qp, corp.index.postings, K.DOC_KEY)
 
@@ -316,7 +316,7 @@ def q_select_source(spark, sf):
     """The same questions against each source, labelled."""
     qs = X.questions(spark, sf)
     out = None
-    for name, corp in (("main", K.main_document_corpus(spark, sf)), ("uploaded", K.upload_corpus(spark, sf))):
+    for name, corp in (("main", K.cached_corpus(spark, sf, "main")), ("uploaded", K.cached_corpus(spark, sf, "uploaded"))):
         h = R.retrieve(corp.index, qs, DEFAULT.top_k, DEFAULT.similarity_threshold)
         h = h.select(F.lit(name).alias("source"), "query_id", "rank", "score", *K.DOC_KEY)
         out = h if out is None else out.unionByName(h)

@@ -42,7 +42,7 @@ def prepare_uploads(spark: SparkSession, upload_dir: str, cfg: QAConfig = DEFAUL
 
 
 def upload_corpus_from_chunks(chunks: DataFrame, cfg: QAConfig = DEFAULT) -> Corpus:
-    idx = fit_index(chunks, UPLOAD_KEY, "chunk_text", cfg.max_features).materialize()
+    idx = fit_index(chunks, UPLOAD_KEY, "chunk_text", cfg.max_features, materialize=True)
     answers = chunks.select(*UPLOAD_KEY, F.col("chunk_text").alias("text"))
     return Corpus("uploaded_files", chunks, UPLOAD_KEY, idx, answers, UPLOAD_KEY)
 

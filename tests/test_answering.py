@@ -14,7 +14,7 @@ UNC = DEFAULT.uncertain_response
 def corpus(spark, texts, name):
     ch = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)],
                                "doc_id long, chunk_idx long, chunk_text string")
-    idx = fit_index(ch, DOC_KEY).materialize()
+    idx = fit_index(ch, DOC_KEY, materialize=True)
     answers = ch.select("doc_id", "chunk_idx", F.col("chunk_text").alias("text"))
     return Corpus(name, ch, DOC_KEY, idx, answers, DOC_KEY)
 

@@ -32,9 +32,12 @@ def document_chunks(docs: DataFrame, cfg: QAConfig = DEFAULT) -> DataFrame:
 
 def dedup_first_by_question(raw: DataFrame) -> DataFrame:
     """Keep the first row (smallest ``row_idx``) of every raw question
-    string; null questions form one group."""
-    w = Window.partitionBy("question").orderBy("row_idx")
-    return raw.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+    string; null questions form one group.  ``min_by`` aggregates partially
+    before the shuffle, so a question repeated in a third of all rows costs
+    one candidate row per map task, not one task holding all of them."""
+    rest = [c for c in raw.columns if c != "question"]
+    first = F.min_by(F.struct(*rest), F.col("row_idx")).alias("__first")
+    return raw.groupBy("question").agg(first).select("question", "__first.*").select(*raw.columns)
 
 
 def drop_null_qa(df: DataFrame) -> DataFrame:

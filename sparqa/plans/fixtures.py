@@ -1,7 +1,7 @@
 """Stand-in inputs derived from the supplied tables (see README, "Inputs").
 
 * Raw Q&A table: ``conversations``; every user turn is a question, the next
-  turn is its answer when that turn is the assistant's (else null);
+  turn (number + 1) is its answer when that turn is the assistant's (else null);
   ``row_idx = conv_id * 1000 + turn``.  Each question appears a second time
   with a later ``row_idx`` and the question text as its answer, so the
   keep-first rule of the dedup is visible.
@@ -17,15 +17,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, QAConfig
 
 # Sources of ``documents`` that stand for uploaded files.
 UPLOAD_SOURCES = ("src0", "src5", "src10", "src15")
-# Chunk ids: document or question index times this, plus the chunk index.
-CHUNK_ID_STRIDE = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,13 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def raw_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw Q&A rows ``(row_idx, question, answer)``."""
     conv = table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    turns = conv.select(
-        "conv_id", "turn", "role", "text",
-        F.lead("role").over(w).alias("next_role"),
-        F.lead("text").over(w).alias("next_text"),
-    )
-    qs = turns.where(F.col("role") == "user").select(
+    # the next turn by an equi-join on (conv_id, turn + 1): keys are unique,
+    # so a very long conversation does not land in one task as a window would
+    nxt = conv.select("conv_id", (F.col("turn") - 1).alias("turn"),
+                      F.col("role").alias("next_role"), F.col("text").alias("next_text"))
+    turns = conv.where(F.col("role") == "user").join(nxt, ["conv_id", "turn"], "left")
+    qs = turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("row_idx"),
         F.col("text").alias("question"),
         F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("answer"),

@@ -526,10 +526,8 @@ def qa_ctes() -> str:
     ``qa_proc(question_idx, question, answer)``."""
     return f"""
 qa_turns AS (
-  SELECT conv_id, turn, role, text,
-         lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
-         lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text
-  FROM conversations
+  SELECT c.conv_id, c.turn, c.role, c.text, n.role AS next_role, n.text AS next_text
+  FROM conversations c LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1
 ),
 qa_q AS (
   SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS row_idx, text AS question,

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, QAConfig
 from ..functions.text import (
     LINE_BREAK, WS_CLASS, WS_RUN, join_list_items, lstrip_ws, parse_list_items,
-    rstrip_ws, squeeze_newlines, strip_prompt_prefix, strip_ws, substring_from,
+    squeeze_newlines, strip_prompt_prefix, strip_ws, substring_from,
 )
 
 SENTENCE_BREAK = "(?<=[.!?])" + WS_RUN

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..config import DEFAULT, EMPTY_QUESTION_REPLY
 from .oracle_sql import (
-    D, chunk_ctes, main_corpus_ctes, pre, norm, retrieval_ctes, with_,
+    chunk_ctes, main_corpus_ctes, pre, norm, retrieval_ctes, with_,
 )
 
 ORACLE: dict = {}
@@ -145,7 +145,7 @@ sql("pack_token_blocks", token_blocks_sql(128))
 
 from ..config import DATASET_SOURCE_NAMES, SOURCE_LABELS  # noqa: E402
 from .oracle_sql import (  # noqa: E402
-    UPLOADS, WS, json_items, lookup_sql, pre as _pre, prompt_ctes,
+    UPLOADS, json_items, lookup_sql, pre as _pre, prompt_ctes,
 )
 
 sql("parse_list_string", f"""SELECT conv_id, turn,

@@ -17,7 +17,7 @@ from ..config import DEFAULT, QAConfig
 from ..operators.chunking import explode_upload_chunks
 from ..operators.index import fit_index
 from ..sources import io
-from .corpus import DOC_KEY, Corpus
+from .corpus import Corpus
 
 UPLOAD_KEY = ["filename", "chunk_idx"]
 
@@ -111,4 +111,4 @@ def corpus_status(qa: DataFrame, main_chunks: DataFrame | None, upload_chunks: D
 
 
 __all__ = ["prepare_uploads", "replace_upload_index", "current_upload_corpus", "corpus_status",
-           "upload_corpus_from_chunks", "DOC_KEY"]
+           "upload_corpus_from_chunks"]

@@ -78,11 +78,13 @@ class TfidfIndex:
 
 def fit_index(chunks: DataFrame, key_cols: list[str], text_col: str = "chunk_text",
               max_features: int = DEFAULT.max_features, repartition: bool = True,
-              materialize: bool = False) -> TfidfIndex:
+              materialize: bool = False, buckets: int | None = None) -> TfidfIndex:
     """D7 ``fit_index``: D1-D6 composed.  With ``materialize`` the
     vocabulary is checkpointed before the postings are weighed against it,
-    and then the postings: the corpus statistics are computed once."""
-    from ..session import materialize as checkpoint
+    and the postings are written as a table bucketed by the chunk key
+    (``buckets``, default: the shuffle partition count): the corpus
+    statistics are computed once, and retrieval scores inside buckets."""
+    from ..session import bucketed_table, materialize as checkpoint
 
     base = chunks.select(*key_cols, F.col(text_col).alias("__text"))
     if repartition:
@@ -94,10 +96,16 @@ def fit_index(chunks: DataFrame, key_cols: list[str], text_col: str = "chunk_tex
         vocab = checkpoint(vocab)
     postings = weigh_postings(tf.where(F.col("term").isNotNull()), vocab, key_cols)
     if materialize:
-        postings = checkpoint(postings)
+        # bucketed by the chunk key: scoring sums per (query, chunk) inside
+        # each bucket and never shuffles the scored pairs
+        postings = bucketed_table(postings, list(key_cols), buckets or _default_buckets(chunks), "postings")
     return TfidfIndex(vocab, postings, list(key_cols))
 
 
+def _default_buckets(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def top_vocabulary(stats: DataFrame, max_features: int) -> DataFrame:
     """D4 + D5: the ``max_features`` most frequent terms and their smooth
     idf.  ``stats`` carries one null-term row whose ``df`` is N."""

@@ -71,6 +71,19 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
+def bucketed_table(df: DataFrame, cols: list[str], buckets: int, name: str) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``cols`` (parquet files under the
+    shared work folder) and read it back.  Readers see its hash
+    partitioning, so aggregations and joins keyed by ``cols`` (or a superset)
+    need no exchange.  Like a checkpoint it cuts lineage."""
+    import uuid
+
+    spark = df.sparkSession
+    table = f"sparqa_{name}_{uuid.uuid4().hex[:12]}"
+    df.write.bucketBy(buckets, *cols).option("path", work_dir(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate files, under the (shared) checkpoint
     directory of the session."""

@@ -19,7 +19,7 @@ from ..config import (
     DEFAULT, EMPTY_QUESTION_REPLY, LEAK_SLACK_CHARS, MIN_ANSWER_CHARS, MIN_GENERATED_CHARS, QAConfig,
 )
 from ..functions.text import clean_context, clean_generated, normalize_query, strip_ws
-from ..session import materialize
+from ..session import bucketed_table, materialize
 from .index import remove_stop_words, smooth_idf, tokens_expr
 from .retrieval import retrieve
 
@@ -133,11 +133,13 @@ def check_answer_relevance(answers: DataFrame, context: DataFrame, cfg: QAConfig
     docs = docs.select("query_id", "doc", normalize_query("t").alias("t")).repartition("query_id")
     toks = docs.select("query_id", "doc", F.explode_outer(tokens_expr("t")).alias("term"))
     # per-(question, text) term counts, plus one null-term row per text so
-    # the texts are counted in the same pass; checkpointed once, since
-    # everything below reads it several times
+    # the texts are counted in the same pass; written once as a table
+    # bucketed by query_id, so every aggregate, window and join below (all
+    # keyed by query_id) runs inside the buckets without an exchange
     toks = toks.unionByName(docs.select("query_id", "doc", F.lit(None).cast("string").alias("term")))
-    counted = materialize(remove_stop_words(toks).groupBy("query_id", "doc", "term")
-                          .agg(F.count(F.lit(1)).alias("tf")))
+    counted = bucketed_table(remove_stop_words(toks).groupBy("query_id", "doc", "term")
+                             .agg(F.count(F.lit(1)).alias("tf")), ["query_id"],
+                             int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions")), "relevance_tf")
     n = counted.where(F.col("term").isNull()).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     tf = counted.where(F.col("term").isNotNull())
     stats = tf.groupBy("query_id", "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))

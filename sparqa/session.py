@@ -80,7 +80,9 @@ def bucketed_table(df: DataFrame, cols: list[str], buckets: int, name: str) -> D
 
     spark = df.sparkSession
     table = f"sparqa_{name}_{uuid.uuid4().hex[:12]}"
-    df.write.bucketBy(buckets, *cols).option("path", work_dir(spark, name)).saveAsTable(table)
+    # one writer per bucket: one file per bucket instead of one per task and bucket
+    df.repartition(buckets, *cols).write.bucketBy(buckets, *cols) \
+        .option("path", work_dir(spark, name)).saveAsTable(table)
     return spark.table(table)
 
 

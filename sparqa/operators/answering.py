@@ -33,8 +33,8 @@ def corpus_hits(corpus, questions: DataFrame, cfg: QAConfig, source_order: int)
     maps the chunk key to the text a hit returns."""
     k = max(cfg.top_k, cfg.context_top_k)
     lo = min(cfg.similarity_threshold, cfg.context_threshold)
-    hits = retrieve(corpus.index, questions, k, lo, cfg)
-    texts = corpus.answer_texts(hits)
+    hits, small = retrieve(corpus.index, questions, k, lo, cfg, with_size=True)
+    texts = corpus.answer_texts(hits, small)
     # Small (questions x k rows) and read by several branches of the cascade.
     return materialize(texts.select("query_id", "rank", "score", "text",
                                     F.lit(source_order).alias("source_order")))

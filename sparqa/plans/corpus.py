@@ -76,12 +76,12 @@ class Corpus:
     answer_key: list | None = None
     clean_answers: bool = False
 
-    def answer_texts(self, hits: DataFrame) -> DataFrame:
+    def answer_texts(self, hits: DataFrame, small: bool | None = None) -> DataFrame:
         """``hits`` plus ``text``: the full answer of a hit (Q1).  Raw
         answers are cleaned (B1) after the join, i.e. only for the hits."""
         from ..operators.retrieval import attach
 
-        out = attach(hits, self.answers, self.answer_key)
+        out = attach(hits, self.answers, self.answer_key, small=small)
         if self.clean_answers:
             out = out.withColumn("text", preprocess_text("text"))
         return out

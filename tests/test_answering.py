@@ -103,3 +103,25 @@ def test_gates(spark):
     assert out[2].gate_reason == "empty"
     assert out[3].gate_reason == "leak"
     assert out[4].gate_reason is None and out[4].answer == "A long enough answer."
+
+
+def test_prompt_modes_and_empty_relevance(spark):
+    qs = spark.createDataFrame([(1, "What is a list?")], "query_id long, question string")
+    ctx = spark.createDataFrame([], "query_id long, pos long, text string, score double")
+    assert A.assemble_prompts(qs, ctx, use_llm=False).first().prompt == "What is a list?"
+    short = A.assemble_prompts(qs, ctx).first().prompt
+    assert short == DEFAULT.prompt_prefix + "\n\nWhat is a list?\n\nAnswer:"
+    ctx2 = spark.createDataFrame([(1, 1, '["Lists are ordered.", ""]', 0.4), (1, 2, "  Lists   grow. ", 0.3)],
+                                 "query_id long, pos long, text string, score double")
+    full = A.assemble_prompts(qs, ctx2).first().prompt
+    assert "Relevant information:\nLists are ordered.\n\nRelevant information:\nLists grow." in full
+    ans = spark.createDataFrame([(1, "Lists are ordered.")], "query_id long, answer string")
+    rel = A.check_answer_relevance(ans, ctx).first()
+    assert (rel.relevance, rel.is_relevant) == (0.0, False)
+
+
+def test_rank_chunks(spark):
+    from sparqa.operators.retrieval import rank_chunks
+
+    hits = spark.createDataFrame([(1, 0, 0.3), (1, 1, 0.8), (1, 2, 0.5)], "query_id long, doc_id long, score double")
+    assert [r.score for r in rank_chunks(hits, ["doc_id"]).collect()] == [0.8, 0.5, 0.3]

@@ -52,7 +52,10 @@ def main() -> None:
         t0 = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
+    n_questions = spark.read.parquet(f"{sf_dir}/benchmark.parquet").count()
     spark.stop()
+    per_q = {f"{k}_ms_per_question": round(times[k] * 1000 / n_questions, 2)
+             for k in ("retrieve_chunks", "route_answers", "answer_questions") if k in times}
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({
         "metric": "headline_queries_total",
@@ -61,6 +64,8 @@ def main() -> None:
         "queries": times,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": int(cpus),
+        "questions": n_questions,
+        "derived": per_q,
     }))
 
 

@@ -98,7 +98,8 @@ def fit_index(chunks: DataFrame, key_cols: list[str], text_col: str = "chunk_tex
     if materialize:
         # bucketed by the chunk key: scoring sums per (query, chunk) inside
         # each bucket and never shuffles the scored pairs
-        postings = bucketed_table(postings, list(key_cols), buckets or _default_buckets(chunks), "postings")
+        postings = bucketed_table(postings, list(key_cols), buckets or _default_buckets(chunks), "postings",
+                                  sort_cols=["term"])
     return TfidfIndex(vocab, postings, list(key_cols))
 
 

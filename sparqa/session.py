@@ -71,7 +71,8 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
-def bucketed_table(df: DataFrame, cols: list[str], buckets: int, name: str) -> DataFrame:
+def bucketed_table(df: DataFrame, cols: list[str], buckets: int, name: str,
+                   sort_cols: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table bucketed by ``cols`` (parquet files under the
     shared work folder) and read it back.  Readers see its hash
     partitioning, so aggregations and joins keyed by ``cols`` (or a superset)
@@ -81,8 +82,10 @@ def bucketed_table(df: DataFrame, cols: list[str], buckets: int, name: str) -> D
     spark = df.sparkSession
     table = f"sparqa_{name}_{uuid.uuid4().hex[:12]}"
     # one writer per bucket: one file per bucket instead of one per task and bucket
-    df.repartition(buckets, *cols).write.bucketBy(buckets, *cols) \
-        .option("path", work_dir(spark, name)).saveAsTable(table)
+    w = df.repartition(buckets, *cols).write.bucketBy(buckets, *cols)
+    if sort_cols:
+        w = w.sortBy(*sort_cols)
+    w.option("path", work_dir(spark, name)).saveAsTable(table)
     return spark.table(table)
 
 

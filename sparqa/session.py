@@ -26,6 +26,9 @@ def build_session(master: str | None = "local[*]", shuffle_partitions: int | Non
         # local mode: the driver JVM is the only executor
         conf["spark.driver.memory"] = "16g"
         conf["spark.ui.enabled"] = "false"
+    # small but compute-heavy shuffles (regexes over whole texts) keep several
+    # tasks instead of being coalesced into one
+    conf.setdefault("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -161,7 +161,8 @@ def read_csv_as_text(spark: SparkSession, path: str) -> DataFrame:
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """``(filename, path, size)`` of every file under ``path`` from a
-    Hadoop file-system listing (zero-length files included)."""
+    Hadoop file-system listing (zero-length files included, hidden files
+    skipped).  The listing is file metadata, one row per file."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -170,7 +171,10 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     rows = []
     while it.hasNext():
         st = it.next()
-        rows.append((st.getPath().getName(), st.getPath().toString(), int(st.getLen())))
+        name = st.getPath().getName()
+        if name.startswith((".", "_")):  # hidden and marker files, as Spark's file sources skip them
+            continue
+        rows.append((name, st.getPath().toString(), int(st.getLen())))
     return spark.createDataFrame(rows, "filename string, path string, size long")
 
 

@@ -40,7 +40,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    spark = build_session(f"local[{cpus}]", int(cpus) * 2, app_name="sparqa-bench")
+    spark = build_session(f"local[{cpus}]", int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)), app_name="sparqa-bench")
     # warm-up: JVM, codegen caches, file listing
     QUERIES["normalize_question"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}

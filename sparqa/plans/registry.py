@@ -477,7 +477,7 @@ def q_read_eval_set(spark, sf):
                  F.lit("generated").alias("created_date"),
                  F.lit("benchmark questions").alias("description")).alias("metadata"))
     docs.drop("part").write.mode("overwrite").json(d)
-    return io.read_eval_set(spark, d).select(
+    return io.read_eval_set(spark, d, multi_line=False).select(
         F.col("id").alias("query_id"), "question", "topic", "expected_source", "category")
 
 

@@ -123,9 +123,11 @@ def load_corpus(spark: SparkSession, processed: str, legacy: str | None = None)
     return spark.createDataFrame([], "question_idx long, question string, answer string")
 
 
-def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
-    """A4: nested evaluation-set JSON to one row per question."""
-    raw = spark.read.schema(EVAL_SET_SCHEMA).option("multiLine", True).json(path)
+def read_eval_set(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A4: nested evaluation-set JSON to one row per question.
+    ``multi_line``: every file is one (pretty-printed) evaluation set; else
+    every line is one, as Spark's JSON writer produces."""
+    raw = spark.read.schema(EVAL_SET_SCHEMA).option("multiLine", multi_line).json(path)
     return raw.select(F.explode("evaluation_questions").alias("q")).select("q.*")
 
 

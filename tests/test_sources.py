@@ -59,3 +59,15 @@ def test_load_corpus_fallbacks(spark):
 
 def test_load_index_missing(spark):
     assert io.load_index(spark, folder() + "/nothing", ["doc_id", "chunk_idx"]) is None
+
+
+def test_read_eval_set_pretty_printed(spark):
+    d = folder()
+    with open(os.path.join(d, "evaluation_set.json"), "w", encoding="utf-8") as f:
+        f.write('{\n  "evaluation_questions": [\n    {"id": 1, "question": "What is a list?", "topic": "Python",\n'
+                '     "expected_source": "dataset", "category": "basics"},\n'
+                '    {"id": 2, "question": "What is ML?", "topic": "ML", "expected_source": "llm",\n'
+                '     "category": "concepts"}\n  ],\n  "metadata": {"total_questions": 2, "topics": ["Python", "ML"],\n'
+                '   "categories": ["basics", "concepts"], "created_date": "2024-01-01", "description": "d"}\n}\n')
+    got = [(r.id, r.topic, r.expected_source) for r in io.read_eval_set(spark, d).orderBy("id").collect()]
+    assert got == [(1, "Python", "dataset"), (2, "ML", "llm")]

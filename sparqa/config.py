@@ -17,10 +17,10 @@ from dataclasses import dataclass, field, replace
 PROMPT_PREFIX = "Answer this Python/Data Science question clearly:"
 SIMILARITY_THRESHOLD = 0.55
 ANSWER_RELEVANCE_THRESHOLD = 0.2
-UNCERTAIN_RESPONSE = (
-    "I am not confident enough to answer that yet. "
-    "Please try another wording or consult additional resources."
-)
+UNCERTAIN_RESPONSE = "I am not confident enough to answer that yet. Please try another wording or consult additional resources."
+CONTEXT_BLOCK = "Relevant information:\n"
+CONTEXT_QUESTION = "Based on the above information, answer this question:\n"
+ANSWER_MARK = "Answer:"
 SUPPORTED_FILE_TYPES = (".txt", ".csv", ".md", ".markdown")
 MAX_UPLOAD_BYTES = 16 * 1024 * 1024
 CHUNK_SIZE = 500
@@ -85,10 +85,6 @@ class QAConfig:
     # Number of salt values used to spread a hot join key (a frequent term)
     # over several tasks when the query side is too large to broadcast.
     join_salt: int = 16
-    # A batch whose query postings hold at most this many distinct terms
-    # pushes ``term IN (...)`` to the postings scan; postings files are
-    # sorted by term, so parquet statistics skip the other row groups.
-    term_filter_limit: int = 256
     # pandas-compatible null tokens for the Q&A CSV reader.  Default: only
     # the empty cell is null (documented difference, see README).
     null_tokens: tuple = ("",)

@@ -84,20 +84,43 @@ def closes_at_end(c) -> Column:
     return walked["end"] == F.length(col_(c)) - 1
 
 
+# tokens of a Python literal: quoted strings, bare words and numbers, punctuation
+_LITERAL_TOKEN = r"""(?s)"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|[^\s'",\[\]{}:()]++|[\[\]{},:()]"""
+
+
+def _python_to_json(c: Column) -> Column:
+    """A Python literal's tokens in JSON spelling; JSON's own words, which
+    Python does not know, become a token that parses in neither."""
+    def spell(t):
+        inner = F.substring(t, F.lit(2), F.length(t) - 2)
+        quoted = F.concat(F.lit('"'), F.replace(F.replace(inner, F.lit("\\'"), F.lit("'")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+        return (F.when(t.startswith("'"), quoted).when(t == "None", "null").when(t == "True", "true")
+                .when(t == "False", "false").when(t.isin("null", "true", "false"), "!").otherwise(t))
+
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_LITERAL_TOKEN), F.lit(0)), spell), "")
+
+
 def parse_list_items(c) -> Column:
-    """B5 parse step: the items of a JSON (or single-quoted) list literal as
-    ``array<string>``; null when the text is not a whole list literal or does
-    not parse.  Non-string items keep their literal text; ``true``, ``false``
-    and ``null`` items print the way the service prints them."""
+    """B5 parse step: the items of a JSON list literal, else of a Python one
+    (single quotes, ``None``, ``True``, ``False``), as ``array<struct<kind,
+    text>>``; null when the text is neither.  ``kind``: ``string``, ``number``,
+    ``bool``, ``null`` or ``nested``; ``text`` is how the service prints the
+    item (nested items keep their JSON text)."""
     # the character walk only runs for texts that look like a list literal
-    parsed = F.when(is_list_literal(c), F.when(closes_at_end(c), F.from_json(col_(c), "array<string>")))
-    return F.transform(
-        parsed,
-        lambda x: F.when(x.isNull(), F.lit("None"))
-        .when(x == "true", F.lit("True"))
-        .when(x == "false", F.lit("False"))
-        .otherwise(x),
-    )
+    whole = F.when(is_list_literal(c), F.when(closes_at_end(c), col_(c)))
+
+    def items(json):
+        types = F.transform(F.try_parse_json(json).cast("array<variant>"), lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")))
+
+        def item(kind, text):
+            name = (F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "bool").when(kind == "VOID", "null")
+                    .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), "nested").otherwise("number"))
+            shown = F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
+            return F.struct(name.alias("kind"), shown.alias("text"))
+
+        return F.zip_with(types, F.from_json(json, "array<string>"), item)
+
+    return F.coalesce(items(whole), items(_python_to_json(whole)))
 
 
 def strip_brackets(c) -> Column:
@@ -108,19 +131,25 @@ def strip_brackets(c) -> Column:
 def join_list_items(items: Column, mode: str) -> Column:
     """Join parsed list items with newlines.
 
-    mode ``context``: drop falsy items, strip the rest (B6);
+    mode ``context``: drop falsy items (the empty string, null, false, zero
+    and empty containers, not texts that look like them), strip the rest (B6);
     ``llm``: strip every item, keep all (B7);
     ``format``: strip, drop the empty ones (B10).
     """
+    def stripped(xs):
+        return F.transform(xs, lambda x: strip_ws(x["text"]))
+
     if mode == "context":
-        falsy = ("", "None", "False", "0", "0.0", "[]", "{}")
-        kept = F.filter(items, lambda x: ~x.isin(*falsy))
-        return F.array_join(F.transform(kept, strip_ws), "\n")
+        def truthy(x):
+            zero = (x["kind"] == "number") & (x["text"].try_cast("double") == 0)
+            empty = (x["text"] == "") | (x["kind"] == "null") | ((x["kind"] == "bool") & (x["text"] == "False"))
+            return ~(empty | F.coalesce(zero, F.lit(False)) | ((x["kind"] == "nested") & x["text"].isin("[]", "{}")))
+
+        return F.array_join(stripped(F.filter(items, truthy)), "\n")
     if mode == "llm":
-        return F.array_join(F.transform(items, strip_ws), "\n")
+        return F.array_join(stripped(items), "\n")
     if mode == "format":
-        stripped = F.transform(items, strip_ws)
-        return F.array_join(F.filter(stripped, lambda x: x != ""), "\n")
+        return F.array_join(F.filter(stripped(items), lambda x: x != ""), "\n")
     raise ValueError(mode)
 
 
@@ -136,16 +165,14 @@ def clean_context(c) -> Column:
     return F.when(items.isNotNull(), join_list_items(items, "context")).otherwise(collapsed)
 
 
-def remove_markers(c, keep_answer_lines: bool = False) -> Column:
-    """Marker removal shared by B7 and B10: ``Context <n>:`` and ``Question:``
+def remove_markers(c) -> Column:
+    """Marker removal of B7: ``Context <n>:`` and ``Question:``
     anywhere and ``Answer:`` at the start of a line, all case-insensitive,
     with the whitespace that follows."""
     out = F.regexp_replace(col_(c), r"(?i)Context" + WS_RUN + r"\p{Nd}+:" + WS_CLASS + "*", "")
     out = F.regexp_replace(out, r"(?i)Question:" + WS_CLASS + "*", "")
-    if not keep_answer_lines:
-        # (?d): only '\n' ends a line, as in the service's regex engine.
-        out = F.regexp_replace(out, r"(?imd)^Answer:" + WS_CLASS + "*", "")
-    return out
+    # (?d): only '\n' ends a line, as in the service's regex engine.
+    return F.regexp_replace(out, r"(?imd)^Answer:" + WS_CLASS + "*", "")
 
 
 def squeeze_newlines(c) -> Column:
@@ -155,9 +182,7 @@ def squeeze_newlines(c) -> Column:
 def clean_generated(c) -> Column:
     """B7 ``clean_llm_response``."""
     text = strip_ws(col_(c).cast("string"))
-    text = F.regexp_replace(text, r"(?i)Context" + WS_RUN + r"\p{Nd}+:" + WS_CLASS + "*", "")
-    text = F.regexp_replace(text, r"(?i)Question:" + WS_CLASS + "*", "")
-    text = F.regexp_replace(text, r"(?imd)^Answer:" + WS_CLASS + "*", "")
+    text = remove_markers(text)
     items = parse_list_items(text)
     listy = text.startswith("[") & text.endswith("]")
     text = (

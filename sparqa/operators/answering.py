@@ -9,6 +9,7 @@ then threshold equals threshold then top-k.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 import pandas as pd
@@ -16,10 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import (
-    DEFAULT, EMPTY_QUESTION_REPLY, LEAK_SLACK_CHARS, MIN_ANSWER_CHARS, MIN_GENERATED_CHARS, QAConfig,
+    ANSWER_MARK, CONTEXT_BLOCK, CONTEXT_QUESTION, DEFAULT, EMPTY_QUESTION_REPLY, LEAK_SLACK_CHARS,
+    MIN_ANSWER_CHARS, MIN_GENERATED_CHARS, QAConfig,
 )
 from ..functions.text import clean_context, clean_generated, normalize_query, strip_ws
-from ..session import bucketed_table, materialize
+from ..session import materialize
 from .index import remove_stop_words, smooth_idf, tokens_expr
 from .retrieval import retrieve
 
@@ -27,10 +29,16 @@ ROUTE_SCHEMA = ("query_id long, response string, source string, similarity_score
                 "dataset_source string, is_grounded boolean")
 
 
+HIT_SCHEMA = "query_id long, rank long, score double, text string, source_order int"
+
+
 def corpus_hits(corpus, questions: DataFrame, cfg: QAConfig, source_order: int) -> DataFrame:
     """Top hits of one corpus at the context threshold with their answer
     text: ``(query_id, rank, score, text, source_order)``.  ``corpus.answer``
-    maps the chunk key to the text a hit returns."""
+    maps the chunk key to the text a hit returns.  A corpus without an index
+    (or none at all) has no hits."""
+    if corpus is None or corpus.index is None:
+        return questions.sparkSession.createDataFrame([], HIT_SCHEMA)
     k = max(cfg.top_k, cfg.context_top_k)
     lo = min(cfg.similarity_threshold, cfg.context_threshold)
     hits, small = retrieve(corpus.index, questions, k, lo, cfg, with_size=True)
@@ -65,34 +73,63 @@ def assemble_prompts(questions: DataFrame, context: DataFrame, cfg: QAConfig = D
         "query_id",
         F.array_join(
             F.transform(F.slice("cs", 1, cfg.context_top_k),
-                        lambda x: F.concat(F.lit("Relevant information:\n"), x["c"])),
+                        lambda x: F.concat(F.lit(CONTEXT_BLOCK), x["c"])),
             "\n\n",
         ).alias("context"),
     )
     j = questions.join(blocks, "query_id", "left")
     prefix = cfg.prompt_prefix
     with_ctx = F.concat(F.lit(prefix + "\n\n"), F.col("context"),
-                        F.lit("\n\nBased on the above information, answer this question:\n"),
-                        F.col("question"), F.lit("\n\nAnswer:"))
-    short = F.concat(F.lit(prefix + "\n\n"), F.col("question"), F.lit("\n\nAnswer:"))
+                        F.lit("\n\n" + CONTEXT_QUESTION), F.col("question"), F.lit("\n\n" + ANSWER_MARK))
+    short = F.concat(F.lit(prefix + "\n\n"), F.col("question"), F.lit("\n\n" + ANSWER_MARK))
     return j.select("query_id", F.when(F.col("context").isNotNull(), with_ctx).otherwise(short).alias("prompt"))
 
 
-def generate_answers(prompts: DataFrame, generator: Callable[[pd.Series], pd.Series] | None,
-                     cfg: QAConfig = DEFAULT) -> DataFrame:
-    """the generation hook.  ``generator`` maps a batch of prompts to a
-    batch of raw texts; it runs in ``mapInPandas`` on Arrow batches, so a
-    model is loaded once per Python worker, not per row.  Without a
-    generator the uncertain text is returned, as the service does."""
-    if generator is None:
-        return prompts.select("query_id", F.lit(cfg.uncertain_response).alias("raw"))
+# generators made by a factory, one per Python worker process
+_WORKER_GENERATORS: dict = {}
+
+
+def generate_answers(prompts: DataFrame, generator: Callable[[pd.Series], pd.Series] | None = None,
+                     cfg: QAConfig = DEFAULT, factory: Callable[[], Callable] | None = None,
+                     with_errors: bool = False) -> DataFrame:
+    """the generation hook, ``(query_id, raw)``.  ``generator`` maps a
+    batch of prompts to a batch of raw texts on Arrow batches.  ``factory``
+    makes such a generator; it is called once in each Python worker process
+    and the generator is kept there, so a model is loaded once per worker.
+
+    A batch that fails is tried again prompt by prompt; a prompt that fails by
+    itself gets an empty text (and its message in ``error`` with
+    ``with_errors``), so it never fails the job.  Without a generator the
+    uncertain text is returned, as the service does."""
+    if generator is None and factory is None:
+        out = prompts.select("query_id", F.lit(cfg.uncertain_response).alias("raw"))
+        return out.withColumn("error", F.lit(None).cast("string")) if with_errors else out
+    token = uuid.uuid4().hex
 
     def run(batches):
+        gen = generator
+        if factory is not None:
+            if token not in _WORKER_GENERATORS:
+                _WORKER_GENERATORS[token] = factory()
+            gen = _WORKER_GENERATORS[token]
         for pdf in batches:
-            out = generator(pdf["prompt"])
-            yield pd.DataFrame({"query_id": pdf["query_id"], "raw": pd.Series(out, index=pdf.index)})
+            errors = [None] * len(pdf)
+            try:
+                raw = list(gen(pdf["prompt"]))
+            except Exception:  # noqa: BLE001 - one bad prompt must not cost the others
+                raw = [""] * len(pdf)
+                for i in range(len(pdf)):
+                    try:
+                        raw[i] = next(iter(gen(pdf["prompt"].iloc[i:i + 1])))
+                    except Exception as e:  # noqa: BLE001
+                        errors[i] = f"{type(e).__name__}: {e}"
+            out = pd.DataFrame({"query_id": pdf["query_id"], "raw": pd.Series(raw, index=pdf.index, dtype=object)})
+            if with_errors:
+                out["error"] = pd.Series(errors, index=pdf.index, dtype=object)
+            yield out
 
-    return prompts.select("query_id", "prompt").mapInPandas(run, "query_id long, raw string")
+    schema = "query_id long, raw string" + (", error string" if with_errors else "")
+    return prompts.select("query_id", "prompt").mapInPandas(run, schema)
 
 
 def postprocess_generated(raw: DataFrame) -> DataFrame:
@@ -133,13 +170,10 @@ def check_answer_relevance(answers: DataFrame, context: DataFrame, cfg: QAConfig
     docs = docs.select("query_id", "doc", normalize_query("t").alias("t")).repartition("query_id")
     toks = docs.select("query_id", "doc", F.explode_outer(tokens_expr("t")).alias("term"))
     # per-(question, text) term counts, plus one null-term row per text so
-    # the texts are counted in the same pass; written once as a table
-    # bucketed by query_id, so every aggregate, window and join below (all
-    # keyed by query_id) runs inside the buckets without an exchange
+    # the texts are counted in the same pass
     toks = toks.unionByName(docs.select("query_id", "doc", F.lit(None).cast("string").alias("term")))
-    counted = bucketed_table(remove_stop_words(toks).groupBy("query_id", "doc", "term")
-                             .agg(F.count(F.lit(1)).alias("tf")), ["query_id"],
-                             int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions")), "relevance_tf")
+    counted = materialize(remove_stop_words(toks).groupBy("query_id", "doc", "term")
+                          .agg(F.count(F.lit(1)).alias("tf")))
     n = counted.where(F.col("term").isNull()).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     tf = counted.where(F.col("term").isNotNull())
     stats = tf.groupBy("query_id", "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
@@ -163,14 +197,15 @@ def route_answers(questions: DataFrame, main, uploaded=None, generated=None,
                   cfg: QAConfig = DEFAULT, use_uploaded: bool = False) -> DataFrame:
     """F6 ``get_chatbot_response`` for a batch ``(query_id, question)``.
 
-    ``main`` / ``uploaded`` are corpora (see ``plans.corpus.Corpus``);
+    ``main`` / ``uploaded`` are corpora (see ``plans.corpus.Corpus``) or
+    None; without any index the questions go to the generator, or are
+    uncertain;
     ``generated`` is None (no generator), a DataFrame ``(query_id, raw)`` of
     raw generator output, or a callable for :func:`generate_answers`.
     Output columns: ``ROUTE_SCHEMA``."""
-    hits = []
+    hits = [corpus_hits(main, questions, cfg, 1)]
     if use_uploaded and uploaded is not None and uploaded.index is not None:
-        hits.append(corpus_hits(uploaded, questions, cfg, 0))
-    hits.append(corpus_hits(main, questions, cfg, 1))
+        hits.insert(0, corpus_hits(uploaded, questions, cfg, 0))
     strict = [h.where((F.col("rank") == 1) & (F.col("score") >= cfg.similarity_threshold)) for h in hits]
     best = strict[0]
     for s in strict[1:]:
@@ -195,7 +230,8 @@ def route_answers(questions: DataFrame, main, uploaded=None, generated=None,
         return answered.unionByName(fallback)
     context = gather_context(hits, cfg).join(rest.select("query_id"), "query_id", "left_semi")
     if callable(generated):
-        raw = generate_answers(assemble_prompts(rest, context, cfg), generated, cfg)
+        # generated once: grounding is judged on the very text that is returned
+        raw = materialize(generate_answers(assemble_prompts(rest, context, cfg), generated, cfg))
     else:
         raw = generated.join(rest.select("query_id"), "query_id", "left_semi")
     gated = gate_generated(postprocess_generated(raw), cfg)
@@ -207,7 +243,8 @@ def route_answers(questions: DataFrame, main, uploaded=None, generated=None,
         context.join(strong, "query_id", "left_semi"), cfg)
     j = (rest.join(gated, "query_id", "left").join(ctx_best, "query_id", "left")
          .join(rel, "query_id", "left"))
-    gate = F.col("gate_reason")
+    # a question for which nothing was generated counts as an empty text
+    gate = F.when(F.col("answer").isNull(), F.lit("empty")).otherwise(F.col("gate_reason"))
     has_ctx = F.col("ctx_score").isNotNull()
     strong_ctx = has_ctx & (F.col("ctx_score") > cfg.strict_context_score)
     rejected = strong_ctx & ~F.col("is_relevant") & (F.col("relevance") < cfg.hard_reject_relevance)
@@ -233,13 +270,13 @@ def route_answers(questions: DataFrame, main, uploaded=None, generated=None,
 
 def answer_questions(questions: DataFrame, main, uploaded=None, generated=None,
                      cfg: QAConfig = DEFAULT, use_uploaded: bool = False) -> DataFrame:
-    """F7 ``/ask`` for a batch: the message is stripped; an empty one gets
-    the fixed reply; the others go through F6 and B10.  Output: ``query_id,
+    """F7 ``/ask`` for a batch: the message is stripped; an empty or missing
+    one gets the fixed reply; the others go through F6 and B10.  Output: ``query_id,
     question, response, source, dataset_source, similarity_score,
     is_grounded``."""
     from .cleaning import format_answers
 
-    qs = questions.select("query_id", strip_ws("question").alias("question"))
+    qs = questions.select("query_id", F.coalesce(strip_ws("question"), F.lit("")).alias("question"))
     empty = qs.where(F.col("question") == "").select(
         "query_id", "question", F.lit(EMPTY_QUESTION_REPLY).alias("response"), F.lit("uncertain").alias("source"),
         F.lit(None).cast("string").alias("dataset_source"), F.lit(0.0).alias("similarity_score"),

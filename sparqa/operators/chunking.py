@@ -2,7 +2,7 @@
 
 ``chunk_text`` is a single native expression: an ``aggregate`` higher-order
 function walks the window starts of one text, so a text is chunked inside the
-task that holds its row, with no shuffle and no Python.
+task that holds its row, with no shuffle and no Python, in linear time.
 """
 
 from __future__ import annotations
@@ -26,6 +26,10 @@ def _last_index(window: Column, ch: str) -> Column:
                lambda pos: F.when(pos == 0, F.lit(-1)).otherwise(F.length(window) - pos))
 
 
+# steps of the walk whose chunks are collected in one inner array
+_STEP_BLOCK = 256
+
+
 def chunk_text(text, size: int = DEFAULT.chunk_size, overlap: int = DEFAULT.chunk_overlap) -> Column:
     """C1 ``chunk_text``: ``array<string>`` of the stripped, non-empty windows
     of the chunking loop, in code points.
@@ -34,16 +38,23 @@ def chunk_text(text, size: int = DEFAULT.chunk_size, overlap: int = DEFAULT.chun
     last '.' or newline of the window lies past size/2, the window ends after
     it.  The stripped window is kept; next start = end - overlap.  A text of
     at most ``size`` characters is returned unchanged (``""`` gives ``[""]``).
-    The walk is one ``aggregate`` over the (bounded) number of steps; the
-    text length and every window are computed once per step."""
+
+    The text is cut once into pieces of ``size`` code points, so a window is
+    read from two pieces found by index and never counted off from the start of
+    the text; chunks are collected in blocks.  Time is linear in the text."""
     if overlap > size * 0.5 or size < 1 or overlap < 0:
         raise ValueError("need 0 <= overlap <= size/2 and size >= 1")
     t = col_(text)
     progress = size // 2 + 2 - overlap  # least advance of one step
+    none = F.array().cast("array<string>")
 
-    def walk(n):
+    def walk(n, pieces):
         steps = F.greatest(F.ceil(n / F.lit(progress)).cast("int") + 1, F.lit(1))
-        init = F.struct(F.lit(0).alias("start"), F.array().cast("array<string>").alias("c"))
+
+        def window(start):
+            at = F.floor(start / size).cast("int")
+            two = F.concat(F.coalesce(F.get(pieces, at), F.lit("")), F.coalesce(F.get(pieces, at + 1), F.lit("")))
+            return F.substring(two, start - at * size + 1, F.lit(size))
 
         def step(acc, _i):
             start = acc["start"]
@@ -56,12 +67,21 @@ def chunk_text(text, size: int = DEFAULT.chunk_size, overlap: int = DEFAULT.chun
                     F.concat(acc["c"], F.array(strip_ws(F.substring(w, 1, span)))).alias("c"),
                 ))
 
-            return F.when(start < n, let(F.substring(t, start + 1, size), in_window)).otherwise(acc)
+            return F.when(start < n, let(window(start), in_window)).otherwise(acc)
 
-        walked = F.aggregate(F.sequence(F.lit(1), steps), init, step)["c"]
+        def block(acc, _b):
+            inner = F.aggregate(F.sequence(F.lit(1), F.least(steps, F.lit(_STEP_BLOCK))),
+                                F.struct(acc["start"].alias("start"), none.alias("c")), step)
+            return F.when(acc["start"] < n, let(inner, lambda r: F.struct(
+                r["start"].alias("start"), F.concat(acc["c"], F.array(r["c"])).alias("c")))).otherwise(acc)
+
+        init = F.struct(F.lit(0).alias("start"), F.array().cast("array<array<string>>").alias("c"))
+        blocks = F.sequence(F.lit(1), F.ceil(steps / F.lit(_STEP_BLOCK)).cast("int"))
+        walked = F.flatten(F.aggregate(blocks, init, block)["c"])
         return F.when(n <= size, F.array(t)).otherwise(F.filter(walked, lambda c: c != ""))
 
-    return let(F.length(t), walk)
+    cut = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return let(F.length(t), lambda n: let(F.when(n > size, cut).otherwise(none), lambda pieces: walk(n, pieces)))
 
 
 def explode_chunks(df: DataFrame, text_col: str, cfg: QAConfig = DEFAULT,
@@ -117,10 +137,10 @@ def pack_token_blocks(docs: DataFrame, block_size: int = 128, id_col: str = "doc
     dropped.
 
     Tokens are D1 word tokens.  Global positions come from a prefix sum over
-    the small per-document count table (one row per document), never from a
-    window over all tokens; each block is then a group keyed by block number,
-    whose size is bounded by ``block_size``."""
-    from pyspark.sql import Window
+    the small per-document count table (one row per document).  Each document
+    is cut into the pieces of its token array that fall into one block, in the
+    task that holds it, so a block gathers a few pieces (at most
+    ``block_size`` tokens in all), not one row per token."""
     from .index import TOKEN_PATTERN
 
     toks = docs.select(
@@ -128,22 +148,17 @@ def pack_token_blocks(docs: DataFrame, block_size: int = 128, id_col: str = "doc
         F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0).alias("toks"),
     )
     counts = toks.select("doc_id", F.size("toks").cast("long").alias("n"))
-    # Offsets per document: a running sum over documents.  The table has one
-    # row per document; ranges of documents are summed per partition by
-    # ``repartitionByRange`` and stitched with a second, per-range sum.
-    offsets = _prefix_offsets(counts)
-    flat = toks.join(offsets, "doc_id").select(
-        "doc_id", "offset", F.posexplode("toks").alias("pos", "token")
-    )
-    flat = flat.withColumn("gpos", F.col("offset") + F.col("pos"))
-    flat = flat.withColumn("block_id", F.floor(F.col("gpos") / block_size).cast("long"))
-    blocks = flat.groupBy("block_id").agg(
-        F.sort_array(F.collect_list(F.struct("gpos", "token"))).alias("t"),
-    )
-    blocks = blocks.select(
-        "block_id",
-        F.transform("t", lambda x: x["token"]).alias("tokens"),
-    ).where(F.size("tokens") == block_size)
+    placed = toks.join(_prefix_offsets(counts), "doc_id").where(F.size("toks") > 0)
+    first = F.expr(f"offset div {block_size}")
+    last = F.expr(f"(offset + size(toks) - 1) div {block_size}")
+    pieces = placed.select("toks", "offset", F.explode(F.sequence(first, last)).alias("block_id"))
+    lo = F.greatest(F.col("block_id") * block_size - F.col("offset"), F.lit(0))
+    hi = F.least((F.col("block_id") + 1) * block_size - F.col("offset"), F.size("toks").cast("long"))
+    pieces = pieces.select("block_id", F.col("offset").alias("pos"),
+                           F.slice("toks", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
+    blocks = pieces.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("p"))
+    blocks = blocks.select("block_id", F.flatten(F.transform("p", lambda x: x["piece"])).alias("tokens"))
+    blocks = blocks.where(F.size("tokens") == block_size)
     return blocks.select("block_id", "tokens", F.array_join("tokens", " ").alias("text"))
 
 

@@ -15,12 +15,6 @@ from pyspark.sql import functions as F
 from ..functions.text import response_preview
 
 R = 6
-RESULT_COLUMNS = [
-    "question_id", "question", "topic", "category", "context_retrieved", "source_used",
-    "expected_source", "source_match", "similarity_score", "answer_type", "is_grounded",
-    "dataset_source", "latency_ms", "response_length", "response_preview",
-]
-
 
 def _r(c):
     return F.round(c, R)
@@ -31,7 +25,8 @@ def evaluate_questions(answers: DataFrame, questions: DataFrame, latency: DataFr
     expected_source)`` left-joined with F7 ``answers``; a question without
     an answer becomes an error row (``source_used='error'``, nulls).
     ``latency(query_id, latency_ms)`` is optional (a batch has no per-row
-    wall clock)."""
+    wall clock).  :func:`with_errors` adds the ``error`` column of the result
+    file."""
     a = answers.select("query_id", "response", "source", "similarity_score", "is_grounded", "dataset_source")
     j = questions.join(a, "query_id", "left")
     if latency is not None:
@@ -61,6 +56,20 @@ def evaluate_questions(answers: DataFrame, questions: DataFrame, latency: DataFr
     )
 
 
+NO_ANSWER = "no answer"
+
+
+def with_errors(res: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """The result file's columns: G1's and ``error`` (the message of a failed
+    question: from ``errors(query_id, error)``, else a fixed one; else null)."""
+    failed = F.col("source_used") == "error"
+    if errors is None:
+        return res.withColumn("error", F.when(failed, F.lit(NO_ANSWER)))
+    told = errors.select(F.col("query_id").alias("question_id"), "error")
+    out = res.join(told, "question_id", "left")
+    return out.withColumn("error", F.when(failed, F.coalesce("error", F.lit(NO_ANSWER))))
+
+
 def results_from_events(ev: DataFrame) -> DataFrame:
     """Complete a large result table ``(question_id, topic, source_used,
     expected_source, similarity_score, is_grounded, latency_ms)`` with the

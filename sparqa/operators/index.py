@@ -9,11 +9,11 @@ term ascending), smooth idf ``ln((1+N)/(1+df))+1`` with N = all chunks
 (empty ones included), raw term counts, L2 norm per chunk.
 
 Plan shape of ``fit_index``: the chunk rows are hash-partitioned once on
-their key; tokenising, the stop-word anti join (broadcast of a fixed
-318-row table), the per-chunk term counts and the per-chunk norm then all
-run inside that partitioning without another exchange.  The only other
-shuffle is the per-term statistics, which is partially aggregated before it
-moves, so a very frequent term costs one row per map task.
+their key and tokenised once; the term counts are written bucketed by that
+key, and the per-chunk norms and weights are computed inside the buckets
+without another exchange.  The only other shuffle is the per-term statistics,
+which is partially aggregated before it moves, so a very frequent term costs
+one row per map task.
 """
 
 from __future__ import annotations
@@ -76,35 +76,39 @@ class TfidfIndex:
         return TfidfIndex(materialize(self.vocab), materialize(self.postings), self.key_cols)
 
 
+# chunks per bucket of the index tables
+CHUNKS_PER_BUCKET = 200_000
+
+
 def fit_index(chunks: DataFrame, key_cols: list[str], text_col: str = "chunk_text",
-              max_features: int = DEFAULT.max_features, repartition: bool = True,
-              materialize: bool = False, buckets: int | None = None) -> TfidfIndex:
-    """D7 ``fit_index``: D1-D6 composed.  With ``materialize`` the
-    vocabulary is checkpointed before the postings are weighed against it,
-    and the postings are written as a table bucketed by the chunk key
-    (``buckets``, default: the shuffle partition count): the corpus
-    statistics are computed once, and retrieval scores inside buckets."""
-    from ..session import bucketed_table, materialize as checkpoint
-
-    base = chunks.select(*key_cols, F.col(text_col).alias("__text"))
-    if repartition:
-        base = base.repartition(*key_cols)
-    tf = term_frequency(base, key_cols, "__text", sentinel=True)
+              max_features: int = DEFAULT.max_features, materialize: bool = False,
+              buckets: int | None = None) -> TfidfIndex:
+    """D7 ``fit_index``: D1-D6 composed.  The chunk texts are shuffled and
+    tokenised once; the term counts are written as a table bucketed by the
+    chunk key (``buckets``: by default as many as CHUNKS_PER_BUCKET asks for,
+    the shuffle partitions at least), and the statistics, the norms and the
+    weights are computed from it inside the buckets.  With ``materialize`` the
+    vocabulary and the weighed postings are written as well (``materialize``
+    reads the chunk count, so the chunks should be a stored table)."""
+    from ..session import bucketed_table, materialize as write
+
+    keys = list(key_cols)
+    if buckets is None:
+        buckets = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        if materialize:
+            buckets = max(buckets, -(-chunks.count() // CHUNKS_PER_BUCKET))
+    base = chunks.select(*keys, F.col(text_col).alias("__text")).repartition(buckets, *keys)
+    tf = bucketed_table(term_frequency(base, keys, "__text", sentinel=True), keys, buckets, "tf", clustered=True)
     stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     vocab = top_vocabulary(stats, max_features)
     if materialize:
-        vocab = checkpoint(vocab)
-    postings = weigh_postings(tf.where(F.col("term").isNotNull()), vocab, key_cols)
+        vocab = write(vocab)
+    postings = weigh_postings(tf.where(F.col("term").isNotNull()), vocab, keys)
     if materialize:
         # bucketed by the chunk key: scoring sums per (query, chunk) inside
         # each bucket and never shuffles the scored pairs
-        postings = bucketed_table(postings, list(key_cols), buckets or _default_buckets(chunks), "postings",
-                                  sort_cols=["term"])
-    return TfidfIndex(vocab, postings, list(key_cols))
-
-
-def _default_buckets(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        postings = bucketed_table(postings, keys, buckets, "postings", sort_cols=["term"], clustered=True)
+    return TfidfIndex(vocab, postings, keys)
 
 
 def top_vocabulary(stats: DataFrame, max_features: int) -> DataFrame:

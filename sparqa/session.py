@@ -1,9 +1,11 @@
 """Session helpers: building a session for local runs and tests, and cutting
-lineage with reliable checkpoints in the directory the cluster names."""
+lineage with tables written in the directory the cluster names."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,10 +61,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint, so a
-    lost executor does not force recomputation of everything upstream."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once and cut its lineage: it is written as Parquet in the
+    shared work folder and read back, so a lost executor forces no
+    recomputation and readers keep column pruning and filter pushdown."""
+    path = work_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# open scopes of intermediate data, innermost last
+_SCOPES: list = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Drops the tables and folders that ``materialize``, ``bucketed_table``
+    and ``work_dir`` make inside the block when it ends.  Results that are
+    lazily read from them must be written before."""
+    scope: dict = {"tables": [], "dirs": []}
+    _SCOPES.append(scope)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(scope)
+        for table in scope["tables"]:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        for path in scope["dirs"]:
+            delete_path(spark, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
@@ -75,27 +105,29 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def bucketed_table(df: DataFrame, cols: list[str], buckets: int, name: str,
-                   sort_cols: list[str] | None = None) -> DataFrame:
+                   sort_cols: list[str] | None = None, clustered: bool = False) -> DataFrame:
     """Write ``df`` as a table bucketed by ``cols`` (parquet files under the
     shared work folder) and read it back.  Readers see its hash
     partitioning, so aggregations and joins keyed by ``cols`` (or a superset)
-    need no exchange.  Like a checkpoint it cuts lineage."""
-    import uuid
-
+    need no exchange.  ``clustered``: ``df`` is hash-partitioned by ``cols``
+    into ``buckets`` partitions already."""
     spark = df.sparkSession
     table = f"sparqa_{name}_{uuid.uuid4().hex[:12]}"
     # one writer per bucket: one file per bucket instead of one per task and bucket
-    w = df.repartition(buckets, *cols).write.bucketBy(buckets, *cols)
+    w = (df if clustered else df.repartition(buckets, *cols)).write.bucketBy(buckets, *cols)
     if sort_cols:
         w = w.sortBy(*sort_cols)
     w.option("path", work_dir(spark, name)).saveAsTable(table)
+    if _SCOPES:
+        _SCOPES[-1]["tables"].append(table)
     return spark.table(table)
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate files, under the (shared) checkpoint
     directory of the session."""
-    import uuid
-
     root = ensure_checkpoint_dir(spark)
-    return f"{root.rstrip('/')}/work/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/work/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES:
+        _SCOPES[-1]["dirs"].append(path)
+    return path

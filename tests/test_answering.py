@@ -125,3 +125,81 @@ def test_rank_chunks(spark):
 
     hits = spark.createDataFrame([(1, 0, 0.3), (1, 1, 0.8), (1, 2, 0.5)], "query_id long, doc_id long, score double")
     assert [r.score for r in rank_chunks(hits, ["doc_id"]).collect()] == [0.8, 0.5, 0.3]
+
+
+def counting_generator(path):
+    def generate(prompts):
+        import os
+        import uuid
+        for p in prompts:
+            with open(os.path.join(path, uuid.uuid4().hex), "w") as f:
+                f.write(p)
+        return prompts.str.len().astype(str) + " characters long, an answer about zebras"
+    return generate
+
+
+def test_generator_sees_each_prompt_once(spark, scenario, tmp_path):
+    main, up, qs, _ = scenario
+    out = A.route_answers(qs, main, up, counting_generator(str(tmp_path)), DEFAULT, use_uploaded=True)
+    answered = {r.query_id: r.source for r in out.collect()}
+    assert len(answered) == 8 and answered[8] == "llm"
+    assert len(list(tmp_path.iterdir())) == sum(s in ("llm", "uncertain") for s in answered.values())
+
+
+def test_question_without_generated_row_is_uncertain(spark, scenario):
+    main, up, qs, gen = scenario
+    out = {r.query_id: r for r in A.route_answers(qs, main, up, gen.where("query_id not in (3, 8)"), DEFAULT, use_uploaded=True).collect()}
+    for i in (3, 8):
+        assert (out[i].source, out[i].response, out[i].dataset_source, out[i].similarity_score) == ("uncertain", UNC, "none", 0.0)
+
+
+def test_without_any_index(spark, scenario):
+    _, _, qs, gen = scenario
+    empty = Corpus("main", qs, DOC_KEY, None)
+    for main in (None, empty):
+        assert {r.source for r in A.route_answers(qs, main, None, None, DEFAULT).collect()} == {"uncertain"}
+        out = {r.query_id: r.source for r in A.route_answers(qs, main, empty, gen, DEFAULT, use_uploaded=True).collect()}
+        assert out[8] == "llm" and out[6] == "uncertain"
+
+
+def test_null_and_blank_questions_get_the_fixed_reply(spark, scenario):
+    main, up, qs, gen = scenario
+    asked = qs.where("query_id < 3").unionByName(spark.createDataFrame([(20, None), (21, " \t")], qs.schema))
+    out = {r.query_id: r for r in A.answer_questions(asked, main, up, gen, DEFAULT, use_uploaded=True).collect()}
+    assert set(out) == {1, 2, 20, 21}
+    assert all((out[i].question, out[i].source, out[i].is_grounded) == ("", "uncertain", None) for i in (20, 21))
+
+
+def test_factory_once_per_worker_and_failing_prompts(spark):
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(40)], "query_id long, prompt string").coalesce(1)
+
+    def factory():
+        import os
+        import uuid
+        made = f"{os.getpid()}-{uuid.uuid4().hex}"
+
+        def generate(batch):
+            if (batch == "p7").any():
+                raise RuntimeError("cannot answer p7")
+            return batch + " " + made
+        return generate
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        out = {r.query_id: r for r in A.generate_answers(prompts, factory=factory, with_errors=True).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert out[7].raw == "" and "cannot answer p7" in out[7].error
+    assert len(out) == 40 and all(r.error is None and r.raw.startswith(f"p{i} ") for i, r in out.items() if i != 7)
+    assert len({r.raw.split()[1] for i, r in out.items() if i != 7}) == 1
+
+
+def test_select_source(spark, scenario):
+    from sparqa.operators.retrieval import select_source
+
+    main, up, qs, _ = scenario
+    sources = {"main": main, "uploaded": up, "none": None, "empty": Corpus("e", qs, DOC_KEY, None)}
+    assert {r.query_id for r in select_source(sources, "main", qs).collect()} >= {2}
+    assert {r.query_id for r in select_source(sources, "uploaded", qs).collect()} == {1}
+    for name in ("none", "empty", "elsewhere"):
+        assert select_source(sources, name, qs).columns == ["query_id", "rank", "score", "text"] and select_source(sources, name, qs).isEmpty()

@@ -57,3 +57,28 @@ def test_response_preview(spark):
     f = T.response_preview("a")
     assert one(spark, f, "x" * 100) == "x" * 100
     assert one(spark, f, "y" * 101) == "y" * 100 + "..."
+
+
+def test_typed_list_items(spark):
+    context, fmt = T.clean_context("a"), T.join_list_items(T.parse_list_items(F.col("a")), "format")
+    assert one(spark, context, '["null","0","a"]') == "null\n0\na"
+    assert one(spark, context, '["true", "false", "None", "", null, false, 0, 0.0, [], {}, 1]') == "true\nfalse\nNone\n1"
+    assert one(spark, fmt, '["true", true, null, 0, ""]') == "true\nTrue\nNone\n0"
+    assert one(spark, fmt, "['a', None, True, \"it's\", 'say \"x\"', 2]") == "a\nNone\nTrue\nit's\nsay \"x\"\n2"
+    assert one(spark, context, "['a', None, True, False, '0']") == "a\nTrue\n0"
+    for broken in ("['a', true]", '["a", broken]', '["a"] and ["b"]', "[1, 2", "['a', null]"):
+        assert one(spark, fmt, broken) is None
+
+
+def test_list_fixtures_are_lists(spark):
+    import os
+
+    import pytest
+
+    from sparqa.plans import fixtures
+
+    if not os.path.exists("/root/testdata/sf0.001"):
+        pytest.skip("test data not present")
+    texts = fixtures.list_texts(spark, "/root/testdata/sf0.001")
+    parsed = texts.where(T.parse_list_items(F.col("text")).isNotNull()).count()
+    assert 0 < parsed < texts.count() and parsed > texts.count() / 4

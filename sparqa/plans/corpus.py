@@ -5,14 +5,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, QAConfig
 from ..functions.text import normalize_query, preprocess_text
 from ..operators.chunking import explode_chunks, explode_qa_chunks
-from ..operators.index import TfidfIndex, fit_index
-from ..session import materialize, spread
+from ..operators.index import TfidfIndex, fit_index, question_index
+from ..session import materialize, scratch, spread
+from ..sources import io
 from . import fixtures
 
 DOC_KEY = ["doc_id", "chunk_idx"]
@@ -62,11 +64,8 @@ class Corpus:
     table that maps a hit to the text it returns (``answers`` keyed by
     ``answer_key``).
 
-    The chunk table is checkpointed once it is cut: the index build reads it
-    in three places (postings, vocabulary, chunk count) and retrieval joins
-    back to it, so none of those reads re-chunks the text.  The index is
-    checkpointed too: retrieval counts the query side against it before it
-    decides on a broadcast."""
+    The chunk table is written once it is cut: the index build reads it and
+    retrieval joins back to it, so none of those reads re-chunks the text."""
 
     name: str
     chunks: DataFrame
@@ -87,9 +86,19 @@ class Corpus:
         return out
 
 
+def all_document_corpus(spark: SparkSession, sf_dir: str, cfg: QAConfig = DEFAULT,
+                        materialize_index: bool = True) -> Corpus:
+    """Every document."""
+    return _document_corpus(fixtures.documents(spark, sf_dir), cfg, materialize_index)
+
+
 def main_document_corpus(spark: SparkSession, sf_dir: str, cfg: QAConfig = DEFAULT,
                          materialize_index: bool = True) -> Corpus:
-    docs = fixtures.main_documents(spark, sf_dir)
+    """The curated documents of the cascade."""
+    return _document_corpus(fixtures.main_documents(spark, sf_dir), cfg, materialize_index)
+
+
+def _document_corpus(docs: DataFrame, cfg: QAConfig, materialize_index: bool) -> Corpus:
     chunks = materialize(document_chunks(docs, cfg))
     idx = fit_index(chunks, DOC_KEY, "chunk_text", cfg.max_features, materialize=materialize_index)
     answers = docs.select("doc_id", "text")
@@ -117,16 +126,71 @@ def qa_corpus(spark: SparkSession, sf_dir: str, cfg: QAConfig = DEFAULT,
     return Corpus("main_dataset", chunks, QA_KEY, idx, answers, ["question_idx"])
 
 
-# Built corpora per (application, data directory, kind, config): the
-# checkpointed chunk tables and indexes are reused by every later query of
-# the same application, the way the answering service keeps its index in
-# memory between requests.  Index builds are measured by ``fit_index``.
+def question_corpus(qa: DataFrame, cfg: QAConfig = DEFAULT) -> Corpus:
+    """The fallback corpus of processed Q&A rows without a chunk index (D9):
+    questions are searched, answers returned; no rows, no index."""
+    if qa.isEmpty():
+        return Corpus("main_dataset", qa, QA_KEY, None)
+    index = question_index(qa, cfg.max_features).materialize()
+    return Corpus("main_dataset", qa, QA_KEY, index, qa.select("question_idx", F.col("answer").alias("text")), ["question_idx"])
+
+
+def open_corpus(spark: SparkSession, root: str, cfg: QAConfig = DEFAULT) -> Corpus:
+    """The curated Q&A corpus as :func:`build_corpus` left it under ``root``;
+    without a readable index, the question fallback over what is there."""
+    qa = io.load_corpus(spark, f"{root}/processed")
+    index = io.load_index(spark, f"{root}/index", QA_KEY)
+    if index is None:
+        return question_corpus(qa, cfg)
+    chunks = io.read_chunks_jsonl(spark, f"{root}/chunks")
+    return Corpus("main_dataset", chunks, QA_KEY, index, qa.select("question_idx", F.col("answer").alias("text")), ["question_idx"])
+
+
+def build_corpus(spark: SparkSession, csv: str, root: str, cfg: QAConfig = DEFAULT, encoding: str = "ISO-8859-1") -> bool:
+    """C4, the whole job: a Question/Answer CSV to the processed table, the
+    chunk records (JSON lines) and the index under ``root``.  Does nothing and
+    returns False when the processed table is already there; it is written
+    last, so an interrupted job is done again."""
+    try:
+        spark.read.parquet(f"{root}/processed")
+        return False
+    except AnalysisException:
+        pass
+    with scratch(spark):
+        raw = io.read_qa_csv(spark, csv, encoding)
+        qa = materialize(process_qa(raw.select("row_idx", "question", "answer")))
+        io.write_chunks_jsonl(explode_qa_chunks(spread(qa, "question_idx"), "main_dataset", cfg), f"{root}/chunks")
+        chunks = io.read_chunks_jsonl(spark, f"{root}/chunks")
+        io.save_index(fit_index(chunks, QA_KEY, "chunk_text", cfg.max_features), f"{root}/index")
+        io.write_processed(qa, f"{root}/processed")
+    return True
+
+
+# Built corpora per (application, data, kind, config): the written chunk
+# tables and indexes are reused by every later query of the same application,
+# the way the answering service keeps its index in memory between requests.
+# The data is told by the files' sizes and times, so replaced tables are read
+# anew.  Index builds are measured by ``fit_index``.
 _CACHE: dict = {}
-_BUILDERS = {"main": main_document_corpus, "uploaded": upload_corpus, "qa": qa_corpus}
+_BUILDERS = {"main": main_document_corpus, "uploaded": upload_corpus, "qa": qa_corpus, "all": all_document_corpus}
+
+
+def data_version(spark: SparkSession, path: str) -> tuple:
+    """Files, bytes and modification time of a table."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    content = fs.getContentSummary(p)
+    return content.getFileCount(), content.getLength(), fs.getFileStatus(p).getModificationTime()
 
 
 def cached_corpus(spark: SparkSession, sf_dir: str, kind: str, cfg: QAConfig = DEFAULT) -> Corpus:
-    key = (spark.sparkContext.applicationId, sf_dir, kind, cfg)
+    table = "conversations" if kind == "qa" else "documents"
+    key = (spark.sparkContext.applicationId, sf_dir, kind, cfg, data_version(spark, f"{sf_dir}/{table}.parquet"))
     if key not in _CACHE:
         _CACHE[key] = _BUILDERS[kind](spark, sf_dir, cfg)
     return _CACHE[key]
+
+
+def release_corpora() -> None:
+    """Forget the built corpora (their files go with the work folder)."""
+    _CACHE.clear()

@@ -8,7 +8,7 @@ supplied tables.
 
 from __future__ import annotations
 
-from ..config import DEFAULT
+from ..config import ANSWER_MARK, CONTEXT_BLOCK, CONTEXT_QUESTION, DEFAULT
 from ..functions.stopwords import ENGLISH_STOP_WORDS
 from ..functions.text import WS_CLASS
 from .fixtures import UPLOAD_SOURCES
@@ -132,12 +132,12 @@ def topk_cte(scores: str, keys: list[str], k: int, threshold: float, prefix: str
 # -- corpora -----------------------------------------------------------------
 
 def main_docs_src() -> str:
-    return f"(SELECT doc_id, {pre('text')} AS t FROM documents WHERE source NOT IN {UPLOADS})"
+    return f"(SELECT doc_id, {pre('text')} AS t FROM documents WHERE coalesce(source, '') NOT IN {UPLOADS})"
 
 
 def upload_docs_src() -> str:
     return (f"(SELECT doc_id, 'doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS filename, "
-            f"{pre('text')} AS t FROM documents WHERE source IN {UPLOADS})")
+            f"{pre('text')} AS t FROM documents WHERE coalesce(source, '') IN {UPLOADS})")
 
 
 def main_corpus_ctes(prefix: str = "m") -> str:
@@ -145,6 +145,13 @@ def main_corpus_ctes(prefix: str = "m") -> str:
             index_ctes(f"{prefix}_chunks", ["doc_id", "chunk_idx"], "chunk_text", prefix))
 
 
+def all_corpus_ctes(prefix: str = "m") -> str:
+    """Chunks and index of all documents."""
+    src = f"(SELECT doc_id, {pre('text')} AS t FROM documents)"
+    return (chunk_ctes(src, "doc_id", "t", prefix) + "," +
+            index_ctes(f"{prefix}_chunks", ["doc_id", "chunk_idx"], "chunk_text", prefix))
+
+
 def upload_corpus_ctes(prefix: str = "u") -> str:
     return (chunk_ctes(upload_docs_src(), "doc_id", "t", prefix) + "," +
             index_ctes(f"{prefix}_chunks", ["doc_id", "chunk_idx"], "chunk_text", prefix))
@@ -173,12 +180,42 @@ def lstrip_ws(x: str) -> str:
     return f"regexp_replace({x}, '^{WS}+', '')"
 
 
+def _typed(x: str) -> str:
+    """Items (kind, text) of a JSON list text, null when it is not one."""
+    return f"""CASE WHEN json_valid({x}) AND json_type(CAST({x} AS JSON)) = 'ARRAY'
+      THEN list_transform(CAST(CAST({x} AS JSON) AS JSON[]), lambda j: CASE coalesce(json_type(j), 'NULL')
+        WHEN 'VARCHAR' THEN {{'kind': 'string', 'text': json_extract_string(j, '$')}}
+        WHEN 'NULL' THEN {{'kind': 'null', 'text': 'None'}}
+        WHEN 'BOOLEAN' THEN {{'kind': 'bool', 'text': CASE WHEN CAST(j AS VARCHAR) = 'true' THEN 'True' ELSE 'False' END}}
+        WHEN 'ARRAY' THEN {{'kind': 'nested', 'text': CAST(j AS VARCHAR)}}
+        WHEN 'OBJECT' THEN {{'kind': 'nested', 'text': CAST(j AS VARCHAR)}}
+        ELSE {{'kind': 'number', 'text': CAST(j AS VARCHAR)}} END) END"""
+
+
+# tokens of a Python literal (RE2 form)
+LITERAL_TOKEN = r"""(?s)"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^\s'",\[\]{}:()]+|[\[\]{},:()]"""
+
+
 def json_items(x: str) -> str:
-    """Items of a whole-text JSON list (null when not one)."""
-    return (f"CASE WHEN regexp_matches({x}, '(?s)^\\[.*\\]$') AND json_valid({x}) "
-            f"AND json_type(CAST({x} AS JSON)) = 'ARRAY' "
-            f"THEN list_transform(from_json({x}, '[\"VARCHAR\"]'), "
-            f"lambda i: CASE WHEN i IS NULL THEN 'None' WHEN i = 'true' THEN 'True' WHEN i = 'false' THEN 'False' ELSE i END) END")
+    """Items (kind, text) of a whole-text JSON list, else of a Python list
+    literal; null when the text is neither."""
+    inner = "replace(replace(substring(t, 2, length(t) - 2), " + q("\\'") + ", " + q("'") + "), " + q('"') + ", " + q('\\"') + ")"
+    spell = f"""CASE WHEN starts_with(t, {q("'")}) THEN '"' || {inner} || '"' WHEN t = 'None' THEN 'null' WHEN t = 'True' THEN 'true'
+      WHEN t = 'False' THEN 'false' WHEN t IN ('null', 'true', 'false') THEN '!' ELSE t END"""
+    python = f"array_to_string(list_transform(regexp_extract_all({x}, {q(LITERAL_TOKEN)}), lambda t: {spell}), '')"
+    return f"CASE WHEN regexp_matches({x}, '(?s)^\\[.*\\]$') THEN coalesce({_typed(x)}, {_typed(python)}) END"
+
+
+def joined_items(items: str, mode: str) -> str:
+    kept = items
+    if mode == "context":
+        falsy = """(i.text = '' OR i.kind = 'null' OR (i.kind = 'bool' AND i.text = 'False')
+          OR (i.kind = 'number' AND TRY_CAST(i.text AS DOUBLE) = 0) OR (i.kind = 'nested' AND i.text IN ('[]', '{}')))"""
+        kept = f"list_filter({items}, lambda i: NOT {falsy})"
+    texts = f"list_transform({kept}, lambda i: {strip_ws('i.text')})"
+    if mode == "format":
+        texts = f"list_filter({texts}, lambda x: x <> '')"
+    return f"array_to_string({texts}, chr(10))"
 
 
 def strip_brackets(x: str) -> str:
@@ -188,8 +225,7 @@ def strip_brackets(x: str) -> str:
 def clean_context(x: str) -> str:
     """B6."""
     items = json_items(x)
-    falsy = "('', 'None', 'False', '0', '0.0', '[]', '{}')"
-    joined = f"array_to_string(list_transform(list_filter({items}, lambda i: i NOT IN {falsy}), lambda i: {strip_ws('i')}), chr(10))"
+    joined = joined_items(items, "context")
     listy = f"(starts_with({x}, '[') AND ends_with({x}, ']'))"
     fb = f"CASE WHEN {listy} THEN trim({strip_brackets(x)}) ELSE {x} END"
     return f"CASE WHEN {items} IS NOT NULL THEN {joined} ELSE regexp_replace({strip_ws(fb)}, '{WS}+', ' ', 'g') END"
@@ -202,7 +238,7 @@ def clean_generated(x: str) -> str:
     t = f"regexp_replace({t}, '(?i)Question:{WS}*', '', 'g')"
     t = f"regexp_replace({t}, '(?im)^Answer:{WS}*', '', 'g')"
     items = json_items(t)
-    joined = f"array_to_string(list_transform({items}, lambda i: {strip_ws('i')}), chr(10))"
+    joined = joined_items(items, "llm")
     listy = f"(starts_with({t}, '[') AND ends_with({t}, ']'))"
     t2 = f"CASE WHEN {items} IS NOT NULL THEN {joined} WHEN {listy} THEN trim({strip_brackets(t)}) ELSE {t} END"
     return strip_ws(f"regexp_replace({t2}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
@@ -276,7 +312,6 @@ def format_ctes(src: str, prefix: str) -> str:
     """``{prefix}_fmt(id, response)`` from ``src(id, raw, question)``."""
     pre_ = strip_ws(strip_prompt_prefix("raw", "question"))
     items = json_items("p")
-    joined = f"array_to_string(list_filter(list_transform({items}, lambda i: {strip_ws('i')}), lambda i: i <> ''), chr(10))"
     m = f"regexp_replace(p, '(?i)Context{WS}+\\p{{Nd}}+:{WS}*', '', 'g')"
     m = f"regexp_replace({m}, '(?im)^Answer:{WS}*', '', 'g')"
     m = f"regexp_replace({m}, '(?i)Question:{WS}*', '', 'g')"
@@ -288,7 +323,7 @@ def format_ctes(src: str, prefix: str) -> str:
 {dedup_ctes(f"{prefix}_todo", f"{prefix}_d")},
 {prefix}_fmt AS (
   SELECT s.id, CASE WHEN s.rawnull THEN '' WHEN s.items IS NOT NULL THEN
-     array_to_string(list_filter(list_transform(s.items, lambda i: {strip_ws('i')}), lambda i: i <> ''), chr(10))
+     {joined_items('s.items', 'format')}
      ELSE d.text END AS response
   FROM {prefix}_st s LEFT JOIN {prefix}_d_out d ON d.id = s.id
 )"""
@@ -307,14 +342,15 @@ def generated_src() -> str:
       FROM benchmark b LEFT JOIN benchmark n ON n.item_id = b.item_id + 1)"""
 
 
-def gate_cte(prefix: str = "g") -> str:
-    """``{prefix}_gate(query_id, answer, gate_reason)``."""
+def gate_cte(prefix: str = "g", only: str = "TRUE") -> str:
+    """``{prefix}_gate(query_id, answer, gate_reason)``; ``only``: which
+    questions have a generated row."""
     c = clean_generated("raw")
     gen = f"CASE WHEN length({strip_ws(c)}) < 10 THEN '' ELSE {c} END"
     s = strip_ws("coalesce(generated, '')")
     leak = f"(contains(lower({s}), {q(UNC.lower())}) AND length({s}) < {len(UNC) + 20})"
     return f"""
-{prefix}_gen AS (SELECT query_id, {gen} AS generated FROM {generated_src()}),
+{prefix}_gen AS (SELECT query_id, {gen} AS generated FROM {generated_src()} WHERE {only}),
 {prefix}_gate AS (
   SELECT query_id, {s} AS answer,
          CASE WHEN length({s}) < 5 THEN 'empty' WHEN {leak} THEN 'leak' END AS gate_reason
@@ -386,13 +422,13 @@ def relevance_ctes(answers: str, prefix: str = "r") -> str:
 )"""
 
 
-def route_ctes() -> str:
+def route_ctes(generated: str = "TRUE") -> str:
     """F6 over the benchmark questions: ``routed(query_id, response, source,
     similarity_score, dataset_source, is_grounded)``."""
     sth = DEFAULT.similarity_threshold
     strict = DEFAULT.strict_context_score
     hard = DEFAULT.hard_reject_relevance
-    return ",".join([cascade_ctes(), gate_cte("g"), f"""
+    return ",".join([cascade_ctes(), gate_cte("g", generated), f"""
 best AS (
   SELECT * FROM (
     SELECT query_id, text, score, source_order,
@@ -407,7 +443,7 @@ okans AS (
   WHERE g.gate_reason IS NULL AND c.ctx_score > {strict} AND g.query_id IN (SELECT query_id FROM rest)
 )""", relevance_ctes("okans", "r"), f"""
 fb AS (
-  SELECT r.query_id, g.answer, g.gate_reason, c.ctx_score, l.relevance, l.is_relevant,
+  SELECT r.query_id, g.answer, CASE WHEN g.query_id IS NULL THEN 'empty' ELSE g.gate_reason END AS gate_reason, c.ctx_score, l.relevance, l.is_relevant,
          (c.ctx_score IS NOT NULL AND c.ctx_score > {strict}) AS strong,
          (c.ctx_score IS NOT NULL AND c.ctx_score > {strict} AND NOT l.is_relevant AND l.relevance < {hard}) AS rejected
   FROM rest r LEFT JOIN g_gate g ON g.query_id = r.query_id
@@ -443,12 +479,13 @@ def event_results_src() -> str:
          CASE WHEN source_used <> 'error' THEN (expected_source IS NULL OR source_used = expected_source) END AS source_match,
          similarity_score, is_grounded, latency_ms
   FROM (
-    SELECT event_id AS question_id, 'topic_' || CAST(user_id % 6 AS VARCHAR) AS topic, event_type AS source_used,
+    SELECT event_id AS question_id, 'topic_' || CAST(user_id % 6 AS VARCHAR) AS topic, source_used,
            CASE event_id % 3 WHEN 0 THEN 'dataset' WHEN 1 THEN 'llm' END AS expected_source,
-           CAST(CASE WHEN event_type = 'error' THEN NULL ELSE round(value - floor(value), 6) END AS DOUBLE) AS similarity_score,
-           CASE WHEN event_type = 'error' THEN NULL ELSE user_id % 2 = 0 END AS is_grounded,
-           CAST(CASE WHEN event_type = 'error' THEN NULL ELSE value END AS DOUBLE) AS latency_ms
-    FROM events
+           CAST(CASE WHEN source_used = 'error' THEN NULL ELSE round(value - floor(value), 6) END AS DOUBLE) AS similarity_score,
+           CASE WHEN source_used = 'error' THEN NULL ELSE user_id % 2 = 0 END AS is_grounded,
+           CAST(CASE WHEN source_used = 'error' THEN NULL ELSE value END AS DOUBLE) AS latency_ms
+    FROM (SELECT *, CASE event_id % 7 WHEN 0 THEN 'dataset' WHEN 1 THEN 'uploaded' WHEN 2 THEN 'llm' WHEN 3 THEN 'uncertain'
+                 WHEN 4 THEN 'dataset' WHEN 5 THEN event_type ELSE 'error' END AS source_used FROM events)
   )
 )"""
 
@@ -530,11 +567,11 @@ qa_turns AS (
   FROM conversations c LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1
 ),
 qa_q AS (
-  SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS row_idx, text AS question,
+  SELECT CAST(conv_id * 4294967296 + turn * 2 AS BIGINT) AS row_idx, text AS question,
          CASE WHEN next_role = 'assistant' THEN next_text END AS answer
   FROM qa_turns WHERE role = 'user'
 ),
-qa_raw AS (SELECT * FROM qa_q UNION ALL SELECT row_idx + 500, question, question FROM qa_q),
+qa_raw AS (SELECT * FROM qa_q UNION ALL SELECT row_idx + 1, question, question FROM qa_q),
 qa_dedup AS (
   SELECT row_idx, question, answer FROM (
     SELECT *, row_number() OVER (PARTITION BY question ORDER BY row_idx) AS rn FROM qa_raw
@@ -565,15 +602,14 @@ def prompt_ctes() -> str:
     return f"""
 cc AS (SELECT query_id, pos, {clean_context('text')} AS c FROM ctx WHERE pos <= {DEFAULT.context_top_k}),
 blocks AS (
-  SELECT query_id, string_agg('Relevant information:' || chr(10) || c, chr(10) || chr(10) ORDER BY pos) AS context
+  SELECT query_id, string_agg({q(CONTEXT_BLOCK)} || c, chr(10) || chr(10) ORDER BY pos) AS context
   FROM cc WHERE c <> '' GROUP BY query_id
 ),
 prompts AS (
   SELECT b.item_id AS query_id, b.text AS question,
          CASE WHEN k.context IS NOT NULL
-              THEN {q(p)} || chr(10) || chr(10) || k.context || chr(10) || chr(10) ||
-                   'Based on the above information, answer this question:' || chr(10) || b.text || chr(10) || chr(10) || 'Answer:'
-              ELSE {q(p)} || chr(10) || chr(10) || b.text || chr(10) || chr(10) || 'Answer:' END AS prompt
+              THEN {q(p)} || chr(10) || chr(10) || k.context || chr(10) || chr(10) || {q(CONTEXT_QUESTION)} || b.text || chr(10) || chr(10) || {q(ANSWER_MARK)}
+              ELSE {q(p)} || chr(10) || chr(10) || b.text || chr(10) || chr(10) || {q(ANSWER_MARK)} END AS prompt
   FROM benchmark b LEFT JOIN blocks k ON k.query_id = b.item_id
 )"""
 

@@ -59,14 +59,14 @@ def q_chunk_text(spark, sf):
 
 @register("fit_index")
 def q_fit_index(spark, sf):
-    corp = K.main_document_corpus(spark, sf, materialize_index=False)
+    corp = K.all_document_corpus(spark, sf, materialize_index=False)
     p = corp.index.postings
     return p.select("doc_id", "chunk_idx", "term", _round(F.col("weight"), 9).alias("weight"))
 
 
 @register("top_vocabulary")
 def q_top_vocabulary(spark, sf):
-    corp = K.main_document_corpus(spark, sf, materialize_index=False)
+    corp = K.all_document_corpus(spark, sf, materialize_index=False)
     v = corp.index.vocab
     return v.select("term", "df", _round(F.col("idf"), 9).alias("idf"), "n_docs")
 
@@ -75,9 +75,9 @@ def q_top_vocabulary(spark, sf):
 
 @register("retrieve_chunks")
 def q_retrieve_chunks(spark, sf):
-    """Benchmark questions against the curated document corpus, k=3 at
+    """Benchmark questions against all documents, k=3 at
     the similarity threshold, with the chunk text."""
-    corp = K.cached_corpus(spark, sf, "main")
+    corp = K.cached_corpus(spark, sf, "all")
     hits = R.retrieve(corp.index, X.questions(spark, sf), DEFAULT.top_k, DEFAULT.similarity_threshold)
     out = R.attach(hits, corp.chunks, K.DOC_KEY)
     return out.select("query_id", "rank", "score", "doc_id", "chunk_idx", "chunk_text")
@@ -142,14 +142,64 @@ def q_answer_questions(spark, sf):
     return A.answer_questions(qs, main, up, raw, DEFAULT, use_uploaded=True)
 
 
+def _odd_inputs(spark, sf):
+    odd = X.odd_questions(spark, sf)
+    qs = odd.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    raw = X.generated_answers(spark, sf, questions=odd).withColumnRenamed("generated", "raw")
+    return qs, raw.where(F.col("query_id") < X.UNANSWERED)
+
+
+@register("answer_odd_questions")
+def q_answer_odd_questions(spark, sf):
+    """F7 with null and blank questions and questions for which nothing was
+    generated."""
+    main, up, _, _ = _cascade_inputs(spark, sf)
+    qs, raw = _odd_inputs(spark, sf)
+    return A.answer_questions(qs, main, up, raw, DEFAULT, use_uploaded=True)
+
+
+@register("route_without_index")
+def q_route_without_index(spark, sf):
+    """F6 without any index: generated answers or uncertain."""
+    qs, raw = _odd_inputs(spark, sf)
+    return A.route_answers(qs.where(F.col("question").isNotNull()), None, None, raw, DEFAULT)
+
+
+@register("route_generated")
+def q_route_generated(spark, sf):
+    """F6 with a generator called in the cascade (F2, F3, F4, F5 on its
+    output)."""
+    main, up, qs, _ = _cascade_inputs(spark, sf)
+    return A.route_answers(qs, main, up, extractive_generator, DEFAULT, use_uploaded=True)
+
+
+@register("corpus_job")
+def q_corpus_job(spark, sf):
+    """C4, the whole job over a CSV of the raw Q&A rows, run twice (the second
+    run finds it done), and the user turns against what it left."""
+    from ..session import work_dir
+    from ..sources import io
+
+    d, root = work_dir(spark, "qa_csv"), work_dir(spark, "corpus_job")
+    raw = X.raw_qa(spark, sf).select("row_idx", F.col("question").alias("Question"), F.col("answer").alias("Answer"))
+    io.write_processed(raw, d, "csv")
+    if not K.build_corpus(spark, d, root, encoding="UTF-8") or K.build_corpus(spark, d, root, encoding="UTF-8"):
+        raise RuntimeError("the corpus job runs once")
+    corp = K.open_corpus(spark, root)
+    qs = X.table(spark, sf, "conversations").where(F.col("role") == "user").select(X.row_id().alias("query_id"), F.col("text").alias("question"))
+    hits = R.retrieve(corp.index, qs, DEFAULT.top_k, DEFAULT.context_threshold)
+    return corp.answer_texts(hits).select("query_id", "rank", "score", "question_idx", "chunk_idx", F.col("text").alias("answer"))
+
+
 # -- G: evaluation -------------------------------------------------------------
 
 def _event_results(spark, sf):
     return G.results_from_events(X.event_results(spark, sf))
 
 
-def _answer_results(spark, sf):
+def _answer_results(spark, sf, answered=None):
     main, up, qs, raw = _cascade_inputs(spark, sf)
+    qs = qs if answered is None else qs.where(answered)
     ans = A.answer_questions(qs, main, up, raw, DEFAULT, use_uploaded=True)
     return G.evaluate_questions(ans, X.expectations(spark, sf))
 
@@ -240,7 +290,7 @@ def q_retrieve_qa(spark, sf):
     the answer chunks, returning the full answer (Q1)."""
     corp = K.cached_corpus(spark, sf, "qa")
     qs = X.table(spark, sf, "conversations").where(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
+        X.row_id().alias("query_id"), F.col("text").alias("question"))
     hits = R.retrieve(corp.index, qs, DEFAULT.top_k, DEFAULT.context_threshold)
     out = corp.answer_texts(hits)
     return out.select("query_id", "rank", "score", "question_idx", "chunk_idx", F.col("text").alias("answer"))
@@ -261,15 +311,15 @@ def q_tokenize(spark, sf):
 
 @register("term_frequency")
 def q_term_frequency(spark, sf):
-    """D3 over the curated document chunks."""
-    chunks = K.document_chunks(X.main_documents(spark, sf))
+    """D3 over all document chunks."""
+    chunks = K.document_chunks(X.documents(spark, sf))
     return I.term_frequency(chunks, K.DOC_KEY, "chunk_text")
 
 
 @register("transform_queries")
 def q_transform_queries(spark, sf):
-    """Benchmark question vectors in the curated corpus vocabulary."""
-    corp = K.cached_corpus(spark, sf, "main")
+    """Benchmark question vectors in the vocabulary of all documents."""
+    corp = K.cached_corpus(spark, sf, "all")
     qp = I.transform_queries(corp.index, X.questions(spark, sf))
     return qp.select("query_id", "term", _round(F.col("qweight"), 9).alias("qweight"))
 
@@ -277,7 +327,7 @@ def q_transform_queries(spark, sf):
 # -- E: scores, thresholds, ranks ---------------------------------------------------
 
 def _scores(spark, sf):
-    corp = K.cached_corpus(spark, sf, "main")
+    corp = K.cached_corpus(spark, sf, "all")
     qp = I.transform_queries(corp.index, X.questions(spark, sf))
     return corp, R.cosine_scores(qp, corp.index.postings, K.DOC_KEY)
 
@@ -313,16 +363,30 @@ def q_best_chunk(spark, sf):
 
 @register("select_source")
 def q_select_source(spark, sf):
-    """The same questions against each source, labelled."""
+    """The same questions against each source by name; an unknown source
+    and one without an index give nothing."""
     qs = X.questions(spark, sf)
+    sources = {"main": K.cached_corpus(spark, sf, "main"), "uploaded": K.cached_corpus(spark, sf, "uploaded"),
+               "empty": K.Corpus("empty", qs, K.DOC_KEY, None)}
     out = None
-    for name, corp in (("main", K.cached_corpus(spark, sf, "main")), ("uploaded", K.cached_corpus(spark, sf, "uploaded"))):
-        h = R.retrieve(corp.index, qs, DEFAULT.top_k, DEFAULT.similarity_threshold)
-        h = h.select(F.lit(name).alias("source"), "query_id", "rank", "score", *K.DOC_KEY)
+    for name in ("main", "uploaded", "empty", "elsewhere"):
+        h = R.select_source(sources, name, qs).select(F.lit(name).alias("source"), "query_id", "rank", "score", "text")
         out = h if out is None else out.unionByName(h)
     return out
 
 
+@register("rank_chunks")
+def q_rank_chunks(spark, sf):
+    """E5: the hits of every question in score order, as positions."""
+    from pyspark.sql import Window
+
+    corp, sc = _scores(spark, sf)
+    top = R.top_k_per_query(sc, K.DOC_KEY, DEFAULT.top_k, DEFAULT.context_threshold).drop("rank")
+    ranked = R.rank_chunks(top, K.DOC_KEY)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *[F.desc(c) for c in K.DOC_KEY])
+    return ranked.select("query_id", F.row_number().over(order).cast("long").alias("place"), "score", *K.DOC_KEY)
+
+
 # -- C6 ----------------------------------------------------------------------
 
 @register("pack_token_blocks")
@@ -343,6 +407,43 @@ def q_parse_list_string(spark, sf):
     return c.select("conv_id", "turn", T.join_list_items(items, "format").alias("items"))
 
 
+@register("parse_list_typed")
+def q_parse_list_typed(spark, sf):
+    """B5 over list literals: kinds and texts of the items."""
+    items = T.parse_list_items(F.col("text"))
+    return X.list_texts(spark, sf).select(
+        "conv_id", "turn", F.array_join(F.transform(items, lambda x: F.concat_ws("=", x["kind"], x["text"])), "|").alias("items"))
+
+
+@register("clean_context_lists")
+def q_clean_context_lists(spark, sf):
+    """B6 over list literals."""
+    return X.list_texts(spark, sf).select("conv_id", "turn", T.clean_context("text").alias("text"))
+
+
+@register("clean_generated_lists")
+def q_clean_generated_lists(spark, sf):
+    """B7 over list literals and marker lines."""
+    return X.list_texts(spark, sf).select("conv_id", "turn", T.clean_generated("text").alias("text"))
+
+
+@register("format_answer_lists")
+def q_format_answer_lists(spark, sf):
+    """B10 over list literals and marker lines."""
+    from ..operators.cleaning import format_answers
+
+    texts = X.list_texts(spark, sf).select(X.row_id().alias("row_idx"), "text", F.lit("What?").alias("question"))
+    return format_answers(texts, "row_idx", "text", "question", "response").select("row_idx", "response")
+
+
+@register("dedup_sentences_marked")
+def q_dedup_sentences_marked(spark, sf):
+    """B9 over fences, bullets and repeated sentences."""
+    from ..operators.cleaning import dedup_sentences
+
+    return dedup_sentences(X.marked_texts(spark, sf), "doc_id", "text", "text")
+
+
 @register("clean_context")
 def q_clean_context(spark, sf):
     """B6 over every document."""
@@ -448,12 +549,12 @@ def q_chunks_jsonl_roundtrip(spark, sf):
 
 @register("index_roundtrip")
 def q_index_roundtrip(spark, sf):
-    """A10 then A11: the curated index saved and loaded (postings)."""
+    """A10 then A11: the index of all documents saved and loaded (postings)."""
     from ..session import work_dir
     from ..sources import io
 
     d = work_dir(spark, "index")
-    corp = K.main_document_corpus(spark, sf, materialize_index=False)
+    corp = K.all_document_corpus(spark, sf, materialize_index=False)
     io.save_index(corp.index, d)
     idx = io.load_index(spark, d, K.DOC_KEY)
     return idx.postings.select("doc_id", "chunk_idx", "term", _round(F.col("weight"), 9).alias("weight"))
@@ -490,21 +591,25 @@ def q_validate_uploads(spark, sf):
     up = X.upload_documents(spark, sf).select("filename", F.octet_length("text").cast("long").alias("size"))
     pages = X.table(spark, sf, "pages").select(
         F.element_at(F.split("url", "/"), -1).alias("filename"), F.octet_length("html").cast("long").alias("size"))
-    return io.validate_uploads(up.unionByName(pages))
+    # too large, empty and unnamed files, from every document
+    m = F.pmod(F.col("doc_id"), F.lit(3))
+    odd = X.documents(spark, sf).select(
+        F.when(m == 2, F.lit("")).otherwise(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".CSV"))).alias("filename"),
+        F.when(m == 0, F.col("n_chars") * (1 << 20)).when(m == 1, F.lit(0)).otherwise(F.col("n_chars")).cast("long").alias("size"))
+    return io.validate_uploads(up.unionByName(pages).unionByName(odd))
 
 
 @register("write_eval_results")
 def q_write_eval_results(spark, sf):
-    """A12 then A13 read back: the events result table through CSV."""
+    """A12 read back: the 15 result columns and ``error`` through CSV, with a
+    fifth of the questions unanswered (error rows)."""
     from ..session import work_dir
     from ..sources import io
 
     d = work_dir(spark, "eval_results")
-    res = G.detail_table(_event_results(spark, sf).withColumn("question", F.lit(None).cast("string")))
+    res = G.with_errors(_answer_results(spark, sf, answered=F.pmod(F.col("query_id"), F.lit(5)) != 0))
     io.write_eval_results(res, d)
-    schema = ("question_id long, question string, source_used string, similarity_score double, "
-              "context_retrieved boolean, is_grounded boolean, latency_ms double")
-    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(d)
+    return spark.read.schema(res.schema).option("header", True).option("escape", '"').option("multiLine", True).csv(d)
 
 
 @register("write_eval_summary")
@@ -530,6 +635,42 @@ def q_prepare_uploads(spark, sf):
     return chunks
 
 
+def _write_csv_files(spark, sf):
+    """A CSV file of the nations of each region; regions of odd number have a
+    third column, which is empty."""
+    from ..session import work_dir
+
+    d = work_dir(spark, "csv_uploads")
+    n = X.table(spark, sf, "nation").select(F.col("n_regionkey").alias("k"), F.col("n_nationkey").alias("i"), F.col("n_name").alias("name"))
+    odd = F.col("k") % 2 == 1
+    line = F.concat(F.col("i").cast("string"), F.lit(',"'), F.col("name"), F.lit(', ""so"""'), F.when(odd, F.lit(",")).otherwise(F.lit("")))
+    rows = n.groupBy("k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
+    header = F.when(odd, F.lit("id,name,note")).otherwise(F.lit("id,title"))
+    name = F.concat(F.lit("nations"), F.col("k").cast("string"), F.lit(".csv"))
+    rows.select(name.alias("filename"), F.concat(header, F.lit("\n"), "body").alias("text")).write.partitionBy("filename").text(d)
+    return d
+
+
+@register("read_csv_as_text")
+def q_read_csv_as_text(spark, sf):
+    """CSV files with headers of their own, written from ``nation``."""
+    from ..sources import io
+
+    return io.read_csv_as_text(spark, _write_csv_files(spark, sf)).select("filename", T.preprocess_text("text").alias("text"))
+
+
+@register("upload_rejects")
+def q_upload_rejects(spark, sf):
+    """C5's rejects: the stand-ins under unsupported names beside the CSV files."""
+    from ..session import work_dir
+    from .uploads import prepare_uploads
+
+    d = work_dir(spark, "reject_uploads")
+    X.upload_documents(spark, sf).select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, F.lit(".txt")).otherwise(F.lit(".pdf"))).alias("filename"), "text") \
+        .write.partitionBy("filename").text(d)
+    return prepare_uploads(spark, d)[1].select("filename", "reason")
+
+
 @register("replace_upload_index")
 def q_replace_upload_index(spark, sf):
     """Two upload batches (all stand-ins, then only those of one
@@ -542,8 +683,8 @@ def q_replace_upload_index(spark, sf):
     first = C.explode_upload_chunks(files)
     second = C.explode_upload_chunks(
         files.join(X.documents(spark, sf).where(F.col("source") == "src5").select("doc_id"), "doc_id", "left_semi"))
-    replace_upload_index(spark, first, root, 0)
-    replace_upload_index(spark, second, root, 1)
+    replace_upload_index(spark, first, root)
+    replace_upload_index(spark, second, root)
     corp = current_upload_corpus(spark, root)
     return corp.index.postings.select("filename", "chunk_idx", "term",
                                       _round(F.col("weight"), 9).alias("weight"))
@@ -551,13 +692,18 @@ def q_replace_upload_index(spark, sf):
 
 @register("corpus_status")
 def q_corpus_status(spark, sf):
-    """H1 over the Q&A corpus and the uploaded-file stand-ins."""
+    """H1 over the Q&A corpus, its saved index and the uploaded-file
+    stand-ins."""
+    from ..session import work_dir
+    from ..sources import io
     from .uploads import corpus_status
 
+    d = work_dir(spark, "status_index")
+    io.save_index(K.cached_corpus(spark, sf, "qa").index, d)
     qa = K.process_qa(X.raw_qa(spark, sf))
     main_chunks = C.explode_qa_chunks(spread(qa, "question_idx"))
     up_chunks = C.explode_upload_chunks(spread(X.upload_documents(spark, sf), "doc_id"))
-    return corpus_status(qa, main_chunks, up_chunks, has_index=True)
+    return corpus_status(qa, main_chunks, up_chunks, io.load_index(spark, d, K.QA_KEY))
 
 
 # -- I: streams --------------------------------------------------------------

@@ -1,15 +1,17 @@
 """C5 ``prepare_uploads``, D10 ``replace_upload_index``, H1 ``corpus_status``.
 
-An upload batch is a directory of files.  Names and sizes come from a file
-listing (so empty files are seen and rejected); accepted text files are
-read in one pass, cleaned, chunked and indexed.  The upload index is
-replaced atomically: every batch is written to a new versioned directory and
-a small pointer table names the current one, so readers of the previous
-version are never disturbed (D10).
+An upload batch is a set of files.  Names and sizes are checked first;
+accepted files are read once, cleaned, chunked and indexed, the same way from a
+directory and from a stream.  The upload index is replaced atomically: every
+build goes to a directory of its own and a small pointer table names the
+current one, so readers of earlier versions are never disturbed (D10).
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,43 +22,64 @@ from ..sources import io
 from .corpus import Corpus
 
 UPLOAD_KEY = ["filename", "chunk_idx"]
+CHUNK_SCHEMA = "source string, filename string, chunk_idx long, total_chunks long, chunk_text string"
+
+
+def prepare_files(files: DataFrame, cfg: QAConfig = DEFAULT):
+    """C5 for raw files ``(filename, size, content)``: ``(chunks, rejects)``,
+    ``chunks`` with C3's columns, ``rejects`` the files that were not accepted
+    with their reason."""
+    checked = io.validate_uploads(files, cfg)
+    rejects = checked.where(~F.col("accepted")).select("filename", "size", "reason")
+    texts = io.upload_texts(checked.where("accepted"))
+    return explode_upload_chunks(texts, cfg), rejects
 
 
 def prepare_uploads(spark: SparkSession, upload_dir: str, cfg: QAConfig = DEFAULT):
-    """``(chunks, rejects)``.  ``chunks`` has C3's columns; ``rejects``
-    lists every file that was not indexed with its reason.  Validation uses
-    the names and sizes of a file listing; the texts are read in one pass
-    and matched to the accepted files by path."""
+    """``(chunks, rejects)`` of a directory.  Rejects come from a file
+    listing, which alone sees empty files; accepted files are read in one
+    pass, larger ones are not opened."""
     listing = io.validate_uploads(io.list_files(spark, upload_dir), cfg)
     rejects = listing.where(~F.col("accepted")).select("filename", "size", "reason")
-    ok_paths = listing.where("accepted").select("path")
-    texts = io.read_text_files(spark, upload_dir)
-    suffix = F.lower(F.regexp_extract(F.col("path"), r"(\.[^./]*)$", 1))
-    # the listing is driver-side metadata already (one row per file)
-    texts = texts.where(suffix.isin(".txt", ".md", ".markdown")).join(F.broadcast(ok_paths), "path", "left_semi")
-    texts = texts.select("filename", "text")
-    csv_paths = [r.path for r in ok_paths.where(F.lower(F.col("path")).endswith(".csv")).collect()]
-    if csv_paths:
-        texts = texts.unionByName(io.read_csv_as_text(spark, csv_paths))
-    return explode_upload_chunks(texts, cfg), rejects
+    files = io.read_raw_files(spark, upload_dir, cfg.max_upload_bytes)
+    return prepare_files(files.drop("path"), cfg)[0], rejects
 
 
-def upload_corpus_from_chunks(chunks: DataFrame, cfg: QAConfig = DEFAULT) -> Corpus:
-    idx = fit_index(chunks, UPLOAD_KEY, "chunk_text", cfg.max_features, materialize=True)
+def _corpus(chunks: DataFrame, index) -> Corpus:
     answers = chunks.select(*UPLOAD_KEY, F.col("chunk_text").alias("text"))
-    return Corpus("uploaded_files", chunks, UPLOAD_KEY, idx, answers, UPLOAD_KEY)
+    return Corpus("uploaded_files", chunks, UPLOAD_KEY, index, answers, UPLOAD_KEY)
+
+
+def upload_corpus_from_chunks(chunks: DataFrame, cfg: QAConfig = DEFAULT) -> Corpus:
+    return _corpus(chunks, fit_index(chunks, UPLOAD_KEY, "chunk_text", cfg.max_features, materialize=True))
 
 
-def replace_upload_index(spark: SparkSession, chunks: DataFrame, root: str, version: int,
-                         cfg: QAConfig = DEFAULT) -> str:
+def _pointer(spark: SparkSession, root: str):
+    """The newest pointer row ``(version, path)``, or None."""
+    try:
+        rows = spark.read.parquet(f"{root}/_current").orderBy(F.desc("version")).limit(1).collect()
+    except AnalysisException:  # no pointer yet
+        return None
+    return rows[0] if rows else None
+
+
+def replace_upload_index(spark: SparkSession, chunks: DataFrame, root: str, cfg: QAConfig = DEFAULT,
+                         clear: bool = False) -> str | None:
     """Build the index of the newest upload batch and make it current.
-    An empty batch clears the current index.  Returns the version path."""
-    path = f"{root}/v{version:012d}"
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    stored = spark.read.parquet(f"{path}/chunks")
-    if stored.limit(1).count() > 0:
-        idx = fit_index(stored, UPLOAD_KEY, "chunk_text", cfg.max_features)
-        io.save_index(idx, f"{path}/index")
+    Returns the path of the new version.  A batch without chunks leaves the
+    current index as it is (returns None) unless ``clear`` is set, which makes
+    an empty version current.  Each build has a directory of its own, so a
+    repeated batch never overwrites files that readers hold; versions count
+    up from the pointer's."""
+    path = f"{root}/v-{uuid.uuid4().hex}"
+    chunks.write.parquet(f"{path}/chunks")
+    stored = spark.read.schema(chunks.schema).parquet(f"{path}/chunks")
+    if not stored.isEmpty():
+        io.save_index(fit_index(stored, UPLOAD_KEY, "chunk_text", cfg.max_features), f"{path}/index")
+    elif not clear:
+        return None
+    last = _pointer(spark, root)
+    version = last["version"] + 1 if last else 0
     spark.createDataFrame([(version, path)], "version long, path string") \
         .write.mode("append").parquet(f"{root}/_current")
     return path
@@ -64,25 +87,22 @@ def replace_upload_index(spark: SparkSession, chunks: DataFrame, root: str, vers
 
 def current_upload_corpus(spark: SparkSession, root: str) -> Corpus | None:
     """The upload corpus named by the newest pointer row, or None."""
-    try:
-        ptr = spark.read.parquet(f"{root}/_current").orderBy(F.desc("version")).limit(1).collect()
-    except Exception:  # noqa: BLE001 - no pointer yet
+    ptr = _pointer(spark, root)
+    if ptr is None:
         return None
-    if not ptr:
-        return None
-    path = ptr[0]["path"]
+    path = ptr["path"]
     idx = io.load_index(spark, f"{path}/index", UPLOAD_KEY)
     if idx is None:
         return None
-    chunks = spark.read.parquet(f"{path}/chunks")
-    answers = chunks.select(*UPLOAD_KEY, F.col("chunk_text").alias("text"))
-    return Corpus("uploaded_files", chunks, UPLOAD_KEY, idx, answers, UPLOAD_KEY)
+    return _corpus(spark.read.schema(CHUNK_SCHEMA).parquet(f"{path}/chunks"), idx)
 
 
 def corpus_status(qa: DataFrame, main_chunks: DataFrame | None, upload_chunks: DataFrame | None,
-                  has_index: bool, has_llm: bool = False, model_name: str = "Retrieval-only") -> DataFrame:
+                  index, has_llm: bool = False, model_name: str = "Retrieval-only") -> DataFrame:
     """H1: one row of readiness flags and counts (``/status`` and
-    ``/debug``)."""
+    ``/debug``).  ``index``: the loaded curated index, or None when there is
+    none (A11)."""
+    has_index = index is not None
     # one pass: the three tables tagged and counted by one aggregate
     tagged = qa.select(F.lit(0).alias("k"))
     if main_chunks is not None:
@@ -110,5 +130,5 @@ def corpus_status(qa: DataFrame, main_chunks: DataFrame | None, upload_chunks: D
     )
 
 
-__all__ = ["prepare_uploads", "replace_upload_index", "current_upload_corpus", "corpus_status",
+__all__ = ["prepare_files", "prepare_uploads", "replace_upload_index", "current_upload_corpus", "corpus_status",
            "upload_corpus_from_chunks"]

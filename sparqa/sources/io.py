@@ -8,16 +8,15 @@ per-partition counts (one row per partition) give the offsets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 
 from ..config import (
     DEFAULT, QAConfig, UPLOAD_BAD_TYPE, UPLOAD_EMPTY, UPLOAD_NO_NAME, UPLOAD_TOO_LARGE,
 )
 from ..session import materialize
 
-QA_SCHEMA = "question string, answer string"
 CHUNK_SCHEMA = ("dataset string, question_idx long, chunk_idx long, question string, answer string, "
                 "chunk_text string")
 EVAL_SET_SCHEMA = (
@@ -101,23 +100,28 @@ def load_index(spark: SparkSession, path: str, key_cols: list[str]):
     try:
         vocab = spark.read.parquet(f"{path}/vocab")
         postings = spark.read.parquet(f"{path}/postings")
-        vocab.schema, postings.schema  # noqa: B018 - resolves the files
-    except AnalysisException:
+        if not {"term", "idf"} <= set(vocab.columns) or not {"term", "weight", *key_cols} <= set(postings.columns):
+            return None
+    except (AnalysisException, PySparkException):  # missing, or a footer that cannot be read
         return None
     return TfidfIndex(vocab, postings, list(key_cols))
 
 
-def load_corpus(spark: SparkSession, processed: str, legacy: str | None = None) -> DataFrame:
-    """A2: the processed Q&A table, else the legacy cleaned table, else an
-    empty table with the Q&A columns."""
-    for path, reader in ((processed, spark.read.parquet),
-                         (legacy, lambda p: read_qa_csv(spark, p, "utf-8"))):
+def load_corpus(spark: SparkSession, processed: str, legacy: str | None = None, fmt: str = "parquet") -> DataFrame:
+    """A2: ``(question_idx, question, answer)`` of the processed Q&A table
+    (parquet, or CSV with ``fmt='csv'``), else of the legacy cleaned CSV, else
+    an empty table."""
+    def csv(path):
+        df = read_qa_csv(spark, path, "utf-8")
+        if "question_idx" in df.columns:
+            return df.withColumn("question_idx", F.col("question_idx").cast("long"))
+        return df.withColumnRenamed("row_idx", "question_idx")
+
+    for path, reader in ((processed, csv if fmt == "csv" else spark.read.parquet), (legacy, csv)):
         if not path:
             continue
         try:
-            df = reader(path)
-            df.schema  # noqa: B018
-            return df
+            return reader(path).select("question_idx", "question", "answer")
         except AnalysisException:
             continue
     return spark.createDataFrame([], "question_idx long, question string, answer string")
@@ -131,40 +135,98 @@ def read_eval_set(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     return raw.select(F.explode("evaluation_questions").alias("q")).select("q.*")
 
 
-def read_text_files(spark: SparkSession, path: str) -> DataFrame:
+# stands for a genuine replacement character while invalid bytes are dropped
+# (noncharacters, which do not occur in interchanged text)
+_GENUINE = "\ufdd0\ufdd1\ufdd0"
+
+
+def valid_text(c) -> Column:
+    """Text decoded as UTF-8 with invalid bytes dropped; genuine U+FFFD
+    characters stay.  ``c``: a string (or binary) column of raw bytes."""
+    raw = (F.col(c) if isinstance(c, str) else c).cast("string")
+    kept = F.replace(raw, F.lit("\ufffd"), F.lit(_GENUINE))
+    valid = F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit(""))
+    return F.replace(valid, F.lit(_GENUINE), F.lit("\ufffd"))
+
+
+def file_name(path) -> Column:
+    """The name of an uploaded file: a ``filename=`` directory value when the
+    layout has one, else the last part of the path."""
+    path = F.col(path) if isinstance(path, str) else path
+    named = F.regexp_extract(path, r"/filename=([^/]*)/[^/]*$", 1)
+    return F.when(named != "", F.try_url_decode(named)).otherwise(F.element_at(F.split(path, "/"), -1))
+
+
+def suffix(name) -> Column:
+    return F.lower(F.regexp_extract(name, r"(\.[^./]*)$", 1))
+
+
+RAW_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
+def read_raw_files(spark: SparkSession, path, max_bytes: int | None = None) -> DataFrame:
+    """``(path, filename, size, content)`` of the files under ``path``.  The
+    bound on the size is pushed to the source, so larger files are not read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    if max_bytes is not None:
+        raw = raw.where(F.col("length") <= max_bytes)
+    return raw.select("path", file_name("path").alias("filename"), F.col("length").alias("size"), "content")
+
+
+def read_text_files(spark: SparkSession, path) -> DataFrame:
     """A5: ``(filename, path, text)`` of the files under ``path``, read
-    whole and decoded as UTF-8 with invalid bytes dropped.  The name is a
-    ``filename=`` directory value when the layout has one, else the file's
-    own name.  Zero-length files are not returned by file sources;
-    :func:`validate_uploads` reports them."""
-    raw = spark.read.text(path, wholetext=True)  # the method argument, not an option
-    name = F.col("filename") if "filename" in raw.columns else F.col("_metadata.file_name")
-    text = F.regexp_replace(F.make_valid_utf8(F.col("value")), "\ufffd", "")
-    return raw.select(name.alias("filename"), F.col("_metadata.file_path").alias("path"), text.alias("text"))
-
-
-def read_csv_as_text(spark: SparkSession, path: str) -> DataFrame:
-    """Every CSV file rendered as one text: the header line, then per
-    row its position and cells separated by spaces (the column padding of a
-    console table is irrelevant: whitespace is collapsed right after)."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    cols = raw.columns
-    rows = with_row_index(raw.withColumn("__file", F.col("_metadata.file_name")), "__pos")
-    w = Window.partitionBy("__file").orderBy("__pos")
-    line = F.concat_ws(" ", (F.row_number().over(w) - 1).cast("string"),
-                       *[F.coalesce(F.col(f"`{c}`"), F.lit("NaN")) for c in cols])
-    per_file = rows.select("__file", "__pos", line.alias("line")).groupBy("__file").agg(
-        F.sort_array(F.collect_list(F.struct("__pos", "line"))).alias("ls"))
-    header = " ".join(cols)
-    return per_file.select(
-        F.col("__file").alias("filename"),
-        F.concat(F.lit(header + "\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("text"))
+    whole and decoded as UTF-8 with invalid bytes dropped.  Zero-length files
+    are not returned by file sources; :func:`validate_uploads` reports them."""
+    return read_raw_files(spark, path).select("filename", "path", valid_text("content").alias("text"))
+
+
+def csv_text(text) -> Column:
+    """One CSV file (its text) as plain text: the names of its own header,
+    then per row its position and cells separated by spaces, an empty cell as
+    ``NaN`` (column padding is irrelevant: whitespace is collapsed right
+    after).  Quoted cells may hold commas, newlines and doubled quotes; blank
+    lines are skipped; a short row is padded with ``NaN``."""
+    text = F.col(text) if isinstance(text, str) else text
+    records = F.regexp_extract_all(text, F.lit(r'(?:"(?:[^"]++|"")*+"|[^"\r\n]++|")++'), F.lit(0))
+    records = F.filter(records, lambda r: F.rlike(r, F.lit(r"[^ \t]")))
+
+    def cells(record):
+        found = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(r',((?:"(?:[^"]++|"")*+"|[^",]++|")*+)'), F.lit(1))
+        return F.transform(found, lambda c: F.when(
+            F.rlike(c, F.lit(r'(?s)^".*"$')), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+    def row(width):
+        def line(values, i):
+            shown = F.transform(values, lambda c: F.when(c == "", F.lit("NaN")).otherwise(c))
+            missing = F.array_repeat(F.lit("NaN"), F.greatest(width - F.size(values), F.lit(0)))
+            return F.array_join(F.concat(F.array(i.cast("string")), shown, missing), " ")
+        return line
+
+    table = F.transform(records, cells)
+    header = F.get(table, F.lit(0))
+    rows = F.transform(F.slice(table, 2, F.greatest(F.size(table) - 1, F.lit(0))), row(F.size(header)))
+    return F.when(F.size(table) > 0, F.array_join(F.concat(F.array(F.array_join(header, " ")), rows), "\n")).otherwise(F.lit(""))
+
+
+def read_csv_as_text(spark: SparkSession, path) -> DataFrame:
+    """``(filename, path, text)``, every CSV file under ``path`` rendered
+    as one text by its own header; files are told apart by their path."""
+    return read_text_files(spark, path).where(suffix(F.col("filename")) == ".csv").select(
+        "filename", "path", csv_text("text").alias("text"))
+
+
+def upload_texts(files: DataFrame) -> DataFrame:
+    """``(filename, text)`` of accepted files ``(filename, content)``: CSV
+    files as A6 renders them, others as they are."""
+    text = files.select("filename", valid_text("content").alias("text"))
+    return text.select("filename", F.when(suffix(F.col("filename")) == ".csv", csv_text("text")).otherwise(F.col("text")).alias("text"))
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """``(filename, path, size)`` of every file under ``path`` from a
     Hadoop file-system listing (zero-length files included, hidden files
-    skipped).  The listing is file metadata, one row per file."""
+    skipped).  Only a listing sees zero-length files: file sources skip them.
+    It is file metadata, walked by the driver, one row per file."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -176,8 +238,9 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
         name = st.getPath().getName()
         if name.startswith((".", "_")):  # hidden and marker files, as Spark's file sources skip them
             continue
-        rows.append((name, st.getPath().toString(), int(st.getLen())))
-    return spark.createDataFrame(rows, "filename string, path string, size long")
+        rows.append((st.getPath().toString(), int(st.getLen())))
+    listing = spark.createDataFrame(rows, "path string, size long")
+    return listing.select(file_name("path").alias("filename"), "path", "size")
 
 
 def validate_uploads(files: DataFrame, cfg: QAConfig = DEFAULT) -> DataFrame:
@@ -185,10 +248,9 @@ def validate_uploads(files: DataFrame, cfg: QAConfig = DEFAULT) -> DataFrame:
     Checks in order: a name, a supported (lower-cased) suffix, at most
     ``max_upload_bytes`` (equal is accepted), not empty."""
     name = F.coalesce(F.col("filename"), F.lit(""))
-    suffix = F.lower(F.regexp_extract(name, r"(\.[^./]*)$", 1))
     reason = (
         F.when(name == "", F.lit(UPLOAD_NO_NAME))
-        .when(~suffix.isin(*cfg.supported_file_types), F.lit(UPLOAD_BAD_TYPE))
+        .when(~suffix(name).isin(*cfg.supported_file_types), F.lit(UPLOAD_BAD_TYPE))
         .when(F.col("size") > cfg.max_upload_bytes, F.lit(UPLOAD_TOO_LARGE))
         .when(F.col("size") == 0, F.lit(UPLOAD_EMPTY))
     )

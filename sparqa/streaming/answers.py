@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, QAConfig
 from ..operators.answering import answer_questions
+from ..session import scratch
 
 QUESTION_SCHEMA = "query_id long, question string"
 
@@ -24,9 +25,11 @@ def start_answer_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoi
         gen = generated
         if isinstance(generated, DataFrame):
             gen = generated.join(batch.select("query_id"), "query_id", "left_semi")
-        ans = answer_questions(batch, main, uploaded, gen, cfg, use_uploaded)
-        ans.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-            .parquet(f"{out_dir}/batch_id={batch_id}")
+        # the batch's intermediate tables go when its answers are written
+        with scratch(batch.sparkSession):
+            ans = answer_questions(batch, main, uploaded, gen, cfg, use_uploaded)
+            ans.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
+                .parquet(f"{out_dir}/batch_id={batch_id}")
 
     w = questions.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

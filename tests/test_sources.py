@@ -52,8 +52,8 @@ def test_load_corpus_fallbacks(spark):
     legacy = d + "/legacy.csv"
     with open(legacy, "w", encoding="utf-8") as f:
         f.write('Question,Answer,Extra\n"What is X?","X is ""quoted""\nover lines",1\nQ2,,2\n')
-    got = io.load_corpus(spark, d + "/missing", legacy).orderBy("row_idx").collect()
-    assert [(r.row_idx, r.question, r.answer) for r in got] == [
+    got = io.load_corpus(spark, d + "/missing", legacy).orderBy("question_idx").collect()
+    assert [(r.question_idx, r.question, r.answer) for r in got] == [
         (0, "What is X?", 'X is "quoted"\nover lines'), (1, "Q2", None)]
 
 
@@ -71,3 +71,65 @@ def test_read_eval_set_pretty_printed(spark):
                 '   "categories": ["basics", "concepts"], "created_date": "2024-01-01", "description": "d"}\n}\n')
     got = [(r.id, r.topic, r.expected_source) for r in io.read_eval_set(spark, d).orderBy("id").collect()]
     assert got == [(1, "Python", "dataset"), (2, "ML", "llm")]
+
+
+def write(path, data):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb") as f:
+        f.write(data)
+
+
+def test_csv_files_keep_their_own_headers(spark):
+    d = folder()
+    write(d + "/x/t.csv", b"name,score\nalpha,1\n\nbeta,\n")
+    write(d + "/y/t.csv", b'city,zip,country\r\n"Paris, FR",75,"a ""b"" c"\r\nRome,"0\n1"\r\n')
+    write(d + "/z/empty.csv", b"\n")
+    got = {r.path.split("/")[-2]: r.text for r in io.read_csv_as_text(spark, d).collect()}
+    assert got == {"x": "name score\n0 alpha 1\n1 beta NaN",
+                   "y": 'city zip country\n0 Paris, FR 75 a "b" c\n1 Rome 0\n1 NaN', "z": ""}
+
+
+def test_genuine_replacement_characters_stay(spark):
+    d = folder()
+    write(d + "/a.txt", "ok \ufffd é".encode() + b" \xff\xfe caf\xe9 end")
+    assert [r.text for r in io.read_text_files(spark, d).collect()] == ["ok \ufffd é  caf end"]
+
+
+def test_broken_index_is_none(spark):
+    d = folder()
+    write(d + "/vocab/part-0.parquet", b"not parquet at all")
+    write(d + "/postings/part-0.parquet", b"PAR1xxxxxxxxPAR1")
+    assert io.load_index(spark, d, ["doc_id", "chunk_idx"]) is None
+
+
+def test_corpus_job_and_fallback(spark):
+    from sparqa.operators.retrieval import retrieve
+    from sparqa.plans import corpus as K
+
+    d = folder()
+    write(d + "/qa.csv", b"Question,Answer\nWhat is a shuffle?,Spark moves rows between tasks.\nWhat is a shuffle?,again\nNo answer,\n")
+    assert K.build_corpus(spark, d + "/qa.csv", d + "/out") and not K.build_corpus(spark, d + "/qa.csv", d + "/out")
+    asked = spark.createDataFrame([(1, "rows between tasks"), (2, "shuffle")], "query_id long, question string")
+    corp = K.open_corpus(spark, d + "/out")
+    hits = corp.answer_texts(retrieve(corp.index, asked, 3, 0.2)).collect()
+    assert [(r.query_id, r.text) for r in hits] == [(1, "Spark moves rows between tasks.")]
+    # without the chunk index the questions are searched
+    with open(os.path.join(d, "out", "index", "vocab", "part-broken.parquet"), "wb") as f:
+        f.write(b"broken")
+    fallback = K.question_corpus(io.load_corpus(spark, d + "/out/processed"))
+    hits = fallback.answer_texts(retrieve(fallback.index, asked, 3, 0.2)).collect()
+    assert [(r.query_id, r.text) for r in hits] == [(2, "Spark moves rows between tasks.")]
+    assert K.question_corpus(io.load_corpus(spark, d + "/nowhere")).index is None
+
+
+def test_cache_follows_the_data(spark):
+    from sparqa.plans import corpus as K
+
+    d = folder()
+    df = spark.createDataFrame([(1, "first words of a text", "src1")], "doc_id long, text string, source string")
+    df.write.parquet(d + "/documents.parquet")
+    one = K.cached_corpus(spark, d, "all")
+    assert K.cached_corpus(spark, d, "all") is one
+    df.unionByName(df).write.mode("append").parquet(d + "/documents.parquet")
+    assert K.cached_corpus(spark, d, "all") is not one
+    K.release_corpora()

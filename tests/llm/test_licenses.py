@@ -26,12 +26,12 @@ def test_base(spark):
     for i, t in enumerate(TEXTS):
         r = got[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(t), i
-        assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
 @pytest.mark.parametrize("text,label,errors", [
-    ("released under the mit licence", "mit", 1), ("undr the MIT lisence here", "mit", 2), ("the apache licens, version 2", "apache-2", 1),
-    ("Apache Lizence versiom 2.0", "apache-2", 2), ("GNU General Publik Licence", "gpl", 2), ("licenced under CC BY-NC 4.0", "cc-by-nc", 1),
+    ("released under the mit licence", "mit", 1), ("undr the MIT lisence here", "mit", 3), ("the apache licens, version 2", "apache-2", 1),
+    ("Apache Lizence versiom 2.0", "apache-2", 3), ("GNU General Publik Licence", "gpl", 2), ("licenced under CC BY-NC 4.0", "cc-by-nc", 1),
     ("all right reserved", "all-rights-reserved", 1), ("é" * 50 + " under thé mit license", "mit", 1)])
 def test_fuzzy(spark, text, label, errors):
     text = f"{prose(1, 20)}. {text} {prose(2, 20)}"

@@ -74,20 +74,35 @@ _SCOPES: list = []
 
 
 @contextmanager
-def scratch(spark: SparkSession):
-    """Drops the tables and folders that ``materialize``, ``bucketed_table``
-    and ``work_dir`` make inside the block when it ends.  Results that are
-    lazily read from them must be written before."""
+def tracked():
+    """Notes the tables and folders that ``materialize``, ``bucketed_table``
+    and ``work_dir`` make inside the block, for :func:`drop_tracked`."""
     scope: dict = {"tables": [], "dirs": []}
     _SCOPES.append(scope)
     try:
-        yield
+        yield scope
     finally:
         _SCOPES.remove(scope)
-        for table in scope["tables"]:
-            spark.sql(f"DROP TABLE IF EXISTS {table}")
-        for path in scope["dirs"]:
-            delete_path(spark, path)
+
+
+def drop_tracked(spark: SparkSession, scope: dict) -> None:
+    for table in scope["tables"]:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    for path in scope["dirs"]:
+        delete_path(spark, path)
+    scope["tables"].clear()
+    scope["dirs"].clear()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Drops what is made inside the block when it ends.  Results that are
+    lazily read from it must be written before."""
+    with tracked() as scope:
+        try:
+            yield
+        finally:
+            drop_tracked(spark, scope)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -9,10 +9,13 @@ fails with probability 0.345, all eleven with 8e-6.
 
 Work is shared between *classes* (documents with equal shingle sets), never
 between single copies.  Candidates are confirmed on the full shingle sets.  A
-bucket of more than two classes is not expanded into all its pairs: its
-members are confirmed against the bucket's extremes first, and only pairs that
-are then still in different components and whose signatures are close enough
-are confirmed one by one, so no link between components is lost.
+bucket of more than two classes is not expanded into all its pairs.  Its
+members are confirmed against the bucket's two extremes; members outside the
+bucket's largest component then against a random member of that component (a
+different one in each of the buckets they share).  Only for members that are
+still outside, pairs across components are compared, by signature (with 189
+further values that are not indexed), then by hashed set, and what is left is
+confirmed one by one: no link between components is lost.
 """
 
 from __future__ import annotations
@@ -22,26 +25,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, stored
+from .shared import components, finished, stored
 from .words import SPACE_WORDS, batch_words, mix, shingles
 
 CHUNKS, WIDTH = 11, 6
 VALUES = CHUNKS * WIDTH
-LANES = 17  # longs of four 14-bit values, each below a guard bit; two places are unused
-BITS = 14
-_VALUE = sum(((1 << BITS) - 1) << (BITS + 1) * j for j in range(4))
-_GUARD = sum(1 << BITS << (BITS + 1) * j for j in range(4))
-#: pairs whose signatures differ in more values are not confirmed: at similarity 0.8
-#: the distance has mean 13.2 and deviation 3.25, so this is beyond 5.5 deviations
-MAX_DISTANCE = 32
-_SALT = mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
+#: values only used to estimate the similarity of two classes
+FINE = 189
+#: MinHash values are packed into longs, each below a guard bit: (bits, values a long)
+INDEXED, SKETCHED = (14, 4), (8, 7)
+#: pairs whose signatures differ in more of the 255 values are not confirmed: at
+#: similarity 0.8 the difference has mean 51 and deviation 6.4, so this is beyond 4.5 deviations
+MAX_DISTANCE = 80
+_SALT = mix(np.arange(1, VALUES + FINE + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def _longs(values: int, packing: tuple) -> int:
+    return -(-values // packing[1])
+
+
+LANES, FINE_LANES = _longs(VALUES, INDEXED), _longs(FINE, SKETCHED)
 
 
 def _signature_rows(g: np.ndarray, off: np.ndarray):
-    """Per row: distinct shingles, two set hashes, signature lanes (rows x 17)."""
+    """Per row: distinct shingles, two set hashes, indexed and sketched values
+    (packed, rows x longs)."""
     rows = len(off) - 1
     n, f1, f2 = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
-    lanes = np.zeros((rows, LANES), np.uint64)
+    indexed, sketched = np.zeros((rows, LANES), np.uint64), np.zeros((rows, FINE_LANES), np.uint64)
     full = np.flatnonzero(np.diff(off) > 0)
     if len(full):
         a, b = mix(g ^ np.uint64(0xA5A5A5A55A5A5A5A)), mix(g + np.uint64(0x632BE59BD9B4E019))
@@ -51,10 +62,16 @@ def _signature_rows(g: np.ndarray, off: np.ndarray):
             n[i] = len(distinct)
             f1[i], f2[i] = a[s][first].sum(), b[s][first].sum()
         at = off[full]  # rows between are empty, so each run ends where the next begins
-        for j in range(VALUES):
-            value = mix(np.minimum.reduceat(g * _SALT[j], at)) & np.uint64((1 << BITS) - 1)
-            lanes[full, j // 4] |= value << np.uint64((BITS + 1) * (j % 4))
-    return n, f1, f2, lanes
+        for j in range(VALUES + FINE):
+            value = mix(np.minimum.reduceat(g * _SALT[j], at))
+            k, out, (bits, many) = (j, indexed, INDEXED) if j < VALUES else (j - VALUES, sketched, SKETCHED)
+            out[full, k // many] |= (value & np.uint64((1 << bits) - 1)) << np.uint64((bits + 1) * (k % many))
+    return n, f1, f2, indexed, sketched
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    rows, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (rows + 1) * width, width, dtype=np.int32)), pa.array(values.reshape(-1).view(np.int64)))
 
 
 def _prints(shingle_words: int):
@@ -62,13 +79,10 @@ def _prints(shingle_words: int):
         for batch in batches:
             for lo, hi, w in batch_words(batch.column(1), SPACE_WORDS, lower=True):
                 g, off = shingles(w, shingle_words)
-                n, f1, f2, lanes = _signature_rows(g, off)
-                sig = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, (len(n) + 1) * LANES, LANES, dtype=np.int32)),
-                    pa.array(lanes.reshape(-1).view(np.int64)))
+                n, f1, f2, indexed, sketched = _signature_rows(g, off)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(f1.view(np.int64)),
-                     pa.array(f2.view(np.int64)), sig], ["doc_id", "n_shingles", "f1", "f2", "sig"])
+                     pa.array(f2.view(np.int64)), _lists(indexed), _lists(sketched)], ["doc_id", "n_shingles", "f1", "f2", "sig", "fine"])
     return run
 
 
@@ -78,23 +92,35 @@ def _keys(batches):
         if not batch.num_rows:
             continue
         flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        shift = np.arange(4, dtype=np.uint64) * np.uint64(BITS + 1)
-        values = (flat.reshape(-1, LANES, 1) >> shift) & np.uint64((1 << BITS) - 1)
-        chunk = values.reshape(-1, LANES * 4)[:, :VALUES].reshape(-1, CHUNKS, WIDTH)
+        bits, many = INDEXED
+        shift = np.arange(many, dtype=np.uint64) * np.uint64(bits + 1)
+        values = (flat.reshape(-1, LANES, 1) >> shift) & np.uint64((1 << bits) - 1)
+        chunk = values.reshape(-1, LANES * many)[:, :VALUES].reshape(-1, CHUNKS, WIDTH)
         out = np.empty((len(chunk), CHUNKS, WIDTH), np.uint64)
         for leave in range(WIDTH):
             kept = [j for j in range(WIDTH) if j != leave]
             head = chunk[:, :, kept[0]]
             for j in kept[1:4]:
-                head = (head << np.uint64(BITS)) | chunk[:, :, j]
+                head = (head << np.uint64(bits)) | chunk[:, :, j]
             place = np.arange(CHUNKS, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(leave)
             out[:, :, leave] = mix(mix(head) + (chunk[:, :, kept[4]] << np.uint64(8)) + place)
-        keys = pa.ListArray.from_arrays(
-            pa.array(np.arange(0, (len(out) + 1) * VALUES, VALUES, dtype=np.int32)),
-            pa.array(out.reshape(-1).view(np.int64)))
+        keys = _lists(out.reshape(len(out), VALUES))
         yield pa.RecordBatch.from_arrays([batch.column(0), keys], ["cid", "keys"])
 
 
+def _sets(shingle_words: int):
+    def run(batches):
+        """(cid, text) -> (cid, members): the set's distinct 32-bit hashes."""
+        for batch in batches:
+            for lo, hi, w in batch_words(batch.column(1), SPACE_WORDS, lower=True):
+                g, off = shingles(w, shingle_words)
+                sets = [np.unique(g[off[i]: off[i + 1]].astype(np.uint32)).view(np.int32) for i in range(len(off) - 1)]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["cid", "members"])
+    return run
+
+
 def _confirm(shingle_words: int, percent: int):
     def run(batches):
         """(a, b, text_a, text_b) -> linked pairs (a, b)."""
@@ -117,10 +143,28 @@ def _confirm(shingle_words: int, percent: int):
     return run
 
 
-def _distance(x: str, y: str):
-    """Values in which two signature columns differ: adding all ones to a
-    non-zero value carries into its guard bit."""
-    return sum((F.bit_count((F.col(x)[i].bitwiseXOR(F.col(y)[i]) + F.lit(_VALUE)).bitwiseAND(F.lit(_GUARD))) for i in range(LANES)), F.lit(0))
+def _differences(x: str, y: str, packing: tuple, values: int):
+    """Values in which two packed columns differ: adding all ones to a
+    difference that is not zero carries into its guard bit."""
+    bits, many = packing
+    ones = F.lit(sum(((1 << bits) - 1) << (bits + 1) * j for j in range(many)))
+    guard = F.lit(sum(1 << bits << (bits + 1) * j for j in range(many)))
+    return sum((F.bit_count((F.col(x)[i].bitwiseXOR(F.col(y)[i]) + ones).bitwiseAND(guard)) for i in range(_longs(values, packing))), F.lit(0))
+
+
+def _close(x: str, y: str, percent: int):
+    """The sizes allow the similarity, and the signatures are near enough."""
+    nx, ny = F.col(f"n_{x}"), F.col(f"n_{y}")
+    apart = _differences(f"sig_{x}", f"sig_{y}", INDEXED, VALUES) + _differences(f"fine_{x}", f"fine_{y}", SKETCHED, FINE)
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (apart <= MAX_DISTANCE)
+
+
+def _may_link(x: str, y: str, percent: int):
+    """An upper bound of the similarity from the hashed sets: hashes that two
+    members of a set share are counted as common."""
+    both = F.size(F.array_intersect(f"members_{x}", f"members_{y}")) + F.col(f"n_{x}") - F.size(f"members_{x}")
+    # 100 * both >= percent * (n_x + n_y - both), with the intersection written once
+    return (100 + percent) * both >= percent * (F.col(f"n_{x}") + F.col(f"n_{y}"))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -138,13 +182,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     nothing.  Rows with the same doc_id are all judged by their own text, so
     several may be kept.  Other columns of ``docs`` are not read.  An empty
     table gives an empty result."""
+    return finished(docs.sparkSession, "near_duplicates", lambda: _near_duplicates(docs, shingle_words, percent))
+
+
+def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     prints = stored(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .mapInArrow(_prints(shingle_words), "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>"),
+        .mapInArrow(_prints(shingle_words), "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>, fine array<long>"),
         "prints")
     full = prints.where("n_shingles > 0")
     classes = stored(
-        full.groupBy("f1", "f2", "n_shingles", "sig").agg(F.min("doc_id").alias("rep"))
+        full.groupBy("f1", "f2", "n_shingles", "sig", "fine").agg(F.min("doc_id").alias("rep"))
         .withColumn("cid", F.monotonically_increasing_id()), "classes")
     keys = (classes.where("rep is not null").select("cid", "sig").mapInArrow(_keys, "cid long, keys array<long>")
             .select("cid", F.explode("keys").alias("key")))
@@ -161,12 +209,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         members.select(F.col("cid").alias("a"), "b")).where("a <> b").distinct()
     first = stored(_same_size(first, sizes, percent), "first_pairs")
     links = stored(_linked(first, texts, shingle_words, percent), "first_links")
+    tested, hashed = first, stored(texts.mapInArrow(_sets(shingle_words), "cid long, members array<int>"), "sets")
+    for sets in (None, hashed):
+        label = components(links)
+        rest = stored(_across(members, label, classes, tested, percent, sets), "rest_pairs")
+        links = stored(links.unionByName(_linked(rest, texts, shingle_words, percent)), "links")
+        tested = tested.unionByName(rest)
     label = components(links)
 
-    rest = stored(_across(members, label, classes, first, percent), "rest_pairs")
-    more = _linked(rest, texts, shingle_words, percent)
-    label = components(stored(links.unionByName(more), "links"))
-
     named = classes.join(label, classes["cid"] == label["node"], "left").select(
         "f1", "f2", "n_shingles", "rep", "cid", F.coalesce("component", "cid").alias("component"))
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -202,23 +252,41 @@ def _linked(pairs, texts, shingle_words, percent) -> DataFrame:
         _confirm(shingle_words, percent), "a long, b long")
 
 
-def _across(members, label, classes, tested, percent) -> DataFrame:
-    """Untested pairs of one bucket that are in different components and close
-    enough: each bucket's members outside its largest component against all."""
+def _across(members, label, classes, tested, percent, sets: DataFrame | None) -> DataFrame:
+    """Untested close pairs of one bucket in different components: each
+    bucket's members outside its largest component against one pseudo-random
+    member of that component or, with the hashed ``sets``, against all members,
+    pairs that these sets rule out left out."""
     m = members.select("key", "cid").join(label, members["cid"] == label["node"], "left").select(
         "key", "cid", F.coalesce("component", "cid").alias("component"))
     m = stored(m, "bucket_labels")
-    per = m.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    top = per.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("top"), F.count(F.lit(1)).alias("parts"))
-    mixed = m.join(top.where("parts > 1").select("key", "top"), "key")
-    sig = classes.select("cid", "sig", "n_shingles")
-    mixed = stored(mixed.join(sig, "cid"), "mixed_buckets")
-    x = mixed.where("component <> top").select("key", F.col("cid").alias("x"), F.col("component").alias("cx"), F.col("sig").alias("sx"), F.col("n_shingles").alias("nx"))
-    y = mixed.select("key", F.col("cid").alias("y"), F.col("component").alias("cy"), "top", F.col("sig").alias("sy"), F.col("n_shingles").alias("ny"))
-    close = x.join(y, (x["key"] == y["key"]) & (F.col("cx") != F.col("cy"))
-                   & ((F.col("cy") == F.col("top")) | (F.col("x") < F.col("y")))
-                   & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-                   & (_distance("sx", "sy") <= MAX_DISTANCE))
+    # the order of (cid xor key) differs from bucket to bucket
+    per = m.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("cid").bitwiseXOR(F.xxhash64("key"))).alias("drawn"))
+    largest = F.max(F.struct("n", "component", "drawn"))
+    top = per.groupBy("key").agg(largest.alias("t"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select(
+        "key", F.col("t.component").alias("top"), F.col("t.drawn").bitwiseXOR(F.xxhash64("key")).alias("pivot"))
+    mixed = m.join(top, "key")
+    sig = classes.select("cid", "sig", "fine", "n_shingles")
+
+    def side(df, name, id_col="cid"):
+        signed = df.join(sig, df[id_col] == sig["cid"]).drop(sig["cid"])
+        if sets is not None:
+            signed = signed.join(sets, signed[id_col] == sets["cid"]).drop(sets["cid"]).withColumnRenamed("members", f"members_{name}")
+        return signed.select("key", *[c for c in ("top", "component") if c in df.columns], F.col(id_col).alias(name),
+                             F.col("sig").alias(f"sig_{name}"), F.col("fine").alias(f"fine_{name}"), F.col("n_shingles").alias(f"n_{name}"),
+                             *([f"members_{name}"] if sets is not None else []))
+
+    outside = side(mixed.where("component <> top").select("key", "cid", "component"), "x").withColumnRenamed("component", "cx")
+    if sets is None:
+        other = side(top.select("key", F.col("pivot").alias("cid")), "y")
+        apart = F.lit(True)
+    else:
+        other = side(mixed, "y").withColumnRenamed("component", "cy")
+        apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("top")) | (F.col("x") < F.col("y")))
+    near = apart & _close("x", "y", percent)
+    if sets is not None:
+        near = near & _may_link("x", "y", percent)
+    close = outside.join(other, (outside["key"] == other["key"]) & near)
     pairs = close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, work_dir
+from ..session import ensure_checkpoint_dir, scratch, work_dir
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -19,6 +19,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, name: str, build) -> DataFrame:
+    """The DataFrame that ``build()`` returns, written; the intermediate tables
+    made on the way are dropped."""
+    ensure_checkpoint_dir(spark)
+    path = work_dir(spark, name)
+    with scratch(spark):
+        df = build()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): (node, component), the
     component being its smallest node.  Alternates large-star and small-star

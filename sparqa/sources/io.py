@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 
 from ..config import (
@@ -102,7 +103,7 @@ def load_index(spark: SparkSession, path: str, key_cols: list[str]):
         postings = spark.read.parquet(f"{path}/postings")
         if not {"term", "idf"} <= set(vocab.columns) or not {"term", "weight", *key_cols} <= set(postings.columns):
             return None
-    except (AnalysisException, PySparkException):  # missing, or a footer that cannot be read
+    except (AnalysisException, PySparkException, Py4JJavaError):  # missing, or a footer that cannot be read
         return None
     return TfidfIndex(vocab, postings, list(key_cols))
 

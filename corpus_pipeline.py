@@ -16,7 +16,30 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from sparqa.llm import decontamination, mixing, near_dedup, quality_rules, sharding  # noqa: E402
 from sparqa.llm.queries import MIX_SEED, MIX_WEIGHTS, SHARD_SEED, SHARDS, shards_digest  # noqa: E402
-from sparqa.llm.shared import stored  # noqa: E402
+from sparqa.session import drop_tracked, ensure_checkpoint_dir, tracked, work_dir  # noqa: E402
+
+
+# intermediate tables of the last stage
+_LAST: list = []
+
+
+def _stage(name: str, work):
+    """(name, function) of a stage.  A stage begins when the one before it is
+    written, so that one's intermediate tables are dropped first."""
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_intermediate(spark)
+        with tracked() as made:
+            _LAST.append(made)
+            return work(spark, docs, sf_dir)
+
+    run_stage.__name__, run_stage.__doc__ = work.__name__, work.__doc__
+    return name, run_stage
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Drop the intermediate tables of the last stage."""
+    while _LAST:
+        drop_tracked(spark, _LAST.pop())
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +73,11 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality rules", quality),
-    ("near duplicates", near_duplicates),
-    ("benchmark decontamination", decontaminate),
-    ("mixing to target weights", mix),
-    ("sharding", shards),
+    _stage("quality rules", quality),
+    _stage("near duplicates", near_duplicates),
+    _stage("benchmark decontamination", decontaminate),
+    _stage("mixing to target weights", mix),
+    _stage("sharding", shards),
 ]
 
 #: connected components, robust estimates and shuffles are beyond SQL; tests compare with brute force
@@ -63,8 +86,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ensure_checkpoint_dir(spark)
+    drop_intermediate(spark)
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage{k}")
+        path = work_dir(spark, f"stage{k}")  # made before the stage's scope opens, so it stays
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        drop_intermediate(spark)
     return docs

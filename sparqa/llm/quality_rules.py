@@ -161,7 +161,6 @@ def robust_distances(rows: DataFrame) -> DataFrame:
     rows = rows.join(_small(sizes), ["lang", "source"], "left").withColumn(
         "grp", F.when(F.col("group_rows").isNotNull(), F.concat(F.lit("="), F.col("source"))).otherwise(F.lit(""))).drop("group_rows")
     by = ["lang", "grp"]
-    rows = stored(rows, "features")
     # small groups lean on all rows of their language, the others on their own
     fit = rows.where("not base_failed")
     whole = fit.select("lang", F.lit("").alias("grp"), *FEATURES)

@@ -20,16 +20,20 @@ SYMBOLS = "#*$%&|<>"
 FEATURES = ("x_words", "x_length", "x_symbols", "x_lines", "x_repeats")
 #: features are whole numbers of 1/SCALE, so that sums do not depend on the order of rows
 SCALE = 1000
-#: standard deviation (in feature units) added to each feature: differences below it mean nothing
-FLOOR = (0.35, 0.06, 0.25, 0.4, 0.4)
+#: standard deviation added to each feature: a numerical ridge for the continuous two; a count that
+#: is 0 in the central rows has no variance of its own, so its floor is that of rounding to the least
+#: step in 100 words (step / sqrt(12): one symbol or line is log1p(1), one repeat of three words log1p(6))
+FLOOR = (0.01, 0.01, 0.2, 0.2, 0.56)
 STEPS = 4
 #: share of a group's rows that the estimate rests on
 SUPPORT = 0.75
-#: groups of fewer rows are judged with all rows of their language
+#: groups of fewer rows are judged with all rows of their language, languages of fewer with all rows
 LEAST_ROWS = 50
-#: rejected beyond this squared distance (5 features; in the central 75 % a normal
-#: variable's variance is shrunk, so the usual quantiles are far exceeded)
-CUTOFF = 150.0
+#: 0.999 quantile of chi-square with 5 degrees of freedom, and the consistency factor of the central
+#: 75 % of normal rows (0.75 / P(chi2_7 <= 0.75 quantile of chi2_5)): their covariance is too small by it
+QUANTILE, CONSISTENCY = 20.515, 1.41207
+#: rejected beyond this squared distance to the estimate as it stands, not scaled up
+CUTOFF = QUANTILE * CONSISTENCY
 
 
 def text_statistics(text: Column) -> dict[str, Column]:
@@ -97,7 +101,7 @@ def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums, *prods)
 
 
-def _estimate(moments: DataFrame, by: list[str], inflate: float = 1.0) -> DataFrame:
+def _estimate(moments: DataFrame, by: list[str]) -> DataFrame:
     """Means and the lower triangular inverse factor of each group's covariance
     (plus the floors): the squared distance is a sum of squares."""
     p = range(len(FEATURES))
@@ -107,7 +111,7 @@ def _estimate(moments: DataFrame, by: list[str], inflate: float = 1.0) -> DataFr
     for i in p:  # Cholesky factor, row by row
         for j in range(i + 1):
             c = F.col(f"q{i}{j}") / F.col("n") / (SCALE * SCALE) - F.col(f"m{i}") * F.col(f"m{j}")
-            c = c * F.lit(inflate) + (F.lit(FLOOR[i] ** 2) if i == j else F.lit(0.0))
+            c = c + (F.lit(FLOOR[i] ** 2) if i == j else F.lit(0.0))
             for k in range(j):
                 c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             # the floor bounds the pivot from below; rounding must not undo that
@@ -157,19 +161,27 @@ def robust_distances(rows: DataFrame) -> DataFrame:
     """``rows`` (lang, source, features) with ``d2``: the squared distance to
     the estimate of the row's group, after STEPS concentration steps."""
     # plain rules reject their rows whatever the distance; the estimate rests on the others
-    sizes = rows.where("not base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("group_rows")).where(F.col("group_rows") >= LEAST_ROWS)
-    rows = rows.join(_small(sizes), ["lang", "source"], "left").withColumn(
-        "grp", F.when(F.col("group_rows").isNotNull(), F.concat(F.lit("="), F.col("source"))).otherwise(F.lit(""))).drop("group_rows")
-    by = ["lang", "grp"]
-    # small groups lean on all rows of their language, the others on their own
+    passed = F.sum(F.when(~F.col("base_failed"), 1).otherwise(0))
+    sizes = stored(rows.groupBy("lang", "source").agg(passed.alias("group_rows")), "sizes")
+    languages = sizes.groupBy("lang").agg(F.sum("group_rows").alias("lang_rows"))
+    # small groups lean on all rows of their language, small languages on all rows
+    level = F.when(F.col("group_rows") >= LEAST_ROWS, F.concat(F.lit("="), F.col("source"))).when(F.col("lang_rows") >= LEAST_ROWS, "").otherwise("*")
+    groups = sizes.join(languages, "lang").select("lang", "source", F.when(level == "*", "").otherwise(F.col("lang")).alias("glang"), level.alias("grp"))
+    rows = rows.join(_small(groups), ["lang", "source"])
+    by = ["glang", "grp"]
     fit = rows.where("not base_failed")
-    whole = fit.select("lang", F.lit("").alias("grp"), *FEATURES)
-    fit = stored(fit.where("grp <> ''").select(*by, *FEATURES).unionByName(whole), "fit")
+    parts = fit.where("grp like '=%'").select(*by, *FEATURES)
+    if groups.where("grp = ''").limit(1).collect():
+        parts = parts.unionByName(fit.join(_small(languages.where(F.col("lang_rows") >= LEAST_ROWS).select("lang")), "lang").select(
+            F.col("lang").alias("glang"), F.lit("").alias("grp"), *FEATURES))
+    if groups.where("grp = '*'").limit(1).collect() and (sizes.agg(F.sum("group_rows")).first()[0] or 0) >= LEAST_ROWS:
+        parts = parts.unionByName(fit.select(F.lit("").alias("glang"), F.lit("*").alias("grp"), *FEATURES))
+    fit = stored(parts, "fit")
     estimate = stored(_estimate(_moments(fit, by), by), "estimate")
     for _ in range(STEPS):
         near = _nearest(_distance(fit.join(_small(estimate), by)), by)
         estimate = stored(_estimate(_moments(near, by), by), "estimate")
-    return _distance(rows.join(_small(estimate), by, "left")).drop("grp")
+    return _distance(rows.join(_small(estimate), by, "left")).drop(*by)
 
 
 def _judged(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -186,9 +198,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
     ``kept`` is false for a failed plain rule or a squared distance above
     CUTOFF.  Null texts count as empty and fail the plain rule; null languages
-    and sources are groups of their own (``""``); a language in which no row
-    passes the plain rules has no estimate, and nothing there is rejected by
-    distance.  Repeated rows are judged alike and all returned; whole texts
+    and sources are groups of their own (``""``); where fewer than LEAST_ROWS
+    rows of the whole table pass the plain rules, small languages have no
+    estimate, and nothing there is rejected by distance.  Repeated rows are judged alike and all returned; whole texts
     count, whatever their length; other columns are not read; an empty table
     gives an empty result."""
     return _judged(docs, ["doc_id"]).select("row.doc_id", *COUNTS, "base_failed", "distance", "kept")

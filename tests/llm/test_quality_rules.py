@@ -5,7 +5,7 @@ import pytest
 
 from sparqa.llm import quality_rules as Q
 
-from .helpers import SPACE, documents, odd_texts, prose, with_odd_columns
+from .helpers import DOCS, SPACE, documents, odd_texts, prose, with_odd_columns
 from .test_quality_model import junk
 
 
@@ -91,6 +91,25 @@ def test_many_groups_are_joined(spark, corpus, monkeypatch):
     assert {r.doc_id: r.distance for r in Q.judge(docs).collect()} == want
 
 
+def test_outliers_that_pass_the_plain_rules(spark):
+    lines = [f"{prose(1, 12)}\n" * 2 + prose(s, 90) + "".join(f"\n{w}" * 4 for w in prose(s + 1, 6).split()) for s in range(5)]
+    repeats = [f"{prose(s, 25)} x {prose(s, 25)} {prose(s + 1, 70)}" for s in range(5)]
+    symbols = [prose(s, 100) + " |" * 10 for s in range(5)]
+    planted = lines + repeats + symbols
+    texts = planted + [prose(s, 60 + s % 200) for s in range(1000, 1300)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)] + [(1000 + i, t, "few", "a") for i, t in enumerate(planted)]
+    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, DOCS.replace(", n_chars long", ""))).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert not any(got[i].kept or got[1000 + i].kept for i in range(len(planted)))
+    assert all(got[i].kept for i in range(len(planted), len(texts)))
+
+
+def test_cutoff_of_normal_rows(spark):
+    x = np.round(np.random.default_rng(1).normal(size=(20_000, 5)) * Q.SCALE * 2).astype(int).tolist()
+    rows = spark.createDataFrame([("en", "a", False, *r) for r in x], "lang string, source string, base_failed boolean, " + ", ".join(f"{f} long" for f in Q.FEATURES))
+    assert 0.0003 < Q.robust_distances(rows).where(f"d2 > {Q.CUTOFF}").count() / 20_000 < 0.003
+
+
 def test_empty(spark):
     docs = documents(spark, ["a"]).limit(0)
     assert Q.judge(docs).count() == 0

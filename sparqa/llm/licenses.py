@@ -5,11 +5,13 @@ number of character errors; words that tell one license from another must be
 exact.  A part that allows e errors is split into e + 1 seeds, one of which
 survives any e errors (pigeonhole); texts are searched for the exact seeds, and
 only the neighbourhoods of seed hits go to the ``regex`` library, whose
-bounded-error matching verifies the edits and reports the span.
+bounded-error matching verifies the edits.  It is asked for a match from every
+place; of a notice's matches that overlap, the one of fewest errors is reported.
 """
 
 from __future__ import annotations
 
+import bisect
 
 import pyarrow as pa
 import regex
@@ -43,6 +45,22 @@ def _seeds(text: str, errors: int) -> list[str]:
     return [text[i * n // k: (i + 1) * n // k] for i in range(k)]
 
 
+def _matches(anywhere, best, text: str) -> list[tuple[int, int, int]]:
+    """(errors, start, end) of the matches that no overlapping one of fewer
+    errors (or as many, and earlier) displaces."""
+    every = []
+    for m in anywhere.finditer(text, overlapped=True):
+        m = best.match(text, m.start())
+        every.append((sum(m.fuzzy_counts), m.start(), m.end()))
+    starts, kept = [], []  # kept spans are disjoint: only the neighbours by start can overlap
+    for errors, start, end in sorted(every):
+        i = bisect.bisect(starts, start)
+        if (i == 0 or kept[i - 1][2] <= start) and (i == len(kept) or end <= kept[i][1]):
+            starts.insert(i, start)
+            kept.insert(i, (errors, start, end))
+    return kept
+
+
 class Searcher:
     """Compiled notices.  ``find`` works on normalised text: words joined by
     one space, with a space at either end."""
@@ -56,12 +74,14 @@ class Searcher:
             # the longest part with its seeds; every match holds one of them
             main, errors = max(parts, key=lambda p: len(p[0]) / (p[1] + 1))
             reach = len(whole) + allowed + 2
-            self.notices.append((label, regex.compile(rf"(?b)(?<= ){body}(?= )"), [s.encode() for s in _seeds(main, errors)], reach, len(whole), allowed))
+            # any match from each place, then the best one from there
+            patterns = regex.compile(rf"(?<= ){body}(?= )"), regex.compile(rf"(?b)(?<= ){body}(?= )")
+            self.notices.append((label, patterns, [s.encode() for s in _seeds(main, errors)], reach, len(whole), allowed))
 
     def find(self, norm: bytes) -> list[tuple[str, int, int, int]]:
         """(label, start, end, errors) of the matches, in characters of the text."""
         found = []
-        for label, pattern, seeds, reach, _, _ in self.notices:
+        for label, patterns, seeds, reach, _, _ in self.notices:
             spans = []
             for s in seeds:
                 at = norm.find(s)
@@ -86,8 +106,8 @@ class Searcher:
                 while hi < len(norm) and (norm[hi] & 0xC0) == 0x80:
                     hi += 1
                 before = len(norm[:lo].decode("utf-8"))
-                for m in pattern.finditer(norm[lo:hi].decode("utf-8")):
-                    found.append((label, before + m.start(), before + m.end(), sum(m.fuzzy_counts)))
+                for errors, start, end in _matches(*patterns, norm[lo:hi].decode("utf-8")):
+                    found.append((label, before + start, before + end, errors))
         return sorted(set(found), key=lambda x: (x[1], x[2], x[0]))
 
     def similarity(self, label: str, errors: int) -> float:

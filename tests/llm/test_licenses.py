@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from sparqa.llm import licenses
@@ -49,6 +51,50 @@ def test_other_licenses_are_not_taken_for_one(spark, text):
     assert r.labels == "" and r.score == 0
 
 
+def every_span(text, parts):
+    """{(start, end): errors} of all spans between spaces, by edit distance."""
+    out = {}
+    for at in (i + 1 for i, c in enumerate(text[:-1]) if c == " "):
+        ends = {at: 0}
+        for part, most in parts:
+            after = {}
+            for lo, errors in ends.items():
+                near = text[lo:lo + len(part) + most]
+                row = list(range(len(near) + 1))
+                for i, c in enumerate(part, 1):
+                    last, row = row, [i]
+                    for j, d in enumerate(near, 1):
+                        row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
+                for j, e in enumerate(row):
+                    if e <= most:
+                        after[lo + j] = min(after.get(lo + j, 99), errors + e)
+            ends = after
+        out |= {(at, end): e for end, e in ends.items() if end > at and text[end:end + 1] == " "}
+    return out
+
+
+NOTES = ["under the mit license", "under the mit licence", "undr the mit lisence", "under the mit licen se", "gnu general public license version 3", "gnu general publik licence",
+         "a all rights reserved", "all right reserved", "all rights reserved", "licenced under cc by nc", "apache lizence versiom 2", "apache license version 2"]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_all_notices_of_a_text(seed):
+    r = random.Random(seed)
+    text = " " + " ".join(f"{prose(100 * seed + k, r.choice([0, 1, 3, 40]))} {r.choice(NOTES)} the" for k in range(12)) + " "
+    text = text.replace("  ", " ")
+    got = licenses.Searcher().find(text.encode())
+    for label, parts in licenses.NOTICES:
+        want, spans = every_span(text, parts), [(s, e, n) for x, s, e, n in got if x == label]
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+        assert all(want[s, e] == n for s, e, n in spans)
+        assert all(any(s < y and x < e and n <= errors for s, e, n in spans) for (x, y), errors in want.items())
+
+
+def test_a_better_notice_does_not_hide_others():
+    text = f" under the mit licence {'the word ' * 50}under the mit license {prose(3, 20)} undr the mit license "
+    assert [m[3] for m in licenses.Searcher().find(text.encode()) if m[0] == "mit"] == [1, 0, 1]
+
+
 def test_seeds_survive_any_errors():
     for errors in (1, 2, 3):
         seeds = licenses._seeds("gnu general public license", errors)

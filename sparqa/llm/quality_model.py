@@ -1,10 +1,11 @@
 """Compression quality classifier.
 
 Two zstandard dictionaries are built from good and from bad labelled texts.  A
-text's score is calibrated from how much smaller it compresses with one than
-with the other, relative to its length: logistic regression on the normalised
-compressed-size difference and size, fitted on labelled texts that neither
-dictionary has seen.
+text is cut into pieces, each compressed on its own, so that the dictionaries
+count alike at every place of it.  Its score is calibrated from how much smaller
+the pieces compress with one than with the other, relative to their plain size:
+logistic regression on the normalised compressed-size difference and size,
+fitted on labelled texts that neither dictionary has seen.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 24 << 20
 #: one in so many of these rows calibrates, the others make the dictionaries
 CALIBRATION = 3
 DICT_BYTES, LEVEL = 1 << 16, 3
+#: bytes of the pieces that dictionaries are trained on and texts are compressed in
+PIECE = 1024
 THRESHOLD = 0.3
 
 
@@ -30,6 +33,13 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
+def pieces(raw: bytes) -> list[bytes]:
+    """``raw`` cut into the fewest equal pieces (within a byte) of at most PIECE
+    bytes: no short last one, whose headers would weigh more."""
+    n = max(1, -(-len(raw) // PIECE))
+    return [raw[i * len(raw) // n: (i + 1) * len(raw) // n] for i in range(n)]
+
+
 class Model:
     def __init__(self, good: bytes, bad: bytes, weights, center, scale):
         self.good, self.bad = good, bad
@@ -45,10 +55,12 @@ class Model:
 
     def features(self, raw: bytes, compressors) -> tuple:
         """Normalised size difference (above 0: closer to the good texts), its
-        square, and the logarithm of the plain compression ratio."""
+        square, and the logarithm of the plain compression ratio, of the summed
+        sizes of the text's pieces."""
         if not raw:
             return 0.0, 0.0, 0.0
-        good, bad, plain = (len(c.compress(raw)) for c in compressors)
+        cut = pieces(raw)
+        good, bad, plain = (sum(len(c.compress(x)) for x in cut) for c in compressors)
         d = (bad - good) / max(plain, 1)
         return d, d * d, float(np.log(plain / len(raw)))
 
@@ -87,11 +99,11 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
     def dictionary(y):
         texts = [t for t, label in made if label == y]
         # the trainer wants many short samples: whole texts cut into pieces
-        pieces = [t[i: i + 1024] for t in texts for i in range(0, len(t), 1024)]
+        cut = [x for t in texts for x in pieces(t)]
         try:
-            return zstandard.train_dictionary(DICT_BYTES, pieces, k=64, d=6).as_bytes()
+            return zstandard.train_dictionary(DICT_BYTES, cut, k=64, d=6).as_bytes()
         except zstandard.ZstdError:  # too few samples for a trained one
-            return b"".join(pieces)[:DICT_BYTES] or b" " * 8
+            return b"".join(cut)[:DICT_BYTES] or b" " * 8
 
     model = Model(dictionary(1), dictionary(0), np.zeros(4), np.zeros(3), np.ones(3))
     tools = model.compressors()
@@ -133,8 +145,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
     Fitted on a bounded sample (SAMPLE_ROWS rows and SAMPLE_BYTES bytes a
     class) of the labelled rows that are not held out.  Null and empty texts
-    have difference 0 and the score that belongs to it; whole texts are
-    compressed, whatever their length; repeated rows are scored alike; other
+    have difference 0 and the score that belongs to it; every piece of a text
+    is compressed, whatever its length; repeated rows are scored alike; other
     columns are not read.  Without any label every score is 0.5 (or the
     softened rate of the only label there is); an empty table gives an empty
     result."""

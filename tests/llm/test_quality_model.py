@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from sparqa.llm import quality_model
@@ -13,6 +14,10 @@ def junk(seed):
     return " ".join(w + r.choice(["%%%", "###", "|", "&&&"]) for w in prose(seed, r.randrange(40, 200)).split())
 
 
+def prose_of(seed):
+    return prose(seed, random.Random(seed).randrange(40, 200))
+
+
 @pytest.fixture(scope="module")
 def corpus():
     texts, labels = [], []
@@ -36,6 +41,33 @@ def test_held_out_accuracy(spark, corpus):
     assert len(held) > 50 and sum(got[i].predicted == labels[i][1] for i in held) / len(held) > 0.95
 
 
+def test_long_texts_count_whole(corpus):
+    texts, labels = corpus
+    model = quality_model.fit([(t.encode(), y) for t, (_, y) in zip(texts, labels, strict=True)])
+    tools = model.compressors()
+
+    def difference(text):
+        return model.features(text.encode(), tools)[0]
+
+    for make, sign in ((junk, -1), (prose_of, 1)):
+        parts = [make(s) for s in range(10_000, 10_300)]
+        mean = sum(map(difference, parts)) / len(parts)
+        long = difference(" ".join(parts))
+        assert mean * sign > 0 and long * sign > 0.6 * mean * sign
+        assert (model.score(np.array([model.features(" ".join(parts).encode(), tools)]))[0] >= 0.5) == (sign > 0)
+    # what stands at the end weighs as much as what stands at the beginning
+    good, bad = (" ".join(make(s) for s in range(20_000, 20_100)) for make in (prose_of, junk))
+    first, last = difference(good + " " + bad), difference(bad + " " + good)
+    assert abs(first - last) < 0.1 * (difference(good) - difference(bad))
+
+
+def test_pieces():
+    for n in (0, 1, 1023, 1024, 1025, 5_000):
+        cut = quality_model.pieces(bytes(i % 251 for i in range(n)))
+        assert b"".join(cut) == bytes(i % 251 for i in range(n))
+        assert max(map(len, cut)) <= quality_model.PIECE and max(map(len, cut)) - min(map(len, cut)) <= 1
+
+
 def test_few_labels(spark, corpus):
     docs = documents(spark, corpus[0][:20])
     for labels in ([], [(1, 1)], [(1, 1), (0, 0)]):

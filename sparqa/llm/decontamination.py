@@ -63,6 +63,19 @@ class Windows:
         self.order = np.argsort(rarity, axis=1, kind="stable")
         self.order[np.take_along_axis(~inside, self.order, 1)] = -1
         self.term = np.where(self.order >= 0, self.terms[np.minimum(self.start[:, None] + self.order, max(len(self.terms) - 1, 0))] if len(self.terms) else 0, -1)
+        # proximity: the three rarest different terms (-1: none) and how often each is asked, once only;
+        # a window of fewer different terms asks for each as often as it holds it
+        other, rows, chosen = self.term >= 0, np.arange(len(self.term)), []
+        for _ in range(3):
+            found = np.where(other.any(1), self.term[rows, other.argmax(1)], -1)
+            chosen.append(found)
+            other &= self.term != found[:, None]
+        few = chosen[2] < 0
+        often = [np.where(few, (self.term == t[:, None]).sum(1) * (t >= 0), 1) for t in chosen]
+        self.ask, of = np.unique(np.stack(chosen + often, 1).astype(np.int64), axis=0, return_inverse=True)
+        asked = np.unique(np.stack([of.reshape(-1), self.item], 1), axis=0)
+        self.ask_item = asked[:, 1]
+        self.ask_off = np.searchsorted(asked[:, 0], np.arange(len(self.ask) + 1))
 
 
 def _index(vocabulary):
@@ -107,48 +120,53 @@ class Segment:
     def doc(self, position):
         return np.searchsorted(self.off, position, side="right") - 1
 
-    def phrases(self, w: Windows):
-        """(window, position) of the exact occurrences, in pieces."""
-        if not len(w.start):
-            return
-        rarest = w.term[:, 0]
+    def candidates(self, rarest):
+        """(which, position): the positions of each of the terms, in pieces."""
         many = self.begin[rarest + 1] - self.begin[rarest]
         edge, total = 0, np.cumsum(many)
         while edge < len(many):
             done = total[edge - 1] if edge else 0
             stop = max(int(np.searchsorted(total, done + CANDIDATES, side="right")), edge + 1)
-            win = np.repeat(np.arange(edge, stop), many[edge:stop])
-            if len(win):
-                inner = np.arange(len(win)) - np.repeat(total[edge:stop] - many[edge:stop] - done, many[edge:stop])
-                pos = self.positions[self.begin[rarest[win]] + inner] - w.order[win, 0]
-                fits = (pos >= 0) & (pos + w.length[win] <= len(self.at))
-                win, pos = win[fits], pos[fits]
-                for k in range(1, w.window):
-                    if not len(win):
-                        break
-                    off, term = w.order[win, k], w.term[win, k]
-                    same = (off < 0) | (self.at[pos + np.maximum(off, 0)] == term)
-                    win, pos = win[same], pos[same]
-                one = self.doc(pos) == self.doc(pos + w.length[win] - 1)
-                yield win[one], pos[one]
+            which = np.repeat(np.arange(edge, stop), many[edge:stop])
+            if len(which):
+                inner = np.arange(len(which)) - np.repeat(total[edge:stop] - many[edge:stop] - done, many[edge:stop])
+                yield which, self.positions[self.begin[rarest[which]] + inner]
             edge = stop
 
+    def phrases(self, w: Windows):
+        """(window, position) of the exact occurrences, in pieces."""
+        if not len(w.start):
+            return
+        for win, pos in self.candidates(w.term[:, 0]):
+            pos = pos - w.order[win, 0]
+            fits = (pos >= 0) & (pos + w.length[win] <= len(self.at))
+            win, pos = win[fits], pos[fits]
+            for k in range(1, w.window):
+                if not len(win):
+                    break
+                off, term = w.order[win, k], w.term[win, k]
+                same = (off < 0) | (self.at[pos + np.maximum(off, 0)] == term)
+                win, pos = win[same], pos[same]
+            one = self.doc(pos) == self.doc(pos + w.length[win] - 1)
+            yield win[one], pos[one]
+
     def near(self, w: Windows):
-        """(window, doc) with the window's three rarest terms within NEAR
-        windows' lengths of the rarest; windows one length apart are asked."""
-        for win in np.flatnonzero(w.inside % w.window == 0):
-            terms = list(dict.fromkeys(w.term[win][w.order[win] >= 0].tolist()))[:3]
-            lists = [self.positions[self.begin[t]: self.begin[t + 1]] for t in terms]
-            if len(terms) < 3 or not all(map(len, lists)):
-                continue
-            first, reach = lists[0], NEAR * w.window
-            doc = self.doc(first)
-            lo, hi = np.maximum(first - reach, self.off[doc]), np.minimum(first + reach + 1, self.off[doc + 1])
-            for other in lists[1:]:
-                ok = np.searchsorted(other, lo) < np.searchsorted(other, hi)
-                first, doc, lo, hi = first[ok], doc[ok], lo[ok], hi[ok]
-            for d in np.unique(doc):
-                yield win, d
+        """(item, doc) with the three rarest terms of any of the item's windows
+        within NEAR windows' lengths of the rarest."""
+        if not len(w.ask):
+            return
+        n, reach = len(self.at) + 1, NEAR * w.window
+        keys = self.at[self.positions] * n + self.positions  # sorted by term, then position
+        for ask, pos in self.candidates(w.ask[:, 0]):
+            doc = self.doc(pos)
+            lo, hi = np.maximum(pos - reach, self.off[doc]), np.minimum(pos + reach + 1, self.off[doc + 1])
+            for k in (2, 1, 0):
+                term, often = w.ask[ask, k], w.ask[ask, k + 3]
+                ok = (term < 0) | (np.searchsorted(keys, term * n + hi) - np.searchsorted(keys, term * n + lo) >= often)
+                ask, doc, lo, hi = ask[ok], doc[ok], lo[ok], hi[ok]
+            for x, d in np.unique(np.stack([ask, doc], 1), axis=0).tolist():
+                for item in w.ask_item[w.ask_off[x]: w.ask_off[x + 1]]:
+                    yield item, d
 
 
 def _search(windows, size, state):
@@ -170,8 +188,8 @@ def _search(windows, size, state):
                     for d, i in np.unique(np.stack([seg.doc(pos), w.item[win]]), axis=1).T:
                         items[d].add(str(w.ids[i]) if w.ids[i] is not None else "")
                 hit |= np.cumsum(cover)[:n] > 0
-                for win, d in seg.near(w):
-                    i = w.ids[w.item[win]]
+                for item, d in seg.near(w):
+                    i = w.ids[item]
                     near[d].add(str(i) if i is not None else "")
                 row.update(hit=np.packbits(hit).tobytes(), items=[sorted(x) for x in items], near=[sorted(x) for x in near])
                 yield pa.RecordBatch.from_pylist([row], schema=_STATE)
@@ -204,7 +222,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     """One row per row of ``docs`` (doc_id: long, text): doc_id, n_words, n_hit
     (words inside an occurrence of a window of an item), items (ids of items
     with occurring windows, as sorted strings), near_items (items with a
-    proximity match), items_sha256, contaminated (n_hit > 0).
+    proximity match of any window), items_sha256, contaminated (n_hit > 0).
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z lower-cased; an
     item of fewer words than ``window`` is one window.  ``benchmark`` (item_id,

@@ -1,4 +1,6 @@
 import hashlib
+import random
+from collections import Counter
 
 import pytest
 
@@ -54,6 +56,38 @@ def test_proximity(spark):
     assert not got[1].contaminated
 
 
+def brute_near(rows, items, window):
+    docs = [(doc, ALNUM.findall(lower(text or ""))) for doc, text in rows]
+    seen = Counter(x for _, w in docs for x in w)
+    out = {doc: set() for doc, _ in docs}
+    for item, text in items:
+        t = ALNUM.findall(lower(text or ""))
+        for i in range(max(len(t) - window + 1, min(len(t), 1))):
+            x = t[i:i + window]
+            terms = list(dict.fromkeys(sorted(x, key=lambda y: seen[y])))[:3]
+            often = {y: 1 if len(terms) == 3 else x.count(y) for y in terms}
+            for doc, w in docs:
+                for p in (p for p, y in enumerate(w) if y == terms[0]):
+                    around = w[max(0, p - decontamination.NEAR * window): p + decontamination.NEAR * window + 1]
+                    if all(around.count(y) >= c for y, c in often.items()):
+                        out[doc].add("" if item is None else str(item))
+    return out
+
+
+def test_proximity_of_all_windows(spark, monkeypatch):
+    r = random.Random(5)
+    items = [(i, prose(i, 19)) for i in range(8)] + [(20, "One"), (21, "two words"), (22, ""), (None, prose(50, 12)), (24, "la " * 12)]
+    tails = [" ".join(r.sample(t.split()[9:], 10)) for _, t in items[:8]]
+    texts = [None, "", "one", "words in between two", "la " * 9, "la " * 11, prose(60, 300)] + [f"{prose(300 + i, 30)} {t} {prose(400 + i, 30)}" for i, t in enumerate(tails)]
+    want = brute_near(list(enumerate(texts)), items, 10)
+    assert all(str(i) in want[7 + i] for i in range(8))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for candidates in (1 << 19, 5):
+        monkeypatch.setattr(decontamination, "CANDIDATES", candidates)
+        got = decontamination.decontaminate(documents(spark, texts), bench).collect()
+        assert {x.doc_id: set(x.near_items) for x in got} == want
+
+
 def test_empty(spark):
     docs, bench, _ = case(spark)
     assert decontamination.decontaminate(spark.createDataFrame([], DOCS), bench).count() == 0

@@ -77,7 +77,50 @@ f AS (SELECT page_id, max(struct_pack(n := length(h) + length(q), hn := length(h
 SELECT p.page_id, host, path, m.rule AS rule, coalesce(m.v, 'allow') AS verdict FROM p LEFT JOIN f USING (page_id)
 """
 
+# a byte, then seven zeros, for every character: xor it in, then shift one bit at a time
+_CRC32 = """list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({x}::VARCHAR, ''), lambda b: [ascii(b)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1)))"""
+CONVERSATIONS = f"""
+WITH t AS (SELECT conv_id, turn, md5(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS d,
+      len({_SPACE_WORDS.replace("text", "coalesce(text, '')")}) AS w FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(struct_pack(d := d, w := w) ORDER BY turn NULLS FIRST, d) AS t FROM t GROUP BY 1),
+h AS (SELECT conv_id, t, conv_id - conv_id % 20 AS base, xor({_CRC32.format(x="conv_id")}, 4294967295) % 4 AS h FROM o),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.t, [])[1:h.h], h.t[h.h + 1:]) AS t FROM h LEFT JOIN o b ON b.conv_id = h.base),
+p AS (SELECT conv_id, len(t) AS size, unnest(range(0, len(t) + 1)) AS depth, t FROM r),
+m AS (SELECT conv_id, depth, size, md5(array_to_string(list_transform(t[1:depth], lambda x: x.d), '')) AS k,
+      CASE WHEN depth = 0 THEN 0 ELSE t[depth].w END AS w, CASE WHEN depth > 0 THEN md5(array_to_string(list_transform(t[1:depth - 1], lambda x: x.d), '')) END AS up FROM p),
+n AS (SELECT k, depth, any_value(up) AS up, any_value(w) AS w, min(conv_id) AS c, count(*) AS n,
+      sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = size), '')) AS e FROM m GROUP BY 1, 2),
+kids AS (SELECT up AS k, count(*) AS kids FROM n WHERE up IS NOT NULL GROUP BY 1),
+f AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN kids USING (k)),
+s AS (SELECT a.k, count(*) FILTER (v.kids = 0) AS leaves, sum((v.n - 1) * v.w) AS saved FROM f v JOIN m a ON a.conv_id = v.c AND a.depth <= v.depth GROUP BY 1)
+SELECT f.c AS conv_id, f.depth, q.c AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, s.leaves AS n_leaves,
+  s.saved::BIGINT AS saved_tokens, f.e AS ends_sha256 FROM f JOIN s USING (k) LEFT JOIN f q ON q.k = f.up
+"""
+
+RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM_WORDS} AS w FROM documents),
+t AS (SELECT r, doc_id, len(w) AS n, w FROM d WHERE len(w) > 0),
+z AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM t),
+i AS (SELECT DISTINCT item_id, unnest({_ALNUM_WORDS}) AS term FROM benchmark),
+f AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM i) GROUP BY 1, 2),
+q AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, z GROUP BY 1),
+m AS (SELECT r, doc_id, 50 + (50 * n * docs) // words AS m FROM t, z),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM i JOIN q USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM o WHERE rank <= 50
+"""
+
+EXACT = r"""
+WITH n AS (SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[ 	-]', '', 'g') AS x FROM documents),
+b AS (SELECT doc_id, x, r, first_value(r) OVER g AS best, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY x) AS group_size FROM n
+      WINDOW g AS (PARTITION BY x ORDER BY chars DESC, doc_id, r))
+SELECT doc_id, keep_id, group_size, r = best AS kept, sha256(x) AS text_sha256 FROM b
+"""
+
 ORACLE = {
     "op1_minhash_near_dedup": NEAR_DEDUP, "op2_poisson_mixing": MIXING, "op6_substring_dedup": SUBSTRINGS,
     "op7_benchmark_decontamination": DECONTAMINATION, "op9_url_filter": URLS,
+    "op11_conversation_trie": CONVERSATIONS, "op12_ranked_search": RANKED, "op13_exact_dedup": EXACT,
 }

@@ -6,7 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, mixing, near_dedup, pii, quality_model, quality_rules, sharding, substrings, urls
+from . import (
+    decontamination, exact_dedup, licenses, mixing, near_dedup, pii, prefix_trie, quality_model, quality_rules, ranked_search, sharding,
+    substrings, urls,
+)
 
 #: target shares of the named sources; the others share the rest in proportion to their rows
 MIX_WEIGHTS = {"src0": 0.15, "src1": 0.10, "src2": 0.05}
@@ -81,8 +84,21 @@ def op10(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11(spark, sf_dir):
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), every=20, most=4)
+
+
+def op12(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13(spark, sf_dir):
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1, "op2_poisson_mixing": op2, "op3_pii_sanitisation": op3, "op4_license_scan": op4,
     "op5_external_shuffle": op5, "op6_substring_dedup": op6, "op7_benchmark_decontamination": op7,
     "op8_compression_quality": op8, "op9_url_filter": op9, "op10_quality_outliers": op10,
+    "op11_conversation_trie": op11, "op12_ranked_search": op12, "op13_exact_dedup": op13,
 }

@@ -30,6 +30,25 @@ def finished(spark: SparkSession, name: str, build) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: keys that hold more than this part of all rows are looked up by broadcast
+HOT_PART = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """``rows`` left joined with ``table`` (stored; unique ``keys``) by ``keys``.
+    ``weight`` is a column of ``table``: how many rows have the key, or an
+    upper bound of it, in all ``total``.  Keys with more than a thousandth of
+    ``total`` - a thousand at most - are broadcast, so none of the
+    others can fill a task of the shuffled join."""
+    hot = table.where(F.col(weight) * HOT_PART > total).withColumn("__hot", F.lit(True))
+    rest = table.where(F.col(weight) * HOT_PART <= total)
+    tried = rows.join(F.broadcast(hot), keys, "left")
+    more = [c for c in table.columns if c not in keys]
+    found = tried.where("__hot").drop("__hot")
+    missed = tried.where("__hot is null").drop("__hot", *more).join(rest, keys, "left")
+    return found.unionByName(missed.select(*found.columns))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): (node, component), the
     component being its smallest node.  Alternates large-star and small-star

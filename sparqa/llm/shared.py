@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,32 +51,62 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, tota
     return found.unionByName(missed.select(*found.columns))
 
 
+def _contract(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges (u, v) and the smallest node each is connected to."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u):]
+    label = np.arange(len(nodes))
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    return nodes, nodes[label]
+
+
+def _stars(batches):
+    """(u, v) -> (node, label): the connected components of a task's edges, as
+    stars around their smallest node.  Stars so far and the next block of edges
+    are contracted together, so memory goes with the task's nodes."""
+    u, v, waiting = [], [], 0
+    for batch in batches:
+        u.append(batch.column(0).to_numpy())
+        v.append(batch.column(1).to_numpy())
+        waiting += batch.num_rows
+        if waiting >= BLOCK_EDGES:
+            nodes, labels = _contract(np.concatenate(u), np.concatenate(v))
+            u, v, waiting = [nodes], [labels], 0
+    if u:
+        nodes, labels = _contract(np.concatenate(u), np.concatenate(v))
+        for lo in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[lo: lo + (1 << 16)]), pa.array(labels[lo: lo + (1 << 16)])], ["node", "label"])
+
+
+#: edges that a task contracts at a time
+BLOCK_EDGES = 1 << 20
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): (node, component), the
-    component being its smallest node.  Alternates large-star and small-star
-    steps on written edge tables until nothing changes (a logarithmic number of
-    rounds); hubs are aggregated partially and their joins can be split, and
-    nothing but two sums per round reaches the driver."""
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = stored(e, "edges")
-    last = _digest(e)
-    while last[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # neighbours of the smallest node itself stay linked to it
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = _digest(e)
-        if now == last:
-            break
-        last = now
-    roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
-def _digest(e: DataFrame) -> tuple:
-    row = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+    component being its smallest node.
+
+    A round deals the edges, in both directions, by their first node (hubs are
+    split, small partitions joined, by rebalancing), contracts every task's
+    edges to stars and goes on with the edges between labels that meet in a
+    node.  A node that is not split meets all its neighbours, so the labels
+    that are left are at most half the nodes.  Then labels are followed back."""
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    steps = []
+    while not steps or not e.isEmpty():
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).hint("rebalance", "u")
+        stars = stored(both.mapInArrow(_stars, "node long, label long"), "stars")
+        steps.append(stored(stars.groupBy("node").agg(F.min("label").alias("least")), "labels"))
+        met = stars.join(steps[-1], "node").where("label <> least")
+        e = stored(met.select(F.col("label").alias("u"), F.col("least").alias("v")).distinct(), "edges")
+    out = steps[0].select("node", F.col("least").alias("component"))
+    for step in steps[1:]:
+        out = out.join(step.select(F.col("node").alias("component"), "least"), "component", "left").select(
+            "node", F.coalesce("least", "component").alias("component"))
+    return out

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from sparqa.llm import near_dedup, shared
 
@@ -46,12 +48,14 @@ def corpus():
     return texts + [prose(s, 60) for s in range(500, 560)]
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_same_components_as_all_pairs(spark, k):
+@pytest.mark.parametrize(("k", "small", "distance"), [(2, 64, near_dedup.MAX_DISTANCE), (5, 2, near_dedup.MAX_DISTANCE), (2, 2, None)])
+def test_same_components_as_all_pairs(spark, monkeypatch, k, small, distance):
+    """Also with the prefix join for all buckets and without the signature filter."""
+    monkeypatch.setattr(near_dedup, "SMALL", small)
     docs = with_odd_columns(documents(spark, corpus())).repartition(3)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     want = brute(sorted(rows), k)
-    got = {r.doc_id: r for r in near_dedup.near_duplicates(docs, k).collect()}
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(docs, k, 80, distance).collect()}
     assert len(got) == len(want)
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
@@ -70,6 +74,35 @@ def test_dense_group_stays_whole(spark):
     assert brute(list(enumerate(texts)), 2) == {r.doc_id: (r.n_shingles, r.component_id) for r in got}
 
 
+def test_group_below_the_threshold(spark, monkeypatch):
+    """A crowd whose members meet under the same keys but are hardly ever linked."""
+    monkeypatch.setattr(near_dedup, "SMALL", 8)
+    base = prose(11, 150)
+    texts = [edited(base, j, 0.07) for j in range(160)]
+    got = near_dedup.near_duplicates(documents(spark, texts), 2).collect()
+    want = brute(list(enumerate(texts)), 2)
+    assert len({c for _, c in want.values()}) > 60
+    assert want == {r.doc_id: (r.n_shingles, r.component_id) for r in got}
+
+
+@pytest.mark.parametrize("percent", [60, 80])
+def test_prefix_join_finds_every_linked_pair(spark, percent):
+    r = random.Random(percent)
+    sets = []
+    for _ in range(12):
+        core = r.sample(range(3000), 60)
+        sets += [r.sample(core, r.randrange(40, 60)) + [r.randrange(10_000, 10**9) for _ in range(r.randrange(20))] for _ in range(15)]
+    sets = [sorted(set(x)) for x in sets] + [[1], [1, 2], [2]]
+    df = spark.createDataFrame([(i, i, x) for i, x in enumerate(sets)], "cid long, component long, members array<long>")
+    got = {(x.a, x.b) for x in near_dedup._prefix_pairs(df, percent).collect()}
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(set(x) & set(sets[j]))
+            if 100 * both >= percent * (len(x) + len(sets[j]) - both):
+                assert (j, i) in got
+    assert len(got) < len(sets) ** 2 / 8
+
+
 def test_null_and_repeated_ids(spark):
     t = prose(3, 80)
     rows = [(None, t), (None, t), (5, t), (5, t), (4, prose(4, 80)), (None, None), (None, prose(6, 80)), (7, None)]
@@ -81,12 +114,54 @@ def test_null_and_repeated_ids(spark):
     assert len([r for r in kept if r.text == t]) == 1 and len(kept) == 5
 
 
+def test_an_id_in_several_groups(spark):
+    """Rows are led by (doc_id, text): a repeated doc_id neither keeps a near
+    duplicate nor links its texts."""
+    a, b = prose(40, 100), prose(41, 100)
+    near = b.replace(b.split()[50], "other")
+    rows = [(5, a), (5, b), (3, near), (9, a), (None, a), (None, prose(42, 90)), (None, prose(42, 90))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): r for r in near_dedup.near_duplicates(docs, 2).collect()}
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, 2).collect() if r.doc_id) == [
+        (3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False)], got
+    kept = sorted([(r.doc_id, r.text) for r in near_dedup.keep_first(docs, 2).collect()], key=str)
+    assert kept == sorted([(3, near), (5, a), (None, prose(42, 90))], key=str)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], DOCS)
     assert near_dedup.near_duplicates(docs, 2).count() == 0
     assert near_dedup.keep_first(docs).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_random_edges(spark, seed):
+    """Hubs, long chains and scattered edges over many tasks."""
+    r = random.Random(seed)
+    edges = [(0, 10_000 + i) for i in range(800)] + [(20_000 + i, 20_001 + i) for i in range(700)] + [(r.randrange(3000), r.randrange(3000)) for _ in range(1400)]
+    r.shuffle(edges)
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    keys = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        got = shared.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {x.node: x.component for x in got} == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(200, 100), (100, 300), (7, 7)]
     got = shared.components(spark.createDataFrame(chain, "a long, b long"))

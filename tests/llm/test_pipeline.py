@@ -63,6 +63,6 @@ def test_empty_tables(spark, sf_dir, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == 0
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert mixing.HASH_BITS == 52

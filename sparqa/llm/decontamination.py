@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from .shared import stored
 from .words import ALNUM_WORDS, Words, batch_words, column_bytes
 
-#: bytes of text of an index segment, and of benchmark text searched in one pass
+#: bytes of text of an index segment, and of benchmark text searched in one pass: a
+#: pass's windows, which are broadcast, are ARRAYS times as large at most (tested)
 SEGMENT_BYTES = 1 << 21
-PASS_BYTES = 32 << 20
+PASS_BYTES, ARRAYS = 2 << 20, 24
 #: candidates that are intersected at a time
 CANDIDATES = 1 << 19
 NEAR = 2  # proximity: the three rarest terms within NEAR windows' lengths
@@ -56,7 +57,6 @@ class Windows:
         """Turn to the terms of a larger vocabulary, and order each window's
         offsets from its rarest term on (-1: none)."""
         self.terms = np.searchsorted(vocabulary, self.vocabulary)[self.terms]
-        self.vocabulary = None
         at = np.minimum(self.start[:, None] + np.arange(self.window), max(len(self.terms) - 1, 0))
         inside = np.arange(self.window) < self.length[:, None]
         rarity = np.where(inside, frequency[self.terms[at]] if len(self.terms) else 0, np.iinfo(np.int64).max)
@@ -74,8 +74,14 @@ class Windows:
         often = [np.where(few, (self.term == t[:, None]).sum(1) * (t >= 0), 1) for t in chosen]
         self.ask, of = np.unique(np.stack(chosen + often, 1).astype(np.int64), axis=0, return_inverse=True)
         asked = np.unique(np.stack([of.reshape(-1), self.item], 1), axis=0)
-        self.ask_item = asked[:, 1]
+        self.ask_item = asked[:, 1].astype(np.int32)
         self.ask_off = np.searchsorted(asked[:, 0], np.arange(len(self.ask) + 1))
+        # only what the search reads is broadcast, as narrow as it can be
+        self.order = self.order.astype(np.int16 if self.window < 1 << 15 else np.int32)
+        self.term, self.ask = self.term.astype(np.int32), self.ask.astype(np.int32)
+        self.item, self.length = self.item.astype(np.int32), self.length.astype(np.int32)
+        self.windows = len(self.start)
+        del self.terms, self.inside, self.start, self.vocabulary
 
 
 def _index(vocabulary):
@@ -135,16 +141,16 @@ class Segment:
 
     def phrases(self, w: Windows):
         """(window, position) of the exact occurrences, in pieces."""
-        if not len(w.start):
+        if not w.windows:
             return
         for win, pos in self.candidates(w.term[:, 0]):
-            pos = pos - w.order[win, 0]
+            pos = pos - w.order[win, 0].astype(np.int64)
             fits = (pos >= 0) & (pos + w.length[win] <= len(self.at))
             win, pos = win[fits], pos[fits]
             for k in range(1, w.window):
                 if not len(win):
                     break
-                off, term = w.order[win, k], w.term[win, k]
+                off, term = w.order[win, k].astype(np.int64), w.term[win, k]
                 same = (off < 0) | (self.at[pos + np.maximum(off, 0)] == term)
                 win, pos = win[same], pos[same]
             one = self.doc(pos) == self.doc(pos + w.length[win] - 1)
@@ -161,7 +167,7 @@ class Segment:
             doc = self.doc(pos)
             lo, hi = np.maximum(pos - reach, self.off[doc]), np.minimum(pos + reach + 1, self.off[doc + 1])
             for k in (2, 1, 0):
-                term, often = w.ask[ask, k], w.ask[ask, k + 3]
+                term, often = w.ask[ask, k].astype(np.int64), w.ask[ask, k + 3]
                 ok = (term < 0) | (np.searchsorted(keys, term * n + hi) - np.searchsorted(keys, term * n + lo) >= often)
                 ask, doc, lo, hi = ask[ok], doc[ok], lo[ok], hi[ok]
             for x, d in np.unique(np.stack([ask, doc], 1), axis=0).tolist():
@@ -222,7 +228,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     """One row per row of ``docs`` (doc_id: long, text): doc_id, n_words, n_hit
     (words inside an occurrence of a window of an item), items (ids of items
     with occurring windows, as sorted strings), near_items (items with a
-    proximity match of any window), items_sha256, contaminated (n_hit > 0).
+    proximity match of any window: its three rarest terms - fewer different ones
+    as often as it holds them - within NEAR window lengths of the rarest),
+    n_near, items_sha256, near_sha256, contaminated (n_hit > 0).
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z lower-cased; an
     item of fewer words than ``window`` is one window.  ``benchmark`` (item_id,
@@ -262,4 +270,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
             out = stored(out, "found")
     return out.mapInArrow(_report, "doc_id long, n_words long, n_hit long, items array<string>, near_items array<string>, items_sha256 string").select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "near_items", "items_sha256",
+        F.size("near_items").cast("long").alias("n_near"), F.sha2(F.array_join("near_items", ","), 256).alias("near_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))

@@ -2,8 +2,9 @@
 
 A source whose rows should be repeated ``rate`` times on average gets, for
 each row, a Poisson(rate) count: the inverse of the distribution function at a
-uniform number hashed from (seed, doc_id).  Rows are exploded by their count
-and all copies are put in one global random order.
+uniform number hashed from the seed, the row's doc_id and text, and its number
+among equal rows.  Rows are exploded by their count and all copies are put in
+one global random order.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import numbered
+
 #: sources whose rates are broadcast; more are joined by a shuffle
 BROADCAST_SOURCES = 2_000
 HASH_BITS = 52
@@ -65,9 +68,10 @@ def mix(docs: DataFrame, weights: dict[str, float], epochs: float = 1.0, seed: i
     ``mean_rate``, ``n_copies``, ``copy`` (1..n_copies) and ``order_key``
     (a number in [0, 1); partitions are a hash split of it and sorted by it).
 
-    The count depends on (seed, doc_id) and the source's rate alone.  Repeated
-    rows with one doc_id get the same count; a null doc_id hashes as ``""``, a
-    null source counts as ``""``; texts are not looked at.  Added names that
+    The draws depend on the seed, doc_id, text and the row's number among rows
+    that agree in doc_id, text and source (``numbered``), and on the source's
+    rate, so rows without a doc_id and repeated rows are drawn and placed one by
+    one.  A null doc_id or text hashes as ``""``, a null source counts as ``""``.  Added names that
     clash with columns of ``docs`` replace them.  An empty table stays empty.
     Rates above 600 are refused (exp(-rate) would lose digits)."""
     added = ["mean_rate", "n_copies", "copy", "order_key"]
@@ -79,11 +83,14 @@ def mix(docs: DataFrame, weights: dict[str, float], epochs: float = 1.0, seed: i
     table = table.select(F.col("source").alias("__source"), "mean_rate", _distribution(F.col("mean_rate")).alias("__cdf"))
     if known[0] <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    rows = docs.select(*keep).withColumn("__source", F.coalesce(F.col("source"), F.lit(""))).join(table, "__source")
-    u = uniform(F.lit(seed), F.col("doc_id"))
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select(*keep).withColumns({"__source": F.coalesce(F.col("source"), F.lit("")), "__text": text, "__id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
+    rows = numbered(rows, ["__id", "__text", "__source"], "__number").join(table, "__source")
+    drawn = [F.col("__id"), F.col("__text"), F.col("__number")]
+    u = uniform(F.lit(seed), *drawn)
     # __u is bound first: a filter lambda would hash again for each element
     rows = rows.withColumn("__u", u).withColumn(
         "n_copies", F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))).cast("long"))
     rows = rows.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
-    rows = rows.withColumn("order_key", uniform(F.lit(seed + 1), F.col("doc_id"), F.col("copy")))
-    return rows.select(*keep, *added).repartition("order_key", "doc_id").sortWithinPartitions("order_key", "doc_id")
+    rows = rows.withColumn("order_key", uniform(F.lit(seed + 1), *drawn, F.col("copy")))
+    return rows.select(*keep, *added).repartition("order_key").sortWithinPartitions("order_key", "doc_id")

@@ -291,7 +291,7 @@ def _pairs(close: DataFrame) -> DataFrame:
 def _pivots(labelled, classes, sets, percent, max_distance) -> DataFrame:
     """Each mixed bucket's members outside its largest component, paired with
     one member of that component (another one in each bucket they share)."""
-    mixed = stored(_mixed(labelled), "mixed")
+    mixed = _mixed(labelled)
     outside = _signed(labelled.join(mixed.select("key", "top"), "key").where("component <> top").drop("top"), classes, "x")
     pivot = _signed(mixed.select("key", F.col("pivot").alias("cid")), classes, "y")
     return _pairs(outside.join(pivot, (outside["key"] == pivot["key"]) & _close("x", "y", percent, max_distance)))
@@ -322,12 +322,13 @@ def _prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
     shingle at places i and j, at most n - i of one and m - j of the other are
     common; pairs whose bounds are too low are left out."""
     rows = rows.select("cid", "component", F.size("members").cast("long").alias("n"), "members")
-    tokens = stored(rows.select("cid", "component", "n", F.explode("members").alias("g")), "tokens")
-    shared = tokens.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ordered = tokens.join(shared, "g").groupBy("cid", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("s"))
-    own = F.col("n") - F.size("s")
     prefix = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
-    ordered = ordered.withColumn("own", own).withColumn("s", F.slice("s", F.lit(1), F.greatest(prefix - own, F.lit(0)).cast("int")))
+    counts = stored(rows.select("cid", F.explode("members").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"), F.min("cid").alias("cid")), "counts")
+    own = counts.where("df = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("own"))
+    left = rows.join(own, "cid", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(F.col("own") < prefix)
+    tokens = left.select("cid", "component", "n", "own", F.explode("members").alias("g"))
+    ordered = tokens.join(counts.where("df > 1").select("g", "df"), "g").groupBy("cid", "component", "n", "own").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("s"))
+    ordered = ordered.withColumn("s", F.slice("s", F.lit(1), (prefix - F.col("own")).cast("int")))
     probe = stored(ordered.select("cid", "component", "n", "own", F.posexplode("s").alias("at", "t")).select(
         "cid", "component", "n", (F.col("own") + F.col("at")).alias("at"), F.col("t.g").alias("g")), "prefixes")
     x, y = (probe.select("g", *[F.col(c).alias(f"{c}_{side}") for c in ("cid", "component", "n", "at")]) for side in ("x", "y"))

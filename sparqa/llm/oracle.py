@@ -29,13 +29,14 @@ r AS (SELECT s, {MIX_EPOCHS!r} * all_rows / n * CASE WHEN w IS NOT NULL THEN w /
 k AS (SELECT s, rate, unnest(range(0, (ceil(rate + 12 * sqrt(rate)) + 31)::INT)) AS k FROM r),
 cdf AS (SELECT s, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY s ORDER BY k) AS c FROM k),
 lists AS (SELECT s, list(c) AS cs FROM cdf GROUP BY 1),
-d AS (SELECT doc_id, source, text, rate, cs,
-      ('0x' || substr(md5('{MIX_SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / {float(1 << 52)!r} AS u
-      FROM documents JOIN r ON r.s = coalesce(source, '') JOIN lists USING (s)),
+o AS (SELECT *, ':' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':' ||
+      row_number() OVER (PARTITION BY coalesce(doc_id::VARCHAR, ''), coalesce(text, ''), coalesce(source, ''))::VARCHAR AS who FROM documents),
+d AS (SELECT doc_id, source, text, rate, cs, who, ('0x' || substr(md5('{MIX_SEED}' || who), 1, 13))::BIGINT / {float(1 << 52)!r} AS u
+      FROM o JOIN r ON r.s = coalesce(source, '') JOIN lists USING (s)),
 e AS (SELECT *, len(list_filter(cs, lambda x: x <= u)) AS n_copies FROM d),
 f AS (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM e)
 SELECT doc_id, source, text, rate AS mean_rate, n_copies, copy,
-  ('0x' || substr(md5('{MIX_SEED + 1}:' || coalesce(doc_id::VARCHAR, '') || ':' || copy::VARCHAR), 1, 13))::BIGINT / {float(1 << 52)!r} AS order_key FROM f
+  ('0x' || substr(md5('{MIX_SEED + 1}' || who || ':' || copy::VARCHAR), 1, 13))::BIGINT / {float(1 << 52)!r} AS order_key FROM f
 """
 
 SUBSTRINGS = f"""
@@ -60,10 +61,24 @@ s AS (SELECT doc_id, n, w, unnest(range(1, greatest(len(w) - n + 1, 0) + 1)) AS
 o AS (SELECT doc_id, i, n, w[i:i + n - 1] AS x FROM s),
 m AS (SELECT DISTINCT doc_id, i, n, item_id FROM o JOIN q USING (x)),
 hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM m) GROUP BY 1),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY 1)
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY 1),
+dw AS (SELECT doc_id, w[i] AS term, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+f AS (SELECT term, count(*) AS f FROM dw GROUP BY 1),
+wins AS (SELECT item_id, x, row_number() OVER () AS wid FROM q),
+kinds AS (SELECT wid, item_id, x[p] AS term, min(p) AS p, count(*) AS often FROM (SELECT wid, item_id, x, unnest(range(1, len(x) + 1)) AS p FROM wins) GROUP BY 1, 2, 3),
+rare AS (SELECT kinds.*, row_number() OVER (PARTITION BY wid ORDER BY coalesce(f, 0), p) AS r, count(*) OVER (PARTITION BY wid) AS n FROM kinds LEFT JOIN f USING (term)),
+asks AS (SELECT wid, item_id, list(struct_pack(t := term, o := CASE WHEN n < 3 THEN often ELSE 1 END) ORDER BY r) AS l FROM rare WHERE r <= 3 GROUP BY 1, 2),
+ask AS (SELECT l, row_number() OVER () AS a FROM (SELECT DISTINCT l FROM asks)),
+c AS (SELECT a, doc_id, i AS p, l FROM ask JOIN dw ON dw.term = l[1].t),
+have AS (SELECT a, c.doc_id, p, len(l) AS n, k.t, k.o FROM (SELECT *, unnest(l) AS k FROM c) c JOIN dw ON dw.doc_id = c.doc_id AND dw.term = k.t AND dw.i BETWEEN p - 20 AND p + 20
+         GROUP BY a, c.doc_id, p, len(l), k.t, k.o HAVING count(*) >= k.o),
+close AS (SELECT DISTINCT a, doc_id FROM (SELECT a, doc_id, p FROM have GROUP BY a, doc_id, p, n HAVING count(*) = n)),
+nr AS (SELECT doc_id, count(*) AS n_near, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS near_ids FROM (
+       SELECT DISTINCT doc_id, item_id FROM close JOIN ask USING (a) JOIN asks ON asks.l = ask.l) GROUP BY 1)
 SELECT doc_id, len(coalesce(w, [])) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0) AS n_near, sha256(coalesce(near_ids, '')) AS near_sha256
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nr USING (doc_id)
 """
 
 URLS = f"""
@@ -113,7 +128,8 @@ SELECT item_id, rank::INT AS rank, doc_id, score FROM o WHERE rank <= 50
 """
 
 EXACT = r"""
-WITH n AS (SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[ 	-]', '', 'g') AS x FROM documents),
+WITH n AS (SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[ 	-
+]', '', 'g') AS x FROM documents),
 b AS (SELECT doc_id, x, r, first_value(r) OVER g AS best, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY x) AS group_size FROM n
       WINDOW g AS (PARTITION BY x ORDER BY chars DESC, doc_id, r))
 SELECT doc_id, keep_id, group_size, r = best AS kept, sha256(x) AS text_sha256 FROM b

@@ -1,12 +1,15 @@
 """Personal data, and terms that give it away.
 
 Base: e-mail addresses, IP addresses, card and phone numbers by pattern and
-check digit.  Information-theoretic sanitisation adds terms near them: over the
-whole corpus, a term's pointwise mutual information with a protected value is
-compared with the value's own information.  A term that reveals most of it is
-generalised, one that reveals nearly all of it is removed.
-
-Everything is DataFrame expressions; no text is shuffled.
+check digit.  Information-theoretic sanitisation adds terms: co-occurrence over
+the whole texts of the corpus estimates how probable a protected entity is
+given a term.  Entities are the values that several texts hold, and each kind of
+value as a whole (so that values seen once count too).  A term whose pointwise
+mutual information with an entity is most of the entity's own information is
+generalised, one that reveals nearly all of it is removed - at every place where
+it stands, in every document.
+
+Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import lookup, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns are those of the contract, with possessive repeats and look-behinds that
@@ -28,15 +31,11 @@ PATTERNS = {
 }
 #: characters without which a pattern cannot match
 NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": "\\+[0-9]"}
-#: characters of context on either side of a value in which terms are looked for
-CONTEXT = 80
 TERM = r"[\p{L}\p{M}]{3,}"
-#: a term must stand near the value in this many different texts
-SUPPORT = 3
-#: share of a value's information that a term may reveal before it is generalised / removed
+#: share of an entity's information that a term may reveal before it is generalised / removed
 GENERALISE, REMOVE = 0.8, 0.95
-#: candidate terms that are broadcast to the corpus count; more are joined after counting all terms
-BROADCAST_TERMS = 50_000
+#: rows (disclosing terms, texts that hold some) that are broadcast; more are joined by a shuffle
+BROADCAST_ROWS = 50_000
 _BLOCK = 256
 
 
@@ -92,8 +91,9 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, spans): a row per row of ``docs``; (k1, k2) identify the
-    text; spans are (kind, start, end, value, before, after) by kind, then start."""
+    """(doc_id, k1, k2, spans, terms): a row per row of ``docs``; (k1, k2)
+    identify the text; spans are (kind, start, end, value) by kind, then start;
+    terms are the text's distinct words outside of addresses."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = docs.select("doc_id", F.xxhash64(F.lit(1), "text").alias("k1"), F.xxhash64(F.lit(2), "text").alias("k2"), text.alias("__text"))
     df = df.withColumn("__digit", F.rlike("__text", F.lit("[0-9]")))
@@ -103,12 +103,11 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
     def spans(kind):
         good = F.filter(kind, lambda s: _valid(kind, s["value"]))
-        return F.transform(good, lambda s: F.struct(
-            F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
-            F.substring("__text", F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))).alias("before"),
-            F.substring("__text", s["end"] + 1, F.lit(CONTEXT)).alias("after")))
+        return F.transform(good, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
-    return df.select("doc_id", "k1", "k2", F.concat(*[spans(k) for k in KINDS]).alias("spans"))
+    outside = F.when(F.size("email") > 0, F.regexp_replace("__text", PATTERNS["email"], " ")).otherwise(F.col("__text"))
+    terms = F.array_distinct(F.transform(F.regexp_extract_all(outside, F.lit(TERM), F.lit(0)), F.lower))
+    return df.select("doc_id", "k1", "k2", F.concat(*[spans(k) for k in KINDS]).alias("spans"), terms.alias("terms"))
 
 
 def _value(kind: Column, value: Column) -> Column:
@@ -116,79 +115,104 @@ def _value(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.when(kind.isin("card", "phone"), _digits(value)).otherwise(F.lower(value)))
 
 
-def _near_terms(base: DataFrame) -> DataFrame:
-    """(k1, k2, value, term, start, end, copies): terms in the context of a
-    value, outside all base spans, once per text."""
-    texts = base.where(F.size("spans") > 0).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.first("spans").alias("spans"))
-    rows = texts.select("k1", "k2", "copies", "spans", F.explode("spans").alias("s"))
-    common = ("k1", "k2", "copies", "spans")
-    value = _value(F.col("s.kind"), F.col("s.value")).alias("value")
-    before = rows.select(*common, value, F.col("s.before").alias("c"), (F.col("s.start") - F.length("s.before")).alias("at"), F.lit(True).alias("left"))
-    after = rows.select(*common, value, F.col("s.after").alias("c"), F.col("s.end").alias("at"), F.lit(False).alias("left"))
-    near = with_matches(before.unionByName(after), "c", TERM, "words", F.lit(True))
-    w = near.select(*common, "value", "c", "at", "left", F.explode("words").alias("w"))
-    # words that the context cuts in two
-    whole = (F.col("at") == 0) | ~F.col("left") | (F.col("w.start") > 0)
-    whole = whole & (F.col("left") | (F.length("c") < CONTEXT) | (F.col("w.end") < F.length("c")))
-    w = w.where(whole).select(*common, "value", F.lower("w.value").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"))
-    outside = ~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    return w.where(outside).drop("spans")
-
-
-def _term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df): documents that hold each of the terms, over all documents."""
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(TERM), F.lit(0)))).alias("term"))
-    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
-        return words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(terms, "term", "left_semi")
-
-
-def disclosures(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """(k1, k2, start, end, kind): places of the terms that disclose too much,
-    kind being ``generalise`` or ``remove``."""
-    near = stored(_near_terms(base), "near_terms")
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` (stored) marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def association(both: Column, texts: Column, df: Column, prior: Column) -> Column:
+    """Smoothed probability of an entity given a term: ``both`` documents of
+    the term's ``df`` hold the entity, ``texts`` of them different.  One text
+    alone is no evidence, and a rare term is drawn towards the entity's
+    ``prior``."""
+    return (1 - 1 / texts) * (both + prior) / (df + 1)
+
+
+def co_occurrence(base: DataFrame) -> DataFrame:
+    """(entity, term, both, texts, df, n_entity): terms that stand in two texts
+    or more with an entity, with documents that hold both, the term, the
+    entity.  Entities are ``kind:value`` and ``kind:``; counts are over whole
+    texts of all documents."""
+    held = base.where(F.size("spans") > 0).groupBy("k1", "k2").agg(
+        F.count(F.lit(1)).alias("copies"), F.first("spans").alias("spans"), F.first("terms").alias("terms"))
+    entities = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.array(_value(s["kind"], s["value"]), F.concat(s["kind"], F.lit(":"))))))
+    held = stored(held.select(F.monotonically_increasing_id().alias("at"), "copies", "terms", entities.alias("entities")), "protected")
+    counts = held.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(
+        F.count(F.lit(1)).alias("entity_texts"), F.sum("copies").alias("n_entity")).where("entity_texts > 1")
+    counts = stored(counts.select("entity", "n_entity"), "entities")
+    # terms are exploded for entities of several texts only
+    known = held.select("at", F.explode("entities").alias("entity")).join(_small(counts), "entity").groupBy("at").agg(
+        F.collect_list(F.struct("entity", "n_entity")).alias("known"))
+    pairs = held.select("at", "copies", "terms").join(known, "at").select("copies", "terms", F.explode("known").alias("e")).select(
+        "copies", F.col("e.entity").alias("entity"), F.col("e.n_entity").alias("n_entity"), F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "n_entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("both")).where("texts > 1")
+    # every term is counted before the join, so a frequent term is one row there
+    df = base.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return pairs.join(df, "term").select("entity", "term", "both", "texts", "df", "n_entity")
+
+
+def disclosures(base: DataFrame) -> DataFrame:
+    """(term, kind): the terms that disclose an entity, kind being
+    ``generalise`` or ``remove``."""
     documents = base.count()
-    once = near.groupBy("value", "term", "k1", "k2").agg(F.first("copies").alias("copies"))
-    pairs = stored(once.groupBy("value", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("both")).where(F.col("texts") >= SUPPORT), "pairs")
-    values = base.select("k1", "k2", F.explode(F.array_distinct(F.transform("spans", lambda s: _value(s["kind"], s["value"])))).alias("value"))
-    values = values.groupBy("value").agg(F.count(F.lit(1)).alias("dv"))
-    counts = _term_counts(docs, pairs.select("term").distinct())
-    information = F.log(F.lit(float(documents)) / F.col("dv"))
-    mutual = F.log(F.lit(float(documents)) * F.col("both") / (F.col("dv") * F.col("df")))
-    found = pairs.join(values, "value").join(counts, "term").where(mutual >= GENERALISE * information).where(information > 0)
-    found = found.select("value", "term", F.when(mutual >= REMOVE * information, "remove").otherwise("generalise").alias("kind"))
-    places = near.join(found, ["value", "term"]).groupBy("k1", "k2", "start", "end").agg(F.max("kind").alias("kind"))  # remove > generalise
-    return places
+    prior = F.col("n_entity") / F.lit(float(max(documents, 1)))
+    revealed = F.log(association(F.col("both"), F.col("texts"), F.col("df"), prior) / prior)
+    information = -F.log(prior)
+    found = co_occurrence(base).where((information > 0) & (revealed >= GENERALISE * information))
+    kind = F.when(revealed >= REMOVE * information, "remove").otherwise("generalise")
+    return found.select("term", kind.alias("kind")).groupBy("term").agg(F.max("kind").alias("kind"))  # remove > generalise
+
+
+def _places(docs: DataFrame, base: DataFrame, found: DataFrame) -> DataFrame:
+    """(k1, k2, terms): every place of the found terms outside base spans."""
+    holds = base.select("k1", "k2", "spans", F.explode("terms").alias("term")).join(_small(found), "term")
+    holds = holds.groupBy("k1", "k2").agg(F.first("spans").alias("spans"), F.collect_set(F.struct("term", "kind")).alias("found"))
+    holds = stored(holds, "holds")
+    keyed = docs.select(F.xxhash64(F.lit(1), "text").alias("k1"), F.xxhash64(F.lit(2), "text").alias("k2"), F.col("text").cast("string").alias("__text"))
+    rows = with_matches(keyed.join(_small(holds), ["k1", "k2"]), "__text", TERM, "words", F.lit(True))
+    kinds = F.map_from_entries(F.transform("found", lambda x: F.struct(x["term"], x["kind"])))
+    rows = rows.withColumn("kinds", kinds).withColumn("words", F.transform("words", lambda w: F.struct(
+        w["start"].alias("start"), w["end"].alias("end"), F.try_element_at("kinds", F.lower(w["value"])).alias("kind"), _shape(w["value"]).alias("class"))))
+    hits = F.filter("words", lambda w: w["kind"].isNotNull())
+    rows = rows.withColumn("words", hits).select("k1", "k2", F.filter("words", lambda w: ~F.exists(
+        "spans", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"]))).alias("terms"))
+    # copies of a text have the same places
+    return rows.groupBy("k1", "k2").agg(F.first("terms").alias("terms"), F.count(F.lit(1)).alias("n"))
+
+
+def _shape(word: Column) -> Column:
+    """The class that a generalised word is replaced by."""
+    return F.when(F.rlike(word, F.lit(r"^\p{Lu}{2,}$")), "acronym").when(F.rlike(word, F.lit(r"^\p{Lu}")), "name").otherwise("word")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, k1, k2 (the text's
     key), base (array of kind, start, end, value, by kind then start) and terms
-    (array of start, end, kind: terms near the values that disclose them).
-
-    Offsets are code points, ends exclusive.  Null texts count as empty;
-    counts run over all documents, support over different texts, so copies of
-    one text alone never make a term disclosing; repeated rows are answered
-    alike; whole texts are searched; other columns are not read; an empty table
-    gives an empty result."""
+    (array of start, end, kind, class: the places of words that disclose an
+    entity, wherever in the corpus they stand).
+
+    Offsets are code points, ends exclusive.  Null texts count as empty; counts
+    run over all documents and their whole texts; a term must stand with an
+    entity in two different texts at least, so copies of one text alone make
+    none disclosing; repeated rows are answered alike; other columns are not
+    read; an empty table gives an empty result."""
     base = stored(base_spans(docs), "base_spans")
-    places = disclosures(docs, base)
-    terms = places.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("terms"))
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
-    return base.join(terms, ["k1", "k2"], "left").select(
-        "doc_id", "k1", "k2", F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))).alias("base"),
-        F.coalesce("terms", empty).alias("terms"))
+    found = stored(disclosures(base), "disclosures")
+    places = stored(_places(docs, base, found), "places")
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,kind:string,class:string>>")
+    rows = lookup(base.drop("terms"), places, ["k1", "k2"], "n", base.count())
+    return rows.select("doc_id", "k1", "k2", F.col("spans").alias("base"), F.coalesce("terms", empty).alias("terms"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` sanitised: values become ``[email]`` and so on,
-    generalised terms ``[term]``, removed terms nothing.  Where spans overlap
+    generalised terms their class (``[name]``, ``[acronym]``, ``[word]``),
+    removed terms nothing.  Where spans overlap
     the earlier one stands.  Texts without spans are unchanged."""
-    found = find_pii(docs).groupBy("k1", "k2").agg(F.first("base").alias("base"), F.first("terms").alias("terms")).where("size(base) > 0")
+    found = find_pii(docs).groupBy("k1", "k2").agg(F.first("base").alias("base"), F.first("terms").alias("terms")).where("size(base) + size(terms) > 0")
     marked = F.concat(
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), s["kind"], F.lit("]")).alias("put"))),
-        F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["kind"] == "remove", "").otherwise("[term]").alias("put"))))
+        F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["kind"] == "remove", "").otherwise(F.concat(F.lit("["), s["class"], F.lit("]"))).alias("put"))))
     found = found.select("k1", "k2", F.sort_array(marked).alias("__marks"))
     keyed = docs.withColumn("__k1", F.xxhash64(F.lit(1), "text")).withColumn("__k2", F.xxhash64(F.lit(2), "text"))
     rows = keyed.join(found, (F.col("__k1") == found["k1"]) & (F.col("__k2") == found["k2"]), "left").drop("k1", "k2")

@@ -2,11 +2,16 @@
 outliers.
 
 Per language and source the log-transformed statistics of the documents get a
-minimum-covariance-determinant estimate by concentration steps: mean and
-covariance of the h rows of smallest Mahalanobis distance, again and again.
-Rows far from their group's estimate are rejected.  Everything is DataFrame
-expressions and aggregations; a group is never gathered, only its moments and
-the histogram of its distances are.
+minimum-covariance-determinant estimate: the mean and covariance of the h rows
+whose covariance has the smallest determinant.  It is searched from many starts.
+Small random subsets of a bounded random sample of each group, and its medians,
+are concentrated on the sample (mean and covariance of the h nearest rows, again
+and again); the starts of the smallest determinants, and the classical estimate,
+are concentrated on all rows; the best of them is iterated until its determinant
+no longer falls.  Rows far from their group's estimate are rejected.
+
+All starts of all groups take a step in one aggregation, keyed by group, start
+and distance bin.  A group is never gathered: only its moments by bin are.
 """
 
 from __future__ import annotations
@@ -24,7 +29,11 @@ SCALE = 1000
 #: is 0 in the central rows has no variance of its own, so its floor is that of rounding to the least
 #: step in 100 words (step / sqrt(12): one symbol or line is log1p(1), one repeat of three words log1p(6))
 FLOOR = (0.01, 0.01, 0.2, 0.2, 0.56)
-STEPS = 4
+#: random starts, rows of each (one more than features), rows of the sample they are first tried on
+STARTS, START_ROWS, SAMPLE_ROWS = 30, 6, 500
+#: steps of every start on the sample and on all rows, starts kept in between, and steps of the best start at most
+FIRST_STEPS, KEPT_STARTS, MOST_STEPS = 2, 3, 12
+SEED = 10
 #: share of a group's rows that the estimate rests on
 SUPPORT = 0.75
 #: groups of fewer rows are judged with all rows of their language, languages of fewer with all rows
@@ -92,20 +101,24 @@ def _features(df: DataFrame) -> DataFrame:
     return df.withColumns({k: F.round(v * SCALE).cast("long") for k, v in values.items()})
 
 
+P = range(len(FEATURES))
+PAIRS = [(i, j) for i in P for j in P if j <= i]
+SUMS = [f"s{i}" for i in P] + [f"q{i}{j}" for i, j in PAIRS]
+
+
 def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
     """Count, sums and sums of products of the features per group (exact)."""
-    p = range(len(FEATURES))
     wide = [F.col(x).cast("decimal(20,0)") for x in FEATURES]
-    sums = [F.sum(FEATURES[i]).cast("double").alias(f"s{i}") for i in p]
-    prods = [F.sum((wide[i] * wide[j]).cast("decimal(28,0)")).cast("double").alias(f"q{i}{j}") for i in p for j in p if j <= i]
+    sums = [F.sum(FEATURES[i]).cast("decimal(38,0)").alias(f"s{i}") for i in P]
+    prods = [F.sum((wide[i] * wide[j]).cast("decimal(28,0)")).alias(f"q{i}{j}") for i, j in PAIRS]
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums, *prods)
 
 
 def _estimate(moments: DataFrame, by: list[str]) -> DataFrame:
     """Means and the lower triangular inverse factor of each group's covariance
     (plus the floors): the squared distance is a sum of squares."""
-    p = range(len(FEATURES))
-    df = moments
+    p = P
+    df = moments.select(*by, *[F.col(c).cast("double").alias(c) for c in ("n", *SUMS)])
     for i in p:
         df = df.withColumn(f"m{i}", F.col(f"s{i}") / F.col("n") / SCALE)
     for i in p:  # Cholesky factor, row by row
@@ -117,7 +130,8 @@ def _estimate(moments: DataFrame, by: list[str]) -> DataFrame:
             # the floor bounds the pivot from below; rounding must not undo that
             c = F.sqrt(F.greatest(c, F.lit(FLOOR[i] ** 2 / 2))) if i == j else c / F.col(f"l{j}{j}")
             df = df.withColumn(f"l{i}{j}", c)
-    return df.select(*by, *[f"m{i}" for i in p], *[f"l{i}{j}" for i in p for j in range(i + 1)])
+    logdet = sum((2 * F.log(F.col(f"l{i}{i}")) for i in p), F.lit(0.0))
+    return df.select(*by, *[f"m{i}" for i in p], *[f"l{i}{j}" for i, j in PAIRS], logdet.alias("logdet"))
 
 
 def _distance(df: DataFrame, name: str = "d2") -> DataFrame:
@@ -131,19 +145,81 @@ def _distance(df: DataFrame, name: str = "d2") -> DataFrame:
         total = total + F.col(f"__z{i}") * F.col(f"__z{i}")
     df = df.withColumn(name, total)
     return df.drop(*[f"__z{i}" for i in range(len(FEATURES))], *[f"m{i}" for i in range(len(FEATURES))],
-                   *[f"l{i}{j}" for i in range(len(FEATURES)) for j in range(i + 1)])
+                   *[f"l{i}{j}" for i in range(len(FEATURES)) for j in range(i + 1)], "logdet")
 
 
-def _nearest(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The rows of each group up to the histogram bin of its SUPPORT quantile of
-    distance (bins of 1/16 octave: at most a few hundred per group)."""
-    rows = rows.withColumn("bin", F.floor(16 * F.log2(F.col("d2") + F.lit(1e-6))))
-    hist = rows.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("c"))
+def _step(rows: DataFrame, estimate: DataFrame, by: list[str]) -> DataFrame:
+    """The estimates of the h = SUPPORT rows of each group nearest to
+    ``estimate``.  Moments are gathered by bins of distance (1/16 octave: a few
+    hundred a group); of the bin in which the h-th row lies, the part that is
+    needed counts."""
+    near = _distance(rows.join(_small(estimate), by)).withColumn("bin", F.floor(16 * F.log2(F.col("d2") + F.lit(1e-6))))
+    bins = _moments(near, [*by, "bin"])
     up = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy(*by)
-    limit = hist.withColumn("before", F.coalesce(F.sum("c").over(up), F.lit(0))).withColumn("all", F.sum("c").over(total)) \
-        .where(F.col("before") < SUPPORT * F.col("all")).groupBy(*by).agg(F.max("bin").alias("last"))
-    return rows.join(_small(limit), by).where("bin <= last")
+    bins = bins.withColumn("before", F.coalesce(F.sum("n").over(up), F.lit(0))).withColumn("h", F.ceil(SUPPORT * F.sum("n").over(Window.partitionBy(*by))))
+    bins = bins.where("before < h")
+    whole = F.col("before") + F.col("n") <= F.col("h")
+    part = (F.col("h") - F.col("before")) / F.col("n")
+
+    def total(c):  # exact over whole bins, and the part of one bin
+        return (F.coalesce(F.sum(F.when(whole, F.col(c))), F.lit(0)).cast("double") + F.coalesce(F.sum(F.when(~whole, F.col(c).cast("double") * part)), F.lit(0.0))).alias(c)
+
+    return _estimate(bins.groupBy(*by).agg(*[total(c) for c in ("n", *SUMS)]), by)
+
+
+def _best(estimates: DataFrame, by: list[str], kept: int) -> DataFrame:
+    """The ``kept`` estimates of smallest determinant of each group."""
+    order = Window.partitionBy(*by).orderBy("logdet", "start")
+    return estimates.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= kept).drop("__r")
+
+
+def minimum_determinant(fit: DataFrame, by: list[str]) -> DataFrame:
+    """The estimate of each group of ``fit`` (stored; ``by``, draw, features):
+    means, inverse factor and ``logdet``."""
+    order = Window.partitionBy(*by).orderBy("draw", *FEATURES)
+    sample = stored(fit.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= SAMPLE_ROWS).drop("__r"), "sample")
+    tries = sample.select(*by, "draw", *FEATURES, F.explode(F.sequence(F.lit(1), F.lit(STARTS))).alias("start"))
+    chance = Window.partitionBy(*by, "start").orderBy(F.xxhash64("start", "draw"), *FEATURES)
+    first = tries.withColumn("__r", F.row_number().over(chance)).where(F.col("__r") <= START_ROWS)
+    keyed = [*by, "start"]
+    middle = _middle(sample, by)
+    estimate = stored(_estimate(_moments(first, keyed), keyed).unionByName(middle), "starts")
+    everywhere = stored(sample.select(*by, *FEATURES, F.explode(F.sequence(F.lit(0), F.lit(STARTS))).alias("start")), "tries")
+    for _ in range(FIRST_STEPS):
+        estimate = stored(_step(everywhere, estimate, keyed), "starts")
+    classical = _estimate(_moments(fit, by), by).withColumn("start", F.lit(-1))
+    estimate = stored(_best(estimate, by, KEPT_STARTS).unionByName(classical.select(*estimate.columns)), "starts")
+    several = _each_start(fit, estimate, by)
+    for _ in range(FIRST_STEPS):
+        estimate = stored(_step(several, estimate, keyed), "starts")
+    best = stored(_best(estimate, by, 1).drop("start"), "best")
+    for _ in range(MOST_STEPS):
+        after = stored(_step(fit, best, by), "best")
+        fell = after.select(*by, F.col("logdet").alias("now")).join(best.select(*by, "logdet"), by).where(F.col("now") < F.col("logdet") - 1e-6)
+        best = after
+        if fell.isEmpty():
+            break
+    return best
+
+
+def _each_start(fit: DataFrame, estimate: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of each group once for each of its starts."""
+    starts = stored(estimate.groupBy(*by).agg(F.collect_list("start").alias("starts")), "kept_starts")
+    return fit.join(_small(starts), by).select(*by, *FEATURES, F.explode("starts").alias("start"))
+
+
+def _middle(sample: DataFrame, by: list[str]) -> DataFrame:
+    """Start 0: medians, and independent features with the deviations that the
+    median absolute deviations stand for."""
+    medians = sample.groupBy(*by).agg(*[F.percentile(x, F.lit(0.5)).alias(f"c{i}") for i, x in enumerate(FEATURES)])
+    apart = sample.join(_small(stored(medians, "medians")), by)
+    mads = apart.groupBy(*by).agg(*[F.first(f"c{i}").alias(f"c{i}") for i in P],
+                                  *[(1.4826 * F.percentile(F.abs(F.col(x) - F.col(f"c{i}")), F.lit(0.5))).alias(f"v{i}") for i, x in enumerate(FEATURES)])
+    # as moments of one row: their covariance is diagonal
+    c, v = [F.col(f"c{i}") for i in P], [F.col(f"v{i}") for i in P]
+    moments = mads.select(*by, F.lit(0).alias("start"), F.lit(1).alias("n"), *[c[i].alias(f"s{i}") for i in P],
+                          *[(c[i] * c[j] + (v[i] * v[i] if i == j else 0)).alias(f"q{i}{j}") for i, j in PAIRS])
+    return _estimate(moments, [*by, "start"])
 
 
 #: groups whose estimates are broadcast; more are joined by a shuffle that can split hot groups
@@ -159,7 +235,7 @@ def _small(groups: DataFrame) -> DataFrame:
 
 def robust_distances(rows: DataFrame) -> DataFrame:
     """``rows`` (lang, source, features) with ``d2``: the squared distance to
-    the estimate of the row's group, after STEPS concentration steps."""
+    the minimum-determinant estimate of the row's group."""
     # plain rules reject their rows whatever the distance; the estimate rests on the others
     passed = F.sum(F.when(~F.col("base_failed"), 1).otherwise(0))
     sizes = stored(rows.groupBy("lang", "source").agg(passed.alias("group_rows")), "sizes")
@@ -170,23 +246,21 @@ def robust_distances(rows: DataFrame) -> DataFrame:
     rows = rows.join(_small(groups), ["lang", "source"])
     by = ["glang", "grp"]
     fit = rows.where("not base_failed")
-    parts = fit.where("grp like '=%'").select(*by, *FEATURES)
+    parts = fit.where("grp like '=%'").select(*by, "draw", *FEATURES)
     if groups.where("grp = ''").limit(1).collect():
         parts = parts.unionByName(fit.join(_small(languages.where(F.col("lang_rows") >= LEAST_ROWS).select("lang")), "lang").select(
-            F.col("lang").alias("glang"), F.lit("").alias("grp"), *FEATURES))
+            F.col("lang").alias("glang"), F.lit("").alias("grp"), "draw", *FEATURES))
     if groups.where("grp = '*'").limit(1).collect() and (sizes.agg(F.sum("group_rows")).first()[0] or 0) >= LEAST_ROWS:
-        parts = parts.unionByName(fit.select(F.lit("").alias("glang"), F.lit("*").alias("grp"), *FEATURES))
+        parts = parts.unionByName(fit.select(F.lit("").alias("glang"), F.lit("*").alias("grp"), "draw", *FEATURES))
     fit = stored(parts, "fit")
-    estimate = stored(_estimate(_moments(fit, by), by), "estimate")
-    for _ in range(STEPS):
-        near = _nearest(_distance(fit.join(_small(estimate), by)), by)
-        estimate = stored(_estimate(_moments(near, by), by), "estimate")
+    estimate = minimum_determinant(fit, by)
     return _distance(rows.join(_small(estimate), by, "left")).drop(*by)
 
 
 def _judged(docs: DataFrame, carry: list[str]) -> DataFrame:
-    stats = stored(_features(statistics(docs, carry)), "statistics")
-    out = robust_distances(stats)
+    stats = _features(statistics(docs, carry))
+    draw = F.xxhash64(F.lit(SEED), F.col("row.doc_id"), *FEATURES)
+    out = robust_distances(stored(stats.withColumn("draw", draw), "statistics"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= CUTOFF)
     return out.select("row", *COUNTS, "base_failed", F.col("d2").alias("distance"), kept.alias("kept"))
 

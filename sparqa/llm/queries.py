@@ -69,7 +69,7 @@ def op6(spark, sf_dir):
 
 def op7(spark, sf_dir):
     found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near", "near_sha256")
 
 
 def op8(spark, sf_dir):

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from sparqa.llm import decontamination
@@ -86,6 +87,17 @@ def test_proximity_of_all_windows(spark, monkeypatch):
         monkeypatch.setattr(decontamination, "CANDIDATES", candidates)
         got = decontamination.decontaminate(documents(spark, texts), bench).collect()
         assert {x.doc_id: set(x.near_items) for x in got} == want
+        assert all(x.n_near == len(want[x.doc_id]) and x.near_sha256 == hashlib.sha256(",".join(sorted(want[x.doc_id])).encode()).hexdigest() for x in got)
+
+
+def test_a_pass_is_bounded(spark):
+    """What is broadcast stays within ARRAYS times the block's text."""
+    items = [(i, prose(i, 150)) for i in range(400)]
+    w = decontamination.Windows(items, 10)
+    vocabulary = w.vocabulary
+    w.rank(vocabulary, np.arange(len(vocabulary)))
+    held = sum(x.nbytes for x in vars(w).values() if isinstance(x, np.ndarray))
+    assert held < decontamination.ARRAYS * sum(len(t) for _, t in items)
 
 
 def test_empty(spark):

@@ -3,8 +3,9 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from sparqa.llm import mixing
+from sparqa.llm import mixing, shared
 
 from .helpers import DOCS, documents, odd_texts, prose, with_odd_columns
 
@@ -23,14 +24,17 @@ def poisson(rate, u):
 
 
 def brute(rows, weights, epochs, seed):
-    n = Counter(s or "" for _, s in rows)
+    """``rows``: (doc_id, source, text)."""
+    n = Counter(s or "" for _, s, _ in rows)
+    seen = Counter()
     others = sum(c for s, c in n.items() if s not in weights)
     given = sum(w for s, w in weights.items() if s in n)
     out = []
-    for doc, s in rows:
-        s = s or ""
+    for doc, s, text in rows:
+        s, text = s or "", text or ""
+        seen[doc, text, s] += 1
         share = weights[s] / (1 if others else given) if s in weights else (1 - given) * n[s] / others
-        count = poisson(epochs * share * len(rows) / n[s], uniform(seed, doc))
+        count = poisson(epochs * share * len(rows) / n[s], uniform(seed, doc, hashlib.md5(text.encode()).hexdigest(), seen[doc, text, s]))
         out += [(doc, c, count) for c in range(1, count + 1)]
     return sorted(out, key=repr)
 
@@ -38,7 +42,7 @@ def brute(rows, weights, epochs, seed):
 @pytest.mark.parametrize("weights,epochs", [({"src0": 0.5, "src1": 0.1}, 2.0), ({}, 1.0), ({"src0": 0.2, "src1": 0.2, "src2": 0.2}, 5.0), ({"nowhere": 0.4, "src2": 0.0}, 1.0)])
 def test_same_counts(spark, weights, epochs):
     docs = with_odd_columns(documents(spark, odd_texts() * 10))
-    rows = [(r.doc_id, r.source) for r in docs.select("doc_id", "source").collect()]
+    rows = [(r.doc_id, r.source, r.text) for r in docs.select("doc_id", "source", "text").collect()]
     out = mixing.mix(docs, weights, epochs, 3)
     assert [c for c in docs.columns if c != "copy"] + ["mean_rate", "n_copies", "copy", "order_key"] == out.columns
     got = out.collect()
@@ -57,15 +61,39 @@ def test_shares_and_order(spark):
 
 def test_null_and_repeated(spark):
     docs = spark.createDataFrame([(None, "a", None), (None, "a", None), (1, None, "s"), (1, None, "s")] * 20, "doc_id long, text string, source string")
-    rows = [(r.doc_id, r.source) for r in docs.collect()]
+    rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
     got = mixing.mix(docs, {"s": 0.25}, 3.0, 9).collect()
     assert sorted(((r.doc_id, r.copy, r.n_copies) for r in got), key=repr) == brute(rows, {"s": 0.25}, 3.0, 9)
 
 
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_rows_without_ids_are_drawn_one_by_one(spark, monkeypatch, limit):
+    """Target shares hold, and the rows spread over the partitions, though all
+    rows are the same but for their source."""
+    monkeypatch.setattr(shared, "BROADCAST_KEYS", limit)
+    docs = spark.createDataFrame([(None, "same", "ab"[i % 2]) for i in range(4000)], "doc_id long, text string, source string").repartition(5)
+    out = mixing.mix(docs, {"a": 0.7}, 1.0, 4)
+    sources = Counter(r.source for r in out.collect())
+    assert abs(sources["a"] / sum(sources.values()) - 0.7) < 0.03 and abs(sum(sources.values()) / 4000 - 1) < 0.06
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = [r["count"] for r in mixing.mix(docs, {"a": 0.7}, 1.0, 4).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(parts) > 2 and max(parts) < 0.5 * sum(parts)
+
+
+def test_numbered(spark):
+    rows = [(None, "x")] * 50 + [(1, "x")] * 30 + [(1, None)] * 20 + [(i, "y") for i in range(2, 40)]
+    got = shared.numbered(spark.createDataFrame(rows, "a long, b string").repartition(7), ["a", "b"], "no").collect()
+    assert sorted(((r.a, r.b, r.no) for r in got), key=repr) == sorted(((a, b, k) for (a, b), n in Counter(rows).items() for k in range(1, n + 1)), key=repr)
+
+
 def test_many_sources_are_joined(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
     docs = documents(spark, [prose(i, 5) for i in range(50)])
-    rows = [(r.doc_id, r.source) for r in docs.collect()]
+    rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
     assert sorted(((r.doc_id, r.copy, r.n_copies) for r in mixing.mix(docs, {"src0": 0.5}, 1.0, 2).collect()), key=repr) == brute(rows, {"src0": 0.5}, 1.0, 2)
 
 

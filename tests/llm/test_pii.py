@@ -1,4 +1,6 @@
+import math
 import re
+from collections import Counter
 
 import pytest
 
@@ -47,34 +49,75 @@ def test_base_spans(spark):
 
 @pytest.fixture(scope="module")
 def planted():
-    """A word that stands near one address and nowhere else, one that stands
-    there and elsewhere, and one near copies of a single text only."""
-    texts = [f"{prose(s, 40)} call Zebulon the baker at zeb@mail.example now {prose(s + 500, 40)}" for s in range(5)]
+    """A word that stands in texts of one address, far from it too, and in one
+    text without; one that stands there and elsewhere; and one in copies of a
+    single text only."""
+    texts = [f"{prose(s, 40)} Zebulon the baker at zeb@mail.example now {prose(s + 500, 60)} and Zebulon again" for s in range(5)]
     texts += [f"{prose(s, 40)} the baker {prose(s + 1, 30)}" for s in range(100, 160)]
     texts += [f"{prose(77, 10)} Quixotic one@only.example {prose(78, 10)}"] * 6
-    return texts + [prose(s, 60) for s in range(200, 300)]
+    return texts + [prose(s, 60) for s in range(200, 300)] + [f"{prose(400, 30)} Zebulon alone {prose(401, 30)}"]
+
+
+def brute_terms(texts):
+    """{term: kind} by the definitions, over lists of distinct terms."""
+    address = re.compile(PATTERNS["email"])
+    rows = []
+    for t in texts:
+        t = t or ""
+        spans = brute(t)
+        terms = {w.lower() for w in re.findall(r"[^\W\d_]{3,}", address.sub(" ", t) if any(k == "email" for k, _, _ in spans) else t)}
+        entities = set()
+        for k, a, b in spans:
+            value = re.sub("[^0-9]", "", t[a:b]) if k in ("card", "phone") else t[a:b].lower()
+            entities |= {f"{k}:", f"{k}:{value}"}
+        rows.append((t, terms, entities))
+    df = Counter(x for _, terms, _ in rows for x in terms)
+    n_entity = Counter(e for _, _, entities in rows for e in entities)
+    both, where = Counter(), {}
+    for t, terms, entities in rows:
+        for e in entities:
+            for x in terms:
+                both[e, x] += 1
+                where.setdefault((e, x), set()).add(t)
+    out = {}
+    for (e, x), n in both.items():
+        k, p = len(where[e, x]), n_entity[e] / len(texts)
+        if k > 1 and p < 1:
+            share = math.log((1 - 1 / k) * (n + p) / (df[x] + 1) / p) / -math.log(p)
+            if share >= pii.GENERALISE:
+                out[x] = max(out.get(x, ""), "remove" if share >= pii.REMOVE else "generalise")
+    return out
 
 
 @pytest.mark.parametrize("limit", [50_000, 0])
 def test_disclosing_terms(spark, planted, monkeypatch, limit):
-    monkeypatch.setattr(pii, "BROADCAST_TERMS", limit)
-    got = pii.find_pii(documents(spark, planted)).collect()
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", limit)
+    docs = documents(spark, planted)
+    found = {r.term: r.kind for r in pii.disclosures(pii.base_spans(docs)).collect()}
+    assert found == brute_terms(planted)
+    assert "zebulon" in found and not {"baker", "quixotic"} & set(found)
+    got = pii.find_pii(docs).collect()
     assert len(got) == len(planted)
     for r in got:
-        words = {(planted[r.doc_id][s.start:s.end], s.kind) for s in r.terms}
-        if r.doc_id < 5:
-            assert {w for w, _ in words} >= {"Zebulon"} and ("Zebulon", "remove") in words
-            assert not {w for w, _ in words} & {"baker", "the"}
-        else:
-            assert not words
+        text = planted[r.doc_id]
+        spans = [(s.start, s.end) for s in r.base]
+        want = [(m.start(), m.end(), found[m.group().lower()]) for m in re.finditer(r"[^\W\d_]{3,}", text)
+                if m.group().lower() in found and not any(a < m.end() and b > m.start() for a, b in spans)]
+        assert sorted((s.start, s.end, s.kind) for s in r.terms) == want
 
 
 def test_sanitise(spark, planted):
     docs = documents(spark, planted + [None, "mail x@y.zz or 1.2.3.4"])
     got = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
-    assert "[email]" in got[0] and "Zebulon" not in got[0] and "baker" in got[0]
+    assert "[email]" in got[0] and "baker" in got[0]
+    assert not any("Zebulon" in (got[i] or "") for i in got)  # far from the address, and in the text without it
     assert got[len(planted)] is None and got[len(planted) + 1] == "mail [email] or [ip]"
-    assert all(got[i] == planted[i] for i in range(80, len(planted)))
+    assert all(got[i] == planted[i] for i in range(80, len(planted) - 1))
+
+
+def test_shapes(spark):
+    df = spark.createDataFrame([("Zebulon",), ("NASA",), ("word",), ("Ärger",)], "w string")
+    assert [r[0] for r in df.select(pii._shape(df.w)).collect()] == ["name", "acronym", "word", "name"]
 
 
 def test_empty(spark):

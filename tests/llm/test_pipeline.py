@@ -45,7 +45,7 @@ def test_stages(spark, sf_dir):
     leaks = {r[0] for r in test_decontamination.brute(pairs(one), items, 10) if r[-1]}
     assert len(leaks) >= 5 and [i for i, _ in pairs(clean)] == [i for i, _ in pairs(one) if i not in leaks]
     mixed = step(3, clean)
-    rows = [(r.doc_id, r.source) for r in clean.collect()]
+    rows = [(r.doc_id, r.source, r.text) for r in clean.collect()]
     assert [i for i, _ in pairs(mixed)] == sorted(i for i, _, _ in test_mixing.brute(rows, MIX_WEIGHTS, 1.0, MIX_SEED))
     sharded = step(4, mixed).collect()
     assert sorted(r.doc_id for r in sharded) == [i for i, _ in pairs(mixed)]

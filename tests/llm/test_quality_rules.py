@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparqa.llm import quality_rules as Q
 
@@ -18,33 +19,73 @@ def counts(text):
     return len(w), sum(map(len, w)), sum(c in Q.SYMBOLS for c in text), len(lines) - len(set(lines)), len(covered)
 
 
-def distances(rows):
-    """The estimate over numpy arrays: rows of (group, features, base_failed)."""
-    def estimate(x):
-        cov = np.cov(x.T, bias=True) + np.diag(np.square(Q.FLOOR))
-        return x.mean(0), np.linalg.inv(cov)
-
-    def d2(x, e):
-        z = x - e[0]
-        return np.einsum("ij,jk,ik->i", z, e[1], z)
-
-    sizes = Counter((r[0], r[1]) for r in rows if not r[3])
-    out = []
-    estimates = {}
-    for lang, source, _, _ in rows:
-        big = sizes[lang, source] >= Q.LEAST_ROWS
-        key = (lang, source if big else None)
-        if key not in estimates:
-            x = np.array([r[2] for r in rows if r[0] == lang and not r[3] and (not big or r[1] == source)])
-            e = estimate(x) if len(x) else None
-            for _ in range(Q.STEPS if len(x) else 0):
-                bins = np.floor(16 * np.log2(d2(x, e) + 1e-6))
-                ranked = np.sort(bins)
-                last = ranked[int(np.ceil(Q.SUPPORT * len(x))) - 1]
-                e = estimate(x[bins <= last])
-            estimates[key] = e
-        out.append(estimates[key])
-    return [None if e is None else float(d2(np.array([r[2]]), e)[0]) for r, e in zip(rows, out, strict=True)]
+def estimate(x):
+    cov = np.cov(x.T, bias=True) + np.diag(np.square(Q.FLOOR))
+    return x.mean(0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+
+def d2(x, e):
+    z = x - e[0]
+    return np.einsum("ij,jk,ik->i", z, e[1], z)
+
+
+def smallest_determinant(x, starts=200, seed=0):
+    """Minimum covariance determinant from many random starts, each iterated."""
+    rng = np.random.default_rng(seed)
+    h = int(np.ceil(Q.SUPPORT * len(x)))
+    best = None
+    for _ in range(starts):
+        e = estimate(x[rng.choice(len(x), 6, replace=False)])
+        for _ in range(30):
+            after = estimate(x[np.argsort(d2(x, e), kind="stable")[:h]])
+            done = after[2] > e[2] - 1e-9
+            e = after
+            if done:
+                break
+        if best is None or e[2] < best[2]:
+            best = e
+    return best
+
+
+def as_rows(spark, x):
+    rows = [("en", "a", False, i * 7919 % 1_000_003, *r) for i, r in enumerate(np.round(x * Q.SCALE).astype(int).tolist())]
+    return spark.createDataFrame(rows, "lang string, source string, base_failed boolean, draw long, " + ", ".join(f"{f} long" for f in Q.FEATURES))
+
+
+@pytest.mark.parametrize(("share", "shift"), [(0.05, 8), (0.15, 8), (0.2, 8), (0.2, 4), (0.24, 8)])
+def test_tight_clusters_do_not_mask_themselves(spark, share, shift):
+    """Against an independent estimate from 200 starts: the planted cluster is
+    caught, and the determinant is as small."""
+    rng = np.random.default_rng(int(100 * share) + shift)
+    x = rng.normal(size=(2000, 5))
+    bad = int(2000 * share)
+    x[:bad] = shift + 0.1 * rng.normal(size=(bad, 5))
+    got = sorted(Q.robust_distances(as_rows(spark, x)).collect(), key=lambda r: r.draw * 1)
+    by_draw = {r.draw: r.d2 for r in got}
+    d = np.array([by_draw[i * 7919 % 1_000_003] for i in range(2000)])
+    assert (d[:bad] > Q.CUTOFF).all() and (d[bad:] > Q.CUTOFF).mean() < 0.02
+    best = smallest_determinant(np.round(x * Q.SCALE) / Q.SCALE)
+    fit = as_rows(spark, x).withColumns({"glang": F.lit("en"), "grp": F.lit("=a")})
+    assert Q.minimum_determinant(fit, ["glang", "grp"]).first().logdet <= best[2] + 0.02
+
+
+def test_a_step_takes_exactly_h_rows(spark):
+    """The part of the last bin that is needed counts."""
+    x = np.round(np.random.default_rng(3).normal(size=(403, 5)) * Q.SCALE) / Q.SCALE
+    by = ["lang", "source"]
+    rows = as_rows(spark, x)
+    first = Q._estimate(Q._moments(rows, by), by)
+    after = Q._step(rows, first, by).first()
+    distance = d2(x, estimate(x))
+    bins = np.floor(16 * np.log2(distance + 1e-6))
+    h = int(np.ceil(Q.SUPPORT * 403))
+    last = np.sort(bins)[h - 1]
+    weight = np.where(bins < last, 1.0, np.where(bins == last, (h - (bins < last).sum()) / (bins == last).sum(), 0.0))
+    assert weight.sum() == pytest.approx(h)
+    mean = np.average(x, axis=0, weights=weight)
+    assert [after[f"m{i}"] for i in range(5)] == pytest.approx(mean.tolist(), abs=1e-9)
+    cov = np.cov(x.T, aweights=weight, bias=True) + np.diag(np.square(Q.FLOOR))
+    assert after.logdet == pytest.approx(np.linalg.slogdet(cov)[1], abs=1e-6)
 
 
 @pytest.fixture(scope="module")
@@ -65,10 +106,15 @@ def test_counts_and_distances(spark, corpus):
         assert r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0])
         words = max(n[0], 1)
         x = [np.log1p(n[0]), np.log((n[1] + 1) / words)] + [np.log1p(100.0 * c / words) for c in n[2:]]
-        rows.append(("en", f"src{i % 3}", np.round(np.array(x) * Q.SCALE) / Q.SCALE, r.base_failed))
-    for i, want in zip(order, distances(rows), strict=True):
-        assert got[i].distance == pytest.approx(want, rel=1e-6, abs=1e-6)
-        assert got[i].kept == (not got[i].base_failed and want <= Q.CUTOFF)
+        rows.append((f"src{i % 3}", np.round(np.array(x) * Q.SCALE) / Q.SCALE, r.base_failed))
+    for source in ("src0", "src1", "src2"):
+        x = np.array([f for s, f, failed in rows if s == source and not failed])
+        best = smallest_determinant(x)
+        for i, (s, f, failed) in zip(order, rows, strict=True):
+            if s == source:
+                assert got[i].kept == (not failed and got[i].distance <= Q.CUTOFF)
+                far = d2(f[None], best)[0]
+                assert failed or abs(far - Q.CUTOFF) < 0.25 * Q.CUTOFF or (far <= Q.CUTOFF) == got[i].kept, (i, far, got[i].distance)
     first, last = len(odd_texts()), len(odd_texts()) + 400
     assert all(got[i].kept for i in range(first, last))
     assert not any(got[i].kept for i in range(last, last + 30))
@@ -106,7 +152,7 @@ def test_outliers_that_pass_the_plain_rules(spark):
 
 def test_cutoff_of_normal_rows(spark):
     x = np.round(np.random.default_rng(1).normal(size=(20_000, 5)) * Q.SCALE * 2).astype(int).tolist()
-    rows = spark.createDataFrame([("en", "a", False, *r) for r in x], "lang string, source string, base_failed boolean, " + ", ".join(f"{f} long" for f in Q.FEATURES))
+    rows = spark.createDataFrame([("en", "a", False, i, *r) for i, r in enumerate(x)], "lang string, source string, base_failed boolean, draw long, " + ", ".join(f"{f} long" for f in Q.FEATURES))
     assert 0.0003 < Q.robust_distances(rows).where(f"d2 > {Q.CUTOFF}").count() / 20_000 < 0.003
 
 

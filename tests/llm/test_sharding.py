@@ -30,6 +30,8 @@ def test_random_and_repeatable(spark):
         return [r.doc_id for r in sorted(sharding.shard(docs, 4, 8, 1 << 15).collect(), key=lambda r: (r.shard, r.slot))]
     ids = order()
     assert ids == order()
+    other = documents(spark, [f"t{i}" for i in range(4000)]).repartition(9)
+    assert ids == [r.doc_id for r in sorted(sharding.shard(other, 4, 8, 1 << 15).collect(), key=lambda r: (r.shard, r.slot))]  # whatever the layout
     assert 0.47 < sum(a < b for a, b in zip(ids, ids[1:], strict=False)) / len(ids) < 0.53
     first = [i for i in ids[:1000]]
     assert abs(sum(first) / 1000 - 2000) < 150
@@ -43,6 +45,17 @@ def test_repeated_rows_and_null_ids(spark):
     assert max(Counter(r.shard for r in got if r.doc_id is None).values()) < 15  # repeats are spread as well
 
 
+def test_few_partitions_and_joined_offsets(spark, monkeypatch):
+    """Many buckets in a task, offsets over several groups, joined by a shuffle."""
+    monkeypatch.setattr(sharding, "MOST_PARTITIONS", 3)
+    monkeypatch.setattr(sharding, "GROUP", 4)
+    monkeypatch.setattr(sharding, "BROADCAST_BUCKETS", 0)
+    got = sharding.shard(documents(spark, [prose(i, 20) for i in range(300)]), 7, 1, 2000).collect()
+    sizes = Counter(r.shard for r in got)
+    assert len(got) == 300 and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in sizes.items())
+
+
 def test_write(spark, tmp_path):
     docs = documents(spark, [prose(i, 9) for i in range(50)])
     sharding.write_shards(docs, str(tmp_path / "out"), 5, 3)

@@ -69,12 +69,29 @@ class TfidfIndex:
     vocab: DataFrame       # term, df, idf, n_docs
     postings: DataFrame    # key..., term, weight
     key_cols: list
+    folders: int = 0       # folders of a saved index, by hash of the term (column ``folder``)
+    counts: dict | None = None  # of a saved index: chunks, postings, terms
 
     def materialize(self) -> "TfidfIndex":
         from ..session import materialize
 
         return TfidfIndex(materialize(self.vocab), materialize(self.postings), self.key_cols)
 
+    def folder_of(self, term: str):
+        """The folder of a term in a saved index (0 without folders)."""
+        return term_folder(term, max(self.folders, 1))
+
+    def holding(self, terms: list, folders: list) -> DataFrame:
+        """The postings of ``terms``; ``folders`` are theirs."""
+        rows = self.postings
+        if self.folders:
+            rows = rows.where(F.col("folder").isin(sorted(folders)))
+        return rows.where(F.col("term").isin(sorted(terms))) if terms else rows.limit(0)
+
+
+def term_folder(term: str, folders: int):
+    return F.pmod(F.xxhash64(term), F.lit(folders)).cast("int")
+
 
 # chunks per bucket of the index tables
 CHUNKS_PER_BUCKET = 200_000

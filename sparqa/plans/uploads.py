@@ -3,22 +3,20 @@
 An upload batch is a set of files.  Names and sizes are checked first;
 accepted files are read once, cleaned, chunked and indexed, the same way from a
 directory and from a stream.  The upload index is replaced atomically: every
-build goes to a directory of its own and a small pointer table names the
-current one, so readers of earlier versions are never disturbed (D10).
+build goes to a folder of its own and becomes current by one committed record,
+so readers of earlier versions are never disturbed (D10).
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, QAConfig
 from ..operators.chunking import explode_upload_chunks
 from ..operators.index import fit_index
-from ..sources import io
+from ..session import delete_path
+from ..sources import io, versions
 from .corpus import Corpus
 
 UPLOAD_KEY = ["filename", "chunk_idx"]
@@ -54,43 +52,40 @@ def upload_corpus_from_chunks(chunks: DataFrame, cfg: QAConfig = DEFAULT) -> Cor
     return _corpus(chunks, fit_index(chunks, UPLOAD_KEY, "chunk_text", cfg.max_features, materialize=True))
 
 
-def _pointer(spark: SparkSession, root: str):
-    """The newest pointer row ``(version, path)``, or None."""
-    try:
-        rows = spark.read.parquet(f"{root}/_current").orderBy(F.desc("version")).limit(1).collect()
-    except AnalysisException:  # no pointer yet
-        return None
-    return rows[0] if rows else None
-
-
 def replace_upload_index(spark: SparkSession, chunks: DataFrame, root: str, cfg: QAConfig = DEFAULT,
-                         clear: bool = False) -> str | None:
+                         clear: bool = False, batch: str | None = None, grace_seconds: float | None = None) -> str | None:
     """Build the index of the newest upload batch and make it current.
     Returns the path of the new version.  A batch without chunks leaves the
     current index as it is (returns None) unless ``clear`` is set, which makes
-    an empty version current.  Each build has a directory of its own, so a
-    repeated batch never overwrites files that readers hold; versions count
-    up from the pointer's."""
-    path = f"{root}/v-{uuid.uuid4().hex}"
+    an empty version current.  Each build has a folder of its own, and versions
+    are committed one after the other (``sources.versions``), so readers are
+    never disturbed and two writers get two versions.  A repeated ``batch`` makes
+    no version: the path of its first one is returned.  With ``grace_seconds``
+    versions replaced longer ago are removed."""
+    if batch is not None and (done := versions.committed(spark, root, batch)):
+        return done["path"]
+    path = versions.new_folder(root)
     chunks.write.parquet(f"{path}/chunks")
     stored = spark.read.schema(chunks.schema).parquet(f"{path}/chunks")
     if not stored.isEmpty():
-        io.save_index(fit_index(stored, UPLOAD_KEY, "chunk_text", cfg.max_features), f"{path}/index")
+        io.save_index(fit_index(stored, UPLOAD_KEY, "chunk_text", cfg.max_features), f"{path}/index", n_chunks=stored.count())
     elif not clear:
+        delete_path(spark, path)
         return None
-    last = _pointer(spark, root)
-    version = last["version"] + 1 if last else 0
-    spark.createDataFrame([(version, path)], "version long, path string") \
-        .write.mode("append").parquet(f"{root}/_current")
-    return path
+    record = versions.commit(spark, root, path, batch)
+    if record["path"] != path:  # another writer was first with this batch
+        delete_path(spark, path)
+    if grace_seconds is not None:
+        versions.expire(spark, root, grace_seconds)
+    return record["path"]
 
 
 def current_upload_corpus(spark: SparkSession, root: str) -> Corpus | None:
-    """The upload corpus named by the newest pointer row, or None."""
-    ptr = _pointer(spark, root)
-    if ptr is None:
+    """The upload corpus of the newest version, or None."""
+    record = versions.current(spark, root)
+    if record is None:
         return None
-    path = ptr["path"]
+    path = record["path"]
     idx = io.load_index(spark, f"{path}/index", UPLOAD_KEY)
     if idx is None:
         return None
@@ -102,7 +97,6 @@ def corpus_status(qa: DataFrame, main_chunks: DataFrame | None, upload_chunks: D
     """H1: one row of readiness flags and counts (``/status`` and
     ``/debug``).  ``index``: the loaded curated index, or None when there is
     none (A11)."""
-    has_index = index is not None
     # one pass: the three tables tagged and counted by one aggregate
     tagged = qa.select(F.lit(0).alias("k"))
     if main_chunks is not None:
@@ -114,6 +108,23 @@ def corpus_status(qa: DataFrame, main_chunks: DataFrame | None, upload_chunks: D
         F.count_if(F.col("k") == 1).alias("main_chunks_count"),
         F.count_if(F.col("k") == 2).alias("uploaded_chunks_count"),
     )
+    return _flags(row, index is not None, has_llm, model_name)
+
+
+def stored_status(spark: SparkSession, root: str, upload_path: str | None = None,
+                  has_llm: bool = False, model_name: str = "Retrieval-only") -> DataFrame:
+    """H1 of stored corpora, from metadata alone: the number of rows is in the
+    footers of the processed table, those of chunks in the manifests of the
+    saved indexes.  ``root`` is a corpus as ``build_corpus`` leaves it,
+    ``upload_path`` a version of the upload index.  What is missing counts 0."""
+    main = io.read_manifest(spark, f"{root}/index")
+    uploaded = io.read_manifest(spark, f"{upload_path}/index") if upload_path else None
+    counts = [F.lit(m["chunks"] if m else 0).alias(c) for m, c in ((main, "main_chunks_count"), (uploaded, "uploaded_chunks_count"))]
+    rows = io.load_corpus(spark, f"{root}/processed").agg(F.count(F.lit(1)).alias("dataset_size"))
+    return _flags(rows.select("dataset_size", *counts), main is not None, has_llm, model_name)
+
+
+def _flags(row: DataFrame, has_index: bool, has_llm: bool, model_name: str) -> DataFrame:
     has_dataset = (F.col("dataset_size") > 0) & F.lit(has_index)
     has_up = F.col("uploaded_chunks_count") > 0
     ready = has_dataset | F.lit(has_llm) | has_up
@@ -130,5 +141,5 @@ def corpus_status(qa: DataFrame, main_chunks: DataFrame | None, upload_chunks: D
     )
 
 
-__all__ = ["prepare_files", "prepare_uploads", "replace_upload_index", "current_upload_corpus", "corpus_status",
+__all__ = ["prepare_files", "prepare_uploads", "replace_upload_index", "current_upload_corpus", "corpus_status", "stored_status",
            "upload_corpus_from_chunks"]

@@ -4,7 +4,8 @@ upload index.
 The stream reads whole files; every micro-batch is validated, decoded (CSV
 files too), cleaned and chunked by the same code as a directory of uploads
 (C5).  Rejected files are appended to a table; a batch with accepted files
-replaces the upload index (D10), one without leaves it alone.
+replaces the upload index (D10), one without leaves it alone.  Versions are keyed by
+checkpoint and batch, so a batch that is run again makes no second one.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def start_upload_stream(spark: SparkSession, in_dir: str, index_root: str, check
             files = materialize(batch.select("filename", "size", small.alias("content")))
             chunks, rejects = prepare_files(files, cfg)
             rejects.write.mode("overwrite").parquet(f"{index_root}/_rejects/batch_id={batch_id}")
-            replace_upload_index(session, chunks, index_root, cfg)
+            replace_upload_index(session, chunks, index_root, cfg, batch=f"{checkpoint}#{batch_id}")
 
     w = upload_stream(spark, in_dir, max_files).writeStream.foreachBatch(per_batch) \
         .option("checkpointLocation", checkpoint)

@@ -1,4 +1,5 @@
-"""Scalar text functions as native Column expressions (no UDFs).
+"""Scalar text functions as native Column expressions (list literals alone
+are read by an Arrow function, see ``literals``).
 
 All regular expressions here are written so that they behave the same in
 Java's regex engine (Spark) and in RE2 (the SQL oracle): no look-behind in the
@@ -12,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, QAConfig, PREVIEW_CHARS
+from .literals import literal_items
 
 # Unicode whitespace, the set of characters ``str.isspace()`` accepts:
 # U+0009-000D, U+001C-0020, U+0085, U+00A0, U+1680, U+2000-200A, U+2028,
@@ -62,65 +64,12 @@ def is_list_literal(c) -> Column:
     return col_(c).rlike(LIST_LITERAL)
 
 
-def closes_at_end(c) -> Column:
-    """True when the bracket opened by the first character closes at the
-    last one (quotes and escapes respected): ``["a"] and ["b"]`` is not one
-    list.  One pass over the characters of the text."""
-    init = F.struct(F.lit(0).alias("d"), F.lit("").alias("q"), F.lit(False).alias("e"),
-                    F.lit(-1).alias("end"), F.lit(0).alias("i"))
-
-    def step(s, ch):
-        in_str = s["q"] != ""
-        nxt_q = (F.when(in_str & ~s["e"] & (ch == s["q"]), F.lit(""))
-                 .when(~in_str & ch.isin('"', "'"), ch).otherwise(s["q"]))
-        nxt_e = in_str & ~s["e"] & (ch == "\\")
-        delta = (F.when(in_str, 0).when(ch.isin("[", "{"), 1).when(ch.isin("]", "}"), -1).otherwise(0))
-        d = s["d"] + delta
-        end = F.when((s["end"] < 0) & ~in_str & (delta == -1) & (d == 0), s["i"]).otherwise(s["end"])
-        return F.struct(d.alias("d"), nxt_q.alias("q"), nxt_e.alias("e"), end.alias("end"), (s["i"] + 1).alias("i"))
-
-    chars = F.regexp_extract_all(col_(c), F.lit("(?s)(.)"), 1)
-    walked = F.aggregate(chars, init, step)
-    return walked["end"] == F.length(col_(c)) - 1
-
-
-# tokens of a Python literal: quoted strings, bare words and numbers, punctuation
-_LITERAL_TOKEN = r"""(?s)"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|[^\s'",\[\]{}:()]++|[\[\]{},:()]"""
-
-
-def _python_to_json(c: Column) -> Column:
-    """A Python literal's tokens in JSON spelling; JSON's own words, which
-    Python does not know, become a token that parses in neither."""
-    def spell(t):
-        inner = F.substring(t, F.lit(2), F.length(t) - 2)
-        quoted = F.concat(F.lit('"'), F.replace(F.replace(inner, F.lit("\\'"), F.lit("'")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-        return (F.when(t.startswith("'"), quoted).when(t == "None", "null").when(t == "True", "true")
-                .when(t == "False", "false").when(t.isin("null", "true", "false"), "!").otherwise(t))
-
-    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_LITERAL_TOKEN), F.lit(0)), spell), "")
-
-
 def parse_list_items(c) -> Column:
-    """B5 parse step: the items of a JSON list literal, else of a Python one
-    (single quotes, ``None``, ``True``, ``False``), as ``array<struct<kind,
-    text>>``; null when the text is neither.  ``kind``: ``string``, ``number``,
-    ``bool``, ``null`` or ``nested``; ``text`` is how the service prints the
-    item (nested items keep their JSON text)."""
-    # the character walk only runs for texts that look like a list literal
-    whole = F.when(is_list_literal(c), F.when(closes_at_end(c), col_(c)))
-
-    def items(json):
-        types = F.transform(F.try_parse_json(json).cast("array<variant>"), lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")))
-
-        def item(kind, text):
-            name = (F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "bool").when(kind == "VOID", "null")
-                    .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), "nested").otherwise("number"))
-            shown = F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
-            return F.struct(name.alias("kind"), shown.alias("text"))
-
-        return F.zip_with(types, F.from_json(json, "array<string>"), item)
-
-    return F.coalesce(items(whole), items(_python_to_json(whole)))
+    """B5 parse step: the items of a JSON list literal, else of a Python one,
+    as ``array<struct<kind, text, truthy>>``; null when the text is neither.
+    ``kind``: ``string``, ``number``, ``bool``, ``null`` or ``nested``;
+    ``text`` is how the service prints the item."""
+    return literal_items(F.when(is_list_literal(c), col_(c)))
 
 
 def strip_brackets(c) -> Column:
@@ -140,12 +89,7 @@ def join_list_items(items: Column, mode: str) -> Column:
         return F.transform(xs, lambda x: strip_ws(x["text"]))
 
     if mode == "context":
-        def truthy(x):
-            zero = (x["kind"] == "number") & (x["text"].try_cast("double") == 0)
-            empty = (x["text"] == "") | (x["kind"] == "null") | ((x["kind"] == "bool") & (x["text"] == "False"))
-            return ~(empty | F.coalesce(zero, F.lit(False)) | ((x["kind"] == "nested") & x["text"].isin("[]", "{}")))
-
-        return F.array_join(stripped(F.filter(items, truthy)), "\n")
+        return F.array_join(stripped(F.filter(items, lambda x: x["truthy"])), "\n")
     if mode == "llm":
         return F.array_join(stripped(items), "\n")
     if mode == "format":

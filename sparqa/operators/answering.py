@@ -13,6 +13,7 @@ import uuid
 from typing import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,9 +102,14 @@ def generate_answers(prompts: DataFrame, generator: Callable[[pd.Series], pd.Ser
     itself gets an empty text (and its message in ``error`` with
     ``with_errors``), so it never fails the job.  Without a generator the
     uncertain text is returned, as the service does."""
+    out = _generate(prompts, generator, cfg, factory, "long")
+    return out if with_errors else out.drop("error")
+
+
+def _generate(prompts, generator, cfg, factory, id_type) -> DataFrame:
+    """``(query_id, raw, error)``."""
     if generator is None and factory is None:
-        out = prompts.select("query_id", F.lit(cfg.uncertain_response).alias("raw"))
-        return out.withColumn("error", F.lit(None).cast("string")) if with_errors else out
+        return prompts.select("query_id", F.lit(cfg.uncertain_response).alias("raw"), F.lit(None).cast("string").alias("error"))
     token = uuid.uuid4().hex
 
     def run(batches):
@@ -124,12 +130,54 @@ def generate_answers(prompts: DataFrame, generator: Callable[[pd.Series], pd.Ser
                     except Exception as e:  # noqa: BLE001
                         errors[i] = f"{type(e).__name__}: {e}"
             out = pd.DataFrame({"query_id": pdf["query_id"], "raw": pd.Series(raw, index=pdf.index, dtype=object)})
-            if with_errors:
-                out["error"] = pd.Series(errors, index=pdf.index, dtype=object)
+            out["error"] = pd.Series(errors, index=pdf.index, dtype=object)
             yield out
 
-    schema = "query_id long, raw string" + (", error string" if with_errors else "")
-    return prompts.select("query_id", "prompt").mapInPandas(run, schema)
+    return prompts.select("query_id", "prompt").mapInPandas(run, f"query_id {id_type}, raw string, error string")
+
+
+STORE_SCHEMA = "key string, raw string"
+
+
+def _stored_answers(spark, store: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(STORE_SCHEMA).parquet(store)
+    except AnalysisException:  # nothing stored yet
+        return None
+
+
+def generate_stored(prompts: DataFrame, store: str, generator: Callable[[pd.Series], pd.Series] | None = None,
+                    cfg: QAConfig = DEFAULT, factory: Callable[[], Callable] | None = None,
+                    batch_prompts: int = 10_000) -> DataFrame:
+    """F3 with a store: ``(query_id, raw, error)``.
+
+    ``store`` is a folder of answers by the SHA-256 of their prompt.  Equal
+    prompts are generated once, and only those that are not stored.  They go in
+    batches of about ``batch_prompts``, each appended to the store when it is
+    done, so a job that is run again, or a retried stage after it, does not call
+    the generator for what is stored.  A prompt that fails is not stored: it has
+    an empty text and its message, and is tried by the next call."""
+    spark = prompts.sparkSession
+    keyed = prompts.select("query_id", F.sha2(F.coalesce("prompt", F.lit("")), 256).alias("key"), "prompt")
+    # the failures of this call, by key
+    failed = []
+    distinct = keyed.groupBy("key").agg(F.first("prompt").alias("prompt"))
+    known = _stored_answers(spark, store)
+    todo = distinct if known is None else distinct.join(known.select("key"), "key", "left_anti")
+    todo = materialize(todo.select(F.col("key").alias("query_id"), "prompt"))
+    batches = -(-todo.count() // batch_prompts)
+    for i in range(batches):
+        part = todo.where(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == i)
+        made = materialize(_generate(part, generator, cfg, factory, "string"))
+        made.where("error is null").select(F.col("query_id").alias("key"), "raw").write.mode("append").parquet(store)
+        failed.append(made.where("error is not null").select(F.col("query_id").alias("key"), "raw", "error"))
+    known = _stored_answers(spark, store)
+    answers = spark.createDataFrame([], STORE_SCHEMA + ", error string")
+    if known is not None:  # two writers may have stored one prompt
+        answers = known.dropDuplicates(["key"]).withColumn("error", F.lit(None).cast("string"))
+    for f in failed:
+        answers = answers.unionByName(f)
+    return keyed.join(answers, "key", "left").select("query_id", "raw", "error")
 
 
 def postprocess_generated(raw: DataFrame) -> DataFrame:

@@ -131,22 +131,27 @@ def explode_upload_chunks(files: DataFrame, cfg: QAConfig = DEFAULT) -> DataFram
 
 
 def pack_token_blocks(docs: DataFrame, block_size: int = 128, id_col: str = "doc_id",
-                      text_col: str = "text") -> DataFrame:
+                      text_col: str = "text", tokenizer=None) -> DataFrame:
     """Cut the token stream of a corpus (documents in ``id_col`` order)
     into fixed blocks of ``block_size`` tokens; an incomplete last block is
     dropped.
 
-    Tokens are D1 word tokens.  Global positions come from a prefix sum over
+    ``tokenizer`` makes a text column an array of tokens (words or ids; see
+    ``functions.tokenizers``); by default tokens are D1 word tokens.  Global positions come from a prefix sum over
     the small per-document count table (one row per document).  Each document
     is cut into the pieces of its token array that fall into one block, in the
     task that holds it, so a block gathers a few pieces (at most
     ``block_size`` tokens in all), not one row per token."""
+    from ..session import materialize
     from .index import TOKEN_PATTERN
 
-    toks = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0).alias("toks"),
-    )
+    if tokenizer is None:
+        toks = docs.select(
+            F.col(id_col).alias("doc_id"),
+            F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0).alias("toks"),
+        )
+    else:  # encoded once: the counts and the cutting read the stored tokens
+        toks = materialize(docs.select(F.col(id_col).alias("doc_id"), tokenizer(F.col(text_col)).alias("toks")))
     counts = toks.select("doc_id", F.size("toks").cast("long").alias("n"))
     placed = toks.join(_prefix_offsets(counts), "doc_id").where(F.size("toks") > 0)
     first = F.expr(f"offset div {block_size}")
@@ -159,7 +164,7 @@ def pack_token_blocks(docs: DataFrame, block_size: int = 128, id_col: str = "doc
     blocks = pieces.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("p"))
     blocks = blocks.select("block_id", F.flatten(F.transform("p", lambda x: x["piece"])).alias("tokens"))
     blocks = blocks.where(F.size("tokens") == block_size)
-    return blocks.select("block_id", "tokens", F.array_join("tokens", " ").alias("text"))
+    return blocks.select("block_id", "tokens", F.array_join(F.col("tokens").cast("array<string>"), " ").alias("text"))
 
 
 def _prefix_offsets(counts: DataFrame) -> DataFrame:

@@ -70,6 +70,57 @@ def test_typed_list_items(spark):
         assert one(spark, fmt, broken) is None
 
 
+def test_literals_against_python(spark):
+    """Generated literals, well-formed and broken, nested and escaped, in JSON
+    and Python spelling, against the json and ast modules."""
+    import ast
+    import json
+    import random
+
+    r = random.Random(9)
+
+    def value(depth):
+        pick = r.randrange(12 if depth else 8)
+        if pick < 4:
+            return "".join(r.choice("ab' \"\\\n\té,[]{}:#") for _ in range(r.randrange(6)))
+        if pick < 8:
+            return r.choice([0, 1, -2.5, 1e20, True, False, None, 0.0, 10**25])
+        inner = [value(depth - 1) for _ in range(r.randrange(4))]
+        return inner if pick < 10 else tuple(inner) if pick == 10 else {f"k{i}": x for i, x in enumerate(inner)}
+
+    texts = []
+    for _ in range(300):
+        v = [value(2) for _ in range(r.randrange(5))]
+        t = r.choice([repr, lambda x: json.dumps(x, ensure_ascii=r.random() < 0.5)])(v)
+        if r.random() < 0.2:
+            t = t[:-1] + ",]"
+        if r.random() < 0.2:
+            at = r.randrange(len(t))
+            t = t[:at] + r.choice("x'\",]") + t[at + 1:]
+        texts.append(t)
+    texts += ["['a' 'b', (1,), b'x', 1+2j, {1, 2}, ...]", "[1, [2, (3, 'x'),],]", "[NaN, Infinity]", "[" * 5000 + "]" * 5000, "[]", "[not]", "['a'] + ['b']", "('a',)", None]
+
+    def want(t):
+        if t is None or not (t.startswith("[") and t.endswith("]")):
+            return None
+        for read in (json.loads, ast.literal_eval):
+            try:
+                got = read(t)
+                return [str(x) for x in got] if isinstance(got, list) else None
+            except Exception:  # noqa: BLE001
+                continue
+        return None
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, a string").repartition(3)
+    got = {x.i: x.items for x in df.select("i", T.parse_list_items("a").alias("items")).collect()}
+    for i, t in enumerate(texts):
+        assert (None if got[i] is None else [x.text for x in got[i]]) == want(t), t
+    assert sum(v is not None for v in got.values()) > 200
+    context = T.clean_context("a")
+    assert one(spark, context, '["x", {"k": "v"}, ["n", 1], (), 0.0]') == "x\n{'k': 'v'}\n['n', 1]"
+    assert one(spark, context, "['x', {'k': 'v'}, ('n', 1), (), 0.0]") == "x\n{'k': 'v'}\n('n', 1)"
+
+
 def test_list_fixtures_are_lists(spark):
     import os
 

@@ -161,7 +161,7 @@ def build_corpus(spark: SparkSession, csv: str, root: str, cfg: QAConfig = DEFAU
         qa = materialize(process_qa(raw.select("row_idx", "question", "answer")))
         io.write_chunks_jsonl(explode_qa_chunks(spread(qa, "question_idx"), "main_dataset", cfg), f"{root}/chunks")
         chunks = io.read_chunks_jsonl(spark, f"{root}/chunks")
-        io.save_index(fit_index(chunks, QA_KEY, "chunk_text", cfg.max_features), f"{root}/index")
+        io.save_index(fit_index(chunks, QA_KEY, "chunk_text", cfg.max_features), f"{root}/index", n_chunks=chunks.count())
         io.write_processed(qa, f"{root}/processed")
     return True
 

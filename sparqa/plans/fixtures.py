@@ -99,11 +99,16 @@ def odd_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def list_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(conv_id, turn, text)``: a list literal, JSON or Python, well-formed or
-    not, or marker lines, around words of each conversation turn."""
+    not, or marker lines, around the whole text of each conversation turn
+    (escaped within quotes)."""
     c = table(spark, sf_dir, "conversations")
-    w = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", ""), 1, 40)
+    whole = F.coalesce("text", F.lit(""))
 
     def put(*parts):
+        quote, w = parts[0][-1], whole
+        if quote in "'\"":
+            for plain, escaped in (("\\", "\\\\"), (quote, "\\" + quote), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+                w = F.replace(w, F.lit(plain), F.lit(escaped))
         return F.concat(*[w if x is None else F.lit(x) for x in parts])
 
     forms = [
@@ -119,9 +124,9 @@ def list_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, text)``: fences, bullets and repeated sentences around the
-    first words of each document."""
-    w = F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 40)
+    """``(doc_id, text)``: fences, bullets and repetitions of each whole
+    document."""
+    w = F.col("text")
     text = F.concat(F.lit("- "), w, F.lit(". "), w, F.lit(".\n```\n"), w, F.lit(".\n"), w, F.lit(".\n```\n* "), w, F.lit("!\n  + other "), w, F.lit(". "), w, F.lit("\n"), w)
     return documents(spark, sf_dir).select("doc_id", text.alias("text"))
 

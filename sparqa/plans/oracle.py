@@ -140,12 +140,23 @@ from .oracle_sql import (  # noqa: E402
 
 sql("assemble_prompt", with_(cascade_ctes(), prompt_ctes()) + " SELECT query_id, prompt FROM prompts")
 
-_LISTS = """(SELECT conv_id, turn, CASE (conv_id + turn) % 8
+
+
+def _escaped(quote):
+    x = "coalesce(text, '')"
+    for plain, put in (("\\", "\\\\"), (quote, "\\" + quote)):
+        x = f"replace({x}, {q(plain)}, {q(put)})"
+    for code, put in ((10, "\\n"), (13, "\\r"), (9, "\\t")):
+        x = f"replace({x}, chr({code}), {q(put)})"
+    return x
+
+
+_LISTS = f"""(SELECT conv_id, turn, CASE (conv_id + turn) % 8
   WHEN 0 THEN '["' || w || '", "true", "0", "", "None"]' WHEN 1 THEN '["' || w || '", null, true, 0, 2.5, false]'
-  WHEN 2 THEN '[''' || w || ''', None, True, ''x'', "it''s"]' WHEN 3 THEN '["' || w || '", ["n", 1], {"k": "v"}, [], {}]'
-  WHEN 4 THEN '["' || w || '", broken]' WHEN 5 THEN '["' || w || '"] and ["x"]' WHEN 6 THEN '[''' || w || ''', true]'
-  ELSE 'Context 1: Question: ' || w || chr(10) || 'Answer: ' || w || chr(10) || chr(10) || chr(10) || chr(10) || 'Context 22:  end' END AS text
-  FROM (SELECT *, substring(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g'), 1, 40) AS w FROM conversations))"""
+  WHEN 2 THEN '[''' || v || ''', None, True, ''x'', "it''s"]' WHEN 3 THEN '["' || w || '", ["n", 1], {{"k": "v"}}, [], {{}}]'
+  WHEN 4 THEN '["' || w || '", broken]' WHEN 5 THEN '["' || w || '"] and ["x"]' WHEN 6 THEN '[''' || v || ''', true]'
+  ELSE 'Context 1: Question: ' || t || chr(10) || 'Answer: ' || t || chr(10) || chr(10) || chr(10) || chr(10) || 'Context 22:  end' END AS text
+  FROM (SELECT conv_id, turn, coalesce(text, '') AS t, {_escaped('"')} AS w, {_escaped("'")} AS v FROM conversations))"""
 sql("parse_list_string", f"SELECT conv_id, turn, {joined_items(json_items(strip_ws('text')), 'format')} AS items FROM conversations")
 sql("parse_list_typed", f"""SELECT conv_id, turn, array_to_string(list_transform({json_items('text')},
   lambda i: i.kind || '=' || i.text), '|') AS items FROM {_LISTS}""")
@@ -156,7 +167,7 @@ sql("format_answer_lists", with_(format_ctes(
     " SELECT id AS row_idx, response FROM f_fmt")
 _MARKED = """(SELECT doc_id AS id, '- ' || w || '. ' || w || '.' || chr(10) || '```' || chr(10) || w || '.' || chr(10) || w || '.' || chr(10) ||
   '```' || chr(10) || '* ' || w || '!' || chr(10) || '  + other ' || w || '. ' || w || chr(10) || w AS t
-  FROM (SELECT doc_id, substring(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 40) AS w FROM documents))"""
+  FROM (SELECT doc_id, text AS w FROM documents))"""
 sql("dedup_sentences_marked", with_(dedup_ctes(_MARKED, "d")) + " SELECT id AS doc_id, text FROM d_out")
 sql("clean_context", f"SELECT doc_id, {clean_context('text')} AS text FROM documents")
 sql("clean_generated", f"SELECT conv_id, turn, {clean_generated('text')} AS text FROM conversations")
@@ -176,6 +187,8 @@ sql("label_answers", with_(route_ctes()) + f""" SELECT query_id, {lookup_sql('so
   FROM routed""")
 
 sql("qa_csv_roundtrip", ORACLE["prepare_qa_corpus"])
+sql("qa_csv_positions", """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, CAST(doc_id AS VARCHAR) AS doc_id,
+  sha256('"' || text || '"') AS answer_sha256 FROM documents WHERE text IS NOT NULL""")
 sql("chunks_jsonl_roundtrip", ORACLE["explode_qa_chunks"])
 sql("index_roundtrip", ORACLE["fit_index"])
 sql("read_eval_set", """SELECT item_id AS query_id, text AS question, 'topic_' || CAST(item_id % 6 AS VARCHAR) AS topic,
@@ -217,6 +230,7 @@ sql("corpus_status", with_(qa_corpus_ctes("qa"), _chunk_ctes(
 
 sql("generate_answers", with_(cascade_ctes(), prompt_ctes()) +
     " SELECT query_id, string_split(prompt, chr(10) || chr(10))[2] AS raw FROM prompts")
+sql("generate_stored", ORACLE["generate_answers"])
 sql("load_corpus", ORACLE["prepare_qa_corpus"])
 
 _ODD = f"""benchmark AS (
@@ -243,9 +257,9 @@ sql("route_generated", with_(cascade_ctes(), prompt_ctes(), gate_cte("x"), route
     generated_src(), "(SELECT query_id, string_split(prompt, chr(10) || chr(10))[2] AS raw FROM prompts)") +
     " SELECT query_id, response, source, similarity_score, dataset_source, is_grounded FROM routed")
 sql("corpus_job", ORACLE["retrieve_qa"])
-sql("read_csv_as_text", """SELECT 'nations' || CAST(k AS VARCHAR) || '.csv' AS filename,
+sql("read_csv_as_text", """SELECT 'customers' || CAST(k AS VARCHAR) || '.csv' AS filename,
   CASE WHEN k % 2 = 1 THEN 'id name note ' ELSE 'id title ' END ||
-  string_agg(CAST(r AS VARCHAR) || ' ' || CAST(n_nationkey AS VARCHAR) || ' ' || n_name || ', "so"' || CASE WHEN k % 2 = 1 THEN ' NaN' ELSE '' END, ' ' ORDER BY r) AS text
-  FROM (SELECT n_regionkey AS k, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS r FROM nation) GROUP BY k""")
+  string_agg(CAST(r AS VARCHAR) || ' ' || CAST(c_custkey AS VARCHAR) || ' ' || c_name || ', "so"' || CASE WHEN k % 2 = 1 THEN ' NaN' ELSE '' END, ' ' ORDER BY r) AS text
+  FROM (SELECT c_custkey // 100 AS k, c_custkey, c_name, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) - 1 AS r FROM customer) GROUP BY k""")
 sql("upload_rejects", f"""SELECT 'doc_' || CAST(doc_id AS VARCHAR) || '.pdf' AS filename, {q(UPLOAD_BAD_TYPE)} AS reason
   FROM documents WHERE coalesce(source, '') IN {UPLOADS} AND doc_id % 2 = 1""")

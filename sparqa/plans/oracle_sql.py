@@ -181,14 +181,16 @@ def lstrip_ws(x: str) -> str:
 
 
 def _typed(x: str) -> str:
-    """Items (kind, text) of a JSON list text, null when it is not one."""
+    """Items (kind, text) of a JSON list text, null when it is not one.  Nested
+    items are printed as Python prints them (plain strings and numbers only)."""
+    _printed = "replace(replace(replace(CAST(j AS VARCHAR), '\"', chr(39)), ',', ', '), ':', ': ')"
     return f"""CASE WHEN json_valid({x}) AND json_type(CAST({x} AS JSON)) = 'ARRAY'
       THEN list_transform(CAST(CAST({x} AS JSON) AS JSON[]), lambda j: CASE coalesce(json_type(j), 'NULL')
         WHEN 'VARCHAR' THEN {{'kind': 'string', 'text': json_extract_string(j, '$')}}
         WHEN 'NULL' THEN {{'kind': 'null', 'text': 'None'}}
         WHEN 'BOOLEAN' THEN {{'kind': 'bool', 'text': CASE WHEN CAST(j AS VARCHAR) = 'true' THEN 'True' ELSE 'False' END}}
-        WHEN 'ARRAY' THEN {{'kind': 'nested', 'text': CAST(j AS VARCHAR)}}
-        WHEN 'OBJECT' THEN {{'kind': 'nested', 'text': CAST(j AS VARCHAR)}}
+        WHEN 'ARRAY' THEN {{'kind': 'nested', 'text': {_printed}}}
+        WHEN 'OBJECT' THEN {{'kind': 'nested', 'text': {_printed}}}
         ELSE {{'kind': 'number', 'text': CAST(j AS VARCHAR)}} END) END"""
 
 

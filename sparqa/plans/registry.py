@@ -378,13 +378,9 @@ def q_select_source(spark, sf):
 @register("rank_chunks")
 def q_rank_chunks(spark, sf):
     """E5: the hits of every question in score order, as positions."""
-    from pyspark.sql import Window
-
     corp, sc = _scores(spark, sf)
     top = R.top_k_per_query(sc, K.DOC_KEY, DEFAULT.top_k, DEFAULT.context_threshold).drop("rank")
-    ranked = R.rank_chunks(top, K.DOC_KEY)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *[F.desc(c) for c in K.DOC_KEY])
-    return ranked.select("query_id", F.row_number().over(order).cast("long").alias("place"), "score", *K.DOC_KEY)
+    return R.rank_chunks(top, K.DOC_KEY).select("query_id", "place", "score", *K.DOC_KEY)
 
 
 # -- C6 ----------------------------------------------------------------------
@@ -396,6 +392,15 @@ def q_pack_token_blocks(spark, sf):
     return C.pack_token_blocks(d, 128).select("block_id", "text")
 
 
+@register("pack_token_blocks_bpe")
+def q_pack_token_blocks_bpe(spark, sf, vocabulary="/opt/tokenizers/byte_bpe_50k.json"):
+    """C6 with a public byte-pair vocabulary: blocks of token ids."""
+    from ..functions.tokenizers import vocabulary_tokenizer
+
+    d = spread(X.documents(spark, sf).select("doc_id", "text"), "doc_id")
+    return C.pack_token_blocks(d, 128, tokenizer=vocabulary_tokenizer(vocabulary)).select("block_id", "text")
+
+
 # -- B: text functions over the supplied texts ------------------------------------
 
 @register("parse_list_string")
@@ -535,6 +540,19 @@ def q_qa_csv_roundtrip(spark, sf):
     return K.process_qa(back.select("row_idx", "question", "answer"))
 
 
+@register("qa_csv_positions")
+def q_qa_csv_positions(spark, sf):
+    """A1 of a CSV without ``row_idx``: the document texts, line breaks and
+    quotes in their cells, by position."""
+    from ..session import work_dir
+    from ..sources import io
+
+    d = work_dir(spark, "qa_csv")
+    docs = X.documents(spark, sf).where("text is not null").select(F.col("doc_id").cast("string").alias("Question"), F.concat(F.lit('"'), "text", F.lit('"')).alias("Answer"), "doc_id")
+    io.write_processed(docs.coalesce(1).sortWithinPartitions("doc_id").drop("doc_id"), d, "csv")
+    return io.read_qa_csv(spark, d, "UTF-8").select("row_idx", F.col("question").alias("doc_id"), F.sha2("answer", 256).alias("answer_sha256"))
+
+
 @register("chunks_jsonl_roundtrip")
 def q_chunks_jsonl_roundtrip(spark, sf):
     """A9 then A3: the Q&A chunk records through JSON lines."""
@@ -635,25 +653,25 @@ def q_prepare_uploads(spark, sf):
     return chunks
 
 
-def _write_csv_files(spark, sf):
-    """A CSV file of the nations of each region; regions of odd number have a
-    third column, which is empty."""
+def _write_csv_files(spark, sf, d=None):
+    """A CSV file for every hundred customers; files of odd number have a third
+    column, which is empty."""
     from ..session import work_dir
 
-    d = work_dir(spark, "csv_uploads")
-    n = X.table(spark, sf, "nation").select(F.col("n_regionkey").alias("k"), F.col("n_nationkey").alias("i"), F.col("n_name").alias("name"))
+    d = d or work_dir(spark, "csv_uploads")
+    n = X.table(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 100).alias("k"), F.col("c_custkey").alias("i"), F.col("c_name").alias("name"))
     odd = F.col("k") % 2 == 1
     line = F.concat(F.col("i").cast("string"), F.lit(',"'), F.col("name"), F.lit(', ""so"""'), F.when(odd, F.lit(",")).otherwise(F.lit("")))
     rows = n.groupBy("k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
     header = F.when(odd, F.lit("id,name,note")).otherwise(F.lit("id,title"))
-    name = F.concat(F.lit("nations"), F.col("k").cast("string"), F.lit(".csv"))
-    rows.select(name.alias("filename"), F.concat(header, F.lit("\n"), "body").alias("text")).write.partitionBy("filename").text(d)
+    name = F.concat(F.lit("customers"), F.col("k").cast("string"), F.lit(".csv"))
+    rows.select(name.alias("filename"), F.concat(header, F.lit("\n"), "body").alias("text")).write.mode("append").partitionBy("filename").text(d)
     return d
 
 
 @register("read_csv_as_text")
 def q_read_csv_as_text(spark, sf):
-    """CSV files with headers of their own, written from ``nation``."""
+    """CSV files with headers of their own, written from ``customer``."""
     from ..sources import io
 
     return io.read_csv_as_text(spark, _write_csv_files(spark, sf)).select("filename", T.preprocess_text("text").alias("text"))
@@ -668,6 +686,7 @@ def q_upload_rejects(spark, sf):
     d = work_dir(spark, "reject_uploads")
     X.upload_documents(spark, sf).select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, F.lit(".txt")).otherwise(F.lit(".pdf"))).alias("filename"), "text") \
         .write.partitionBy("filename").text(d)
+    _write_csv_files(spark, sf, d)
     return prepare_uploads(spark, d)[1].select("filename", "reason")
 
 
@@ -692,18 +711,19 @@ def q_replace_upload_index(spark, sf):
 
 @register("corpus_status")
 def q_corpus_status(spark, sf):
-    """H1 over the Q&A corpus, its saved index and the uploaded-file
-    stand-ins."""
+    """H1 of a stored Q&A corpus and the stored index of the uploaded-file
+    stand-ins, from their metadata."""
     from ..session import work_dir
     from ..sources import io
-    from .uploads import corpus_status
+    from .uploads import stored_status
 
-    d = work_dir(spark, "status_index")
-    io.save_index(K.cached_corpus(spark, sf, "qa").index, d)
-    qa = K.process_qa(X.raw_qa(spark, sf))
-    main_chunks = C.explode_qa_chunks(spread(qa, "question_idx"))
-    up_chunks = C.explode_upload_chunks(spread(X.upload_documents(spark, sf), "doc_id"))
-    return corpus_status(qa, main_chunks, up_chunks, io.load_index(spark, d, K.QA_KEY))
+    d = work_dir(spark, "status")
+    corp = K.cached_corpus(spark, sf, "qa")
+    io.write_processed(K.process_qa(X.raw_qa(spark, sf)), f"{d}/processed")
+    io.save_index(corp.index, f"{d}/index", n_chunks=corp.chunks.count())
+    up = K.cached_corpus(spark, sf, "uploaded")
+    io.save_index(up.index, f"{d}/uploaded/index", n_chunks=up.chunks.count())
+    return stored_status(spark, d, f"{d}/uploaded")
 
 
 # -- I: streams --------------------------------------------------------------
@@ -758,6 +778,19 @@ def q_generate_answers(spark, sf):
     return A.generate_answers(A.assemble_prompts(qs, ctx), extractive_generator)
 
 
+@register("generate_stored")
+def q_generate_stored(spark, sf):
+    """F3 with a store: a first batch generates for every other question, a
+    second for all; answers of the first come from the store."""
+    from ..session import work_dir
+
+    qs, _, ctx = _context(spark, sf)
+    prompts = A.assemble_prompts(qs, ctx)
+    store = work_dir(spark, "generated")
+    A.generate_stored(prompts.where("query_id % 2 = 0"), store, extractive_generator)
+    return A.generate_stored(prompts, store, extractive_generator).select("query_id", "raw")
+
+
 @register("load_corpus")
 def q_load_corpus(spark, sf):
     """A2: the processed Q&A table written as parquet and loaded back (the

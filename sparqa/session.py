@@ -133,9 +133,14 @@ def bucketed_table(df: DataFrame, cols: list[str], buckets: int, name: str,
     if sort_cols:
         w = w.sortBy(*sort_cols)
     w.option("path", work_dir(spark, name)).saveAsTable(table)
+    track_table(table)
+    return spark.table(table)
+
+
+def track_table(table: str) -> None:
+    """Note a catalog table for the open scope."""
     if _SCOPES:
         _SCOPES[-1]["tables"].append(table)
-    return spark.table(table)
 
 
 def work_dir(spark: SparkSession, name: str) -> str:

@@ -1,13 +1,14 @@
 """Readers and writers.
 
 Paths are caller-supplied and should name shared storage on a cluster.
-Row positions (the pandas index of a CSV row) are assigned without a
-single-partition window: each partition's rows are numbered locally and the
-per-partition counts (one row per partition) give the offsets.
+Row positions (the pandas index of a CSV row) come from counts by byte range
+(one row per range), never from a window over all rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from py4j.protocol import Py4JJavaError
@@ -16,7 +17,9 @@ from pyspark.errors import AnalysisException, PySparkException
 from ..config import (
     DEFAULT, QAConfig, UPLOAD_BAD_TYPE, UPLOAD_EMPTY, UPLOAD_NO_NAME, UPLOAD_TOO_LARGE,
 )
-from ..session import materialize
+from ..session import materialize, track_table
+from .csv_records import read_csv
+from .listing import can_list, list_paths
 
 CHUNK_SCHEMA = ("dataset string, question_idx long, chunk_idx long, question string, answer string, "
                 "chunk_text string")
@@ -27,37 +30,21 @@ EVAL_SET_SCHEMA = (
 )
 
 
-def with_row_index(df: DataFrame, col: str = "row_idx") -> DataFrame:
-    """Consecutive 0-based row positions in scan order.  The table is
-    checkpointed first, so positions are stable under recomputation."""
-    base = materialize(df.withColumn("__part", F.spark_partition_id())
-                       .withColumn("__mid", F.monotonically_increasing_id()))
-    local = F.col("__mid") - F.shiftleft(F.col("__part").cast("long"), 33)
-    counts = base.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    # one row per partition: bounded by the partition count
-    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    out = base.join(F.broadcast(offsets), "__part")
-    return out.withColumn(col, (F.col("__off") + local).cast("long")).drop("__part", "__mid", "__off")
-
-
 def read_qa_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1",
                 cfg: QAConfig = DEFAULT) -> DataFrame:
     """A1: a Question/Answer CSV (header, quoted multi-line cells) as
     ``(row_idx, question, answer, <extra columns>)``.  ``row_idx`` is the row
-    position unless the file carries a ``row_idx`` column.  Cells equal to
-    one of ``cfg.null_tokens`` are null."""
-    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-           .option("encoding", encoding).option("mode", "PERMISSIVE").csv(path))
+    position, file after file, unless the file carries a ``row_idx`` column.
+    Cells equal to one of ``cfg.null_tokens`` are null.  A file is read by many
+    tasks (``sources.csv_records``)."""
+    raw = read_csv(spark, path, encoding)
     cols = {c.lower(): c for c in raw.columns}
     if "question" not in cols or "answer" not in cols:
         raise ValueError("the CSV needs Question and Answer columns")
     out = raw.withColumnRenamed(cols["question"], "question").withColumnRenamed(cols["answer"], "answer")
     for c in ("question", "answer"):
         out = out.withColumn(c, F.when(F.col(c).isin(*cfg.null_tokens), F.lit(None)).otherwise(F.col(c)))
-    if "row_idx" in cols:
-        return out.withColumn("row_idx", F.col(cols["row_idx"]).cast("long"))
-    return with_row_index(out)
+    return out.withColumn("row_idx", F.col(cols["row_idx"]).cast("long"))
 
 
 def write_processed(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -86,26 +73,76 @@ def read_chunks_jsonl(spark: SparkSession, path: str, schema: str = CHUNK_SCHEMA
     return spark.read.schema(schema).json(path)
 
 
-def save_index(index, path: str) -> None:
-    """A10: ``vocab`` and ``postings`` as parquet.  Postings are clustered by
-    term inside each file, so a scan for a batch's query terms skips row
-    groups by their term statistics."""
+#: folders of a saved index by hash of the term, postings of a bucket
+TERM_FOLDERS, BUCKET_POSTINGS = 16, 20_000_000
+
+
+def save_index(index, path: str, folders: int = TERM_FOLDERS, buckets: int | None = None, n_chunks: int | None = None) -> None:
+    """A10: ``vocab``, ``postings`` and a manifest under ``path``.
+
+    Postings lie in ``folders`` folders by hash of the term, so a batch reads
+    only those of its terms; within each, in ``buckets`` hash buckets by chunk
+    key, sorted by term: a loaded index sums scores inside the buckets, as a
+    built one does, and skips row groups by their term statistics.  The
+    manifest, written last, has this layout and the counts."""
+    from ..operators.index import term_folder
+
+    spark = index.vocab.sparkSession
     index.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
-    index.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    size = index.postings.agg(F.count(F.lit(1))).first()[0]
+    if buckets is None:
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_POSTINGS))
+    keys = list(index.key_cols)
+    table = f"sparqa_save_{uuid.uuid4().hex[:12]}"
+    rows = index.postings.select(*keys, "term", "weight").withColumn("folder", term_folder("term", folders))
+    (rows.repartition(buckets, *keys).write.mode("overwrite").partitionBy("folder").bucketBy(buckets, *keys).sortBy("term")
+     .option("path", f"{path}/postings").saveAsTable(table))
+    spark.sql(f"DROP TABLE {table}")  # an external table: its files stay
+    n_terms, n_docs = index.vocab.agg(F.count(F.lit(1)), F.max("n_docs")).first()
+    if n_chunks is None:  # an index without terms does not know
+        n_chunks = n_docs or 0
+    types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*keys, "term", "weight"])
+    spark.createDataFrame(
+        [(folders, buckets, ",".join(keys), types, n_chunks, size, n_terms)], MANIFEST_SCHEMA
+    ).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+MANIFEST_SCHEMA = "folders int, buckets int, key_cols string, columns string, chunks long, postings long, terms long"
+
+
+def read_manifest(spark: SparkSession, path: str):
+    """The manifest row of a saved index, or None."""
+    try:
+        return spark.read.schema(MANIFEST_SCHEMA).json(f"{path}/manifest").first()
+    except (AnalysisException, PySparkException, Py4JJavaError):
+        return None
 
 
 def load_index(spark: SparkSession, path: str, key_cols: list[str]):
-    """The saved index, or None when it is missing or unreadable."""
+    """The saved index with its folders and buckets, or None when it is
+    missing, unfinished or unreadable."""
     from ..operators.index import TfidfIndex
 
+    made = read_manifest(spark, path)
+    if made is None or made["key_cols"] != ",".join(key_cols):
+        return None
     try:
         vocab = spark.read.parquet(f"{path}/vocab")
-        postings = spark.read.parquet(f"{path}/postings")
-        if not {"term", "idf"} <= set(vocab.columns) or not {"term", "weight", *key_cols} <= set(postings.columns):
+        if not {"term", "idf", "df"} <= set(vocab.columns):
             return None
+        if not made["postings"]:
+            empty = spark.createDataFrame([], made["columns"])
+            return TfidfIndex(vocab, empty, list(key_cols), 0, made.asDict())
+        spark.read.parquet(f"{path}/postings")  # the footers can be read
+        table = f"sparqa_index_{uuid.uuid4().hex[:12]}"
+        spark.sql(f"CREATE TABLE {table} ({made['columns']}, folder int) USING parquet PARTITIONED BY (folder) "
+                  f"CLUSTERED BY ({', '.join(key_cols)}) SORTED BY (term) INTO {made['buckets']} BUCKETS LOCATION '{path}/postings'")
+        track_table(table)
+        spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+        postings = spark.table(table)
     except (AnalysisException, PySparkException, Py4JJavaError):  # missing, or a footer that cannot be read
         return None
-    return TfidfIndex(vocab, postings, list(key_cols))
+    return TfidfIndex(vocab, postings, list(key_cols), made["folders"], made.asDict())
 
 
 def load_corpus(spark: SparkSession, processed: str, legacy: str | None = None, fmt: str = "parquet") -> DataFrame:
@@ -224,10 +261,12 @@ def upload_texts(files: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(filename, path, size)`` of every file under ``path`` from a
-    Hadoop file-system listing (zero-length files included, hidden files
-    skipped).  Only a listing sees zero-length files: file sources skip them.
-    It is file metadata, walked by the driver, one row per file."""
+    """``(filename, path, size)`` of every file under ``path``, zero-length
+    files included, hidden files skipped.  Tasks list the folders
+    (``sources.listing``); a store that only Spark's file system knows is walked
+    on the driver, one row of metadata per file."""
+    if can_list(path):
+        return list_paths(spark, path).select(file_name("path").alias("filename"), "path", "size")
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)

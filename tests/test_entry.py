@@ -20,7 +20,8 @@ def test_every_query_has_sql():
     from sparqa.plans.registry import QUERIES
 
     assert set(QUERIES) <= set(E.queries())
-    assert set(QUERIES) <= set(E.oracle_sql()) <= set(E.queries())
+    # SQL has no byte-pair encoder: tests/test_generation_store.py compares with the libraries
+    assert set(QUERIES) - {"pack_token_blocks_bpe"} <= set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", ["chunk_text", "dedup_sentences", "events_summary", "pack_token_blocks"])

@@ -2,7 +2,11 @@
 duplicates, benchmark decontamination, mixing to target weights, shards.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
-as Parquet and read again as the next stage's documents."""
+as Parquet and read again as the next stage's documents.
+
+All stages take any rows: nulls in every column, empty and very long texts,
+repeated rows, extra columns (kept by all but the last, whatever their names)
+and empty tables (which stay empty)."""
 
 from __future__ import annotations
 
@@ -43,17 +47,30 @@ def drop_intermediate(spark: SparkSession) -> None:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null and empty texts fail the plain rules and go; a null lang or source is a
+    group of its own; repeated rows are judged alike and all kept or dropped;
+    ties in distance are judged by the distance alone."""
     return quality_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, 0.8)."""
+    """One document of each group of near duplicates (five-word shingles, 0.8).
+
+    The smallest doc_id of a group stays, rows without one come last; a doc_id
+    that occurs with several texts is judged by each text, and of fully equal
+    rows one stays.  Texts without words (none pass the stage before) are kept."""
     return near_dedup.keep_first(docs, shingle_words=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
+    """Documents in which no benchmark window occurs.
+
+    Texts alone decide, so repeated and null doc_ids do not matter; null texts
+    are clean; an empty benchmark leaves all.  Exact windows decide: a proximity
+    match (``near_items``) has the words in another order or with others between
+    them, which clean texts of common words have too."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     key = F.xxhash64("text")
     # contamination depends on the text alone
@@ -63,12 +80,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the target weights of their sources, in random order."""
+    """Documents repeated to the target weights of their sources, in random order.
+
+    Each row is drawn by its own, repeated rows and rows without a doc_id too; a
+    null source counts as ``""``; equal order keys are ordered by doc_id."""
     return mixing.mix(docs, MIX_WEIGHTS, 1.0, MIX_SEED).select(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's shard and slot."""
+    """Every row's shard and slot.
+
+    Copies, null doc_ids and null texts are rows like any other; shard sizes
+    differ by one row at most."""
     return shards_digest(sharding.shard(docs.select("doc_id", "text"), SHARDS, SHARD_SEED))
 
 

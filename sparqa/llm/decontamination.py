@@ -256,10 +256,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     for k in range(1, passes):
         vocabulary = np.union1d(vocabulary, block(k).vocabulary)
     index = stored(rows.mapInArrow(_index(sc.broadcast(vocabulary)), INDEX), "postings")
-    counts = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts"))
+    counts = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.counts").alias("n"))
+    counts = counts.toArrow()  # two numbers per benchmark term
     frequency = np.zeros(len(vocabulary), np.int64)
-    for term, n in counts.collect():  # one row per benchmark term
-        frequency[term] = n
+    frequency[counts["term"].to_numpy()] = counts["n"].to_numpy()
     out = index
     for k in range(passes):
         w = block(k) if k else first

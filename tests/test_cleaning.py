@@ -1,6 +1,7 @@
 """B9, B10 on literal messy answers."""
 
 from sparqa.config import DEFAULT
+from sparqa.operators import cleaning
 from sparqa.operators.cleaning import dedup_sentences, format_answers
 
 
@@ -41,3 +42,32 @@ def test_format_answers(spark):
     assert got[2] == "one\ntwo"
     assert got[3] == "fact one.\nfact two."
     assert got[4] == ""
+
+
+MESSY = [
+    "", None, " \n\t", "```", "```\na. a.\n```", "x.\n```\nx.\n\n```\nx. y?\n ``` z\nq. q.\n```",
+    "- A. B\n  * a. c.  C.\n+ \n\n\n-b\n\u2003lead. Lead.  lead !", "one.\r\nONE.\x85two! two!\u2028 three", "a. b.\n" * 50, "....", "- x. - x.",
+]
+
+
+def test_a_text_is_deduplicated_in_its_row(spark):
+    """No shuffle, and the same as by rows of lines and sentences."""
+    df = spark.createDataFrame(list(enumerate(MESSY)), "id long, text string").repartition(8)
+    out = dedup_sentences(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan
+    want = {r.id: r.text for r in cleaning._dedup_together(df, "id", "text", "text").collect()}
+    assert {r.id: r.text for r in out.collect()} == want
+
+
+def test_repeated_and_missing_ids(spark):
+    """Texts of one id count as one; a row without an id has an empty text."""
+    rows = [(1, "A. B."), (1, "b. C."), (2, "A. a."), (None, "x. x."), (None, "y.")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = sorted(map(str, [(r.id, r.text) for r in dedup_sentences(df).collect()]))
+    assert len(got) == 5 and got.count("(None, '')") == 2 and "(2, 'A.')" in got
+    (one,) = {x for x in got if x.startswith("(1")}
+    assert got.count(one) == 2 and "C." in one
+    answers = format_answers(df.withColumn("q", df.text), "id", "text", None)
+    assert answers.count() == 1 + 4 + 2
+    assert [r.response for r in answers.where("id is null").collect()] == [None, None]

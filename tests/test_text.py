@@ -133,3 +133,10 @@ def test_list_fixtures_are_lists(spark):
     texts = fixtures.list_texts(spark, "/root/testdata/sf0.001")
     parsed = texts.where(T.parse_list_items(F.col("text")).isNotNull()).count()
     assert 0 < parsed < texts.count() and parsed > texts.count() / 4
+
+
+def test_trimmed_characters_are_the_whitespace_class():
+    import re
+
+    ranges = re.findall(r"\\x\{(\w+)\}(?:-\\x\{(\w+)\})?", T.WS_CLASS)
+    assert {chr(i) for a, b in ranges for i in range(int(a, 16), int(b or a, 16) + 1)} == set(T.WS_CHARS)

@@ -73,3 +73,25 @@ def test_no_records(spark):
     assert csv_records.read_csv(spark, d).count() == 0
     with pytest.raises(ValueError):
         read_qa_csv(spark, d)
+
+
+def test_positions_query_writes_by_many_tasks(spark, tmp_path):
+    """The texts are not drawn into one task: ordered files follow each other."""
+    from sparqa.plans.registry import QUERIES
+    from sparqa.sources import io
+
+    rows = [(i * 7 % 40, f'line "{i}"\nof {i}') for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    parts, write = [], io.write_processed
+
+    def noted(df, *args):
+        parts.append("Coalesce 1" in df._jdf.queryExecution().executedPlan().toString())
+        write(df, *args)
+
+    io.write_processed = noted
+    try:
+        got = QUERIES["qa_csv_positions"](spark, str(tmp_path)).collect()
+    finally:
+        io.write_processed = write
+    assert parts == [False]
+    assert sorted((r.row_idx, int(r.doc_id)) for r in got) == [(i, i) for i in range(40)]

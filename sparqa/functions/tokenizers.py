@@ -12,6 +12,7 @@ import hashlib
 import sys
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,6 +49,24 @@ def _loaded(kind: str, data: bytes):
     return _LOADED[key]
 
 
+#: UTF-8 bytes of texts that are encoded at once (a longer text goes alone)
+SLICE_BYTES = 1 << 20
+
+
+def _slices(sizes: pa.Array):
+    """(first, number) of consecutive texts of up to SLICE_BYTES.  An encoded text is
+    many times its size until its ids are taken, so the memory of a batch of rows must
+    not follow from their number."""
+    lo = held = 0
+    for i, size in enumerate(sizes.to_pylist()):
+        if i > lo and held + (size or 0) > SLICE_BYTES:
+            yield lo, i - lo
+            lo, held = i, 0
+        held += size or 0
+    if len(sizes) > lo:
+        yield lo, len(sizes) - lo
+
+
 def vocabulary_tokenizer(path: str):
     """A tokenizer (text column -> ``array<int>`` of token ids) of a vocabulary
     file: ``.json``, ``.tiktoken`` ranks or a ``.model`` of pieces.  A null
@@ -59,8 +78,11 @@ def vocabulary_tokenizer(path: str):
         data = f.read()
 
     def encode(texts: pa.Array) -> pa.Array:
-        ids = _loaded(kind, data)([t or "" for t in texts.to_pylist()])
-        return pa.array(ids, pa.list_(pa.int32()))
+        encoder, made = _loaded(kind, data), []
+        for lo, n in _slices(pc.binary_length(texts)):
+            ids = encoder([t or "" for t in texts.slice(lo, n).to_pylist()])
+            made.append(pa.array(ids, pa.list_(pa.int32())))
+        return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int32()))
 
     def tokenizer(text: Column) -> Column:
         return F.arrow_udf(encode, "array<int>")(text)

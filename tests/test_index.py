@@ -96,3 +96,21 @@ def test_salted_join_equals_broadcast(spark):
     a = R.cosine_scores(qp, idx.postings, ["doc_id", "chunk_idx"], DEFAULT, small_queries=True)
     b = R.cosine_scores(qp, idx.postings, ["doc_id", "chunk_idx"], DEFAULT, small_queries=False)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_weights_are_computed_chunk_by_chunk(spark):
+    """Neither a sort nor a shuffle of one row per (chunk, term)."""
+    chunks = spark.createDataFrame([(i, 0, t) for i, t in enumerate(DOCS)], "doc_id long, chunk_idx long, chunk_text string")
+    plan = fit_index(chunks, ["doc_id", "chunk_idx"]).postings._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "Exchange" not in plan
+
+
+def test_chunks_that_share_a_key_count_as_one(spark):
+    schema = "doc_id long, chunk_idx long, chunk_text string"
+    pieces = [(0, 0, "apple pear"), (0, 0, "apple plum the"), (None, 0, "pear fig"), (None, 0, "fig"), (2, 0, None), (2, 0, "the"), (3, 0, "plum")]
+    whole = [(0, 0, "apple pear apple plum the"), (None, 0, "pear fig fig"), (2, 0, "the"), (3, 0, "plum")]
+    found = [fit_index(spark.createDataFrame(rows, schema), ["doc_id", "chunk_idx"], materialize=m) for rows, m in ((pieces, False), (whole, True))]
+    for part in ("vocab", "postings"):
+        a, b = (sorted((str(r.asDict()) for r in getattr(f, part).collect())) for f in found)
+        assert a == b and a
+    assert {r.n_docs for r in found[0].vocab.collect()} == {4}

@@ -105,3 +105,16 @@ def test_blocks_of_vocabulary_tokens(spark, name):
 def test_unknown_vocabulary():
     with pytest.raises(ValueError):
         vocabulary_tokenizer("words.txt")
+
+
+def test_stand_in_generator_runs_without_this_package(tmp_path):
+    """Python workers of a cluster have pyspark and pandas, not this package."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    from sparqa.plans.registry import extractive_generator
+
+    (tmp_path / "g").write_bytes(cloudpickle.dumps(extractive_generator))
+    code = "import pickle, pandas; print(list(pickle.load(open('g', 'rb'))(pandas.Series(['a\\n\\nb\\n\\nc']))))"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60).stdout == "['b']\n"

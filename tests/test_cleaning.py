@@ -71,3 +71,20 @@ def test_repeated_and_missing_ids(spark):
     answers = format_answers(df.withColumn("q", df.text), "id", "text", None)
     assert answers.count() == 1 + 4 + 2
     assert [r.response for r in answers.where("id is null").collect()] == [None, None]
+
+
+def test_a_long_text_takes_linear_time(spark):
+    """Many lines, each said several times, by an Arrow function: a text of
+    some megabytes is done in the time that its sentences take."""
+    import time
+
+    lines = [f"Line {i} says this. Line {i} says that! And line {i % 50} again?" for i in range(30_000)]
+    text = "\n".join(["```", *lines[:3], "```", *lines, *lines, *(f"- {x}" for x in lines)])
+    df = spark.createDataFrame([(1, text), (2, None), (3, "a.\tb.  a. c!\u00a0C! d? e  e? E e? D?")], "id long, text string")
+    out = dedup_sentences(df)
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
+    begun = time.time()
+    got = {r.id: r.text for r in out.collect()}
+    assert time.time() - begun < 30
+    first = [f"Line {i} says this. Line {i} says that!" + (f" And line {i} again?" if i < 50 else "") for i in range(30_000)]
+    assert got == {1: "\n".join(["```", *lines[:3], "```", *first]), 2: "", 3: "a. b. c! d? e  e?"}

@@ -114,3 +114,23 @@ def test_chunks_that_share_a_key_count_as_one(spark):
         a, b = (sorted((str(r.asDict()) for r in getattr(f, part).collect())) for f in found)
         assert a == b and a
     assert {r.n_docs for r in found[0].vocab.collect()} == {4}
+
+
+def test_built_indexes_are_scored_chunk_by_chunk(spark, monkeypatch):
+    """A built index is stored with one row a chunk: no sort, and the scoring
+    reads it without gathering, exchanging or sorting postings."""
+    chunks = spark.createDataFrame([(i, 0, t) for i, t in enumerate(DOCS)], "doc_id long, chunk_idx long, chunk_text string")
+    qs = spark.createDataFrame(list(enumerate(QUERIES)), "query_id long, question string")
+    key = ["doc_id", "chunk_idx"]
+    built, plain = (fit_index(chunks, key, materialize=m) for m in (True, False))
+    assert built.vectors.count() == len(DOCS)
+    monkeypatch.setattr(R, "LEAST_TASKS", 1)
+    found = []
+    for index in (built, plain):
+        scores = R.cosine_scores(transform_queries(index, qs), index.postings, key, index=index)
+        found.append((sorted(map(tuple, scores.collect())), scores._jdf.queryExecution().executedPlan().toString()))
+    assert found[0][0] == found[1][0] and found[0][0]
+    assert "Aggregate" not in found[0][1] and "Join" not in found[0][1] and "hashpartitioning" not in found[0][1]
+    some = [built.words[0], built.words[-1], "unknown"]
+    want = sorted(map(str, plain.postings.where(plain.postings.term.isin(some)).collect()))
+    assert want and sorted(map(str, built.holding(some, []).collect())) == want and built.holding(["unknown"], []).count() == 0
